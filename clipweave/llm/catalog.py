@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import line_dedup, mixing, ngram_join, pieces, quality_rules
+from . import line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotation.render(quotation.reply_order(_table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", "n_quotes", "n_linked", "max_level", F.coalesce("parent_turn", F.lit(-1)).cast("long").alias("parent_turn"), "root_turn", "depth", F.sha2("chat", 256).alias("chat_sha256"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(_table(spark, sf_dir, "embeddings"), queries="vec_id % 50 = 0", k=5)
+
+
+def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_output(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+
+
 def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), nbest=4)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "scores", "ids_crc32", "round_trip")
@@ -48,6 +61,57 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"), **MIX)
 
 
+_BLANK = r"[\x20\x09-\x0D]"
+
+
+def _normal_sql(text: str) -> str:
+    return f"translate(trim(regexp_replace({text}, '{_BLANK}+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_OP1 = rf"""
+with recursive m as (
+  select row_number() over () as id, conv_id as c, turn as t, role, coalesce(text, '') as body, string_split(coalesce(text, ''), chr(10)) as ls from conversations
+), line as (
+  select id, c, t, pos, ls[pos] as line, regexp_extract(ls[pos], '{quotation.MARKS}') as marks from (select *, unnest(range(1, len(ls) + 1)) as pos from m)
+), lev as (
+  select *, length(marks) - length(replace(marks, '>', '')) as level from line
+), nxt as (
+  select *, coalesce(lead(level) over (partition by id order by pos), 0) as after, case when level = lag(level) over (partition by id order by pos) then 0 else 1 end as fresh from lev
+), runs as (select *, sum(fresh) over (partition by id order by pos rows unbounded preceding) as run from nxt
+), own0 as (
+  select id, string_agg(line, chr(10) order by pos) filter (where level = 0 and not (regexp_matches(line, '{quotation.LEAD}') and after > 0)) as o from nxt group by id
+), own as (
+  select m.id, m.c, m.t, regexp_replace(coalesce(o, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g') as own from m left join own0 on m.id = own0.id
+), unit as (
+  select c, t, {_normal_sql("u")} as u from (select c, t, own as u from own union all select c, t, unnest(regexp_split_to_array(own, '\n[\x20\x09-\x0D]*\n')) from own union all select c, t, unnest(string_split(own, chr(10))) from own)
+), origin as (select c, u, min(t) as origin from unit where u <> '' group by c, u
+), passage as (
+  select id, c, t, level, run, min(pos) as pos, {_normal_sql("string_agg(regexp_replace(line, '" + quotation.MARKS + "', ''), chr(10) order by pos)")} as u from runs where level > 0 group by id, c, t, level, run
+), link as (
+  select p.*, case when o.origin < p.t then o.origin end as origin from passage p left join origin o on o.c = p.c and o.u = p.u where p.u <> ''
+), told as (select id, count(*) as q, count(origin) as n, max(level) as l from link group by id
+), parent as (select c, t, arg_min(origin, (level, pos, origin)) as parent from link where origin is not null group by c, t
+), up as (
+  select c, t, parent as root, 1 as depth from parent
+  union all select up.c, up.t, p.parent, up.depth + 1 from up join parent p on p.c = up.c and p.t = up.root
+), top as (select c, t, min(root) as root, max(depth) as depth from up group by c, t
+)
+select m.c as conv_id, m.t as turn, m.role, coalesce(told.q, 0)::bigint as n_quotes, coalesce(told.n, 0)::bigint as n_linked, coalesce(told.l, 0)::bigint as max_level,
+       coalesce(parent.parent, -1)::bigint as parent_turn, coalesce(top.root, m.t) as root_turn, coalesce(top.depth, 0)::bigint as depth,
+       sha256('<|' || coalesce(m.role, '') || '|>' || chr(10) || own.own || chr(10)) as chat_sha256
+from m join own on own.id = m.id left join told on told.id = m.id left join parent on parent.c = m.c and parent.t = m.t left join top on top.c = m.c and top.t = m.t
+"""
+
+_OP4 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 _OP5 = """
 with lines as (
   select doc_id, source, pos, string_split(coalesce(text, ''), chr(10))[pos] as line
@@ -122,5 +186,5 @@ select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, (epochs + cas
 from walked where epochs + case when upto <= rest then 1 else 0 end > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece_nbest, op5_line_dedup, op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources)}
-SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quotation_linking, op3_sentencepiece_nbest, op4_exact_topk, op5_line_dedup, op7_rans_tokens, op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources)}
+SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op4_exact_topk": _OP4, "op5_line_dedup": _OP5, "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10}
