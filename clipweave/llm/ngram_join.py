@@ -45,6 +45,12 @@ def set_id(s: np.ndarray) -> int:
     return (xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) >> 1 or 1) if len(s) else 0
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """1,024 bits, each the parity of the elements that hash to it: two sets differ in as many elements at least as these in bits."""
+    odd = np.bincount((mix(s + _BASE) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """First sizes of the bands, and k of each: how many elements two sets may differ in whose larger lies there."""
     first, k = [], []
@@ -129,13 +135,13 @@ def _profile(width: int):
         for batch in it:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "parity"])
 
     return run
 
 
 def _packed(width: int, percent: int, groups: int):
-    """Rows (group, nodes, counts, low 32 bits of the signatures): a signature's group and low bits stand for it until sets are compared."""
+    """Rows (group, nodes, their sizes, counts, low 32 bits of the signatures): a signature's group and low bits stand for it until sets are compared."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -143,6 +149,7 @@ def _packed(width: int, percent: int, groups: int):
                 sets = shingle_sets(part.column(1), width)
                 nodes = np.array([set_id(s) for s in sets], np.int64)
                 nodes, once = np.unique(nodes, return_index=True)
+                sizes = np.array([len(sets[i]) for i in once], np.uint32)
                 row, sig = signatures([sets[i] for i in once], percent)
                 if not len(row):
                     continue
@@ -150,24 +157,29 @@ def _packed(width: int, percent: int, groups: int):
                 order = np.argsort(group * len(sets) + row)
                 group, row, low = group[order], row[order], sig[order].astype(np.uint32)
                 starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                out = {"g": [], "nodes": [], "counts": [], "sigs": []}
+                out = {"g": [], "nodes": [], "sizes": [], "counts": [], "sigs": []}
                 for a, b in zip(starts, np.r_[starts[1:], len(group)], strict=True):
                     ids, counts = np.unique(row[a:b], return_counts=True)
                     out["g"].append(int(group[a]))
                     out["nodes"].append(nodes[ids].tobytes())
+                    out["sizes"].append(sizes[ids].tobytes())
                     out["counts"].append(counts.astype(np.uint32).tobytes())
                     out["sigs"].append(low[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("nodes", "counts", "sigs"))], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
     return run
 
 
-def _buckets(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, node, name of the bucket's member set) for nodes that share a signature with a smaller one; the name is 0 for buckets of two. Each bucket of one member set comes once."""
+def _buckets(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, node, name of the bucket's member set) for nodes that share a signature with a smaller one; the name is 0 for buckets of two.
+
+    Each bucket of one member set comes once. Buckets of two whose sizes are too far apart are left out; in larger ones a node whose
+    size is too far from the centre's has itself as centre.
+    """
     order = np.lexsort((nodes, sigs))
-    sigs, nodes = sigs[order], nodes[order]
+    sigs, nodes, sizes = sigs[order], nodes[order], sizes[order].astype(np.int64)
     keep = np.r_[True, (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])]
-    sigs, nodes = sigs[keep], nodes[keep]
+    sigs, nodes, sizes = sigs[keep], nodes[keep], sizes[keep]
     start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
     size = np.diff(np.r_[start, len(sigs)])
     name = np.add.reduceat(mix(nodes), start) if len(start) else np.zeros(0, np.uint64)
@@ -175,30 +187,35 @@ def _buckets(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     big = big[np.unique(name[big], return_index=True)[1]]
     rep = size[big]
     at = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(start[big], rep)
-    centre = np.repeat(nodes[start[big]], rep)
+    first = np.repeat(start[big], rep)
     label = np.repeat(np.where(rep > 2, (name[big] >> np.uint64(1)).astype(np.int64), 0), rep)
-    return centre, nodes[at], label
-
+    near = 100 * np.minimum(sizes[at], sizes[first]) >= percent * np.maximum(sizes[at], sizes[first])
+    live = near | (label != 0)
+    return np.where(near, nodes[first], nodes[at])[live], nodes[at][live], label[live]
 
-def _search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, now = [], None
 
-    def done():
-        nodes = np.concatenate([np.repeat(np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in held])
-        centre, node, label = _buckets(nodes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]))
+def _search(percent: int):
+    def done(held):
+        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in held])
+        nodes, sizes = (np.repeat(np.concatenate([np.frombuffer(r[c], t) for r in held]), counts) for c, t in (("nodes", np.int64), ("sizes", np.uint32)))
+        centre, node, label = _buckets(nodes, sizes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]), percent)
         wide = label != 0
         pair = np.unique(np.stack([centre, node])[:, centre != node], axis=1) if len(centre) else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], centre[wide]], np.r_[pair[1], node[wide]])], names=["bucket", "centre", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], np.zeros(int(wide.sum()), np.int64)], np.r_[pair[1], node[wide]])], names=["bucket", "centre", "node"])
 
-    for batch in it:
-        for r in batch.to_pylist():
-            if now is not None and r["g"] != now:
-                yield from done()
-                held = []
-            now = r["g"]
-            held.append(r)
-    if held:
-        yield from done()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in it:
+            for r in batch.to_pylist():
+                if now is not None and r["g"] != now:
+                    yield done(held)
+                    held = []
+                now = r["g"]
+                held.append(r)
+        if held:
+            yield done(held)
+
+    return run
 
 
 def _sets(width: int):
@@ -229,7 +246,11 @@ def _compare(percent: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b of nodes) that are similar enough, by their whole sets."""
+    """Those of ``pairs`` (a, b of nodes) that are similar enough: first by sizes and parities, which never drop such a pair, then by whole sets."""
+    side = lambda n: reps.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("parity").alias(f"p{n}"))
+    bits = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "ngram-near")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("_want"))
     sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
     sets = cut(sets.join(wanted.select(F.col("_want").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
@@ -249,10 +270,10 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> D
     spark, docs = docs.sparkSession, long_doc(docs)
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = partitions(spark, volume / 6 * 0.9, GROUP_SIGNATURES)
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, node long"), "ngram-profile")
-    reps = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    packed = docs.mapInArrow(_packed(width, percent, groups), "g int, nodes binary, counts binary, sigs binary")
-    found = cut(packed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_search, "bucket long, centre long, node long").distinct(), "ngram-buckets")
+    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, node long, parity array<long>"), "ngram-profile")
+    reps = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity"))
+    packed = docs.mapInArrow(_packed(width, percent, groups), "g int, nodes binary, sizes binary, counts binary, sigs binary")
+    found = cut(packed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_search(percent), "bucket long, centre long, node long").distinct(), "ngram-buckets")
     first = cut(found.where("bucket = 0").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "ngram-pairs")
     edges = cut(_verified(first, docs, reps, width, percent), "ngram-links")
     labels = components(edges, "a", "b", "ngram-components")
