@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, topk
+from . import bwt_merge, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "role", "n_quotes", "n_linked", "max_level", F.coalesce("parent_turn", F.lit(-1)).cast("long").alias("parent_turn"), "root_turn", "depth", F.sha2("chat", 256).alias("chat_sha256"))
 
 
+def op2_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.remove_repeated_words(_table(spark, sf_dir, "documents"), width=50, kept=False)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+def op6_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_merge.remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=50, kept=False)
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), queries="vec_id % 50 = 0", k=5)
 
@@ -102,6 +112,40 @@ select m.c as conv_id, m.t as turn, m.role, coalesce(told.q, 0)::bigint as n_quo
 from m join own on own.id = m.id left join told on told.id = m.id left join parent on parent.c = m.c and parent.t = m.t left join top on top.c = m.c and top.t = m.t
 """
 
+_OP2 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+  select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)
+), least as (select s, min(doc_id) as m from win group by s
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from win join least using (s) where m < doc_id
+), word as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)
+), kept as (
+  select k.doc_id, count(g.p) as n_removed, coalesce(string_agg(k.word, ' ' order by k.p) filter (where g.p is null), '') as t
+  from word k left join gone g on g.doc_id = k.doc_id and g.p = k.p group by k.doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept on d.doc_id = kept.doc_id
+"""
+
+_OP6 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), win as (
+  select doc_id, i, substring(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as i from d where len(h) >= 100)
+), least as (select s, min(doc_id) as m from win group by s
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p from win join least using (s) where m < doc_id
+), byte as (select doc_id, p, substring(h, 2 * p + 1, 2) as b from (select doc_id, h, unnest(range(0, len(h) // 2)) as p from d)
+), marked as (
+  select k.doc_id, k.p, k.b, g.p is not null as gone, coalesce(lag(g.p is not null) over (partition by k.doc_id order by k.p), false) as before
+  from byte k left join gone g on g.doc_id = k.doc_id and g.p = k.p
+), kept as (
+  select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where gone and not before) as n_spans, coalesce(string_agg(b, '' order by p) filter (where not gone), '') as t
+  from marked group by doc_id
+)
+select d.doc_id, (len(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(t, ''))) as kept_sha256
+from d left join kept on d.doc_id = kept.doc_id
+"""
+
 _OP4 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -186,5 +230,5 @@ select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, (epochs + cas
 from walked where epochs + case when upto <= rest then 1 else 0 end > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quotation_linking, op3_sentencepiece_nbest, op4_exact_topk, op5_line_dedup, op7_rans_tokens, op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources)}
-SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op4_exact_topk": _OP4, "op5_line_dedup": _OP5, "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quotation_linking, op2_suffix_tree_dedup, op6_bwt_merge_dedup, op3_sentencepiece_nbest, op4_exact_topk, op5_line_dedup, op7_rans_tokens, op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources)}
+SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_suffix_tree_dedup": _OP2, "op4_exact_topk": _OP4, "op6_bwt_merge_dedup": _OP6, "op5_line_dedup": _OP5, "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10}
