@@ -49,7 +49,7 @@ def stem(path: Column) -> Column:
 
 def judged_consistency(raw: Column) -> Column:
     """0 to 100 from a judge's answer: the field of a clean JSON object, else the first whole number up to 100 that stands alone, else 0."""
-    clean = F.trim(F.regexp_replace(raw, r"```(?:json)?", ""))
+    clean = F.regexp_replace(F.regexp_replace(raw, r"```(?:json)?", ""), r"^\s+|\s+$", "")
     as_json = F.when(clean.rlike(r"^\{[^{}]*\}$"), F.get_json_object(clean, "$.consistency").try_cast("double").cast("int"))
     alone = F.regexp_extract(raw, r"(?:^|[^0-9])(100|[0-9]{1,2})(?:[^0-9]|$)", 1).try_cast("int")
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(as_json, alone, F.lit(0))))
