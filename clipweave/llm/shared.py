@@ -95,7 +95,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
