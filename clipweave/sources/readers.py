@@ -30,7 +30,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     Columns: sample_id and the fields of an event. Files are read whole as text, one row each, and parsed on the executors.
     """
     raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    listed = F.coalesce(F.from_json("value", EVENTS), F.from_json("value", f"struct<events:{EVENTS}>")["events"])
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", EVENTS)).otherwise(F.from_json("value", f"struct<events:{EVENTS}>")["events"])
     return raw.select(sample_of(F.col("path")).alias("sample_id"), F.explode(listed).alias("x")).select("sample_id", "x.*")
 
 
