@@ -101,8 +101,7 @@ _POWERS = np.ones(1, np.uint64)
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     while len(_POWERS) < n:
-        step = np.uint64(0x9FB21C651E98DF25)
-        top = _POWERS[-1] * step
+        top = _POWERS[-1:] * np.uint64(0x9FB21C651E98DF25)
         _POWERS = np.concatenate([_POWERS, _POWERS * top])
     return _POWERS
 
