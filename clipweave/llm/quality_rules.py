@@ -154,8 +154,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, least_precision: float =
             grown, value = grown[:-1], shorter
         hit = _holds(x, grown) & left
         p, m = int((hit & bad).sum()), int(hit.sum())
-        low = _wilson(value[1], value[2]) if value[2] < 30 else value[1] / value[2]
-        if m < least_cover or not value[2] or low < least_precision - (0.25 if value[2] < 30 else 0) or value[1] / value[2] < least_precision or p / m < least_precision:
+        right, seen = value[1:]
+        if m < least_cover or not seen or right / seen < least_precision or p / m < least_precision or seen < 30 and _wilson(right, seen) < least_precision - 0.25:
             break
         found.append(Rule(tuple(grown), m, m - p))
         left &= ~hit

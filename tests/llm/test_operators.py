@@ -391,4 +391,4 @@ def test_quotation(spark):
         ("Hello there.\nHow are you?", None, 0, 0), ("Fine.", 0, 0, 1), ("Good.", 1, 0, 2), ("hm", None, 3, 0), ("ok", 2, 0, 3), ("self", 4, 0, 4), ("later", None, 6, 0)]
     assert (by[1, 2]["n_quotes"], by[1, 2]["n_linked"], by[1, 2]["max_level"]) == (2, 2, 2) and by[3, 0]["text"] == "a > b" and by[2, 0]["text"] == "" and by[None, 0]["n_linked"] == 0
     assert [r["turn"] for r in quotation.render(got).where("conv_id = 1").collect()] == [0, 1, 2, 4, 5, 3, 6]
-    assert quotation.reply_order(df.where("false")).count() == 0 and quotation.quote_links(df).count() == 8
+    assert quotation.reply_order(df.where("false")).count() == 0 and quotation.quote_links(df).count() == 7
