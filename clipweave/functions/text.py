@@ -58,3 +58,42 @@ def judged_consistency(raw: Column) -> Column:
 def band(mean: Column) -> Column:
     """World band 1 to 5 of a mean consistency; none is 1."""
     return F.when(mean >= 80, 5).when(mean >= 60, 4).when(mean >= 40, 3).when(mean >= 20, 2).otherwise(1)
+
+
+def token(text: Column) -> Column:
+    return F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("-"))
+
+
+def slug(text: Column, most: int = 60) -> Column:
+    return F.regexp_replace(F.left(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit(most)), "^-+|-+$", "")
+
+
+def cleaned_caption(text: Column, most: int = 160) -> Column:
+    """Tags, fences and line ends out; cut after the first sentence if it ends within ``most`` characters, else at ``most``."""
+    flat = squeeze(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "`+", " "))
+    end = F.instr(flat, ". ")
+    return F.when((end > 0) & (end < most), F.substring(flat, F.lit(1), end)).otherwise(F.left(flat, F.lit(most)))
+
+
+def without_thoughts(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "(?is)<think>.*?</think>", ""))
+
+
+def prompt_words(text: Column, stop: tuple[str, ...]) -> Column:
+    """Distinct words of three letters or more, lower case, in order, without stop words."""
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, stop)))
+
+
+def has_chinese(text: Column) -> Column:
+    return text.rlike("[\\x{4e00}-\\x{9fff}]")
+
+
+def bounded_number(text: Column) -> Column:
+    """A count or number with ``>``, ``<``, ``~`` and ``+`` around it; 0 where there is none."""
+    return F.coalesce(F.trim(F.translate(text, "><~+", "")).try_cast("double"), F.lit(0.0))
+
+
+def guarded_json(text: Column, path: str) -> Column:
+    """A field of the text as JSON, else of its widest ``{...}``, else null."""
+    return F.coalesce(F.get_json_object(text, path), F.get_json_object(F.regexp_extract(text, r"(?s)\{.*\}", 0), path))
