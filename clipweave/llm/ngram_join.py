@@ -4,8 +4,9 @@ Sets are put into bands of size whose ends differ by the similarity at most, so
 or in neighbours. In the instance of the larger set's band the two differ in at most k elements. The domain is parted into
 n1 parts by hash and each into three; of n1 = ceil((k + 1) / 2) parts at least one has at most one difference, so that
 two of its three have none: the two sets share one of the 3 * n1 signatures (part, pair of thirds, their elements).
-A signature of no elements would select nothing. A few parts more make it needless; a set with more such parts than
-those joins each with every signature of a second, independent partition.
+Signatures of no or one element select too little. With some parts more they are needless: leaving out a part takes two differences
+where none of its signatures is that weak, one where some are, and none where all are. A set for which that is not enough
+joins each weak signature with every one of a second, independent partition.
 Sets that share a signature are compared exactly.
 """
 
@@ -63,9 +64,13 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first, np.int64), np.array(k, np.int64)
 
 
+#: A signature of so many elements or fewer is weak.
+WEAK = 1
+
+
 def _spare(parts: np.ndarray) -> np.ndarray:
-    """Parts beyond the least number, so that as many may hold a signature of no elements: these are then not needed."""
-    return np.ceil(0.012 * parts + 0.5 * np.sqrt(parts)).astype(np.int64)
+    """Parts beyond the least number, so that weak signatures are seldom needed."""
+    return np.ceil(0.08 * parts + 0.5 * np.sqrt(parts)).astype(np.int64)
 
 
 def _instance(sets: list[np.ndarray], owner: np.ndarray, band: np.ndarray, used: np.ndarray, k: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     """(index of the set, signature) for every set. Bands with k = 0 need none: there only equal sets are similar enough.
 
     A set of a elements differs in at most h = (a + 100 a / percent) (100 - percent) / (100 + percent) from any similar one
-    that is no smaller, in its own band or in the next, so all but floor(h / 2) of the parts have at most one difference.
+    that is no smaller, in its own band or in the next; the parts used must cost more than h differences to be left out.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     first, k = bands(percent, int(sizes.max(initial=1)) * 2)
@@ -109,13 +114,12 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     a, parts = sizes[owner], k[band] // 2 + 1
     apart = np.minimum(k[band], (a + a * 100 // percent) * (100 - percent) // (100 + percent))
     used = parts + _spare(parts)
-    spare = used - apart // 2 - 1
     row, sig, held = _instance(sets, owner, band, used, k, 0)
-    none = held == 0
+    none = held <= WEAK
     if none.any():
-        # Parts with a signature of no elements; where fewer than the parts that a similar set shares, the others do.
-        weak = np.bincount(row[none.reshape(-1, 3).any(axis=1).repeat(3)], minlength=len(owner)) // 3
-        odd = none & (weak > spare)[row]
+        weak = none.reshape(-1, 3).sum(axis=1)
+        cost = np.bincount(row[::3], weights=np.where(weak == 0, 2, np.where(weak < 3, 1, 0)), minlength=len(owner))
+        odd = none & (cost <= apart)[row]
         row, sig, weak_row, weak_sig = row[~none], sig[~none], row[odd], sig[odd]
         if len(weak_row):
             need = np.unique(weak_row)
