@@ -25,7 +25,7 @@ SPACE = "▁"
 #: Loss, below the least piece score, of a character without a piece; it is then spelled in bytes.
 UNKNOWN_LOSS = 10.0
 #: Units whose results a worker keeps.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 

@@ -33,7 +33,7 @@ MAGIC, HEADER = b"CWR1", struct.Struct("<4sIIQQI")
 _LOW, _BASE = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _M, _ROOM, _HALF, _MASK = np.uint64(SCALE), np.uint64(64 - SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 def frequencies(counts: dict[int, int], vocab: int) -> np.ndarray:
