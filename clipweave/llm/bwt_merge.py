@@ -18,7 +18,7 @@ SHARD = 1 << 19
 
 
 def byte_units(width: int) -> Units:
-    return Units(read=lambda data, ends: (data, ends, None), join=lambda text, gone, _: np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text, dtype="u1", width=width, gram=max(1, min(20, width)))
+    return Units(read=lambda data, ends: (data, ends), join=lambda text, gone: np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text, dtype="u1", width=width, gram=max(1, min(20, width)))
 
 
 def transform(segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

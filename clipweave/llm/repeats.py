@@ -31,10 +31,10 @@ GROUP_ANCHORS, GROUP_UNITS = 4_000_000, 3_000_000
 
 @dataclass(frozen=True)
 class Units:
-    """How texts become units: (values, units before each row, value type), and how the kept ones become bytes again."""
+    """How texts become units - (values, units before each row) from bytes and ends - and how those that are not gone become bytes again."""
 
-    read: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    join: Callable[[bytes, np.ndarray, np.ndarray], bytes]
+    read: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    join: Callable[[bytes, np.ndarray], bytes]
     dtype: str
     width: int
     gram: int
@@ -56,9 +56,9 @@ def runs(units: np.ndarray, before: np.ndarray, kind: Units) -> tuple[np.ndarray
     least = np.minimum(key[:last], key[reach - step : reach - step + last])
     start = np.arange(last)
     anchor = start + (((least & _PLACE).astype(np.int64) - start) & int(_PLACE))
-    lens = np.diff(before)
-    row = np.repeat(np.arange(len(lens)), np.maximum(lens - kind.width + 1, 0))
-    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(lens - kind.width + 1, 0)) - np.maximum(lens - kind.width + 1, 0), np.maximum(lens - kind.width + 1, 0)) + before[:-1][row]
+    many = np.maximum(np.diff(before) - kind.width + 1, 0)  # windows of each row
+    row = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(row)) + np.repeat(before[:-1] - np.cumsum(many) + many, many)
     if not len(at):
         return none
     anchor = anchor[at]
@@ -80,7 +80,7 @@ def _anchors(kind: Units, groups: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
-                units, before, _ = kind.read(*raw(part.column(1)))
+                units, before = kind.read(*raw(part.column(1)))
                 row, _, _, anchor = runs(units, before, kind)
                 docs = np.asarray(part.column(0), np.int64)
                 group = _group_of(anchor, groups)
@@ -139,7 +139,7 @@ def _segments(kind: Units, groups: int, anchor_groups: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
-                units, before, _ = kind.read(*raw(part.column(1)))
+                units, before = kind.read(*raw(part.column(1)))
                 row, at, many, anchor = runs(units, before, kind)
                 docs, hashes = np.asarray(part.column(0), np.int64), np.asarray(part.column(3), np.int64)
                 key = (_group_of(anchor, anchor_groups).astype(np.uint64) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
@@ -216,8 +216,7 @@ def _cleaned(kind: Units, text_column: bool):
         for batch in it:
             for part in slices(batch, 1):
                 data, ends = raw(part.column(1))
-                whole, _, heads = kind.read(data, ends)
-                _, before, _ = kind.read(data, ends) if heads is None else (None, np.searchsorted(heads, ends), None)
+                _, before = kind.read(data, ends)
                 data = data.tobytes()
                 out = {"n": [], "gone": [], "spans": [], "sha": [], "text": []}
                 for k, lists in enumerate(part.column(2).to_pylist()):
@@ -229,7 +228,7 @@ def _cleaned(kind: Units, text_column: bool):
                         np.add.at(cover, pairs[:, 0], 1)
                         np.add.at(cover, pairs[:, 0] + pairs[:, 1] + kind.width - 1, -1)
                         gone = np.cumsum(cover[:-1]) > 0
-                    kept = kind.join(text, gone, None)
+                    kept = kind.join(text, gone)
                     out["n"].append(n)
                     out["gone"].append(int(gone.sum()))
                     out["spans"].append(int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if n else 0)))

@@ -18,13 +18,13 @@ from .shared import word_hashes
 SUBTREE = 1 << 18
 
 
-def _join(text: bytes, gone: np.ndarray, _) -> bytes:
+def _join(text: bytes, gone: np.ndarray) -> bytes:
     words = text.split()
     return b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
 
 
 def word_units(width: int) -> Units:
-    return Units(read=lambda data, ends: word_hashes(data, ends), join=_join, dtype="u8", width=width, gram=max(1, min(8, width)))
+    return Units(read=lambda data, ends: word_hashes(data, ends)[:2], join=_join, dtype="u8", width=width, gram=max(1, min(8, width)))
 
 
 class Names:
