@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, long_doc, mix, partitions, raw, slices, window_hash, word_hashes
+from .shared import SLICE_BYTES, cut, long_doc, mix, partitions, raw, slices, window_hash, word_hashes
 
 #: Signatures that one group of the candidate search holds in memory, on average.
 GROUP_SIGNATURES = 2_000_000
@@ -66,6 +66,8 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: A signature of so many elements or fewer is weak.
 WEAK = 1
+#: Members above which a bucket is dealt out again by the signatures of the second partition.
+HOT = 64
 
 
 def _spare(parts: np.ndarray) -> np.ndarray:
@@ -134,6 +136,21 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return owner[row], sig
 
 
+def second_signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of the second partition, weak ones too: any two similar sets share one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first, k = bands(percent, int(sizes.max(initial=1)) * 2)
+    own = np.searchsorted(first, sizes, side="right") - 1
+    owner, band = np.concatenate([np.arange(len(sets))] * 2), np.concatenate([own, own + 1])
+    live = (np.concatenate([sizes] * 2) > 0) & (k[np.minimum(band, len(k) - 1)] > 0)
+    owner, band = owner[live], band[live]
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts = k[band] // 2 + 1
+    row, sig, _ = _instance(sets, owner, band, parts, k, 1)
+    return owner[row], sig
+
+
 def _profile(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -144,38 +161,63 @@ def _profile(width: int):
     return run
 
 
-def _packed(width: int, percent: int, groups: int):
+def _rows(nodes: np.ndarray, sizes: np.ndarray, row: np.ndarray, sig: np.ndarray, groups: int) -> pa.RecordBatch:
     """Rows (group, nodes, their sizes, counts, low 32 bits of the signatures): a signature's group and low bits stand for it until sets are compared."""
+    group = ((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group * max(1, len(nodes)) + row)
+    group, row, low = group[order], row[order], sig[order].astype(np.uint32)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+    out = {"g": [], "nodes": [], "sizes": [], "counts": [], "sigs": []}
+    for a, b in zip(starts, np.r_[starts[1:], len(group)] if len(group) else [], strict=True):
+        ids, counts = np.unique(row[a:b], return_counts=True)
+        out["g"].append(int(group[a]))
+        out["nodes"].append(nodes[ids].tobytes())
+        out["sizes"].append(sizes[ids].tobytes())
+        out["counts"].append(counts.astype(np.uint32).tobytes())
+        out["sigs"].append(low[a:b].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
+
+_PACKED = "g int, nodes binary, sizes binary, counts binary, sigs binary"
+
+
+def _packed(width: int, percent: int, groups: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
+                sets = shingle_sets(part.column(1), width)
+                nodes, once = np.unique(np.array([set_id(s) for s in sets], np.int64), return_index=True)
+                sets = [sets[i] for i in once]
+                yield _rows(nodes, np.array([len(s) for s in sets], np.uint32), *signatures(sets, percent), groups)
+
+    return run
+
+
+def _dealt_again(width: int, percent: int, groups: int):
+    """Signatures (large bucket, signature of the second partition) of texts with the names of their large buckets."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, 1, SLICE_BYTES // 8):
                 sets = shingle_sets(part.column(1), width)
                 nodes = np.array([set_id(s) for s in sets], np.int64)
-                nodes, once = np.unique(nodes, return_index=True)
-                sizes = np.array([len(sets[i]) for i in once], np.uint32)
-                row, sig = signatures([sets[i] for i in once], percent)
-                if not len(row):
-                    continue
-                group = ((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(group * len(sets) + row)
-                group, row, low = group[order], row[order], sig[order].astype(np.uint32)
-                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                out = {"g": [], "nodes": [], "sizes": [], "counts": [], "sigs": []}
-                for a, b in zip(starts, np.r_[starts[1:], len(group)], strict=True):
-                    ids, counts = np.unique(row[a:b], return_counts=True)
-                    out["g"].append(int(group[a]))
-                    out["nodes"].append(nodes[ids].tobytes())
-                    out["sizes"].append(sizes[ids].tobytes())
-                    out["counts"].append(counts.astype(np.uint32).tobytes())
-                    out["sigs"].append(low[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
+                fit = np.flatnonzero(nodes == np.asarray(part.column(3), np.int64))  # of rows that repeat an id, the one that is meant
+                fit = fit[np.unique(nodes[fit], return_index=True)[1]]
+                lists = [np.array(x, np.int64) for x in part.column(2).take(pa.array(fit)).to_pylist()]
+                sets, nodes = [sets[i] for i in fit], nodes[fit]
+                row, sig = second_signatures(sets, percent)
+                order = np.argsort(row, kind="stable")
+                row, sig = row[order], sig[order]
+                edge = np.searchsorted(row, np.arange(len(sets) + 1))
+                both = [mix((x.astype(np.uint64) * _BASE)[:, None] + sig[a:b][None, :]).ravel() for x, a, b in zip(lists, edge[:-1], edge[1:], strict=True)]
+                rows = np.repeat(np.arange(len(sets)), [len(x) for x in both])
+                yield _rows(nodes, np.array([len(s) for s in sets], np.uint32), rows, np.concatenate(both) if both else np.zeros(0, np.uint64), groups)
 
     return run
 
 
-def _buckets(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, node, name of the bucket's member set) for nodes that share a signature with a smaller one; the name is 0 for buckets of two.
+def _buckets(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, node, name of the bucket's member set, its size) for nodes that share a signature with a smaller one; the name is 0 for buckets of two.
 
     Each bucket of one member set comes once. Buckets of two whose sizes are too far apart are left out; in larger ones a node whose
     size is too far from the centre's has itself as centre.
@@ -195,17 +237,17 @@ def _buckets(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: in
     label = np.repeat(np.where(rep > 2, (name[big] >> np.uint64(1)).astype(np.int64), 0), rep)
     near = 100 * np.minimum(sizes[at], sizes[first]) >= percent * np.maximum(sizes[at], sizes[first])
     live = near | (label != 0)
-    return np.where(near, nodes[first], nodes[at])[live], nodes[at][live], label[live]
+    return np.where(near, nodes[first], nodes[at])[live], nodes[at][live], label[live], np.repeat(rep, rep)[live]
 
 
-def _search(percent: int):
+def _search(percent: int, hot: int):
     def done(held):
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in held])
         nodes, sizes = (np.repeat(np.concatenate([np.frombuffer(r[c], t) for r in held]), counts) for c, t in (("nodes", np.int64), ("sizes", np.uint32)))
-        centre, node, label = _buckets(nodes, sizes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]), percent)
+        centre, node, label, many = _buckets(nodes, sizes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]), percent)
         wide = label != 0
         pair = np.unique(np.stack([centre, node])[:, centre != node], axis=1) if len(centre) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], np.zeros(int(wide.sum()), np.int64)], np.r_[pair[1], node[wide]])], names=["bucket", "centre", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], np.zeros(int(wide.sum()), np.int64)], np.r_[pair[1], node[wide]], np.r_[np.zeros(pair.shape[1], bool), many[wide] > hot])], names=["bucket", "centre", "node", "hot"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -222,6 +264,42 @@ def _search(percent: int):
     return run
 
 
+def _cross(percent: int):
+    """Pairs (a, b) of nodes of one bucket in different components, with sizes near enough; rows (bucket, node, component, n) come sorted by bucket."""
+
+    def of(node, component, n):
+        for at in range(0, len(node), 256):  # in blocks, as a bucket dealt again may still be large
+            part = slice(at, at + 256)
+            near = (component[part, None] != component) & (node[part, None] < node) & (100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n))
+            i, j = np.nonzero(near)
+            yield node[part][i], node[j]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, count = None, [], 0
+
+        def flush():
+            pair = np.unique(np.concatenate([np.stack(x) for x in found], axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+        for batch in [*it, None]:
+            rows = [np.asarray(batch.column(k), np.int64) for k in range(4)] if batch is not None else [np.zeros(0, np.int64)] * 4
+            rows = [np.r_[x, y] for x, y in zip(held, rows, strict=True)] if held else rows
+            start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(rows[0]) else np.zeros(0, np.int64)
+            ends = np.r_[start[1:], len(rows[0])][: len(start)]
+            whole = len(start) - (batch is not None)  # the last bucket may go on in the next batch
+            for a, b in zip(start[: max(0, whole)], ends, strict=False):
+                for x in of(rows[1][a:b], rows[2][a:b], rows[3][a:b]):
+                    found.append(x)
+                    count += len(x[0])
+                if count > 1 << 20:
+                    yield flush()
+                    found, count = [], 0
+            held = [x[start[whole] :] for x in rows] if batch is not None and len(start) else None
+        yield flush()
+
+    return run
+
+
 def _sets(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -262,12 +340,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
     return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
 
 
-def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity ``percent``).
 
     Documents with equal sets are one node from the start; a node's name has 63 bits, so of 10^8 different sets
     two share a name with a chance of 1 in 2,000. Every pair of nodes that shares a signature is compared, or known to be in one
-    component already: first each with the smallest of its bucket, then the members of different components of a bucket.
+    component already: first each with the smallest of its bucket, then the members of different components of a bucket. Buckets of more
+    than ``hot`` members are first dealt out by signatures of the second partition, of which similar sets share one as well.
     Null, empty and wordless texts have no shingles and stay alone. Rows without an id are left out; rows that repeat
     an id give a row each. Other columns are not looked at. Texts are read whole.
     """
@@ -276,20 +355,28 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> D
     groups = partitions(spark, volume / 6 * 0.9, GROUP_SIGNATURES)
     profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, node long, parity array<long>"), "ngram-profile")
     reps = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity"))
-    packed = docs.mapInArrow(_packed(width, percent, groups), "g int, nodes binary, sizes binary, counts binary, sigs binary")
-    found = cut(packed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_search(percent), "bucket long, centre long, node long").distinct(), "ngram-buckets")
-    first = cut(found.where("bucket = 0").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "ngram-pairs")
+    columns = "bucket long, centre long, node long, hot boolean"
+    search = lambda packed, hot, name: cut(packed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_search(percent, hot), columns).distinct(), name)
+    pairs_of = lambda found: found.where("bucket = 0").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    found = search(docs.mapInArrow(_packed(width, percent, groups), _PACKED), hot, "ngram-buckets")
+    first = cut(pairs_of(found), "ngram-pairs")
     edges = cut(_verified(first, docs, reps, width, percent), "ngram-links")
     labels = components(edges, "a", "b", "ngram-components")
 
-    wide = found.where("bucket <> 0").select("bucket", "node").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = wide.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    wide = cut(wide.join(split, "bucket", "left_semi"), "ngram-open")
-    sides = wide.select("bucket", "component").distinct()
-    across = sides.withColumnRenamed("component", "c1").join(sides.withColumnRenamed("component", "c2"), "bucket").where("c1 < c2")
-    members = lambda c, n: wide.select("bucket", F.col("component").alias(c), F.col("node").alias(n))
-    more = across.join(members("c1", "n1"), ["bucket", "c1"]).join(members("c2", "n2"), ["bucket", "c2"]).select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
-    more = cut(more.join(first, ["a", "b"], "left_anti"), "ngram-more")
+    def open_buckets(members: DataFrame) -> DataFrame:
+        """(bucket, node, component, n) of buckets whose members are in more than one component."""
+        named = members.select("bucket", "node").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        return named.join(split, "bucket", "left_semi").join(reps.select("node", "n"), "node").select("bucket", "node", "component", "n")
+
+    more, wide = first.limit(0), found.where("bucket <> 0 and not hot")
+    large = cut(open_buckets(found.where("hot")).groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "ngram-large")  # no more of them than a text has signatures
+    if large.head(1):
+        texts = docs.join(large.join(reps, "node").select(F.col("rep").alias("doc_id"), "buckets", "node"), "doc_id").select("doc_id", "text", "buckets", "node")
+        again = search(texts.mapInArrow(_dealt_again(width, percent, groups), _PACKED), 1 << 62, "ngram-again")
+        more, wide = more.union(pairs_of(again)), wide.union(again.where("bucket <> 0"))
+    crossed = open_buckets(wide).repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(percent), "a long, b long")
+    more = cut(more.union(crossed).distinct().join(first, ["a", "b"], "left_anti"), "ngram-more")
     if more.head(1):
         edges = cut(edges.union(_verified(more, docs, reps, width, percent)), "ngram-links")
         labels = components(edges, "a", "b", "ngram-components")

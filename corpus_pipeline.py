@@ -23,7 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id."""
+    """One document of each group of near copies, the one of the smallest id; rows that repeat that id stay together, rows without an id go."""
     ship(spark)
     kept = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)

@@ -142,6 +142,7 @@ def test_ngram_join(spark, docs, texts, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     want = linked(sets)
     assert got == {d: (len(s), want[d]) for d, s in sets.items()}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, hot=2).collect()} == want
     assert ngram_join.ngram_components(empty).count() == 0
 
 
@@ -157,8 +158,9 @@ def test_ngram_join_near_the_limit(spark):
                 texts[k] = " ".join(words + [f"t{x}" for x in rng.integers(0, 10**6, int(rng.integers(0, n // 3 + 2)))])
             k += 1
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs).collect()}
-    assert got == linked(jaccard_sets(texts))
+    want = linked(jaccard_sets(texts))
+    for hot in (ngram_join.HOT, 2):
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, hot=hot).collect()} == want
 
 
 def test_partenum_shares_a_signature():
