@@ -33,7 +33,7 @@ MAGIC, HEADER = b"CWR1", struct.Struct("<4sIIQQI")
 _LOW, _BASE = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _M, _ROOM, _HALF, _MASK = np.uint64(SCALE), np.uint64(64 - SCALE), np.uint64(32), np.uint64((1 << SCALE) - 1)
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 
 
 def frequencies(counts: dict[int, int], vocab: int) -> np.ndarray:
@@ -131,6 +131,7 @@ class _Words(dict):
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         special = sorted((t.content, i) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not t.normalized)
         self.mark = special[0] if special else None
+        self.cased = self.model.encode("A b", add_special_tokens=False).ids != self.model.encode("a b", add_special_tokens=False).ids or any("<|" not in c for c, _ in special)
 
     def learn(self, words: set[bytes]) -> None:
         """Encode new words, many in one text, parted by a special token that the tokenizer takes out first."""
@@ -147,7 +148,8 @@ class _Words(dict):
             self[w] = np.array(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        words = [(t or b"").split() for t in texts]
+        # The tokenizer lowers all letters itself; only its special tokens are told apart by case, and all of them hold "<|".
+        words = [(t if self.cased or b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
         if len(self) > CACHE_WORDS:
             self.clear()
         if new := {w for ws in words for w in ws}.difference(self):
