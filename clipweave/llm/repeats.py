@@ -3,9 +3,11 @@
 A window is ``width`` consecutive units (words or bytes) of one document. Its anchor is the leftmost least of the hashes of its runs of
 ``gram`` units, so equal windows have equal anchors at equal places. Consecutive windows of one anchor form a run.
 
-1. Anchors are counted in groups by hash; those that only one document has can hold no repeat. Anchors are packed as 32-bit numbers.
+0. Of documents with equal texts the one of the smallest id stands for all; the others go whole, if they have a window.
+1. Anchors are counted in groups by hash; those that only one text has can hold no repeat. Anchors are packed as 32-bit numbers.
 2. Of the others, each run travels as one segment (its windows' units, its document and place) to its anchor's group. There a structure over
-   the distinct segments - the part that the two operators do their own way - tells for each window the smallest document that has it.
+   the distinct segments - the part that the two operators do their own way - tells for each window the smallest document that has it. Windows
+   of different anchors are different, so that an anchor with one distinct segment needs no structure.
 3. Each document's windows that start in a smaller one meet its text, and the units that they cover go.
 
 The text is shuffled once: both joins with it use one exchange.
@@ -113,7 +115,7 @@ def _by_group(it: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, group, keys) of the anchors that more than one document has."""
+    """(text hash, keys) of the anchors that more than one text has."""
 
     def done(g, held):
         docs = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in held])
@@ -128,7 +130,7 @@ def _shared_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(docs, kind="stable")
         keys, docs = keys[order], docs[order]
         parts = list(_split(docs))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in parts], pa.int64()), pa.array([(np.uint64(g) << np.uint64(32) | keys[s].astype(np.uint64)).tobytes() for _, s in parts], pa.binary())], names=["doc_id", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in parts], pa.int64()), pa.array([(np.uint64(g) << np.uint64(32) | keys[s].astype(np.uint64)).tobytes() for _, s in parts], pa.binary())], names=["hash", "keys"])
 
     yield from _by_group(it, done)
 
@@ -153,7 +155,8 @@ def _segments(kind: Units, groups: int, anchor_groups: int):
                 order = np.argsort(group, kind="stable")
                 row, at, many, group = row[order], at[order], many[order], group[order]
                 size = many + kind.width - 1
-                out = {"g": [], "docs": [], "hashes": [], "starts": [], "windows": [], "units": []}
+                anchor = anchor[order]
+                out = {"g": [], "docs": [], "hashes": [], "starts": [], "windows": [], "anchors": [], "units": []}
                 for g, s in _split(group):
                     n = size[s]
                     flat = np.repeat(at[s] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -162,6 +165,7 @@ def _segments(kind: Units, groups: int, anchor_groups: int):
                     out["hashes"].append(hashes[row[s]].tobytes())
                     out["starts"].append((at[s] - before[row[s]]).astype(np.int64).tobytes())
                     out["windows"].append(many[s].astype(np.uint16).tobytes())
+                    out["anchors"].append(anchor[s].astype(np.uint32).tobytes())
                     out["units"].append(units[flat].astype(kind.dtype).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
@@ -189,9 +193,17 @@ def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.
         smallest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(smallest, seg, docs)
         distinct = [np.frombuffer(x, kind.dtype) for x in ids]
-        where = least(distinct, smallest, kind.width)
         per = np.array([len(x) - kind.width + 1 for x in distinct], np.int64)
         base = np.cumsum(per) - per
+        where = np.repeat(smallest, per)
+        of = np.zeros(len(ids), np.uint32)
+        of[seg] = np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in held])
+        _, inverse, times = np.unique(of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(times[inverse] > 1)
+        if len(several):
+            n = per[several]
+            at = np.repeat(base[several] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            where[at] = least([distinct[k] for k in several.tolist()], smallest[several], kind.width)
         flat = np.repeat(base[seg] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
         place = np.repeat(starts - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
         occurrence = np.repeat(np.arange(len(docs)), windows)
@@ -219,10 +231,10 @@ def _cleaned(kind: Units, text_column: bool):
                 _, before = kind.read(data, ends)
                 data = data.tobytes()
                 out = {"n": [], "gone": [], "spans": [], "sha": [], "text": []}
-                for k, lists in enumerate(part.column(2).to_pylist()):
+                for k, (lists, copy) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     text, n = data[ends[k] : ends[k + 1]], int(before[k + 1] - before[k])
-                    gone = np.zeros(n, bool)
-                    if lists:
+                    gone = np.full(n, bool(copy) and n >= kind.width)
+                    if lists and not copy:
                         pairs = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
                         cover = np.zeros(n + 1, np.int64)
                         np.add.at(cover, pairs[:, 0], 1)
@@ -246,16 +258,25 @@ def _cleaned(kind: Units, text_column: bool):
 
 def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept (UTF-8) of every document."""
-    spark, docs = docs.sparkSession, long_doc(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    spark, docs = docs.sparkSession, long_doc(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.xxhash64("text"))
     volume = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1 if kind.dtype == "u1" else 6)
     anchor_groups, groups = partitions(spark, volume / 16, GROUP_ANCHORS), partitions(spark, volume, GROUP_UNITS)
-    packed = docs.mapInArrow(_anchors(kind, anchor_groups), "g int, docs binary, counts binary, keys binary")
-    shared = cut(packed.repartition(anchor_groups, "g").sortWithinPartitions("g").mapInArrow(_shared_anchors, "doc_id long, keys binary"), f"{name}-anchors")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # no more of them than the text has windows
+
+    # One document for each text; texts are told apart by 96 bits and their length.
+    same = ("hash", "_h2", "_n")
+    slim = cut(docs.select("doc_id", "hash", F.hash("text").alias("_h2"), F.octet_length("text").alias("_n")), f"{name}-texts")
+    reps = slim.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    copies = slim.join(reps, list(same)).where("doc_id > rep").select("doc_id", "hash", F.lit(True).alias("copy")).distinct()
+
+    packed = docs.select("hash", "text").mapInArrow(_anchors(kind, anchor_groups), "g int, docs binary, counts binary, keys binary")
+    shared = cut(packed.repartition(anchor_groups, "g").sortWithinPartitions("g").mapInArrow(_shared_anchors, "hash long, keys binary"), f"{name}-anchors")
+    wanted = shared.groupBy("hash").agg(F.collect_list("keys").alias("keys"))  # no more of them than the text has windows
+    wanted = wanted.join(reps, "hash").select(F.col("rep").alias("doc_id"), "hash", "keys")
     n = partitions(spark, volume, 64 << 20)
-    dealt = docs.withColumn("hash", F.xxhash64("text")).repartition(n, "doc_id")
-    both = dealt.join(wanted, "doc_id").select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups), "g int, docs binary, hashes binary, starts binary, windows binary, units binary")
+    dealt = docs.repartition(n, "doc_id")
+    both = dealt.join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups), "g int, docs binary, hashes binary, starts binary, windows binary, anchors binary, units binary")
     gone = both.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_found(kind, least), "doc_id long, hash long, runs binary")
     gone = gone.groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("runs"))
     last = ", kept binary" if kept else ""
-    return dealt.join(gone, ["doc_id", "hash"], "left").select("doc_id", "text", "runs").mapInArrow(_cleaned(kind, kept), f"doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string{last}")
+    final = dealt.join(gone, ["doc_id", "hash"], "left").join(copies, ["doc_id", "hash"], "left").select("doc_id", "text", "runs", "copy")
+    return final.mapInArrow(_cleaned(kind, kept), f"doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string{last}")
