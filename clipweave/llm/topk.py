@@ -41,11 +41,16 @@ def statistics(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _is_exact(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether doubles hold all the products' sums exactly."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < _SAFE
+
+
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products row by row, as int64; those beyond 2**52 in Python's integers, held to the range of a long."""
     if not len(q):
         return np.zeros(0, np.int64)
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < _SAFE:
+    if _is_exact(q, c):
         return np.einsum("ij,ij->i", q, c).astype(np.int64)
     return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(q, c, strict=True)], np.int64)
 
@@ -61,21 +66,38 @@ def best(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
         bound = of_q[0] @ of_c[0].T
         own = names[:, None] == ids[None, :]
         bound[own] = -np.inf
-        # Where to start: exact scores of the candidates that look best at the coarsest level.
-        first = min(2 * k, len(ids))
-        head = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        who = np.repeat(np.arange(len(some)), first)
-        exact = _products(some[who], c[head.ravel()]).reshape(len(some), first).astype(np.float64)
-        exact[np.take_along_axis(own, head, 1)] = -np.inf
-        least = np.sort(exact, axis=1)[:, -k] if first >= k else np.full(len(some), -np.inf)
         slack = 1e-9 * np.abs(bound, where=np.isfinite(bound), out=np.zeros_like(bound)).max(initial=1.0) + 1e-6
-        row, col = np.nonzero((bound >= least[:, None] - slack) & ~own)
-        for a, b in zip(of_q[1:], of_c[1:], strict=True):
-            keep = np.zeros(len(row), bool)
-            for s in range(0, len(row), 1 << 18):
-                part = slice(s, s + (1 << 18))
-                keep[part] = np.einsum("ij,ij->i", a[row[part]], b[col[part]]) >= least[row[part]] - slack
-            row, col = row[keep], col[keep]
+        least = np.full(len(some), -np.inf)
+
+        def raised(bound):
+            """The k-th best exact score among the candidates that look best so far, where that is more than is known."""
+            first = min(2 * k, len(ids))
+            if first < k:
+                return least
+            head = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+            exact = _products(some[np.repeat(np.arange(len(some)), first)], c[head.ravel()]).reshape(len(some), first).astype(np.float64)
+            exact[~np.isfinite(np.take_along_axis(bound, head, 1))] = -np.inf
+            return np.maximum(least, np.sort(exact, axis=1)[:, -k])
+
+        least = raised(bound)
+        keep = bound >= least[:, None] - slack
+        for level, (a, b) in enumerate(zip(of_q[1:], of_c[1:], strict=True)):
+            if keep.mean() > 0.02:  # most are left: one product of matrices
+                bound = np.where(keep, a @ b.T, -np.inf)
+                if level == 1:
+                    least = raised(bound)
+                keep &= bound >= least[:, None] - slack
+            else:
+                row, col = np.nonzero(keep)
+                for s in range(0, len(row), 1 << 18):
+                    r_, c_ = row[s : s + (1 << 18)], col[s : s + (1 << 18)]
+                    keep[r_, c_] = np.einsum("ij,ij->i", a[r_], b[c_]) >= least[r_] - slack
+        keep &= ~own
+        if keep.mean() > 0.05 and _is_exact(some, c):  # one product of matrices, of which the survivors' entries count
+            exact = np.where(keep, some @ c.T, -np.inf)
+            if len(ids) > k:
+                keep &= exact >= -np.partition(-exact, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(keep)
         score = np.concatenate([_products(some[row[s : s + (1 << 17)]], c[col[s : s + (1 << 17)]]) for s in range(0, max(1, len(row)), 1 << 17)])
         order = np.lexsort((col, -score.astype(object) if len(score) and score.min() == -(1 << 63) else -score, row))
         row, col, score = row[order], col[order], score[order]
