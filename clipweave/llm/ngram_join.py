@@ -66,8 +66,8 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: A signature of so many elements or fewer is weak.
 WEAK = 1
-#: Members above which a bucket is dealt out again by the signatures of the second partition.
-HOT = 64
+#: Members above which a bucket is dealt out again by the signatures of the second partition; up to so many are paired inside a task.
+HOT = 4096
 
 
 def _spare(parts: np.ndarray) -> np.ndarray:
@@ -265,14 +265,18 @@ def _search(percent: int, hot: int):
 
 
 def _cross(percent: int):
-    """Pairs (a, b) of nodes of one bucket in different components, with sizes near enough; rows (bucket, node, component, n) come sorted by bucket."""
+    """Pairs (a, b) of nodes of one bucket in different components whose sizes and parities allow the similarity; rows (bucket, node, component, n, parity) come sorted by bucket."""
 
-    def of(node, component, n):
+    def of(node, component, n, bits):
         for at in range(0, len(node), 256):  # in blocks, as a bucket dealt again may still be large
             part = slice(at, at + 256)
             near = (component[part, None] != component) & (node[part, None] < node) & (100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n))
             i, j = np.nonzero(near)
-            yield node[part][i], node[j]
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
+                apart = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                ok = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+                yield node[x[ok]], node[y[ok]]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, count = None, [], 0
@@ -282,13 +286,15 @@ def _cross(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
         for batch in [*it, None]:
-            rows = [np.asarray(batch.column(k), np.int64) for k in range(4)] if batch is not None else [np.zeros(0, np.int64)] * 4
-            rows = [np.r_[x, y] for x, y in zip(held, rows, strict=True)] if held else rows
+            rows = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, 16), np.int64)]
+            if batch is not None:
+                rows = [*(np.asarray(batch.column(k), np.int64) for k in range(4)), np.asarray(batch.column(4).flatten(), np.int64).reshape(-1, 16)]
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)] if held else rows
             start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(rows[0]) else np.zeros(0, np.int64)
             ends = np.r_[start[1:], len(rows[0])][: len(start)]
             whole = len(start) - (batch is not None)  # the last bucket may go on in the next batch
             for a, b in zip(start[: max(0, whole)], ends, strict=False):
-                for x in of(rows[1][a:b], rows[2][a:b], rows[3][a:b]):
+                for x in of(*(r[a:b] for r in rows[1:])):
                     found.append(x)
                     count += len(x[0])
                 if count > 1 << 20:
@@ -364,10 +370,10 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot:
     labels = components(edges, "a", "b", "ngram-components")
 
     def open_buckets(members: DataFrame) -> DataFrame:
-        """(bucket, node, component, n) of buckets whose members are in more than one component."""
+        """(bucket, node, component, n, parity) of buckets whose members are in more than one component."""
         named = members.select("bucket", "node").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        return named.join(split, "bucket", "left_semi").join(reps.select("node", "n"), "node").select("bucket", "node", "component", "n")
+        return named.join(split, "bucket", "left_semi").join(reps.select("node", "n", "parity"), "node").select("bucket", "node", "component", "n", "parity")
 
     more, wide = first.limit(0), found.where("bucket <> 0 and not hot")
     large = cut(open_buckets(found.where("hot")).groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "ngram-large")  # no more of them than a text has signatures
