@@ -105,6 +105,6 @@ def stream_incremental_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Daily counts from event-time windows with a watermark, written by upsert of each micro-batch's changed windows."""
+    """Daily counts of the full history from event-time windows without a watermark, written by upsert of each micro-batch's changed windows."""
     out = jobs.run_upserts(jobs.daily_counts(jobs.read_stream(spark, d, "events")), ["day"], "daily")
     return out.select(F.col("day").cast("string").alias("day"), "n")

@@ -1,5 +1,9 @@
 """Every query of the library against its SQL twin, and those without one against what they must keep."""
 
+import os
+
+import numpy as np
+import pandas as pd
 import pytest
 
 from clipweave.plans.catalog import QUERIES, SQL
@@ -24,3 +28,15 @@ def test_unmatched_and_merge(spark):
     assert QUERIES["unmatched_both_sides"](spark, SF).count() > 0
     merged = QUERIES["semantic_adjacent_merge"](spark, SF).toPandas()
     assert (merged.e > merged.s).all() and merged.n.sum() > 0
+
+
+def test_windowed_counts_of_many_unordered_files(spark, duck, tmp_path):
+    """More files than a micro-batch takes, with the newest days in the first ones: no row may count as late."""
+    ev = duck.execute("select * from events").df().sample(frac=1, random_state=1)
+    ev = pd.concat([ev.nlargest(len(ev) // 4, "ts"), ev]).drop_duplicates("event_id")
+    (tmp_path / "events.parquet").mkdir()
+    for i, at in enumerate(np.array_split(np.arange(len(ev)), 40)):
+        ev.iloc[at].to_parquet(tmp_path / "events.parquet" / f"{i:02d}.parquet", index=False, coerce_timestamps="us")
+        os.utime(tmp_path / "events.parquet" / f"{i:02d}.parquet", (1.7e9 + i, 1.7e9 + i))
+    got = QUERIES["stream_windowed_counts"](spark, str(tmp_path)).toPandas()
+    assert plain(got) == plain(duck.execute(SQL["stream_windowed_counts"]).df())
