@@ -147,9 +147,15 @@ class _Words(dict):
         for w in alone:
             self[w] = np.array(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words of a text, those of ASCII alone in lower case. The tokenizer composes marks before it lowers letters, so others keep theirs;
+        its special tokens are told apart by case, and all of them hold "<|"."""
+        if self.cased or b"<|" in text:
+            return text.split()
+        return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
+
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        # The tokenizer lowers all letters itself; only its special tokens are told apart by case, and all of them hold "<|".
-        words = [(t if self.cased or b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
+        words = [self._split(t or b"") for t in texts]
         if len(self) > CACHE_WORDS:
             self.clear()
         if new := {w for ws in words for w in ws}.difference(self):

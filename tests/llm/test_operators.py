@@ -350,6 +350,18 @@ def test_rans_round_trip(spark, docs, texts, empty, tmp_path):
     assert rans.token_output(empty, BPE).count() == 0
 
 
+def test_rans_marks_compose_before_lower_case():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    texts = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "One J\u030c TWO", "ONE Two", "H\u0331 <|X", "\u00c9A E\u0301a"]
+    want = [[*model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    words = rans.words(BPE)
+    for batch in ([[t] for t in texts], [texts]):  # alone and with a filled cache
+        got = [np.frombuffer(x, words.dtype).tolist() for part in batch for x in words.encode([t.encode() for t in part], 1)]
+        assert got == want
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(8)
     tokens = rng.zipf(1.3, 60_000) % 400
