@@ -64,12 +64,17 @@ _AFF = "(values " + ", ".join(f"('{a}', '{b}', {v}), ('{b}', '{a}', {v})" for (a
 ) select t.key, count(*) as n_relations, count(*) filter (where rr = gr) as n_equal, round(avg(case when rr = gr then 1.0 else coalesce(aff.v, 0.0) end) * 100, 4) as erel
 from two t left join {_AFF} on t.rr = aff.a and t.gr = aff.b group by t.key""")
 def allen_affinity_score(spark: SparkSession, d: str) -> DataFrame:
+    return _relations(spark, d).select("key", "n_relations", "n_equal", r4(F.col("erel"), "erel"))
+
+
+def _relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relation score of every key with two or more matches, not rounded."""
     m = _zipped(spark, d)
     other = m.select("key", *(F.col(c).alias(f"{c}2") for c in ("rn", "r_s", "r_e", "g_s", "g_e")))
     two = m.join(other, "key").where("rn < rn2")
     rr, gr = (iv.allen(F.col(f"{c}_s"), F.col(f"{c}_e"), F.col(f"{c}_s2"), F.col(f"{c}_e2")) for c in "rg")
     two = two.withColumns({"rr": rr, "gr": gr})
-    return two.groupBy("key").agg(F.count("*").alias("n_relations"), F.count_if(F.col("rr") == F.col("gr")).alias("n_equal"), r4(F.avg(iv.affinity(F.col("rr"), F.col("gr"))) * 100, "erel"))
+    return two.groupBy("key").agg(F.count("*").alias("n_relations"), F.count_if(F.col("rr") == F.col("gr")).alias("n_equal"), (F.avg(iv.affinity(F.col("rr"), F.col("gr"))) * 100).alias("erel"))
 
 
 @query(f"{ZIP} select key, count(*) as n, round(100 * sum(sqrt(re - rs) * (rval / (rval + gval))) / sum(sqrt(re - rs)), 4) as ega from matched where re > rs group by key")
@@ -103,14 +108,35 @@ select p.key, n is not null and n > 1 as erel_valid,
             else 0.2 * coalesce(ega, 0) + 0.8 * case when cov + prec > 0 then 200 * cov * prec / (cov + prec) else 0 end end, 4) as s_event
 from p left join g using (key)""")
 def s_event_reweighted(spark: SparkSession, d: str) -> DataFrame:
-    """Weights .2/.2/.6, and .2/.8 without a relation score; 50 stands in for it."""
-    w, q = F.sqrt(F.col("r_e") - F.col("r_s")), F.col("r_value") / (F.col("r_value") + F.col("g_value"))
-    ega = _zipped(spark, d).where("r_e > r_s").groupBy("key").agg((100 * F.sum(w * q) / F.sum(w)).alias("ega"), F.count("*").alias("n"))
-    both = _ecr(spark, d).join(ega, "key", "left").withColumn("erel_valid", F.coalesce(F.col("n") > 1, F.lit(False)))
+    """Weights .2/.2/.6, and .2/.8 without a relation score; 50 stands in for it. ``s_event_end_to_end`` has the true one."""
+    both = _ega_ecr(spark, d).withColumn("erel_valid", F.coalesce(F.col("n") > 1, F.lit(False)))
     e = F.coalesce("ega", F.lit(0.0))
     return both.select("key", "erel_valid", r4(F.when(F.col("erel_valid"), 0.2 * e + 0.2 * 50 + 0.6 * F.col("f1")).otherwise(0.2 * e + 0.8 * F.col("f1")), "s_event"))
 
 
+def _ega_ecr(spark: SparkSession, d: str) -> DataFrame:
+    w, q = F.sqrt(F.col("r_e") - F.col("r_s")), F.col("r_value") / (F.col("r_value") + F.col("g_value"))
+    ega = _zipped(spark, d).where("r_e > r_s").groupBy("key").agg((100 * F.sum(w * q) / F.sum(w)).alias("ega"), F.count("*").alias("n"))
+    return _ecr(spark, d).join(ega, "key", "left")
+
+
+@query(_ECR + f""", g as (select key, 100 * sum(sqrt(re - rs) * (rval / (rval + gval))) / sum(sqrt(re - rs)) as ega from matched where re > rs group by key
+), two as (
+  select x.key, {ALLEN.format(a="x.r", b="y.r")} as rr, {ALLEN.format(a="x.g", b="y.g")} as gr from matched x join matched y on x.key = y.key and x.rn < y.rn
+), rel as (
+  select t.key, avg(case when rr = gr then 1.0 else coalesce(aff.v, 0.0) end) * 100 as erel from two t left join {_AFF} on t.rr = aff.a and t.gr = aff.b group by t.key
+), f as (select *, case when cov + prec > 0 then 200 * cov * prec / (cov + prec) else 0 end as f1 from p)
+select f.key, erel is not null as erel_valid, round(erel, 4) as erel,
+ round(case when erel is not null then 0.2 * coalesce(ega, 0) + 0.2 * erel + 0.6 * f1 else 0.2 * coalesce(ega, 0) + 0.8 * f1 end, 4) as s_event
+from f left join g using (key) left join rel using (key)""")
+def s_event_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Weights .2/.2/.6 with the relation score of the key's matches, valid from two matches on; .2/.8 without it."""
+    all_ = _ega_ecr(spark, d).join(_relations(spark, d).select("key", "erel"), "key", "left")
+    e, f1 = F.coalesce("ega", F.lit(0.0)), F.col("f1")
+    total = F.when(F.col("erel").isNotNull(), 0.2 * e + 0.2 * F.col("erel") + 0.6 * f1).otherwise(0.2 * e + 0.8 * f1)
+    return all_.select("key", F.col("erel").isNotNull().alias("erel_valid"), r4(F.col("erel"), "erel"), r4(total, "s_event"))
+
+
 @query(", d as (select a.key, a.id, b.id as id_r, least(a.e, b.e) - greatest(a.s, b.s) as overlap from iv a join iv b on a.key = b.key and a.lane = 0 and b.lane = 1 and a.s < b.e and b.s < a.e) select key, id, id_r, round(overlap, 4) as overlap from d")
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     x = intervals(spark, d).select("key", "id", "lane", "s", "e")

@@ -40,3 +40,12 @@ def test_windowed_counts_of_many_unordered_files(spark, duck, tmp_path):
         os.utime(tmp_path / "events.parquet" / f"{i:02d}.parquet", (1.7e9 + i, 1.7e9 + i))
     got = QUERIES["stream_windowed_counts"](spark, str(tmp_path)).toPandas()
     assert plain(got) == plain(duck.execute(SQL["stream_windowed_counts"]).df())
+
+
+def test_event_total_has_the_relation_score(spark):
+    part = lambda name, c: QUERIES[name](spark, SF).toPandas().set_index("key")[c]
+    got = QUERIES["s_event_end_to_end"](spark, SF).toPandas().set_index("key")
+    ega, erel, ecr = (part(n, c).reindex(got.index) for n, c in (("ega_weighted_mean", "ega"), ("allen_affinity_score", "erel"), ("ecr_f1", "ecr")))
+    want = 0.2 * ega.fillna(0) + np.where(erel.notna(), 0.2 * erel.fillna(0) + 0.6 * ecr, 0.8 * ecr)
+    assert (got.erel_valid == erel.notna()).all() and got.erel_valid.any() and not got.erel_valid.all()
+    assert erel.nunique() > 2 and np.abs(got.s_event - want).max() < 2e-4
