@@ -113,6 +113,19 @@ def test_structures_small_groups(monkeypatch):
     structures(suffix_tree, lambda x: x.astype(np.uint64), rng)
 
 
+def test_bwt_merge_of_many_shards(monkeypatch):
+    """More shards than eight bits can number."""
+    monkeypatch.setattr(bwt_merge, "SHARD", 20)
+    rng = np.random.default_rng(5)
+    segs = [np.frombuffer(x, np.uint8) for x in sorted({rng.integers(97, 100, 12).astype(np.uint8).tobytes() for _ in range(700)})]
+    small = rng.integers(0, 1000, len(segs)).astype(np.int64)
+    windows, least = [s[k : k + 6].tobytes() for s in segs for k in range(7)], {}
+    for w, m in zip(windows, np.repeat(small, 7)):
+        least[w] = min(least.get(w, 1000), m)
+    assert len(segs) > 300
+    assert bwt_merge.least_documents(segs, small, 6).tolist() == [least[w] for w in windows]
+
+
 def jaccard_sets(texts):
     out = {}
     for d, t in texts.items():
