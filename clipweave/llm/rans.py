@@ -14,15 +14,18 @@ little-endian unsigned 32-bit), the lanes' first states, for each checkpoint the
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, long_doc, partitions, slices, table_path, utf8
@@ -118,50 +121,58 @@ class Coder:
         return out
 
 
+#: Printable ASCII and the letters of Latin-1: what is normalised and parted below as the tokenizer does it.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The tokenizer's own steps for which that holds (fixed values).
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class _Words(dict):
-    """Ids of words by the tokenizers library, as little-endian bytes. Words are parted at ASCII spaces, which the tokenizer drops."""
+    """Ids of words by the tokenizers library, as little-endian bytes. Words are parted at ASCII spaces, which the tokenizer drops.
+
+    A word is encoded when it is first met. One of plain letters goes in pieces to the library's model; any other one, with
+    special tokens, marks or other scripts, through the library's whole pipeline.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         super().__init__()
-        self.model = Tokenizer.from_file(path)
-        self.size = self.model.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        special = sorted((t.content, i) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not t.normalized)
-        self.mark = special[0] if special else None
-        self.cased = self.model.encode("A b", add_special_tokens=False).ids != self.model.encode("a b", add_special_tokens=False).ids or any("<|" not in c for c, _ in special)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode new words, many in one text, parted by a special token that the tokenizer takes out first."""
-        alone = [w for w in words if self.mark is None or self.mark[0].encode() in w]
-        rest = sorted(words.difference(alone))
-        texts = [self.mark[0].join(w.decode("utf-8", "replace") for w in rest[at : at + 64]) for at in range(0, len(rest), 64)] if rest else []
-        for at in range(0, len(texts), 256):
-            for k, e in enumerate(self.model.encode_batch_fast(texts[at : at + 256], add_special_tokens=False), at):
-                ids = np.array(e.ids, self.dtype)
-                ends = np.flatnonzero(ids == self.mark[1]).tolist()
-                for w, a, b in zip(rest[64 * k : 64 * k + 64], [0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True):
-                    self[w] = ids[a:b].tobytes()
-        for w in alone:
-            self[w] = np.array(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _split(self, text: bytes) -> list[bytes]:
-        """Words of a text, those of ASCII alone in lower case. The tokenizer composes marks before it lowers letters, so others keep theirs;
-        its special tokens are told apart by case, and all of them hold "<|"."""
-        if self.cased or b"<|" in text:
-            return text.split()
-        return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        steps = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+        parts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_pieces = normal == _NORMAL and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _PATTERN}
+        self.tokens = self.tokenizer.model.tokenize
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.by_pieces and _PLAIN.fullmatch(text) and not self.special(text):
+            pieces = _PIECES.findall(text.lower())
+            if not word.isascii():
+                pieces = [p.translate(self.letters) for p in pieces]
+            ids = [t.id for p in pieces for t in self.tokens(p)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self[word] = out = array(self.code, ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        words = [self._split(t or b"") for t in texts]
         if len(self) > CACHE_WORDS:
             self.clear()
-        if new := {w for ws in words for w in ws}.difference(self):
-            self.learn(new)
-        tail = np.array([end], self.dtype).tobytes()
-        return [b"".join(map(self.__getitem__, ws)) + tail for ws in words]
+        tail = array(self.code, [end]).tobytes()
+        return [b"".join(map(self.__getitem__, (t or b"").split())) + tail for t in texts]
 
 
 _LOADED: dict[str, _Words] = {}
@@ -224,13 +235,21 @@ _BLOCK = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("start", pa.int
 _BLOCK_DDL = "shard int, seq int, start long, n_tokens long, doc_ids binary, lengths binary, payload binary"
 
 
+def _starts(blocks: DataFrame) -> DataFrame:
+    """(shard, shard_start) from the blocks' token counts: sums before each thousand of shards, then within it."""
+    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("far", F.expr("shard div 1000"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    far = sizes.groupBy("far").agg(F.sum("n").alias("n")).select("far", before(Window.orderBy("far")).alias("base"))  # a row per thousand shards
+    near = sizes.join(far, "far").withColumn("own", before(Window.partitionBy("far").orderBy("shard")))
+    return near.select("shard", (F.col("base") + F.col("own")).alias("shard_start"))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end: int = 1, lanes: int = LANES, block_tokens: int = BLOCK_TOKENS) -> str:
     """Encode every whole text, append ``end`` and write the format to the folder ``path``; returns ``path``.
 
     A null or empty text has the end id alone. Rows without an id are left out; rows that repeat an id are kept beside each other.
     Other columns are not looked at. Documents are never split between blocks, so the longest one bounds a block.
-    The frequency table has a row per symbol that occurs, at most the vocabulary's size, and is the only thing sent to the driver
-    beside a token count per shard.
+    The frequency table has a row per symbol that occurs, at most the vocabulary's size, and is the only thing sent to the driver.
     """
     spark, model = docs.sparkSession, words(tokenizer)
     dtype, vocab = model.dtype.str, max(model.size, end + 1)
@@ -242,12 +261,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end: int = 1, la
     n = partitions(spark, sum(counts.values()), 16 << 20)
     blocks = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(dtype, freq, lanes, block_tokens), _BLOCK_DDL)
     blocks.write.parquet(f"{path}/blocks")
-    sizes = sorted(spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    starts, total = [], 0
-    for shard, size in sizes:
-        starts.append((shard, total))
-        total += size
-    spark.createDataFrame(starts, "shard int, shard_start long").coalesce(1).write.parquet(f"{path}/shards")
+    _starts(spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")).write.parquet(f"{path}/shards")
     return path
 
 
@@ -271,9 +285,8 @@ def read_tokens(spark: SparkSession, path: str, *, digest: bool = False) -> Data
     freq = np.zeros(max((r["symbol"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         freq[r["symbol"]] = r["freq"]
-    # A row per shard: as many as the writer had partitions.
-    shards = spark.read.schema("shard int, shard_start long").parquet(f"{path}/shards")
-    blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks").join(F.broadcast(shards), "shard")
+    shards = spark.read.schema("shard int, shard_start long").parquet(f"{path}/shards")  # joined by its size, as Spark sees fit
+    blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks").join(shards, "shard")
     last = "ids_crc32 long" if digest else "ids array<long>"
     return blocks.select("start", "shard_start", "doc_ids", "lengths", "payload").mapInArrow(_read(freq, digest), f"doc_id long, start long, n_tokens long, {last}")
 

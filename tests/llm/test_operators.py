@@ -375,6 +375,27 @@ def test_rans_marks_compose_before_lower_case():
         assert got == want
 
 
+def test_rans_digest_is_the_tokenizers(spark, texts):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    odd = ["don't I'LL x's ''s ''ll't", "\u00c0\u00c9\u00ce\u00ff\u00df \u00f7\u00d7\u00b5\u00aa\u00ba", "\u03a3\u0391\u03a3 \u0130I \ufb01", "<|endoftext|>a x<|endoftext|>Y <|EndOfText|>", "a\u00a0b\u3000c \uff11\u00bd", "\x1c\x1da\x85b", "123abc4.5,,;\u00e91\u00e9", "na\u00efve! \u00c9!\u00c9? \u0152", "z" * 20_000, "q1 " * 9_000]
+    rows = dict(enumerate([*texts.values(), *odd]))
+    want, start = {}, 0
+    for d, t in rows.items():
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = rans.token_output(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5), BPE)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()} == want
+
+
+def test_rans_shard_starts(spark):
+    sizes = {s: 1 + s * s % 7 for s in range(2500)}
+    got = {r["shard"]: r["shard_start"] for r in rans._starts(spark.createDataFrame([(s, n) for s, n in sizes.items()] * 2, "shard int, n_tokens long")).collect()}
+    assert got == {s: 2 * sum(sizes[k] for k in range(s)) for s in sizes}
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(8)
     tokens = rng.zipf(1.3, 60_000) % 400
