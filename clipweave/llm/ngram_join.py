@@ -12,6 +12,7 @@ Sets that share a signature are compared exactly.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SLICE_BYTES, cut, long_doc, mix, partitions, raw, slices, window_hash, word_hashes
+from .shared import SLICE_BYTES, by_key, cut, long_doc, mix, partitions, raw, slices, window_hash, word_hashes
 
 #: Signatures that one group of the candidate search holds in memory, on average.
 GROUP_SIGNATURES = 2_000_000
@@ -41,9 +42,11 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """63-bit name of a set, equal for equal sets; 0 for the empty one."""
-    return (xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) >> 1 or 1) if len(s) else 0
+def set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(63 bits, 64 bits) of each set; equal sets have equal ones. Candidates go by the first, sets are equal by both and their size."""
+    one = [xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) >> 1 or 1 if len(s) else 0 for s in sets]
+    two = [xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), seed=1) if len(s) else 0 for s in sets]
+    return np.array(one, np.int64), np.array(two, np.uint64).view(np.int64)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -66,8 +69,10 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: A signature of so many elements or fewer is weak.
 WEAK = 1
-#: Members above which a bucket is dealt out again by the signatures of the second partition; up to so many are paired inside a task.
-HOT = 4096
+#: Members of a bucket above which those of one slice of texts stand behind one of theirs, and above which a bucket is dealt out again, then into blocks.
+HEAVY, HOT = 64, 4096
+#: Rounds of forests, after which all pairs that are left are compared.
+ROUNDS = 6
 
 
 def _spare(parts: np.ndarray) -> np.ndarray:
@@ -156,29 +161,66 @@ def _profile(width: int):
         for batch in it:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "parity"])
+                bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+                columns = [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, set_ids(sets)), bits]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "parity"])
 
     return run
 
 
+_PACKED = "kind int, g int, nodes binary, sizes binary, counts binary, sigs binary"
+_FLAG = np.uint32(1 << 31)
+
+
+def _name(group: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A bucket's name from its group and the low 32 bits of its signature."""
+    return (mix(group.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
 def _rows(nodes: np.ndarray, sizes: np.ndarray, row: np.ndarray, sig: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Rows (group, nodes, their sizes, counts, low 32 bits of the signatures): a signature's group and low bits stand for it until sets are compared."""
+    """Rows (kind, group, nodes, their sizes, counts, low 32 bits of the signatures): a signature's group and low bits stand for it until sets are compared.
+
+    Of a signature that very many sets of this slice have, only the smallest node goes to the group, with a flag on its size; the
+    others are named at once, in a row of kind 0: (nodes, sizes, centres as counts, names as signatures). So no group
+    holds more of a bucket than a few rows of each slice.
+    """
+    out = {"kind": [], "g": [], "nodes": [], "sizes": [], "counts": [], "sigs": []}
     group = ((sig >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    sizes = sizes.astype(np.uint32)
+    flag = np.zeros(len(sig), np.uint32)
+    if len(sig):
+        key = np.sort(sig)
+        many = key[HEAVY - 1 :][key[HEAVY - 1 :] == key[: max(0, len(key) - HEAVY + 1)]]
+        heavy = np.flatnonzero(np.isin(sig, many)) if len(many) else np.zeros(0, np.int64)
+        if len(heavy):
+            heavy = heavy[np.lexsort((nodes[row[heavy]], sig[heavy]))]
+            first = np.flatnonzero(np.r_[True, sig[heavy][1:] != sig[heavy][:-1]])
+            head = np.repeat(heavy[first], np.diff(np.r_[first, len(heavy)]))
+            out["kind"].append(0)
+            out["g"].append(int(group[heavy[0]]))
+            out["nodes"].append(nodes[row[heavy]].tobytes())
+            out["sizes"].append(np.stack([sizes[row[heavy]], sizes[row[head]]]).tobytes())
+            out["counts"].append(nodes[row[head]].tobytes())
+            out["sigs"].append(_name(group[heavy], sig[heavy].astype(np.uint32)).tobytes())
+            flag[heavy[first]] = _FLAG
+            stay = np.ones(len(sig), bool)
+            stay[np.setdiff1d(heavy, heavy[first])] = False
+            row, sig, group, flag = row[stay], sig[stay], group[stay], flag[stay]
     order = np.argsort(group * max(1, len(nodes)) + row)
-    group, row, low = group[order], row[order], sig[order].astype(np.uint32)
+    group, row, low, flag = group[order], row[order], sig[order].astype(np.uint32), flag[order]
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
-    out = {"g": [], "nodes": [], "sizes": [], "counts": [], "sigs": []}
     for a, b in zip(starts, np.r_[starts[1:], len(group)] if len(group) else [], strict=True):
-        ids, counts = np.unique(row[a:b], return_counts=True)
+        # A node with flagged signatures stands twice, once for those.
+        ids, at, counts = np.unique(row[a:b] * 2 + (flag[a:b] > 0), return_inverse=True, return_counts=True)
+        within = np.argsort(at, kind="stable")
+        out["kind"].append(1)
         out["g"].append(int(group[a]))
-        out["nodes"].append(nodes[ids].tobytes())
-        out["sizes"].append(sizes[ids].tobytes())
+        out["nodes"].append(nodes[ids // 2].tobytes())
+        out["sizes"].append((sizes[ids // 2] | np.where(ids % 2, _FLAG, 0).astype(np.uint32)).tobytes())
         out["counts"].append(counts.astype(np.uint32).tobytes())
-        out["sigs"].append(low[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
-
-
-_PACKED = "g int, nodes binary, sizes binary, counts binary, sigs binary"
+        out["sigs"].append(low[a:b][within].tobytes())
+    columns = [pa.array(out[c], pa.int32()) for c in ("kind", "g")] + [pa.array(out[c], pa.binary()) for c in list(out)[2:]]
+    return pa.RecordBatch.from_arrays(columns, names=list(out))
 
 
 def _packed(width: int, percent: int, groups: int):
@@ -186,9 +228,10 @@ def _packed(width: int, percent: int, groups: int):
         for batch in it:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), width)
-                nodes, once = np.unique(np.array([set_id(s) for s in sets], np.int64), return_index=True)
+                k1, k2 = set_ids(sets)
+                once = np.unique(np.stack([k1, k2]), axis=1, return_index=True)[1]
                 sets = [sets[i] for i in once]
-                yield _rows(nodes, np.array([len(s) for s in sets], np.uint32), *signatures(sets, percent), groups)
+                yield _rows(k1[once], np.array([len(s) for s in sets], np.uint32), *signatures(sets, percent), groups)
 
     return run
 
@@ -200,7 +243,7 @@ def _dealt_again(width: int, percent: int, groups: int):
         for batch in it:
             for part in slices(batch, 1, SLICE_BYTES // 8):
                 sets = shingle_sets(part.column(1), width)
-                nodes = np.array([set_id(s) for s in sets], np.int64)
+                nodes = set_ids(sets)[0]
                 fit = np.flatnonzero(nodes == np.asarray(part.column(3), np.int64))  # of rows that repeat an id, the one that is meant
                 fit = fit[np.unique(nodes[fit], return_index=True)[1]]
                 lists = [np.array(x, np.int64) for x in part.column(2).take(pa.array(fit)).to_pylist()]
@@ -216,94 +259,113 @@ def _dealt_again(width: int, percent: int, groups: int):
     return run
 
 
-def _buckets(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, node, name of the bucket's member set, its size) for nodes that share a signature with a smaller one; the name is 0 for buckets of two.
+def _buckets(group: int, nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, node, bucket's name) for nodes that share a signature with a smaller one; the name is 0 for buckets of two.
 
-    Each bucket of one member set comes once. Buckets of two whose sizes are too far apart are left out; in larger ones a node whose
-    size is too far from the centre's has itself as centre.
+    Buckets of the same members come once; they are named by them, and those that slices stand behind by their signature. Buckets of two
+    whose sizes are too far apart are left out; in larger ones a node whose size is too far from the centre's has itself as centre.
     """
+    flagged, sizes = sizes >= _FLAG, (sizes & ~_FLAG).astype(np.int64)
     order = np.lexsort((nodes, sigs))
-    sigs, nodes, sizes = sigs[order], nodes[order], sizes[order].astype(np.int64)
+    sigs, nodes, sizes, flagged = sigs[order], nodes[order], sizes[order], flagged[order]
     keep = np.r_[True, (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])]
+    start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, np.int64)
+    slices_behind = np.maximum.reduceat(flagged, start) if len(start) else np.zeros(0, bool)
     sigs, nodes, sizes = sigs[keep], nodes[keep], sizes[keep]
-    start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+    start = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else start
     size = np.diff(np.r_[start, len(sigs)])
     name = np.add.reduceat(mix(nodes), start) if len(start) else np.zeros(0, np.uint64)
-    big = np.flatnonzero(size > 1)
-    big = big[np.unique(name[big], return_index=True)[1]]
+    plain = np.flatnonzero((size > 1) & ~slices_behind)
+    big = np.r_[plain[np.unique(name[plain], return_index=True)[1]], np.flatnonzero(slices_behind)]
+    label = np.where(slices_behind[big], _name(np.full(len(big), group), sigs[start[big]]), np.where(size[big] > 2, (name[big] >> np.uint64(1)).astype(np.int64), 0))
     rep = size[big]
     at = np.arange(int(rep.sum())) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(start[big], rep)
-    first = np.repeat(start[big], rep)
-    label = np.repeat(np.where(rep > 2, (name[big] >> np.uint64(1)).astype(np.int64), 0), rep)
+    first, label = np.repeat(start[big], rep), np.repeat(label, rep)
     near = 100 * np.minimum(sizes[at], sizes[first]) >= percent * np.maximum(sizes[at], sizes[first])
     live = near | (label != 0)
-    return np.where(near, nodes[first], nodes[at])[live], nodes[at][live], label[live], np.repeat(rep, rep)[live]
+    return np.where(near, nodes[first], nodes[at])[live], nodes[at][live], label[live]
+
 
+def _search(percent: int):
+    def told(centre, node, label):
+        wide, apart = label != 0, centre != node
+        pair = np.unique(np.stack([centre, node])[:, apart], axis=1) if apart.any() else np.zeros((2, 0), np.int64)
+        rows = np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], np.zeros(int(wide.sum()), np.int64)], np.r_[pair[1], node[wide]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["bucket", "centre", "node"])
 
-def _search(percent: int, hot: int):
-    def done(held):
+    def done(group, held):
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in held])
         nodes, sizes = (np.repeat(np.concatenate([np.frombuffer(r[c], t) for r in held]), counts) for c, t in (("nodes", np.int64), ("sizes", np.uint32)))
-        centre, node, label, many = _buckets(nodes, sizes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]), percent)
-        wide = label != 0
-        pair = np.unique(np.stack([centre, node])[:, centre != node], axis=1) if len(centre) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.r_[np.zeros(pair.shape[1], np.int64), label[wide]], np.r_[pair[0], np.zeros(int(wide.sum()), np.int64)], np.r_[pair[1], node[wide]], np.r_[np.zeros(pair.shape[1], bool), many[wide] > hot])], names=["bucket", "centre", "node", "hot"])
+        return told(*_buckets(group, nodes, sizes, np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in held]), percent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in it:
             for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    node, centre, label = (np.frombuffer(r[c], np.int64) for c in ("nodes", "counts", "sigs"))
+                    n, m = np.frombuffer(r["sizes"], np.uint32).astype(np.int64).reshape(2, -1)
+                    yield told(np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), centre, node), node, label)
+                    continue
                 if now is not None and r["g"] != now:
-                    yield done(held)
+                    yield done(now, held)
                     held = []
                 now = r["g"]
                 held.append(r)
         if held:
-            yield done(held)
+            yield done(now, held)
 
     return run
 
 
-def _cross(percent: int):
-    """Pairs (a, b) of nodes of one bucket in different components whose sizes and parities allow the similarity; rows (bucket, node, component, n, parity) come sorted by bucket."""
-
-    def of(node, component, n, bits):
-        for at in range(0, len(node), 256):  # in blocks, as a bucket dealt again may still be large
-            part = slice(at, at + 256)
-            near = (component[part, None] != component) & (node[part, None] < node) & (100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n))
-            i, j = np.nonzero(near)
-            for k in range(0, len(i), 1 << 16):
-                x, y = i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
-                apart = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                ok = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
-                yield node[x[ok]], node[y[ok]]
+def _forest(percent: int, every: bool):
+    """Pairs (a, b) that join the components of a bucket, or ``every`` pair, among nodes whose sizes and parities allow the similarity.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, count = None, [], 0
-
-        def flush():
-            pair = np.unique(np.concatenate([np.stack(x) for x in found], axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-        for batch in [*it, None]:
-            rows = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, 16), np.int64)]
-            if batch is not None:
-                rows = [*(np.asarray(batch.column(k), np.int64) for k in range(4)), np.asarray(batch.column(4).flatten(), np.int64).reshape(-1, 16)]
-            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)] if held else rows
-            start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]) if len(rows[0]) else np.zeros(0, np.int64)
-            ends = np.r_[start[1:], len(rows[0])][: len(start)]
-            whole = len(start) - (batch is not None)  # the last bucket may go on in the next batch
-            for a, b in zip(start[: max(0, whole)], ends, strict=False):
-                for x in of(*(r[a:b] for r in rows[1:])):
-                    found.append(x)
-                    count += len(x[0])
-                if count > 1 << 20:
-                    yield flush()
-                    found, count = [], 0
-            held = [x[start[whole] :] for x in rows] if batch is not None and len(start) else None
-        yield flush()
+    Rows (bucket, i, j, blocks, block, node, component, n, parity, other) come sorted by (bucket, i, j): the members of the blocks i and j of a bucket, and, with
+    ``other``, pairs (node, other) already found unlike, which are not asked for again. A pair is asked for only if no pairs before it would
+    join the two components, so that there are fewer pairs than members.
+    """
 
-    return run
+    def of(t: pa.RecordBatch):
+        other = t.column("other")
+        member = np.asarray(other.is_null())
+        node = np.asarray(t.column("node"), np.int64)
+        unlike: dict[int, set[int]] = {}
+        for x, y in zip(node[~member].tolist(), other.filter(pa.array(~member)).to_pylist(), strict=True):
+            unlike.setdefault(x, set()).add(y)
+        t = t.filter(pa.array(member)).take(pa.array(np.argsort(node[member], kind="stable")))
+        node, n, block = (np.asarray(t.column(c), np.int64) for c in ("node", "n", "block"))
+        bits = np.asarray(t.column("parity").flatten(), np.int64).reshape(-1, 16)
+        label = np.unique(np.asarray(t.column("component"), np.int64), return_inverse=True)[1]
+        across = len(t) and t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        a, b = [], []
+        for k in range(len(node) - 1):
+            if not every and (label == label[k]).all():
+                break
+            rest = slice(k + 1, None)
+            near = (label[rest] != label[k]) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
+            if across:
+                near &= block[rest] != block[k]
+            at = np.flatnonzero(near) + k + 1
+            apart = np.bitwise_count((bits[at] ^ bits[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[k] + n[at]) * (100 - percent)
+            if int(node[k]) in unlike:
+                ok &= ~np.isin(node[at], np.fromiter(unlike[int(node[k])], np.int64))
+            at, apart = at[ok], apart[ok]
+            if not len(at):
+                continue
+            if not every:  # the likest of each component
+                at = at[np.argsort(apart, kind="stable")]
+                found, first = np.unique(label[at], return_index=True)
+                at = at[first]
+                label[np.isin(label, found)] = label[k]
+            a.append(np.full(len(at), node[k]))
+            b.append(node[at])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        fixed = [pa.array(np.full(len(a), t.column(c)[0].as_py() if len(t) else 0, d)) for c, d in (("bucket", np.int64), ("blocks", np.int32))]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(a), pa.array(b)], names=["bucket", "blocks", "a", "b"])
+
+    return lambda it: map(of, by_key(it, ("bucket", "i", "j")))
 
 
 def _sets(width: int):
@@ -311,7 +373,8 @@ def _sets(width: int):
         for batch in it:
             for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                columns = [part.column(0).cast(pa.int64()), *map(pa.array, set_ids(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "k1", "k2", "shingles"])
 
     return run
 
@@ -333,60 +396,100 @@ def _compare(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b of nodes) that are similar enough: first by sizes and parities, which never drop such a pair, then by whole sets."""
-    side = lambda n: reps.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("parity").alias(f"p{n}"))
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose sizes and parities allow the similarity; a pair that is similar enough is never dropped."""
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("parity").alias(f"p{n}"))
     bits = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "ngram-near")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("_want"))
-    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
-    sets = cut(sets.join(wanted.select(F.col("_want").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b of nodes) that are similar enough, by their whole sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, k1 long, k2 long, shingles binary")
+    sets = cut(sets.join(nodes.select("node", "k1", "k2"), ["node", "k1", "k2"], "left_semi").dropDuplicates(["node", "k1", "k2"]), "ngram-sets")
     one, two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
+    same = pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
+    return same.distinct()
 
 
 def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity ``percent``).
 
-    Documents with equal sets are one node from the start; a node's name has 63 bits, so of 10^8 different sets
-    two share a name with a chance of 1 in 2,000. Every pair of nodes that shares a signature is compared, or known to be in one
-    component already: first each with the smallest of its bucket, then the members of different components of a bucket. Buckets of more
-    than ``hot`` members are first dealt out by signatures of the second partition, of which similar sets share one as well.
+    Documents with equal sets (by 127 bits and the size) are one node, the smallest of them. Each node is compared with the smallest of
+    its buckets; then each bucket whose members are in several components is asked for pairs that would join them, until no bucket has
+    an untried pair whose sizes and parities allow the similarity. So every pair that shares a signature is compared, ruled
+    out, or in one component already. Buckets of more than ``hot`` members are first dealt out by signatures of the second
+    partition, of which similar sets share one as well; those still larger are compared block by block.
     Null, empty and wordless texts have no shingles and stay alone. Rows without an id are left out; rows that repeat
-    an id give a row each. Other columns are not looked at. Texts are read whole.
+    an id are one document, which is linked by the set of each, and give a row each. Other columns are not looked at. Texts are read whole.
     """
     spark, docs = docs.sparkSession, long_doc(docs)
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = partitions(spark, volume / 6 * 0.9, GROUP_SIGNATURES)
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, node long, parity array<long>"), "ngram-profile")
-    reps = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity"))
-    columns = "bucket long, centre long, node long, hot boolean"
-    search = lambda packed, hot, name: cut(packed.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_search(percent, hot), columns).distinct(), name)
-    pairs_of = lambda found: found.where("bucket = 0").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    found = search(docs.mapInArrow(_packed(width, percent, groups), _PACKED), hot, "ngram-buckets")
-    first = cut(pairs_of(found), "ngram-pairs")
-    edges = cut(_verified(first, docs, reps, width, percent), "ngram-links")
+    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n_shingles long, k1 long, k2 long, parity array<long>"), "ngram-profile")
+    alike = ["k1", "k2", "n_shingles"]
+    nodes = profile.where("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
+    nodes = cut(nodes.withColumn("n", F.col("n_shingles")), "ngram-nodes")
+    name = nodes.select("k1", "node")
+    placed = profile.select("doc_id", *alike).join(nodes.select(*alike, "node"), alike, "left").select("doc_id", "n_shingles", "node")
+    # An id whose rows have different sets.
+    several = placed.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).where(F.size("b") > 1).select("a", F.explode("b").alias("b")).where("a <> b")
+
+    def search(packed: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """(pairs, members of buckets) of nodes from packed signatures."""
+        dealt = packed.repartitionById(groups, "g").sortWithinPartitions("kind", "g")
+        found = cut(dealt.mapInArrow(_search(percent), "bucket long, centre long, node long").distinct(), label)
+        of = lambda k, to: name.select(F.col("k1").alias(k), F.col("node").alias(to))
+        pairs = found.where("bucket = 0").join(of("centre", "a"), "centre").join(of("node", "b"), "node").where("a <> b")
+        members = found.where("bucket <> 0").select("bucket", F.col("node").alias("k1")).join(name, "k1").select("bucket", "node").distinct()
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members
+
+    pairs, members = search(docs.mapInArrow(_packed(width, percent, groups), _PACKED), "ngram-buckets")
+    tried = cut(_near(pairs, nodes, percent), "ngram-pairs")
+    edges = cut(several.union(_verified(tried, docs, nodes, width, percent)), "ngram-links")
     labels = components(edges, "a", "b", "ngram-components")
 
-    def open_buckets(members: DataFrame) -> DataFrame:
-        """(bucket, node, component, n, parity) of buckets whose members are in more than one component."""
-        named = members.select("bucket", "node").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        return named.join(split, "bucket", "left_semi").join(reps.select("node", "n", "parity"), "node").select("bucket", "node", "component", "n", "parity")
+    def opened(members: DataFrame) -> DataFrame:
+        """Members of buckets that are in more than one component, with it."""
+        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        return named.join(split.select("bucket", "m"), "bucket")
 
-    more, wide = first.limit(0), found.where("bucket <> 0 and not hot")
-    large = cut(open_buckets(found.where("hot")).groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "ngram-large")  # no more of them than a text has signatures
+    first = cut(opened(members), "ngram-open")
+    members = first.where(F.col("m") <= hot).select("bucket", "node", F.lit(1).alias("blocks"))
+    large = cut(first.where(F.col("m") > hot).groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "ngram-large")  # no more of them than a text has signatures
     if large.head(1):
-        texts = docs.join(large.join(reps, "node").select(F.col("rep").alias("doc_id"), "buckets", "node"), "doc_id").select("doc_id", "text", "buckets", "node")
-        again = search(texts.mapInArrow(_dealt_again(width, percent, groups), _PACKED), 1 << 62, "ngram-again")
-        more, wide = more.union(pairs_of(again)), wide.union(again.where("bucket <> 0"))
-    crossed = open_buckets(wide).repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(percent), "a long, b long")
-    more = cut(more.union(crossed).distinct().join(first, ["a", "b"], "left_anti"), "ngram-more")
-    if more.head(1):
-        edges = cut(edges.union(_verified(more, docs, reps, width, percent)), "ngram-links")
+        wanted = large.join(nodes, "node").select(F.col("node").alias("doc_id"), "buckets", "k1")
+        texts = docs.join(wanted, "doc_id").select("doc_id", "text", "buckets", "k1")
+        more, again = search(texts.mapInArrow(_dealt_again(width, percent, groups), _PACKED), "ngram-again")
+        sizes = again.groupBy("bucket").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
+        members = members.union(again.join(sizes, "bucket").select("bucket", "node", "blocks"))
+        more = cut(_near(more, nodes, percent).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        edges = cut(edges.union(_verified(more, docs, nodes, width, percent)), "ngram-links")
+        tried = tried.union(more)
+        labels = components(edges, "a", "b", "ngram-components")
+    members = cut(members, "ngram-members")
+    block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    asked = None
+    for turn in itertools.count(1):
+        rows = opened(members).join(nodes.select("node", "n", "parity"), "node").withColumn("block", block("node"))
+        rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "blocks", "block", "node", "component", "n", "parity", F.lit(None).cast("long").alias("other"))
+        if asked is not None:
+            unlike = asked.join(edges, ["a", "b"], "left_anti").withColumns({"x": block("a"), "y": block("b")})
+            none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("block", "component", "n", "parity")}
+            rows = rows.unionByName(unlike.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "blocks", F.col("a").alias("node"), F.col("b").alias("other")).withColumns(none))
+        key = ("bucket", "i", "j")
+        out = rows.repartition(groups, *key).sortWithinPartitions(*key).mapInArrow(_forest(percent, turn > ROUNDS), "bucket long, blocks int, a long, b long")
+        out = cut(out, "ngram-asked")
+        if not out.head(1):
+            break
+        asked = out if asked is None else asked.union(out)
+        fresh = cut(out.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        edges = cut(edges.union(_verified(fresh, docs, nodes, width, percent)), "ngram-links")
+        tried = tried.union(fresh)
         labels = components(edges, "a", "b", "ngram-components")
-    classes = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least, "component").select("node", "component_id")
-    return profile.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = placed.join(labels, "node", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))

@@ -52,6 +52,25 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
         start = stop
 
 
+def by_key(it: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """One batch for each run of equal ``key`` columns (whole numbers) of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not len(batch):
+            continue
+        if held:
+            batch = pa.Table.from_batches([held.pop(), batch]).combine_chunks().to_batches()[0]
+        columns = [np.asarray(batch.column(c), np.int64) for c in key]
+        new = np.zeros(len(batch), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edge = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield batch.slice(a, b - a)
+        held = [batch.slice(edge[-1])]
+    yield from held
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -176,6 +176,69 @@ def test_ngram_join_near_the_limit(spark):
         assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, hot=hot).collect()} == want
 
 
+def test_ngram_join_many_near_copies(spark, monkeypatch):
+    """Near copies of one base, most pairs of them around the limit, and a base that many differ too much from."""
+    rng = np.random.default_rng(15)
+    base = [f"b{x}" for x in range(60)]
+    texts = {}
+    for k in range(160):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 4))):
+            words[int(rng.integers(60))] = f"e{int(rng.integers(10**6))}"
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = linked(jaccard_sets(texts))
+    for rounds, hot in ((6, ngram_join.HOT), (0, ngram_join.HOT), (6, 20)):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, hot=hot).collect()} == want
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Rows of one id are one document: linked by the set of each."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (9, b), (11, c), (12, None)], "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.ngram_components(docs).collect()))
+    assert got == [(3, 8, 3), (5, 8, 3), (5, 8, 3), (9, 8, 3), (9, 8, 3), (11, 8, 11), (12, 0, 12)]
+
+
+def test_ngram_heavy_signatures():
+    """Members that a slice names at once, and those of the group, meet in one bucket; only one row of each slice is in the group."""
+    rng, groups = np.random.default_rng(16), 3
+    sig = np.uint64(0x123456789ABCDEF0)
+    batches, nodes = [], []
+    for _ in range(4):
+        own = rng.integers(1, 2**62, ngram_join.HEAVY + 10)
+        rows, sigs = np.arange(len(own)), np.full(len(own), sig)
+        more = rng.integers(0, 2**63, 50).astype(np.uint64)
+        batches.append(ngram_join._rows(own, np.full(len(own), 100, np.uint32), np.r_[rows, rng.integers(0, len(own), 50)], np.r_[sigs, more], groups))
+        nodes += own.tolist()
+    late = rng.integers(1, 2**62, 3)
+    batches.append(ngram_join._rows(late, np.full(3, 101, np.uint32), np.arange(3), np.full(3, sig), groups))
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["kind"], r["g"]))
+    held = [r for r in rows if r["kind"] == 1]
+    low = [x for r in held for x in np.frombuffer(r["sigs"], np.uint32)]
+    assert sum(x == np.uint32(0x9ABCDEF0) for x in low) == 4 + 3
+    table = ngram_join.pa.RecordBatch.from_pylist(rows, schema=batches[0].schema)
+    found = [r for b in ngram_join._search(80)(iter([table])) for r in b.to_pylist()]
+    wide = {}
+    for r in found:
+        if r["bucket"]:
+            wide.setdefault(r["bucket"], set()).add(r["node"])
+    assert set(nodes) | set(late.tolist()) in wide.values()
+    linked_to = {(r["centre"], r["node"]) for r in found if not r["bucket"]}
+    assert len({n for _, n in linked_to}) >= len(set(nodes)) + 3 - 1
+
+
+def test_by_key():
+    from clipweave.llm.shared import by_key
+
+    a = np.sort(np.random.default_rng(4).integers(0, 30, 500))
+    table = ngram_join.pa.table({"a": a, "x": np.arange(500)})
+    parts = list(by_key(iter(table.to_batches(max_chunksize=37)), ("a",)))
+    assert [p.column("a")[0].as_py() for p in parts] == sorted(set(a.tolist()))
+    assert np.concatenate([np.asarray(p.column("x")) for p in parts]).tolist() == list(range(500))
+
+
 def test_partenum_shares_a_signature():
     rng = np.random.default_rng(7)
     for n in (4, 5, 7, 12, 40, 90, 300, 1500):
