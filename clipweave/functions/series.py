@@ -47,3 +47,14 @@ def quantile_w1(a: Column, b: Column) -> Column:
 
 def exp_score(distance: Column, rate: float) -> Column:
     return 100 * F.exp(-rate * distance)
+
+
+def l1_shares(a: Column, b: Column, eps: float = 1e-8) -> Column:
+    """Mean distance of two vectors as shares of their sums: negative entries count 0, and one without mass is uniform."""
+
+    def shares(x: Column) -> Column:
+        cut = F.transform(x, lambda y: F.greatest(y, F.lit(0.0)))
+        some = F.when(total(cut) > 0, cut).otherwise(F.transform(x, lambda _: F.lit(1.0)))
+        return F.transform(some, lambda y: y / (total(some) + eps))
+
+    return total(F.zip_with(shares(a), shares(b), lambda x, y: F.abs(x - y))) / F.size(a)
