@@ -156,8 +156,3 @@ def weighted_sample_without_replacement(spark: SparkSession, d: str) -> DataFram
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("2025:"), F.col("o_orderkey").cast("string"))), 1, 12), 16, 10).cast("bigint") + 1) / 281474976710657.0
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.round(-F.ln(u) / F.col("o_totalprice"), 12), "o_orderkey"))
     return table(spark, d, "orders").withColumn("k", k).where("k <= 2").select("o_custkey", "o_orderkey")
-
-
-@query("select l_suppkey as model, corr(l_quantity, l_extendedprice) as raw, round(corr(l_quantity, l_extendedprice), 4) as ncc from lineitem group by 1".replace("corr(l_quantity, l_extendedprice) as raw, ", ""))
-def patch_ncc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model")).agg(r4(F.corr("l_quantity", "l_extendedprice"), "ncc"))
