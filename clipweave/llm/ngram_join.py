@@ -72,7 +72,7 @@ WEAK = 1
 #: Members of a bucket above which those of one slice of texts stand behind one of theirs, and above which a bucket is dealt out again, then into blocks.
 HEAVY, HOT = 64, 4096
 #: Rounds of forests, after which all pairs that are left are compared.
-ROUNDS = 6
+ROUNDS = 2
 
 
 def _spare(parts: np.ndarray) -> np.ndarray:
@@ -319,11 +319,11 @@ def _search(percent: int):
 
 
 def _forest(percent: int, every: bool):
-    """Pairs (a, b) that join the components of a bucket, or ``every`` pair, among nodes whose sizes and parities allow the similarity.
+    """(a, b) that join the components of a bucket, or ``every`` pair, among nodes whose sizes and parities allow the similarity; and (bucket) of those that ask.
 
-    Rows (bucket, i, j, blocks, block, node, component, n, parity, other) come sorted by (bucket, i, j): the members of the blocks i and j of a bucket, and, with
+    Rows (bucket, i, j, block, node, component, n, parity, other) come sorted by (bucket, i, j): the members of the blocks i and j of a bucket, and, with
     ``other``, pairs (node, other) already found unlike, which are not asked for again. A pair is asked for only if no pairs before it would
-    join the two components, so that there are fewer pairs than members.
+    join the two components, so that there are fewer pairs than members; a task asks for a pair once, whatever the number of buckets.
     """
 
     def of(t: pa.RecordBatch):
@@ -361,11 +361,27 @@ def _forest(percent: int, every: bool):
                 label[np.isin(label, found)] = label[k]
             a.append(np.full(len(at), node[k]))
             b.append(node[at])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        fixed = [pa.array(np.full(len(a), t.column(c)[0].as_py() if len(t) else 0, d)) for c, d in (("bucket", np.int64), ("blocks", np.int32))]
-        return pa.RecordBatch.from_arrays([*fixed, pa.array(a), pa.array(b)], names=["bucket", "blocks", "a", "b"])
+        return (int(t.column("bucket")[0].as_py()), np.concatenate(a), np.concatenate(b)) if a else None
 
-    return lambda it: map(of, by_key(it, ("bucket", "i", "j")))
+    def told(buckets: list[int], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pair = np.unique(np.concatenate([np.stack(x) for x in pairs], axis=1), axis=1)
+        lone, none = np.unique(buckets), [None] * pair.shape[1]
+        empty = [None] * len(lone)
+        return pa.RecordBatch.from_arrays([pa.array([*none, *lone.tolist()], pa.int64()), pa.array([*pair[0].tolist(), *empty], pa.int64()), pa.array([*pair[1].tolist(), *empty], pa.int64())], names=["bucket", "a", "b"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, pairs, n = [], [], 0
+        for asked in filter(None, map(of, by_key(it, ("bucket", "i", "j")))):
+            buckets.append(asked[0])
+            pairs.append(asked[1:])
+            n += len(asked[1])
+            if n > 1 << 20:
+                yield told(buckets, pairs)
+                buckets, pairs, n = [], [], 0
+        if pairs:
+            yield told(buckets, pairs)
+
+    return run
 
 
 def _sets(width: int):
@@ -472,22 +488,22 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot:
         labels = components(edges, "a", "b", "ngram-components")
     members = cut(members, "ngram-members")
     block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
-    asked = None
     for turn in itertools.count(1):
-        rows = opened(members).join(nodes.select("node", "n", "parity"), "node").withColumn("block", block("node"))
-        rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "blocks", "block", "node", "component", "n", "parity", F.lit(None).cast("long").alias("other"))
-        if asked is not None:
-            unlike = asked.join(edges, ["a", "b"], "left_anti").withColumns({"x": block("a"), "y": block("b")})
-            none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("block", "component", "n", "parity")}
-            rows = rows.unionByName(unlike.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "blocks", F.col("a").alias("node"), F.col("b").alias("other")).withColumns(none))
+        rows = opened(members).withColumn("block", block("node"))
+        unlike = tried.join(edges, ["a", "b"], "left_anti")
+        other = members.select("bucket", F.col("node").alias("b"))
+        unlike = members.withColumnRenamed("node", "a").join(unlike, "a").join(other, ["bucket", "b"]).withColumns({"x": block("a"), "y": block("b")})
+        rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes.select("node", "n", "parity"), "node")
+        rows = rows.select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "node", "component", "n", "parity", F.lit(None).cast("long").alias("other"))
+        none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("block", "component", "n", "parity")}
+        rows = rows.unionByName(unlike.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("a").alias("node"), F.col("b").alias("other")).withColumns(none))
         key = ("bucket", "i", "j")
-        out = rows.repartition(groups, *key).sortWithinPartitions(*key).mapInArrow(_forest(percent, turn > ROUNDS), "bucket long, blocks int, a long, b long")
+        out = rows.repartition(groups, *key).sortWithinPartitions(*key).mapInArrow(_forest(percent, turn > ROUNDS), "bucket long, a long, b long")
         out = cut(out, "ngram-asked")
         if not out.head(1):
             break
-        asked = out if asked is None else asked.union(out)
-        fresh = cut(out.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        members = members.join(out.where("bucket is not null").select("bucket").distinct(), "bucket", "left_semi")
+        fresh = cut(out.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         edges = cut(edges.union(_verified(fresh, docs, nodes, width, percent)), "ngram-links")
         tried = tried.union(fresh)
         labels = components(edges, "a", "b", "ngram-components")

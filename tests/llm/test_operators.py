@@ -188,7 +188,7 @@ def test_ngram_join_many_near_copies(spark, monkeypatch):
         texts[k] = " ".join(words)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = linked(jaccard_sets(texts))
-    for rounds, hot in ((6, ngram_join.HOT), (0, ngram_join.HOT), (6, 20)):
+    for rounds, hot in ((2, ngram_join.HOT), (0, ngram_join.HOT), (9, 20)):
         monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
         assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, hot=hot).collect()} == want
 
