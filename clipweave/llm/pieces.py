@@ -5,11 +5,15 @@ a place is worth its own score and the best score up to that place, so complete
 into units that no piece crosses (a run of spaces with the word after it; a run of line ends), the lattice falls apart
 there, and equal units are searched once. The N best of a text differ from its best one only in the N - 1
 units whose second best loses least, so only these are searched beyond their second best.
+
+A model with merge ranks for scores (BPE) says nothing of likelihood; its pieces then get the log-probabilities that Zipf's law gives their ranks. So
+segmentations are the likeliest ones under that law, and not the merges' own: most words agree with the library's BPE ids, whole texts seldom do.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +34,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
 
+def _log_probabilities(score: dict[int, float]) -> dict[int, float]:
+    """Scores in steps of 2**-20, so that their sums are exact and equal ones tie.
+
+    Where all are different whole numbers below 0 they are merge ranks, and become log(1 / (rank + 2.7)), normalised. Pieces that a model
+    keeps out by a score of -1e8 or less (runs of spaces) lose ``UNKNOWN_LOSS`` against the least of the others.
+    """
+    live = {i: s for i, s in score.items() if s > -1e8}
+    if len(set(live.values())) == len(live) and all(s < 0 and s == int(s) for s in live.values()):
+        total = math.log(sum(1 / (2.7 - s) for s in live.values()))
+        live = {i: -math.log(2.7 - s) - total for i, s in live.items()}
+    least = min(live.values()) - UNKNOWN_LOSS
+    return {i: round(live.get(i, least) * (1 << 20)) / (1 << 20) for i in score}
+
+
 class Lattice:
     """A piece vocabulary with its search. ``path`` names a model whose pieces have scores."""
 
@@ -38,7 +56,7 @@ class Lattice:
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.score = {i: float(sp.get_score(i)) for i in plain}
+        self.score = _log_probabilities({i: float(sp.get_score(i)) for i in plain})
         self.ids = {self.text[i]: i for i in plain}
         self.longest = max(map(len, self.ids))
         crossing = [p for p in self.ids if SPACE in p.lstrip(SPACE) or "\n" in p]
@@ -49,46 +67,49 @@ class Lattice:
         spelled |= {i: self.text[i].replace(SPACE, " ").encode() for i in plain}
         parts = [spelled.get(i, b"") for i in range(n)]
         self.raw, self.raw_ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
-        # Runs of spaces carry a score that only forbids them where smaller pieces do; the least of the others is the base.
-        self.floor = min(s for s in self.score.values() if s > -1e8) - UNKNOWN_LOSS
-        self.heads: dict[str, int] = {}
+        self.floor = min(self.score.values()) - UNKNOWN_LOSS
+        self.tails: dict[str, int] = {}
         for p in self.ids:
-            self.heads[p[:2]] = max(self.heads.get(p[:2], 0), len(p))
+            self.tails[p[-2:]] = max(self.tails.get(p[-2:], 0), len(p))
         self._trie()
         self._forget()
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end in the unit, the edges (start, score, ids) that arrive there."""
-        n, ids, score, heads = len(unit), self.ids, self.score, self.heads
-        into: list[list] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            if (i := ids.get(unit[a])) is not None:
-                into[a + 1].append((a, score[i], (i,)))
-            else:
-                into[a + 1].append((a, self.floor, tuple(self.byte[x] for x in unit[a].encode())))
-            for b in range(a + 2, min(n, a + heads.get(unit[a : a + 2], 0)) + 1):
-                if (i := ids.get(unit[a:b])) is not None:
-                    into[b].append((a, score[i], (i,)))
-        return into
-
-    def forward(self, into) -> list[float]:
-        best = [0.0] * len(into)
-        for b in range(1, len(into)):
-            best[b] = max(best[a] + s for a, s, _ in into[b])
+    def edges(self, unit: str, b: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The edges (start, score, ids) that arrive at the place ``b``, shortest first."""
+        ids, score = self.ids, self.score
+        last = unit[b - 1]
+        out = [(b - 1, score[ids[last]], (ids[last],)) if last in ids else (b - 1, self.floor, tuple(self.byte[x] for x in last.encode()))]
+        for a in range(b - 2, max(-1, b - 1 - self.tails.get(unit[max(0, b - 2) : b], 0)), -1):
+            if (i := ids.get(unit[a:b])) is not None:
+                out.append((a, score[i], (i,)))
+        return out
+
+    def forward(self, unit: str) -> list[float]:
+        best = [0.0] * (len(unit) + 1)
+        for b in range(1, len(best)):
+            best[b] = max(best[a] + s for a, s, _ in self.edges(unit, b))
         return best
 
     def search(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best segmentations, best first; equal scores in the order of their ids from the end."""
-        into = self.edges(unit)
-        best, found = self.forward(into), []
-        heap = [(-best[-1], (), len(into) - 1, 0.0)]
+        """The ``n`` best segmentations, best first; of equal scores the one first whose pieces are longer, from the end.
+
+        A path holds its last piece and the path behind it, and edges are found when they are needed, so that memory grows with the
+        unit's length. Of paths of one worth the newest goes on: they are walked one after another, not side by side.
+        """
+        best, found = self.forward(unit), []
+        heap, pushed = [(-best[-1], 0, len(unit), 0.0, None)], 0
         while heap and len(found) < n:
-            worth, tail, at, done = heapq.heappop(heap)
+            _, _, at, done, path = heapq.heappop(heap)
             if at == 0:
-                found.append((done, tuple(i for part in reversed(tail) for i in part)))
+                ids = []
+                while path:
+                    part, path = path
+                    ids += part
+                found.append((done, tuple(ids)))
                 continue
-            for a, s, ids in into[at]:
-                heapq.heappush(heap, (-(best[a] + done + s), (*tail, ids), a, done + s))
+            for a, s, ids in self.edges(unit, at):
+                pushed += 1
+                heapq.heappush(heap, (-(best[a] + done + s), -pushed, a, done + s, (ids, path)))
         return found
 
     def two(self, unit: str) -> tuple[tuple[int, ...], float, float]:
