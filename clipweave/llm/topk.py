@@ -3,7 +3,12 @@
 A vector is cut into segments; of each the mean and the deviation are kept, for 2, 4, 8 and 16 segments. Over a segment
 of w places, x.y <= w (mean_x mean_y + dev_x dev_y), which is the lower bound of the squared distance of two vectors by
 the means and deviations of their segments, said of their product. Candidates whose bound lies below a query's k-th best
-score are dropped, coarse level first, and exact products are taken of the survivors alone.
+score are dropped, coarse level first, and exact products are taken of the rows and columns that survive.
+
+Candidates of a group stand by their nearest pivot, in tiles; tiles are taken by their best coarse bound, and every exact score raises
+the query's threshold for those that follow. What a bounded sample of candidates gives as k-th best is every group's first threshold.
+Directions without structure cannot be pruned by any such bound: of isotropic vectors in 64 places the fifth best of 10,000 has a
+cosine of 0.36, while segments of 4 places leave three quarters of the length to deviations, whose products come to 0.64.
 """
 
 from __future__ import annotations
@@ -16,8 +21,10 @@ from pyspark.sql import functions as F
 from .shared import partitions
 
 LEVELS = (2, 4, 8, 16)
-#: Candidates and queries of one group: what a task holds at a time.
-GROUP_VECTORS, GROUP_QUERIES, STEP_QUERIES = 20_000, 4_096, 256
+#: Candidates and queries of one group: what a task holds at a time; candidates of a tile, queries of a step, pivots.
+GROUP_VECTORS, GROUP_QUERIES, TILE, STEP_QUERIES, PIVOTS = 20_000, 4_096, 1_024, 256, 64
+#: Candidates of the sample that gives the first thresholds.
+SAMPLE = 4_096
 _SAFE = float(1 << 52)
 
 
@@ -55,55 +62,61 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(q, c, strict=True)], np.int64)
 
 
-def best(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best candidates within a group, the query's own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, c = ids[order], c[order]
-    of_c, found = statistics(c), ([], [], [])
+def best(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best candidates within a group, the query's own id left out; those below ``least`` may be missing.
+
+    ``seen``, if given, gets the numbers of pairs that reach each level, and the exact products, added.
+    """
+    stats = statistics(c)
+    pivots = np.argsort(ids, kind="stable")[:PIVOTS]
+    order = np.lexsort((ids, np.argmax(stats[-1] @ stats[-1][pivots].T, axis=1)))
+    ids, c, stats = ids[order], c[order], [x[order] for x in stats]
+    exact = _is_exact(q, c)
+    edges = np.arange(0, len(ids), TILE)
+    found = ([], [], [])
     for at in range(0, len(q), STEP_QUERIES):
         some, names = q[at : at + STEP_QUERIES], query_ids[at : at + STEP_QUERIES]
         of_q = statistics(some)
-        bound = of_q[0] @ of_c[0].T
-        own = names[:, None] == ids[None, :]
-        bound[own] = -np.inf
-        slack = 1e-9 * np.abs(bound, where=np.isfinite(bound), out=np.zeros_like(bound)).max(initial=1.0) + 1e-6
-        least = np.full(len(some), -np.inf)
-
-        def raised(bound):
-            """The k-th best exact score among the candidates that look best so far, where that is more than is known."""
-            first = min(2 * k, len(ids))
-            if first < k:
-                return least
-            head = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-            exact = _products(some[np.repeat(np.arange(len(some)), first)], c[head.ravel()]).reshape(len(some), first).astype(np.float64)
-            exact[~np.isfinite(np.take_along_axis(bound, head, 1))] = -np.inf
-            return np.maximum(least, np.sort(exact, axis=1)[:, -k])
-
-        least = raised(bound)
-        keep = bound >= least[:, None] - slack
-        for level, (a, b) in enumerate(zip(of_q[1:], of_c[1:], strict=True)):
-            if keep.mean() > 0.02:  # most are left: one product of matrices
-                bound = np.where(keep, a @ b.T, -np.inf)
-                if level == 1:
-                    least = raised(bound)
-                keep &= bound >= least[:, None] - slack
-            else:
-                row, col = np.nonzero(keep)
-                for s in range(0, len(row), 1 << 18):
-                    r_, c_ = row[s : s + (1 << 18)], col[s : s + (1 << 18)]
-                    keep[r_, c_] = np.einsum("ij,ij->i", a[r_], b[c_]) >= least[r_] - slack
-        keep &= ~own
-        if keep.mean() > 0.05 and _is_exact(some, c):  # one product of matrices, of which the survivors' entries count
-            exact = np.where(keep, some @ c.T, -np.inf)
-            if len(ids) > k:
-                keep &= exact >= -np.partition(-exact, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero(keep)
-        score = np.concatenate([_products(some[row[s : s + (1 << 17)]], c[col[s : s + (1 << 17)]]) for s in range(0, max(1, len(row)), 1 << 17)])
-        order = np.lexsort((col, -score.astype(object) if len(score) and score.min() == -(1 << 63) else -score, row))
+        coarse = of_q[0] @ stats[0].T
+        slack = 1e-9 * float(np.linalg.norm(some, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0)) + 1e-6
+        bar = np.full(len(some), -np.inf) if least is None else least[at : at + STEP_QUERIES].astype(np.float64)
+        top = np.full((len(some), k), -np.inf)
+        rows, cols, scores = [], [], []
+        for tile in np.argsort(-np.maximum.reduceat(coarse.max(axis=0), edges), kind="stable") if len(ids) else []:
+            part = slice(int(edges[tile]), int(edges[tile]) + TILE)
+            keep = (coarse[:, part] >= bar[:, None] - slack) & (names[:, None] != ids[None, part])
+            for level in range(1, len(LEVELS) + 1):
+                if seen is not None:
+                    seen[level - 1] += keep.sum()
+                r, x = np.flatnonzero(keep.any(axis=1)), np.flatnonzero(keep.any(axis=0))
+                if not len(r):
+                    break
+                left = of_q[level] if level < len(LEVELS) else some
+                right = stats[level] if level < len(LEVELS) else c
+                value = left[r] @ right[part][x].T
+                sub = np.ix_(r, x)
+                alive = keep[sub] & (value >= bar[r, None] - slack)
+                if level < len(LEVELS):
+                    keep[sub] = alive
+                    continue
+                value = np.where(alive, value, -np.inf)
+                head = np.partition(value, max(0, value.shape[1] - k), axis=1)[:, -k:]
+                top[r] = np.sort(np.concatenate([top[r], head], axis=1), axis=1)[:, -k:]
+                bar = np.maximum(bar, top[:, 0])
+                i, j = np.nonzero(value >= bar[r, None] - (0 if exact else slack))
+                i, j = i[np.isfinite(value[i, j])], j[np.isfinite(value[i, j])]
+                rows.append(r[i])
+                cols.append(x[j] + part.start)
+                scores.append(value[i, j])
+        row, col, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, scores))
+        near = value >= bar[row] - (0 if exact else slack)
+        row, col = row[near], col[near]
+        score = value[near].astype(np.int64) if exact else _products(some[row], c[col])
+        order = np.lexsort((ids[col], -score.astype(object) if len(score) and score.min() == -(1 << 63) else -score, row))
         row, col, score = row[order], col[order], score[order]
         start = np.searchsorted(row, np.arange(len(some)))
-        top = np.arange(len(row)) - start[row] < k
-        for out, x in zip(found, (names[row[top]], ids[col[top]], score[top]), strict=True):
+        first = np.arange(len(row)) - start[row] < k
+        for out, x in zip(found, (names[row[first]], ids[col[first]], score[first]), strict=True):
             out.append(x)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
@@ -127,14 +140,27 @@ def exact_topk(vectors: DataFrame, *, queries: str = "vec_id % 50 = 0", k: int =
     n, n_asked = clean.count(), asked.count()
     c_blocks, q_blocks = partitions(spark, n, GROUP_VECTORS), n_asked // GROUP_QUERIES + 1
     block = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.hash("v")), F.lit(m)).cast("int")
-    left = clean.withColumn("cb", block(1, c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("qb", block(2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-
-    def group(c: pa.Table, q: pa.Table) -> pa.Table:
-        parts = best(*quantised(c, scale), *quantised(q, scale), k) if c.num_rows and q.num_rows else (np.zeros(0, np.int64),) * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts), strict=True)))
-
-    key = ("d", "cb", "qb")
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(group, "query_id long, vec_id long, score long")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+    def near(candidates: DataFrame, blocks: int, questions: DataFrame) -> DataFrame:
+        """The k best of each group, of a block of candidates and one of queries."""
+
+        def group(c: pa.Table, q: pa.Table) -> pa.Table:
+            parts = (np.zeros(0, np.int64),) * 3
+            if c.num_rows and q.num_rows:
+                least = np.asarray(q.column("least").fill_null(-np.inf), np.float64)
+                parts = best(*quantised(c, scale), *quantised(q, scale), k, least)
+            return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts), strict=True)))
+
+        left = candidates.withColumn("cb", block(1, blocks)).withColumn("qb", every(q_blocks))
+        right = questions.withColumn("qb", block(2, q_blocks)).withColumn("cb", every(blocks))
+        return left.groupBy("d", "cb", "qb").cogroup(right.groupBy("d", "cb", "qb")).applyInArrow(group, "query_id long, vec_id long, score long")
+
+    none = asked.withColumn("least", F.lit(None).cast("double"))
+    if n > 4 * SAMPLE:  # with fewer the sample would be most of the work
+        some = clean.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "vec_id"), 1) < int(SAMPLE / n * (1 << 63)))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        kth = near(some, 1, none).withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
+        none = asked.join(kth, "vec_id", "left")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near(clean, c_blocks, none).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
