@@ -174,14 +174,32 @@ def decision_list(rules: list[Rule]) -> Column:
     return F.expr("case " + " ".join(f"when {r.sql()} then {k}" for k, r in enumerate(rules, 1)) + " end").cast("int")
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> list[Rule]:
-    """Learn from at most ``sample`` labelled rows that pass the base rules, the first by a hash of the id.
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, _quality) of at most ``sample`` labelled documents, the first by a hash of the id.
 
-    Null labels and ids take no part; of two labels for one id the lower quality counts.
+    A threshold on the hash, from the number of labelled documents, leaves about that many rows before any of them are ordered, so that no
+    more than these meet in one place.
     """
     rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("_quality")).dropna().groupBy("doc_id").agg(F.min("_quality").alias("_quality"))
-    picked = stats.where("not base_failed").join(rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    table = picked.select("_quality", *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).toPandas()
+    rows = rows.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").withColumn("_key", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    n = rows.count()
+    if n > sample:
+        share = (sample + 4 * math.sqrt(sample)) / n
+        rows = rows.where(F.col("_key") < int(min(1.0, share) * (1 << 63)))
+    return rows.orderBy("_key", "doc_id").limit(sample).select("doc_id", "_quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> list[Rule]:
+    """Learn from at most ``sample`` labelled documents; of these, the ones that pass the base rules.
+
+    Null labels and ids take no part; of two labels for one id the lower quality counts. ``cuts`` (256) is the number of thresholds tried for a
+    feature, spread evenly over the values found. Statistics are taken of the sampled texts alone.
+    """
+    docs = long_doc(docs)
+    picked = _sampled(docs, labels, sample)
+    stats = document_stats(docs.join(F.broadcast(picked.select("doc_id")), "doc_id"))  # no more rows than ``sample``
+    table = stats.where("not base_failed").join(F.broadcast(picked), "doc_id").select("doc_id", "_quality", *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).toPandas()
+    table = table.sort_values("doc_id", kind="stable")
     return learn({f: table[f].to_numpy(float) for f in FEATURES}, (table["_quality"] == 0).to_numpy(bool), **options)
 
 
@@ -191,9 +209,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Empty and null texts have no words, fail the base rules and are not kept. Repeated ids give a row each.
     Other columns of ``docs`` and ``labels`` are not looked at, whatever their names. Texts are read whole.
     """
-    stats = document_stats(docs)
-    rules = fit(stats, labels, **options)
-    return stats.withColumn("rule", F.when(~F.col("base_failed"), decision_list(rules))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    rules = fit(docs, labels, **options)
+    return document_stats(docs).withColumn("rule", F.when(~F.col("base_failed"), decision_list(rules))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -201,7 +218,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", **optio
 
     Rows travel beside their statistics as one struct, so that ids may be null or repeat and no text is shuffled.
     """
-    rules = fit(document_stats(docs), labels, **options)
+    rules = fit(docs, labels, **options)
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col(text).cast("string").alias("_of"))
     schema = T.StructType([rows.schema["_row"], *(T.StructField(c, T.LongType()) for c in _NAMES)])
     judged = _based(rows.mapInArrow(_batches, schema))
