@@ -4,10 +4,14 @@ A window is ``width`` consecutive units (words or bytes) of one document. Its an
 ``gram`` units, so equal windows have equal anchors at equal places. Consecutive windows of one anchor form a run.
 
 0. Of documents with equal texts the one of the smallest id stands for all; the others go whole, if they have a window.
-1. Anchors are counted in groups by hash; those that only one text has can hold no repeat. Anchors are packed as 32-bit numbers.
+1. Anchors are counted in groups by hash; those that only one text has can hold no repeat. Anchors are packed as 32-bit numbers. What many
+   texts of one slice have is known to be shared there and then, and only one of them is sent on.
 2. Of the others, each run travels as one segment (its windows' units, its document and place) to its anchor's group. There a structure over
    the distinct segments - the part that the two operators do their own way - tells for each window the smallest document that has it. Windows
-   of different anchors are different, so that an anchor with one distinct segment needs no structure.
+   of different anchors are different, so that an anchor with one distinct segment needs no structure. Of equal segments in a slice only
+   those of the smallest document travel: the windows of the others start in it. So what stands inside a common passage
+   comes once from a slice; at its edges each document has a segment of its own, and the runs of anchors that very many texts have
+   are therefore sent as single windows, each to the group of its whole content.
 3. Each document's windows that start in a smaller one meet its text, and the units that they cover go.
 
 The text is shuffled once: both joins with it use one exchange.
@@ -29,6 +33,9 @@ from .shared import cut, long_doc, mix, partitions, raw, slices, window_hash
 _PLACE = np.uint64((1 << 26) - 1)
 #: Anchors, and units of segments, that one group holds on average.
 GROUP_ANCHORS, GROUP_UNITS = 4_000_000, 3_000_000
+#: Texts of a slice from which an anchor is answered there, and texts in all from which its runs are sent as single windows. Of the
+#: latter there are no more than the input's anchors by this number: 50 MB of names for 100 TB, which every task gets.
+HEAVY, BIG = 16, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,33 +85,62 @@ def _split(group: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(group[a]), slice(int(a), int(b))
 
 
+_ANCHORS = "kind int, g int, docs binary, counts binary, keys binary, times binary"
+
+
 def _anchors(kind: Units, groups: int):
+    """Rows of anchors by group: (text hashes, anchors of each, low 32 bits of the anchors, in how many texts each is for sure).
+
+    Rows of kind 0 hold a text hash and those of its anchors that are known to be shared, whole.
+    """
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
                 units, before = kind.read(*raw(part.column(1)))
                 row, _, _, anchor = runs(units, before, kind)
-                docs = np.asarray(part.column(0), np.int64)
+                texts, of = np.unique(np.asarray(part.column(0), np.int64), return_inverse=True)
                 group = _group_of(anchor, groups)
-                order = np.argsort(group * len(docs) + row, kind="stable")
-                out = {"g": [], "docs": [], "counts": [], "keys": []}
-                group, row, low = group[order], row[order], anchor[order].astype(np.uint32)
+                whole = (group.astype(np.uint64) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
+                order = np.lexsort((of[row], whole))
+                whole, text = whole[order], of[row][order]
+                keep = np.r_[True, (whole[1:] != whole[:-1]) | (text[1:] != text[:-1])][: len(whole)]
+                whole, text = whole[keep], text[keep]
+                start = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]][: len(whole)])
+                many = np.diff(np.r_[start, len(whole)])
+                heavy = np.repeat(many >= HEAVY, many)
+                first = np.zeros(len(whole), bool)
+                first[start] = True
+                out = {"kind": [], "g": [], "docs": [], "counts": [], "keys": [], "times": []}
+                at = np.flatnonzero(heavy)
+                at = at[np.argsort(text[at], kind="stable")]
+                for t, s in _split(text[at]):
+                    row_of = (0, int(t) % groups, texts[[t]], np.array([s.stop - s.start], np.uint32), whole[at[s]], np.zeros(0, np.uint32))
+                    for c, x in zip(out.values(), row_of, strict=True):
+                        c.append(x if isinstance(x, int) else x.tobytes())
+                send = first | ~heavy
+                whole, text, times = whole[send], text[send], np.where(heavy, np.repeat(many, many), 1)[send].astype(np.uint32)
+                group = (whole >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(group * max(1, len(texts)) + text, kind="stable")
+                group, text, low, times = group[order], text[order], whole[order].astype(np.uint32), times[order]
                 for g, s in _split(group):
-                    some, counts = np.unique(row[s], return_counts=True)
-                    out["g"].append(g)
-                    out["docs"].append(docs[some].tobytes())
-                    out["counts"].append(counts.astype(np.uint32).tobytes())
-                    out["keys"].append(low[s].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("docs", "counts", "keys"))], names=list(out))
+                    some, counts = np.unique(text[s], return_counts=True)
+                    row_of = (1, g, texts[some], counts.astype(np.uint32), low[s], times[s])
+                    for c, x in zip(out.values(), row_of, strict=True):
+                        c.append(x if isinstance(x, int) else x.tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int32()) for c in ("kind", "g")), *(pa.array(out[c], pa.binary()) for c in list(out)[2:])], names=list(out))
 
     return run
 
 
-def _by_group(it: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
-    """``done`` of the rows of each group; rows come sorted by ``g``."""
+def _by_group(it: Iterator[pa.RecordBatch], done, at_once) -> Iterator[pa.RecordBatch]:
+    """``done`` of the rows of each group, ``at_once`` of each row of kind 0; rows come sorted by ``kind`` and ``g``."""
     held, now = [], None
     for batch in it:
         for r in batch.to_pylist():
+            if r["kind"] == 0:
+                yield from at_once(r)
+                continue
             if now is not None and r["g"] != now:
                 yield from done(now, held)
                 held = []
@@ -114,29 +150,63 @@ def _by_group(it: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
         yield from done(now, held)
 
 
-def _shared_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text hash, keys) of the anchors that more than one text has."""
+def _shared_anchors(big: int):
+    """(text hash, keys) of the anchors that more than one text has; without a text hash, those that more than ``big`` texts have."""
+
+    def rows(hashes: list, keys: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], names=["hash", "keys"])
+
+    def at_once(r):
+        yield rows([int(np.frombuffer(r["docs"], np.int64)[0])], [r["keys"]])
 
     def done(g, held):
         docs = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in held])
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in held])
+        keys, times = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in held]) for c in ("keys", "times"))
         order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
+        keys, docs, times = keys[order], docs[order], times[order].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        named = lambda x: np.uint64(g) << np.uint64(32) | x.astype(np.uint64)
+        common = np.add.reduceat(times, start) > big
+        if common.any():
+            yield rows([None], [named(keys[start[common]]).tobytes()])
+        sure = np.repeat(np.maximum.reduceat(times, start) > 1, np.diff(np.r_[start, len(keys)]))
         keep = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]
-        keys, docs = keys[keep], docs[keep]
+        keys, docs, sure = keys[keep], docs[keep], sure[keep]
         start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        many = np.repeat(np.diff(np.r_[start, len(keys)]) > 1, np.diff(np.r_[start, len(keys)]))
+        many = np.repeat(np.diff(np.r_[start, len(keys)]) > 1, np.diff(np.r_[start, len(keys)])) | sure
         keys, docs = keys[many], docs[many]
         order = np.argsort(docs, kind="stable")
         keys, docs = keys[order], docs[order]
         parts = list(_split(docs))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in parts], pa.int64()), pa.array([(np.uint64(g) << np.uint64(32) | keys[s].astype(np.uint64)).tobytes() for _, s in parts], pa.binary())], names=["hash", "keys"])
+        yield rows([d for d, _ in parts], [named(keys[s]).tobytes() for _, s in parts])
+
+    return lambda it: _by_group(it, done, at_once)
 
-    yield from _by_group(it, done)
 
+def _equal_segments(units: np.ndarray, ends: np.ndarray, docs: np.ndarray, unit: int) -> np.ndarray:
+    """Whether an equal segment of this slice has a smaller document; segments lie one after another in ``units``."""
+    data, ids = units.tobytes(), {}
+    stops = (ends * unit).tolist()
+    seg = np.fromiter((ids.setdefault(data[a:b], len(ids)) for a, b in zip([0, *stops[:-1]], stops, strict=True)), np.int64, len(stops))
+    smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, seg, docs)
+    return docs > smallest[seg]
 
-def _segments(kind: Units, groups: int, anchor_groups: int):
-    """Rows (group, documents, text hashes, places, windows, units) of the runs whose anchors are shared."""
+
+_SEGMENTS = "kind int, g int, docs binary, hashes binary, starts binary, windows binary, anchors binary, units binary"
+
+
+def _segments(kind: Units, groups: int, anchor_groups: int, big: np.ndarray):
+    """Rows (kind, group, documents, text hashes, places, windows, anchors, units) of the runs whose anchors are shared.
+
+    Rows of kind 0 are runs of which an equal one starts in a smaller document of the slice: their windows go, and they have no units.
+    """
+    unit = np.dtype(kind.dtype).itemsize
+
+    def packed(out, n, g, docs, hashes, starts, windows, anchors, units):
+        values = docs, hashes, starts.astype(np.int64), windows.astype(np.uint16), anchors.astype(np.uint32), units.astype(kind.dtype)
+        for c, x in zip(out.values(), (n, g, *(v.tobytes() for v in values)), strict=True):
+            c.append(x)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -150,28 +220,43 @@ def _segments(kind: Units, groups: int, anchor_groups: int):
                 for k, lists in enumerate(part.column(2).to_pylist()):
                     if edge[k + 1] > edge[k]:
                         keep[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], np.frombuffer(b"".join(lists), np.uint64))
-                row, at, many, anchor = row[keep], at[keep], many[keep], anchor[keep]
+                row, at, many, anchor, key = row[keep], at[keep], many[keep], anchor[keep], key[keep]
+                if len(big) and (common := np.isin(key, big)).any():  # window by window
+                    n = many[common]
+                    one = np.repeat(at[common] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    row, at = np.r_[row[~common], np.repeat(row[common], n)], np.r_[at[~common], one]
+                    many, anchor = np.r_[many[~common], np.ones(len(one), many.dtype)], np.r_[anchor[~common], window_hash(units, kind.width)[one]]
                 group = ((anchor >> np.uint64(16)) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
-                row, at, many, group = row[order], at[order], many[order], group[order]
+                row, at, many, group, anchor = row[order], at[order], many[order], group[order], anchor[order]
+                out = {"kind": [], "g": [], "docs": [], "hashes": [], "starts": [], "windows": [], "anchors": [], "units": []}
+                names, of, starts = docs[row], hashes[row], at - before[row]
                 size = many + kind.width - 1
-                anchor = anchor[order]
-                out = {"g": [], "docs": [], "hashes": [], "starts": [], "windows": [], "anchors": [], "units": []}
+                flat = np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                content = units[flat].astype(kind.dtype)
+                gone = _equal_segments(content, np.cumsum(size), names, unit) if len(size) else np.zeros(0, bool)
+                if gone.any():
+                    none = np.zeros(0)
+                    packed(out, 0, int(group[gone][0]), names[gone], of[gone], starts[gone], many[gone], none, none)
+                    content = content[np.repeat(~gone, size)]
+                    names, of, starts, many, anchor, group, size = (x[~gone] for x in (names, of, starts, many, anchor, group, size))
+                ends = np.r_[0, np.cumsum(size)]
                 for g, s in _split(group):
-                    n = size[s]
-                    flat = np.repeat(at[s] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    out["g"].append(g)
-                    out["docs"].append(docs[row[s]].tobytes())
-                    out["hashes"].append(hashes[row[s]].tobytes())
-                    out["starts"].append((at[s] - before[row[s]]).astype(np.int64).tobytes())
-                    out["windows"].append(many[s].astype(np.uint16).tobytes())
-                    out["anchors"].append(anchor[s].astype(np.uint32).tobytes())
-                    out["units"].append(units[flat].astype(kind.dtype).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["g"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
+                    packed(out, 1, g, names[s], of[s], starts[s], many[s], anchor[s], content[ends[s.start] : ends[s.stop]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int32()) for c in ("kind", "g")), *(pa.array(out[c], pa.binary()) for c in list(out)[2:])], names=list(out))
 
     return run
 
 
+def _runs_of(docs: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, text hash, runs) from (first window, windows) of each document, in any order."""
+    order = np.lexsort((hashes, docs))
+    docs, hashes, pairs = docs[order], hashes[order], pairs[order]
+    start = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])][: len(docs)])
+    parts = [pairs[a:b].tobytes() for a, b in zip(start, np.r_[start[1:], len(docs)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(docs[start]), pa.array(hashes[start]), pa.array(parts, pa.binary())], names=["doc_id", "hash", "runs"])
+
+
 def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray]):
     """(doc_id, text hash, runs of windows to remove) from the segments of a group.
 
@@ -212,15 +297,14 @@ def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.
         if not len(place):
             return
         head = np.flatnonzero(np.r_[True, (occurrence[1:] != occurrence[:-1]) | (place[1:] != place[:-1] + 1)])
-        n = np.diff(np.r_[head, len(place)])
-        who, first = occurrence[head], place[head]
-        order = np.lexsort((hashes[who], docs[who]))
-        who, pairs = who[order], np.stack([first, n], axis=1)[order]
-        cutoff = np.flatnonzero(np.r_[True, (docs[who][1:] != docs[who][:-1]) | (hashes[who][1:] != hashes[who][:-1])])
-        ends = np.r_[cutoff[1:], len(who)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[who[cutoff]]), pa.array(hashes[who[cutoff]]), pa.array([pairs[a:b].tobytes() for a, b in zip(cutoff, ends, strict=True)], pa.binary())], names=["doc_id", "hash", "runs"])
+        who = occurrence[head]
+        yield _runs_of(docs[who], hashes[who], np.stack([place[head], np.diff(np.r_[head, len(place)])], axis=1))
+
+    def at_once(r):
+        docs, hashes, starts = (np.frombuffer(r[c], np.int64) for c in ("docs", "hashes", "starts"))
+        yield _runs_of(docs, hashes, np.stack([starts, np.frombuffer(r["windows"], np.uint16).astype(np.int64)], axis=1))
 
-    return lambda it: _by_group(it, done)
+    return lambda it: _by_group(it, done, at_once)
 
 
 def _cleaned(kind: Units, text_column: bool):
@@ -256,7 +340,7 @@ def _cleaned(kind: Units, text_column: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool, big: int = BIG) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept (UTF-8) of every document."""
     spark, docs = docs.sparkSession, long_doc(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.xxhash64("text"))
     volume = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1 if kind.dtype == "u1" else 6)
@@ -268,14 +352,16 @@ def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool
     reps = slim.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     copies = slim.join(reps, list(same)).where("doc_id > rep").select("doc_id", "hash", F.lit(True).alias("copy")).distinct()
 
-    packed = docs.select("hash", "text").mapInArrow(_anchors(kind, anchor_groups), "g int, docs binary, counts binary, keys binary")
-    shared = cut(packed.repartition(anchor_groups, "g").sortWithinPartitions("g").mapInArrow(_shared_anchors, "hash long, keys binary"), f"{name}-anchors")
-    wanted = shared.groupBy("hash").agg(F.collect_list("keys").alias("keys"))  # no more of them than the text has windows
+    packed = docs.select("hash", "text").mapInArrow(_anchors(kind, anchor_groups), _ANCHORS)
+    shared = cut(packed.repartitionById(anchor_groups, "g").sortWithinPartitions("kind", "g").mapInArrow(_shared_anchors(big), "hash long, keys binary"), f"{name}-anchors")
+    common = [np.frombuffer(r["keys"], np.uint64) for r in shared.where("hash is null").collect()]  # bounded, see BIG
+    common = np.concatenate(common) if common else np.zeros(0, np.uint64)
+    wanted = shared.where("hash is not null").groupBy("hash").agg(F.collect_list("keys").alias("keys"))  # no more of them than the text has windows
     wanted = wanted.join(reps, "hash").select(F.col("rep").alias("doc_id"), "hash", "keys")
     n = partitions(spark, volume, 64 << 20)
     dealt = docs.repartition(n, "doc_id")
-    both = dealt.join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups), "g int, docs binary, hashes binary, starts binary, windows binary, anchors binary, units binary")
-    gone = both.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(_found(kind, least), "doc_id long, hash long, runs binary")
+    both = dealt.join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups, common), _SEGMENTS)
+    gone = both.repartitionById(groups, "g").sortWithinPartitions("kind", "g").mapInArrow(_found(kind, least), "doc_id long, hash long, runs binary")
     gone = gone.groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("runs"))
     last = ", kept binary" if kept else ""
     final = dealt.join(gone, ["doc_id", "hash"], "left").join(copies, ["doc_id", "hash"], "left").select("doc_id", "text", "runs", "copy")

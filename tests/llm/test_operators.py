@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from clipweave.llm import bwt_merge, catalog, components, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk
 
+from ..conftest import SF  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES, BPE = catalog.tokenizer_path("piece_bpe_32k.model"), catalog.tokenizer_path("word_bpe_49k.json")
 
@@ -84,6 +86,28 @@ def test_repeats_edges(spark, docs, empty):
     assert got == [(1, 0), (1, 0), (2, 90)]
 
 
+@pytest.mark.parametrize("big", [3, 10**6])
+def test_repeats_of_a_common_passage(spark, big):
+    """One passage in all documents, copies and cuts of it among them: many equal segments in a slice, others at its edges."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{k}" for k in range(70)]
+    texts = {}
+    for k in range(260):
+        a, b = sorted(rng.integers(0, 71, 2)) if k % 7 == 0 else (0, 70)
+        own = [f"d{int(x)}" for x in rng.integers(0, 40, int(rng.integers(0, 30)))]
+        texts[k] = " ".join(own + passage[a:b] + [f"e{int(x)}" for x in rng.integers(0, 40, int(rng.integers(0, 30)))])
+    texts |= {300: texts[5], 301: texts[5], 302: None, 303: " ".join(passage * 3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    words = {d: tuple(WORD.findall(t or "")) for d, t in texts.items()}
+    gone = removed(words, 20)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_tree.remove_repeated_words(docs, width=20, kept=False, big=big).collect()}
+    assert got == {d: sum(g) for d, g in gone.items()}
+    raw = {d: (t or "").encode() for d, t in texts.items()}
+    gone = removed(raw, 50)
+    got = {r["doc_id"]: r["n_removed"] for r in bwt_merge.remove_repeated_bytes(docs, kept=False, big=big).collect()}
+    assert got == {d: sum(g) for d, g in gone.items()}
+
+
 def structures(module, make, rng):
     for _ in range(40):
         width, base = int(rng.integers(2, 12)), rng.integers(97, 97 + int(rng.integers(1, 5)), 300)
@@ -323,6 +347,40 @@ def test_quality_rules_end_to_end(spark, docs, empty):
     assert quality_rules.quality_rules(empty, labels).count() == 0 and quality_rules.quality_rules(docs, labels.where("false")).count() == docs.count()
 
 
+def test_quality_query_by_hand(spark, duck):
+    """The registered query against SQL for the base columns, and its verdicts against the learned rules applied by hand."""
+    sf = SF.replace("sf0.001", "sf0.01")  # the smallest table of which rules are learned
+    got = {r["doc_id"]: r for r in catalog.op9_quality_rules(spark, sf).collect()}
+    base = duck.execute(rf"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from '{sf}/documents.parquet'
+        ), tri as (select doc_id, i, w[i:i + 2] as t from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+        ), twice as (select doc_id, t from tri group by all having count(*) > 1
+        ), rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from tri join twice using (doc_id, t)) group by doc_id)
+        select d.doc_id, len(w), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), coalesce(list_sum(list_transform(w, lambda x: length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')))), 0),
+               len(ls) - len(list_distinct(ls)), coalesce(n, 0) from d left join rep using (doc_id)""").fetchall()
+    assert {d: tuple(map(int, r)) for d, *r in base} == {d: tuple(r[c] for c in quality_rules.STATS) for d, r in got.items()}
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels)
+    assert rules
+    for r in docs.collect():
+        x = dict(zip(quality_rules._NAMES, quality_rules.text_stats((r["text"] or "").encode()), strict=True))
+        first = None
+        if not (x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]):
+            value = {f: eval(e.replace("greatest", "max").replace("cast(n_words as double)", "n_words"), {}, x | {"max": max}) for f, e in quality_rules.FEATURES.items()}  # noqa: S307
+            first = next((k for k, rule in enumerate(rules, 1) if all(value[f] >= t if up else value[f] <= t for f, up, t in rule.conditions)), None)
+        g = got[r["doc_id"]]
+        assert (g["base_failed"], g["rule"], g["kept"]) == (x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"], first, not g["base_failed"] and first is None)
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(3000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 6000, 2)] + [(4, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    for sample in (100, 700, 5000):
+        rows = quality_rules._sampled(docs, labels, sample).collect()
+        assert len(rows) == len({r["doc_id"] for r in rows}) and len(rows) <= sample
+        assert len(rows) == 1500 if sample == 5000 else len(rows) > 0.8 * sample
+
+
 def share_by_hand(budget, cap, weight):
     """Water-filling in small steps over exact fractions."""
     from fractions import Fraction
@@ -403,6 +461,61 @@ def test_pieces_nbest(text):
         assert all(by[tuple(x.tolist())] == s for x, s in zip(ids, scores)) and model.decode(ids[0]) == text
 
 
+def k_best(model, unit, k):
+    """Scores of the k best segmentations by dynamic programming forward, another way than the search."""
+    best = [[0.0]]
+    for b in range(1, len(unit) + 1):
+        here = []
+        for a in range(max(0, b - model.longest), b):
+            if unit[a:b] in model.ids:
+                here += [x + model.score[model.ids[unit[a:b]]] for x in best[a]]
+            elif b - a == 1:
+                here += [x + model.floor for x in best[a]]
+        best.append(sorted(here, reverse=True)[:k])
+    return best[-1]
+
+
+def test_pieces_of_long_units():
+    model, rng = pieces.lattice(PIECES), np.random.default_rng(21)
+    for n, letters in ((49, "abcdeé"), (60, "0123456789abcdef"), (130, "thean日本"), (400, "ab")):
+        unit = "".join(rng.choice(list(letters), n))
+        got = model.search(unit, 5)
+        assert [s for s, _ in got] == k_best(model, unit, 5) and len({ids for _, ids in got}) == 5
+        for s, ids in got:
+            assert model.decode_bytes(np.array(ids)) == unit.encode()[1:]  # less the place of the space in front
+    # Short units go through arrays: the same answer as the search, ties included.
+    for unit in {"".join(rng.choice(list("then"), int(rng.integers(1, 40)))) for _ in range(60)}:
+        model._forget()
+        model._learn([unit])
+        both = model.search(unit, 2)
+        assert tuple(model.flat.tolist()) == both[0][1] and model.scores[0] == both[0][0]
+        assert model.losses[0] == (both[0][0] - both[1][0] if len(both) > 1 else np.inf)
+    model._forget()
+
+
+def test_pieces_memory_grows_with_the_unit():
+    import tracemalloc
+
+    model, rng = pieces.lattice(PIECES), np.random.default_rng(22)
+    text = "".join(rng.choice(list("0123456789abcdef"), 100_000))
+    tracemalloc.start()
+    best, scores = model.nbest(text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    model._forget()
+    assert peak < 64 << 20 and len(best) == 4 and scores == sorted(scores, reverse=True) and all(model.decode(x) == text for x in best)
+
+
+def test_pieces_against_the_library():
+    """Ids are those of the likeliest pieces, not of the merges: most words are cut alike, and texts have about as many pieces."""
+    import sentencepiece
+
+    model, sp = pieces.lattice(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = "the cat and other small animals were sleeping near an old river while children played football with their parents under tall trees".split()
+    assert sum(model.nbest(w, 1)[0][0].tolist() == sp.encode(w) for w in words) >= 0.6 * len(words)
+    assert len(model.nbest(" ".join(words), 1)[0][0]) <= 1.1 * len(sp.encode(" ".join(words)))
+
+
 def test_pieces_table(spark, docs, texts, empty):
     got = pieces.encode(docs, PIECES, nbest=3)
     rows = {r["doc_id"]: r for r in got.collect()}
