@@ -23,8 +23,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotation.render(quotation.reply_order(_table(spark, sf_dir, "conversations")))
-    return out.select("conv_id", "turn", "role", "n_quotes", "n_linked", "max_level", F.coalesce("parent_turn", F.lit(-1)).cast("long").alias("parent_turn"), "root_turn", "depth", F.sha2("chat", 256).alias("chat_sha256"))
+    out = quotation.threads(quotation.render(quotation.reply_order(_table(spark, sf_dir, "conversations"))))
+    return out.withColumn("chat", F.sha2("chat", 256)).withColumnRenamed("chat", "chat_sha256")
 
 
 def op2_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,7 @@ def _normal_sql(text: str) -> str:
     return f"translate(trim(regexp_replace({text}, '{_BLANK}+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_RUN = quotation.RUN
 _OP1 = rf"""
 with recursive m as (
   select row_number() over () as id, conv_id as c, turn as t, role, coalesce(text, '') as body, string_split(coalesce(text, ''), chr(10)) as ls from conversations
@@ -92,24 +93,43 @@ with recursive m as (
   select id, string_agg(line, chr(10) order by pos) filter (where level = 0 and not (regexp_matches(line, '{quotation.LEAD}') and after > 0)) as o from nxt group by id
 ), own as (
   select m.id, m.c, m.t, regexp_replace(coalesce(o, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g') as own from m left join own0 on m.id = own0.id
-), unit as (
-  select c, t, {_normal_sql("u")} as u from (select c, t, own as u from own union all select c, t, unnest(regexp_split_to_array(own, '\n[\x20\x09-\x0D]*\n')) from own union all select c, t, unnest(string_split(own, chr(10))) from own)
-), origin as (select c, u, min(t) as origin from unit where u <> '' group by c, u
+), saying as (select *, list_filter(list_transform(string_split(own, chr(10)), lambda x: {_normal_sql("x")}), lambda x: x <> '') as said from own
 ), passage as (
-  select id, c, t, level, run, min(pos) as pos, {_normal_sql("string_agg(regexp_replace(line, '" + quotation.MARKS + "', ''), chr(10) order by pos)")} as u from runs where level > 0 group by id, c, t, level, run
-), link as (
-  select p.*, case when o.origin < p.t then o.origin end as origin from passage p left join origin o on o.c = p.c and o.u = p.u where p.u <> ''
-), told as (select id, count(*) as q, count(origin) as n, max(level) as l from link group by id
+  select * from (
+    select id, c, t, level, run, min(pos) as pos, list_filter(list({_normal_sql("regexp_replace(line, '" + quotation.MARKS + "', '')")} order by pos), lambda x: x <> '') as said
+    from runs where level > 0 group by id, c, t, level, run
+  ) where len(said) > 0
+), size as (select distinct c, least(len(said), {_RUN}) as k from passage
+), unit as (
+  select c, t, {_normal_sql("u")} as u from (select c, t, own as u from own union all select c, t, unnest(regexp_split_to_array(own, '\n[\x20\x09-\x0D]*\n')) from own)
+  union all select c, t, unnest(said) from saying
+  union all select c, t, array_to_string(said[i:i + k - 1], ' ') from (select s.c, s.t, said, k, unnest(range(1, len(said) - k + 2)) as i from saying s join size on size.c = s.c where len(said) >= k)
+), has as (select distinct c, t, u from unit where u <> ''
+), origin as (select c, u, min(t) as origin from has group by c, u
+), whole as (
+  select p.*, case when o.origin < p.t and (len(said) <= {_RUN} or exists (select 1 from has h where h.c = p.c and h.t = o.origin and h.u = array_to_string(said[-{_RUN}:], ' '))) then o.origin end as origin
+  from passage p left join origin o on o.c = p.c and o.u = array_to_string(case when len(said) <= {_RUN} then said else said[1:{_RUN}] end, ' ')
+), vote as (
+  select id, w.c, w.t, level, run, len(said) as n, o.origin as origin, count(*) as votes from (select *, unnest(said) as l from (select * exclude origin from whole where origin is null)) w
+  join origin o on o.c = w.c and o.u = w.l where o.origin < w.t group by id, w.c, w.t, level, run, len(said), o.origin having 2 * count(*) >= len(said)
+), most as (select id, level, run, arg_min(origin, (-votes, origin)) as most from vote group by id, level, run
+), link as (select w.* exclude origin, coalesce(origin, most) as origin from whole w left join most using (id, level, run)
+), told as (select id, count(*) as q, count(origin) as n from link group by id
 ), parent as (select c, t, arg_min(origin, (level, pos, origin)) as parent from link where origin is not null group by c, t
 ), up as (
-  select c, t, parent as root, 1 as depth from parent
-  union all select up.c, up.t, p.parent, up.depth + 1 from up join parent p on p.c = up.c and p.t = up.root
-), top as (select c, t, min(root) as root, max(depth) as depth from up group by c, t
+  select c, t, parent as root, [parent, t] as path from parent
+  union all select up.c, up.t, p.parent, [p.parent] || up.path from up join parent p on p.c = up.c and p.t = up.root
+), top as (select c, t, min(root) as root, arg_max(path, len(path)) as path from up group by c, t
+), turns as (
+  select *, row_number() over (partition by c, root order by path) - 1 as place from (select distinct m.c, m.t, coalesce(root, m.t) as root, coalesce(path, [m.t]) as path from m left join top on top.c = m.c and top.t = m.t)
+), msg as (
+  select m.c, turns.root, turns.place, m.t, coalesce(parent.parent, -1) as parent, coalesce(told.q, 0) as q, coalesce(told.n, 0) as n, coalesce(m.role, '') as role, own.own,
+         '<|' || coalesce(m.role, '') || '|>' || chr(10) || own.own || chr(10) as chat
+  from m join own on own.id = m.id join turns on turns.c = m.c and turns.t = m.t left join told on told.id = m.id left join parent on parent.c = m.c and parent.t = m.t
 )
-select m.c as conv_id, m.t as turn, m.role, coalesce(told.q, 0)::bigint as n_quotes, coalesce(told.n, 0)::bigint as n_linked, coalesce(told.l, 0)::bigint as max_level,
-       coalesce(parent.parent, -1)::bigint as parent_turn, coalesce(top.root, m.t) as root_turn, coalesce(top.depth, 0)::bigint as depth,
-       sha256('<|' || coalesce(m.role, '') || '|>' || chr(10) || own.own || chr(10)) as chat_sha256
-from m join own on own.id = m.id left join told on told.id = m.id left join parent on parent.c = m.c and parent.t = m.t left join top on top.c = m.c and top.t = m.t
+select c as conv_id, root as root_turn, (place // 64)::bigint as part, count(*) as n_messages, string_agg(t::varchar, ',' order by place, role, own) as turns,
+       string_agg(parent::varchar, ',' order by place, role, own) as parents, sum(q)::bigint as n_quotes, sum(n)::bigint as n_linked, sha256(string_agg(chat, '' order by place, role, own)) as chat_sha256
+from msg where c is not null and t is not null group by 1, 2, 3
 """
 
 _OP2 = r"""

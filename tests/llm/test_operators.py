@@ -6,12 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from clipweave.llm import bwt_merge, catalog, components, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk
 
-from ..conftest import SF  # noqa: E402
+from ..conftest import SF, plain
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES, BPE = catalog.tokenizer_path("piece_bpe_32k.model"), catalog.tokenizer_path("word_bpe_49k.json")
@@ -614,5 +615,63 @@ def test_quotation(spark):
     assert [(by[1, k]["text"], by[1, k]["parent_turn"], by[1, k]["root_turn"], by[1, k]["depth"]) for k in range(7)] == [
         ("Hello there.\nHow are you?", None, 0, 0), ("Fine.", 0, 0, 1), ("Good.", 1, 0, 2), ("hm", None, 3, 0), ("ok", 2, 0, 3), ("self", 4, 0, 4), ("later", None, 6, 0)]
     assert (by[1, 2]["n_quotes"], by[1, 2]["n_linked"], by[1, 2]["max_level"]) == (2, 2, 2) and by[3, 0]["text"] == "a > b" and by[2, 0]["text"] == "" and by[None, 0]["n_linked"] == 0
-    assert [r["turn"] for r in quotation.render(got).where("conv_id = 1").collect()] == [0, 1, 2, 4, 5, 3, 6]
+    order = quotation.render(got).where("conv_id = 1").orderBy("root_turn", "place").collect()
+    assert [r["turn"] for r in order] == [0, 1, 2, 4, 5, 3, 6] and [r["place"] for r in order] == [0, 1, 2, 3, 4, 0, 0]
     assert quotation.reply_order(df.where("false")).count() == 0 and quotation.quote_links(df).count() == 7
+
+
+def planted_conversations(rng, n=60):
+    """(rows, turn each reply truly answers): replies quote runs of lines of an earlier message, some re-wrapped, some with a line of their own inside."""
+    rows, truth = [], {}
+    for conv in range(n):
+        said = []
+        for turn in range(int(rng.integers(3, 14))):
+            own = [" ".join(f"w{int(x)}" for x in rng.integers(0, 500, int(rng.integers(2, 9)))) for _ in range(int(rng.integers(1, 26)))]
+            text = list(own)
+            if said and rng.random() < 0.8:
+                k = int(rng.integers(0, len(said)))
+                a = int(rng.integers(0, len(said[k])))
+                quoted = said[k][a : a + int(rng.integers(1, 24))]
+                if rng.random() < 0.2 and len(quoted) > 2:
+                    quoted = [*quoted[:2], f"on day {turn} someone said", *quoted[2:]]
+                elif rng.random() < 0.2 and a == 0 and len(quoted) == len(said[k]):
+                    quoted = [" ".join(quoted).upper()]
+                text = [*(f"{rng.choice(['> ', '>', ' >  '])}{q}" for q in quoted), "", *own]
+                truth[conv, turn] = k
+            said.append(own)
+            rows.append((conv, turn, "user" if turn % 2 else "bot", "\n".join(text)))
+    return rows, truth
+
+
+def test_quotation_recall_and_sql(spark, duck):
+    rows, truth = planted_conversations(np.random.default_rng(31))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.reply_order(df).collect()}
+    hits = sum(got[k]["parent_turn"] == v for k, v in truth.items())
+    assert hits >= 0.95 * len(truth) and all(r["parent_turn"] is None for k, r in got.items() if k not in truth)
+    for (conv, turn), r in got.items():  # a reply stands after its parent, before whatever is no descendant of it
+        if r["parent_turn"] is not None:
+            above = got[conv, r["parent_turn"]]
+            assert r["place"] > above["place"] and r["depth"] == above["depth"] + 1 and r["root_turn"] == above["root_turn"]
+            later = [x for (c, _), x in got.items() if c == conv and x["root_turn"] == r["root_turn"] and above["place"] < x["place"] < r["place"]]
+            assert all(x["depth"] > above["depth"] for x in later)
+    own = duck.cursor()
+    own.register("planted", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = own.execute(catalog.SQL["op1_quotation_linking"].replace("from conversations", "from planted")).df()
+    out = quotation.threads(quotation.render(quotation.reply_order(df)))
+    assert plain(out.withColumn("chat", F.sha2("chat", 256)).withColumnRenamed("chat", "chat_sha256").toPandas()) == plain(want)
+
+
+def test_quotation_excerpts(spark):
+    text = "first line\nsecond line\nthird line\n\nlast paragraph"
+    replies = ["> first line\n> second line\nyes", "> third line\n>\n> last paragraph\nyes", "> second line\n> third line\n> -- \n> my signature\nyes", "> none of it\n> at all\nno"]
+    df = spark.createDataFrame([(1, 0, "a", text), *((1, k, "b", t) for k, t in enumerate(replies, 1))], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["parent_turn"] for r in quotation.reply_order(df).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: 0, 4: None}
+    long = "\n".join(f"line {k}" for k in range(3000))
+    df = spark.createDataFrame([(1, 0, "a", long), (1, 1, "b", "\n".join(f"> line {k}" for k in range(500, 2500)))] + [(2, k, "c", f"> m{k - 1}\nm{k}") for k in range(150)], "conv_id long, turn long, role string, text string")
+    out = quotation.reply_order(df)
+    assert out.where("conv_id = 1 and turn = 1").first()["parent_turn"] == 0
+    parts = quotation.threads(quotation.render(out)).where("conv_id = 2").orderBy("part").collect()
+    assert [r["n_messages"] for r in parts] == [64, 64, 22] and ",".join(r["turns"] for r in parts) == ",".join(map(str, range(150)))
+    assert quotation.threads(quotation.render(quotation.reply_order(df.where("false")))).count() == 0
