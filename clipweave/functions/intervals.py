@@ -50,3 +50,26 @@ def affinity(a: Column, b: Column) -> Column:
     for (x, y), v in AFFINITY.items():
         out = out.when(((a == x) & (b == y)) | ((a == y) & (b == x)), v)
     return out.otherwise(0.0)
+
+
+def delta(reference: Column, generated: Column, *, relative: float, seconds: float) -> Column:
+    """Tolerance of the relaxed IoU: the largest of ``relative`` and ``seconds`` by either duration; durations of 0 and null ones give none."""
+    part = lambda d: F.when(d != 0, seconds / d)
+    return F.greatest(F.lit(relative), part(reference), part(generated))
+
+
+def sanitized(s: Column, e: Column, total: Column) -> tuple[Column, Column]:
+    """An event's ends in order, as shares of ``total``, held to 0 and 1."""
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / total))
+    return held(F.least(s, e)), held(F.greatest(s, e))
+
+
+def custom_affinity(a: Column, b: Column, pairs: dict[tuple[str, str], float]) -> Column:
+    """Similarity of two relation names by ``pairs``, symmetric, the larger of two entries for one pair; 1 for equal names, else 0."""
+    both: dict[tuple[str, str], float] = {}
+    for (x, y), v in pairs.items():
+        both[min(x, y), max(x, y)] = max(v, both.get((min(x, y), max(x, y)), 0.0))
+    out = F.when(a == b, 1.0)
+    for (x, y), v in both.items():
+        out = out.when(((a == x) & (b == y)) | ((a == y) & (b == x)), v)
+    return out.otherwise(0.0)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import event_total as sc
 from ..functions import intervals as iv
+from ..operators import assign
+from ..operators import events as ev
 from ..operators import intervals as op
 from .registry import intervals, lane_pairs, lanes, query, r4, table
 
@@ -60,7 +63,7 @@ _AFF = "(values " + ", ".join(f"('{a}', '{b}', {v}), ('{b}', '{a}', {v})" for (a
 
 
 @query(f"""{ZIP}, two as (
-  select x.key, {ALLEN.format(a="x.r", b="y.r").replace("x.rs", "x.rs")} as rr, {ALLEN.format(a="x.g", b="y.g")} as gr from matched x join matched y on x.key = y.key and x.rn < y.rn
+  select x.key, {ALLEN.format(a="x.r", b="y.r")} as rr, {ALLEN.format(a="x.g", b="y.g")} as gr from matched x join matched y on x.key = y.key and x.rn < y.rn
 ) select t.key, count(*) as n_relations, count(*) filter (where rr = gr) as n_equal, round(avg(case when rr = gr then 1.0 else coalesce(aff.v, 0.0) end) * 100, 4) as erel
 from two t left join {_AFF} on t.rr = aff.a and t.gr = aff.b group by t.key""")
 def allen_affinity_score(spark: SparkSession, d: str) -> DataFrame:
@@ -102,39 +105,56 @@ def ecr_f1(spark: SparkSession, d: str) -> DataFrame:
     return _ecr(spark, d).select("key", r4(F.col("cov"), "coverage"), r4(F.col("prec"), "prec"), r4(F.col("f1"), "ecr"))
 
 
-@query(_ECR + """, g as (select key, 100 * sum(sqrt(re - rs) * (rval / (rval + gval))) / sum(sqrt(re - rs)) as ega, count(*) as n from matched where re > rs group by key)
-select p.key, n is not null and n > 1 as erel_valid,
- round(case when coalesce(n, 0) > 1 then 0.2 * coalesce(ega, 0) + 0.2 * 50 + 0.6 * case when cov + prec > 0 then 200 * cov * prec / (cov + prec) else 0 end
-            else 0.2 * coalesce(ega, 0) + 0.8 * case when cov + prec > 0 then 200 * cov * prec / (cov + prec) else 0 end end, 4) as s_event
-from p left join g using (key)""")
-def s_event_reweighted(spark: SparkSession, d: str) -> DataFrame:
-    """Weights .2/.2/.6, and .2/.8 without a relation score; 50 stands in for it. ``s_event_end_to_end`` has the true one."""
-    both = _ega_ecr(spark, d).withColumn("erel_valid", F.coalesce(F.col("n") > 1, F.lit(False)))
-    e = F.coalesce("ega", F.lit(0.0))
-    return both.select("key", "erel_valid", r4(F.when(F.col("erel_valid"), 0.2 * e + 0.2 * 50 + 0.6 * F.col("f1")).otherwise(0.2 * e + 0.8 * F.col("f1")), "s_event"))
-
-
 def _ega_ecr(spark: SparkSession, d: str) -> DataFrame:
     w, q = F.sqrt(F.col("r_e") - F.col("r_s")), F.col("r_value") / (F.col("r_value") + F.col("g_value"))
     ega = _zipped(spark, d).where("r_e > r_s").groupBy("key").agg((100 * F.sum(w * q) / F.sum(w)).alias("ega"), F.count("*").alias("n"))
     return _ecr(spark, d).join(ega, "key", "left")
 
 
-@query(_ECR + f""", g as (select key, 100 * sum(sqrt(re - rs) * (rval / (rval + gval))) / sum(sqrt(re - rs)) as ega from matched where re > rs group by key
+_TOTAL = f""", g as (select key, 100 * sum(sqrt(re - rs) * (rval / (rval + gval))) / sum(sqrt(re - rs)) as ega from matched where re > rs group by key
 ), two as (
   select x.key, {ALLEN.format(a="x.r", b="y.r")} as rr, {ALLEN.format(a="x.g", b="y.g")} as gr from matched x join matched y on x.key = y.key and x.rn < y.rn
 ), rel as (
   select t.key, avg(case when rr = gr then 1.0 else coalesce(aff.v, 0.0) end) * 100 as erel from two t left join {_AFF} on t.rr = aff.a and t.gr = aff.b group by t.key
 ), f as (select *, case when cov + prec > 0 then 200 * cov * prec / (cov + prec) else 0 end as f1 from p)
-select f.key, erel is not null as erel_valid, round(erel, 4) as erel,
+"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return _ega_ecr(spark, d).join(_relations(spark, d).select("key", "erel"), "key", "left")
+
+
+@query(_ECR + _TOTAL + """select f.key, erel is not null as erel_valid,
+ round(case when erel is not null then 0.2 * coalesce(ega, 0) + 0.2 * erel + 0.6 * f1 else 0.2 * coalesce(ega, 0) + 0.8 * f1 end, 4) as s_event,
+ round(case when erel is not null then 0.2 * coalesce(ega, 0) + 0.2 * erel + 0.6 * f1 else 0.5 * coalesce(ega, 0) + 0.5 * f1 end, 4) as s_equal,
+ round(case when erel is not null then 0.2 * coalesce(ega, 0) + 0.2 * erel + 0.6 * f1 else 0.25 * coalesce(ega, 0) + 0.75 * f1 end, 4) as s_proportional
+from f left join g using (key) left join rel using (key)""")
+def s_event_reweighted(spark: SparkSession, d: str) -> DataFrame:
+    """The event total under the three ways to do without a relation score: fixed weights, equal ones, those of the others in proportion."""
+    parts = _parts(spark, d)
+    total = lambda way: sc.event_total(F.col("ega"), F.col("erel"), F.col("f1"), without=way)
+    return parts.select("key", F.col("erel").isNotNull().alias("erel_valid"), r4(total((0.2, 0.8)), "s_event"), r4(total("equal"), "s_equal"), r4(total("proportional"), "s_proportional"))
+
+
+@query(_ECR + _TOTAL + """select f.key, erel is not null as erel_valid, round(erel, 4) as erel,
  round(case when erel is not null then 0.2 * coalesce(ega, 0) + 0.2 * erel + 0.6 * f1 else 0.2 * coalesce(ega, 0) + 0.8 * f1 end, 4) as s_event
 from f left join g using (key) left join rel using (key)""")
 def s_event_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """Weights .2/.2/.6 with the relation score of the key's matches, valid from two matches on; .2/.8 without it."""
-    all_ = _ega_ecr(spark, d).join(_relations(spark, d).select("key", "erel"), "key", "left")
-    e, f1 = F.coalesce("ega", F.lit(0.0)), F.col("f1")
-    total = F.when(F.col("erel").isNotNull(), 0.2 * e + 0.2 * F.col("erel") + 0.6 * f1).otherwise(0.2 * e + 0.8 * f1)
-    return all_.select("key", F.col("erel").isNotNull().alias("erel_valid"), r4(F.col("erel"), "erel"), r4(total, "s_event"))
+    total = sc.event_total(F.col("ega"), F.col("erel"), F.col("f1"), without=(0.2, 0.8))
+    return _parts(spark, d).select("key", F.col("erel").isNotNull().alias("erel_valid"), r4(F.col("erel"), "erel"), r4(total, "s_event"))
+
+
+@query()
+def s_event_optimal(spark: SparkSession, d: str) -> DataFrame:
+    """The event total on the optimal assignment of vectors and times, by the library's own steps from candidates to score."""
+    from . import q_semantic
+
+    ref, gen = lanes(spark, d)
+    matches = assign.match(q_semantic._candidates(spark, d), mode="event").withColumnRenamed("score", "q")
+    side = lambda t, c: t.select("key", F.col(f"{c}_id").alias("id"), F.col(f"{c}_s").alias("s"), F.col(f"{c}_e").alias("e"))
+    out = ev.event_scores(matches, side(ref, "r"), side(gen, "g"))
+    return out.select("key", *(r4(F.col(c), c) for c in ("ega", "erel", "ecr", "s_event")))
 
 
 @query(", d as (select a.key, a.id, b.id as id_r, least(a.e, b.e) - greatest(a.s, b.s) as overlap from iv a join iv b on a.key = b.key and a.lane = 0 and b.lane = 1 and a.s < b.e and b.s < a.e) select key, id, id_r, round(overlap, 4) as overlap from d")

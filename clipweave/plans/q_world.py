@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as v
 from ..streaming import jobs
 from .registry import intervals, query, r4, table
 
@@ -51,43 +49,6 @@ def bank_quality_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(n >= 200).alias("long_answers"), r4(F.avg(n), "mean_length"))
 
 
-MERGE = {"similarity": 0.55, "gap": 43200.0, "least": 2e-3}
-
-
-def fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Adjacent events of one sample whose running, duration-weighted centroid is similar and whose gap is short become one.
-
-    The centroid depends on all members before, so a sample is folded in order; it holds one clip's events.
-    """
-    import numpy as np
-
-    out, cur = [], None
-    for r in frame.sort_values(["s", "e", "id"]).itertuples():
-        if r.e - r.s < MERGE["least"]:
-            continue
-        vec, dur = (None if r.x is None else np.asarray(r.x)), r.e - r.s
-        if cur is None and vec is None:
-            continue
-        if cur and vec is not None and cur["v"] is not None:
-            c = cur["v"] / max(np.linalg.norm(cur["v"]), 1e-12)
-            sim = (float(c @ vec) / max(np.linalg.norm(vec), 1e-12) + 1) / 2
-            if sim >= MERGE["similarity"] and max(0.0, r.s - cur["e"]) <= MERGE["gap"]:
-                cur |= {"e": max(cur["e"], r.e), "n": cur["n"] + 1, "v": cur["v"] + dur * vec}
-                continue
-        if cur:
-            out.append(cur)
-        cur = {"s": r.s, "e": r.e, "n": 1, "v": None if vec is None else dur * vec}
-    out += [cur] if cur else []
-    return pd.DataFrame([(frame["key"].iloc[0], f"m{k:04d}", c["s"], c["e"], c["n"]) for k, c in enumerate(out, 1)], columns=["key", "name", "s", "e", "n"])
-
-
-@query()
-def semantic_adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
-    em = table(spark, d, "embeddings").select("vec_id", v.as_double(F.col("embedding")).alias("x"))
-    x = intervals(spark, d).join(em, "vec_id", "left").select("key", "id", "s", "e", "x")
-    return x.groupBy("key").applyInPandas(fold, "key long, name string, s double, e double, n long")
-
-
 @query(", m as (select *, case when s <= max(e) over (partition by key order by s, e, id rows between unbounded preceding and 1 preceding) + 43200 then 0 else 1 end as fresh from iv where e - s >= 2e-3), i as (select *, sum(fresh) over (partition by key order by s, e, id rows unbounded preceding) as k from m) select key, round(min(s), 4) as s, round(max(e), 4) as e, count(*) as n from i group by key, k")
 def gap_adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.intervals import islands

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Interval stand-in: events as [s, e] in seconds; sample = user and five days; even ids are the reference lane, odd ones the generated.
 STAND_INS = """
-with iv as (
+with recursive iv as (
   select event_id as id, user_id * 100 + floor((epoch_us(ts) / 1e6 - 1704067200.0) / 432000.0)::bigint as key, event_id % 2 as lane,
          epoch_us(ts) / 1e6 - 1704067200.0 as s, epoch_us(ts) / 1e6 - 1704067200.0 + value * 600.0 as e, event_type, value, user_id, event_id % 500 as vec_id
   from events
