@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import cut, partitions
 
 LEVELS = (2, 4, 8, 16)
 #: Candidates and queries of one group: what a task holds at a time; candidates of a tile, queries of a step, pivots.
@@ -153,7 +153,8 @@ def exact_topk(vectors: DataFrame, *, queries: str = "vec_id % 50 = 0", k: int =
             return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts), strict=True)))
 
         left = candidates.withColumn("cb", block(1, blocks)).withColumn("qb", every(q_blocks))
-        right = questions.withColumn("qb", block(2, q_blocks)).withColumn("cb", every(blocks))
+        own = questions.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "d", "least")))  # columns of its own, as both sides come of one table
+        right = own.withColumn("qb", block(2, q_blocks)).withColumn("cb", every(blocks))
         return left.groupBy("d", "cb", "qb").cogroup(right.groupBy("d", "cb", "qb")).applyInArrow(group, "query_id long, vec_id long, score long")
 
     none = asked.withColumn("least", F.lit(None).cast("double"))
@@ -161,6 +162,6 @@ def exact_topk(vectors: DataFrame, *, queries: str = "vec_id % 50 = 0", k: int =
         some = clean.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "vec_id"), 1) < int(SAMPLE / n * (1 << 63)))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         kth = near(some, 1, none).withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-        none = asked.join(kth, "vec_id", "left")
+        none = asked.join(cut(kth, "topk-least"), "vec_id", "left")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near(clean, c_blocks, none).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

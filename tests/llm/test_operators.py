@@ -588,6 +588,30 @@ def test_rans_blocks():
         assert rans.frequencies(counts, 500).sum() == 1 << rans.SCALE
 
 
+def test_topk_prunes_clusters():
+    """Exact on vectors with and without structure; with it, the bounds leave out most pairs before their exact products."""
+    rng = np.random.default_rng(19)
+    near = np.repeat(rng.normal(size=(40, 64)), 150, axis=0) + 0.05 * rng.normal(size=(6000, 64))
+    for x, most in ((rng.normal(size=(3000, 64)), 1.0), (near, 0.5), (rng.integers(0, 2, (2000, 7)).astype(float), 1.0)):
+        c = np.floor(64 * x)
+        ids = rng.permutation(len(c))
+        asks, seen = ids % 50 == 0, np.zeros(5)
+        got = set(zip(*(map(int, r) for r in topk.best(ids, c, ids[asks], c[asks], 5, None, seen)), strict=True))
+        want = set()
+        for i, q in zip(ids[asks], c[asks], strict=True):
+            s = sorted((-int(v), int(j)) for v, j in zip(c @ q, ids, strict=True) if j != i)[:5]
+            want |= {(int(i), j, -v) for v, j in s}
+        assert got == want and seen[-1] <= most * asks.sum() * len(ids)
+
+
+def test_topk_with_thresholds_of_a_sample(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    df = spark.createDataFrame([(i, [float(np.float32(v)) for v in rng.normal(size=16)]) for i in range(900)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, topk.exact_topk(df).collect()))
+    monkeypatch.setattr(topk, "SAMPLE", 100)
+    assert sorted(map(tuple, topk.exact_topk(df).collect())) == want and len(want) == 90
+
+
 def test_topk(spark):
     rng = np.random.default_rng(9)
     v = {i: [float(np.float32(x)) for x in rng.normal(size=12)] for i in range(230)}
