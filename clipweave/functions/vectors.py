@@ -30,8 +30,8 @@ def similarity01(cos: Column) -> Column:
 
 
 def calibrated(cos: Column, tau: float) -> Column:
-    """clip((cos - tau) / (1 - tau), 0, 1)."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos - tau) / (1 - tau)))
+    """clip((cos - tau) / (1 - tau), 0, 1); a missing vector counts as 0."""
+    return F.when(cos.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos - tau) / (1 - tau)))).otherwise(0.0)
 
 
 def fused(name: Column, attributes: Column, *, name_weight: float = 0.4, max_of: bool = False) -> Column:

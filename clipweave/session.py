@@ -32,3 +32,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(at))
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session, where it is unset, gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="clipweave-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

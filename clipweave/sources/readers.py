@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.evidence import bank_stem
 from ..functions.text import stem, tolerant_float
 
-EVENTS = "array<struct<id:string,s:double,e:double,dur:double,members:array<string>,s_abs:double,e_abs:double,dur_abs:double,text:string,emb:array<float>,norm:boolean>>"
+_EVENT = "id:string,eid:string,event_id:string,parent_id:string,s:double,e:double,dur:double,members:array<string>,s_abs:double,e_abs:double,dur_abs:double,text:string,emb:array<float>,embedding:array<float>,vec:array<float>,norm:boolean"
+EVENTS = f"array<struct<{_EVENT}>>"
+VIDEO_ENDS = ("mp4", "avi", "mov", "mkv", "webm")
 # The headers under which score tables carry a column, first non-null first.
 HEADERS = {
     "modelname": ("modelname", "model", "模型"),
@@ -24,14 +27,114 @@ def sample_of(path: Column) -> Column:
     return F.regexp_replace(stem(path), r"\.newevents$", "")
 
 
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, name, doc, error): a row per JSON file; a broken one has no doc and tells what is wrong, so that it is not
+    taken for an empty one. Files of no bytes at all are not read by Spark, and have no row."""
+    files = spark.read.format("binaryFile").load(path)
+    raw = files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("content").cast("string").alias("value"))
+    whole = raw.withColumn("_ok", F.try_parse_json("value").isNotNull())
+    error = F.when(F.col("value").rlike(r"^\s*$"), "empty file").when(~F.col("_ok"), F.concat(F.lit("not JSON: "), F.left(F.trim("value"), F.lit(80))))
+    return whole.select("path", "name", F.when(F.col("_ok"), F.from_json("value", schema)).alias("doc"), error.alias("error"))
+
+
+def _event_rows(raw: DataFrame) -> DataFrame:
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", EVENTS)).otherwise(F.from_json("value", f"struct<events:{EVENTS}>")["events"])
+    x = raw.select(sample_of(F.col("path")).alias("sample_id"), F.explode(listed).alias("x"))
+    vec = F.coalesce("x.emb", "x.embedding", "x.vec")
+    kept = ("s", "e", "dur", "members", "s_abs", "e_abs", "dur_abs", "text", "norm", "parent_id")
+    return x.select("sample_id", F.coalesce("x.id", "x.eid", "x.event_id").alias("id"), *(f"x.{c}" for c in kept), vec.alias("emb"))
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A row per event of JSON files that hold either an array or ``{"events": [...]}``; broken files give no rows.
+    """A row per event of JSON files that hold either an array or ``{"events": [...]}``, ids and vectors under any of their usual names.
 
-    Columns: sample_id and the fields of an event. Files are read whole as text, one row each, and parsed on the executors.
+    Columns: sample_id and the fields of an event. Files are read whole as text, one row each, and parsed on the executors. Broken files give no
+    events; ``broken_files`` names them.
     """
+    return _event_rows(spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path")))
+
+
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the JSON files that cannot be read."""
+    return read_documents(spark, path, "variant").where("error is not null").select("path", "error")
+
+
+def unit_vectors(events: DataFrame) -> DataFrame:
+    """``events`` with ``emb`` of length 1; one without length, or with what is no number, is null."""
+    n = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda t, x: t + x * x))
+    return events.withColumn("emb", F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform("emb", lambda x: (x / n).cast("float"))))
+
+
+def are_micro(events: DataFrame) -> DataFrame:
+    """(sample_id, micro): whether a sample's vectors are of parts of events, by their parents or the ``#`` in their ids."""
+    return events.groupBy("sample_id").agg(F.bool_or(F.col("parent_id").isNotNull() | F.col("id").contains("#")).alias("micro"))
+
+
+def event_texts(events: DataFrame) -> DataFrame:
+    """(sample_id, id, text): of micro events the parent's, its clauses joined by `` | `` in order."""
+    parent = F.coalesce("parent_id", F.regexp_replace("id", "#.*$", ""))
+    part = F.coalesce(F.regexp_extract("id", "#([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return events.where("text is not null").groupBy("sample_id", parent.alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part.alias("k"), "text"))), lambda x: x["text"]), " | ").alias("text"))
+
+
+def span_map(events: DataFrame) -> DataFrame:
+    """(sample_id, id, s, e): spans in seconds, else as they are, else 0; of repeated ids the first by start."""
+    x = events.select("sample_id", "id", F.coalesce("s_abs", "s", F.lit(0.0)).alias("s"), F.coalesce("e_abs", "e", F.lit(0.0)).alias("e")).where("id is not null")
+    return x.groupBy("sample_id", "id").agg(F.min(F.struct("s", "e")).alias("x")).select("sample_id", "id", "x.s", "x.e")
+
+
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, k, s, e) of scene files, each a list of pairs of seconds."""
+    d = read_documents(spark, path, "array<array<double>>").select(sample_of(F.col("path")).alias("sample_id"), F.posexplode("doc").alias("k", "x"))
+    return d.where(F.size("x") >= 2).select("sample_id", "k", F.get("x", F.lit(0)).alias("s"), F.get("x", F.lit(1)).alias("e"))
+
+
+def read_samples(spark: SparkSession, path: str, themes: list[str] | None = None) -> DataFrame:
+    """(sample_id, theme, prompt) of JSON lines; bad lines and those without an id are left out, and themes other than ``themes``."""
+    rows = spark.read.schema("sample_id string, id string, topic string, theme string, prompt string").option("mode", "DROPMALFORMED").json(path)
+    out = rows.select(F.coalesce("sample_id", "id").alias("sample_id"), F.coalesce("topic", "theme").alias("theme"), "prompt").where("sample_id is not null")
+    return out.where(F.col("theme").isin(themes)) if themes is not None else out
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, theme, shot_type, prompt) of ``theme/name_single_001.txt`` files; empty ones are left out."""
     raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    listed = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", EVENTS)).otherwise(F.from_json("value", f"struct<events:{EVENTS}>")["events"])
-    return raw.select(sample_of(F.col("path")).alias("sample_id"), F.explode(listed).alias("x")).select("sample_id", "x.*")
+    name = stem(F.col("path"))
+    shot = F.lower(F.regexp_extract(name, r"(?i)_(single|multi)(?:_|$)", 1))
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return raw.select(name.alias("video_id"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("theme"), F.when(shot == "", "single").otherwise(shot).alias("shot_type"), text.alias("prompt")).where("prompt <> ''")
+
+
+def video_index(files: DataFrame) -> DataFrame:
+    """(stem, path): videos (path) by normalised stem; of several the last path stands."""
+    ends = "|".join(VIDEO_ENDS)
+    return files.where(F.col("path").rlike(rf"(?i)\.({ends})$")).groupBy(bank_stem(stem(F.col("path"))).alias("stem")).agg(F.max("path").alias("path"))
+
+
+def bank_index(banks: DataFrame) -> DataFrame:
+    """(stem, path): banks (path, video) by the stem of their file's name, else by that of the video they name; the first path stands."""
+    of = lambda c, prio: banks.select(bank_stem(stem(F.col(c))).alias("stem"), "path", F.lit(prio).alias("_prio"))
+    both = of("path", 0).union(of("video", 1)).where("stem <> ''")
+    return both.groupBy("stem").agg(F.min(F.struct("_prio", "path")).alias("x")).select("stem", "x.path")
+
+
+def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, of UTF-8 with or without a mark, or of GBK where a file is no UTF-8; columns that some lack are null there.
+
+    Which files are which is told by their bytes; what goes to the driver is their names, as Spark's own listing does.
+    """
+    kinds = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("plain")).collect()
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's own list has no GBK
+    parts = []
+    for encoding, plain in (("UTF-8", True), ("GBK", False)):
+        if files := [r["path"] for r in kinds if r["plain"] == plain]:
+            for f in files:  # headers differ from file to file
+                t = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(f)
+                parts.append(t.toDF(*(c.lstrip("\ufeff") for c in t.columns)))
+    out = parts[0]
+    for t in parts[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def _plain(name: str) -> str:

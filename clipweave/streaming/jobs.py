@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="clipweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..session import shared_dir
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, *, files: int = 16) -> DataFrame:
@@ -69,15 +61,27 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_upserts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Update mode: the changed rows of each micro-batch are put over the table so far. A batch that runs again writes the same version."""
+    """Update mode: each micro-batch's changed rows are written beside those before, and the newest row of a key stands.
+
+    A batch costs what it changes, not the table; a batch that runs again writes the same folder. Reading takes one pass
+    over all versions, which ``compact`` may put into one.
+    """
     spark, place = df.sparkSession, _place(df.sparkSession, name)
 
     def put(batch: DataFrame, k: int) -> None:
-        s = batch.sparkSession
-        old = s.read.parquet(f"{place}/out/{k - 1:08d}") if k else None
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{place}/out/{k:08d}")
-        s.createDataFrame([(k,)], "k long").coalesce(1).write.mode("overwrite").parquet(f"{place}/latest")
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={k}")
 
     q = df.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.parquet(_latest(spark, place))
+    return newest(spark.read.parquet(f"{place}/out"), keys)
+
+
+def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the last batch of each key."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return versions.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "batch")
+
+
+def compact(versions: DataFrame, keys: list[str], path: str) -> None:
+    """Write what stands as one table at ``path``."""
+    newest(versions, keys).write.mode("overwrite").parquet(path)
