@@ -24,6 +24,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+def unit(a: Column) -> Column:
+    """A vector at length 1; null where it has none."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x / n))
+
+
 def similarity01(cos: Column) -> Column:
     """Event similarity (cos + 1) / 2; a missing vector counts as 0."""
     return F.coalesce((cos + 1) / 2, F.lit(0.0))

@@ -1,13 +1,15 @@
 """One-to-one assignment within each key: optimal (two paddings) and greedy.
 
-A key's matrix is small - the items of one pair of clips - and keys spread over the cluster, so each key is one
-grouped Arrow call; the solver is the shortest augmenting path on a NumPy cost matrix.
+A key's matrix is small - the items of one pair of clips - and keys spread over the cluster; the solver is the shortest
+augmenting path on a NumPy cost matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FORBIDDEN, DUMMY = 1e6, 0.999  # Fixed values of the padded cost matrix.
@@ -67,22 +69,41 @@ def greedy(score: np.ndarray, gate: float) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _chosen(ref: np.ndarray, gen: np.ndarray, score: np.ndarray, gated: np.ndarray, mode: str, gate: float) -> list[tuple[int, int, float]]:
+    refs, i = np.unique(ref, return_inverse=True)
+    gens, j = np.unique(gen, return_inverse=True)
+    table, open_ = np.zeros((len(refs), len(gens))), np.zeros((len(refs), len(gens)), bool)
+    np.maximum.at(table, (i, j), score)
+    np.logical_or.at(open_, (i, j), gated)
+    found = padded(table, open_) if mode == "event" else dummies(table, gate) if mode == "dummy" else greedy(np.where(open_, table, -np.inf), gate)
+    return [(int(refs[a]), int(gens[b]), float(table[a, b])) for a, b in found]
+
+
 def match(pairs: DataFrame, *, key: str = "key", mode: str = "event", gate: float = 0.0) -> DataFrame:
     """(key, ref_id, gen_id, score) chosen from candidate pairs (key, ref_id, gen_id, score, gated).
 
     ``mode`` is ``event`` (gated pairs, padded), ``dummy`` (items may stay alone) or ``greedy``. Pairs that are not among the candidates
-    score 0 and are not gated. Null ids and scores take no part; a repeated pair counts by its best score.
+    score 0 and are not gated. Null ids and scores take no part; a repeated pair counts by its best score. Keys are dealt by hash and sorted, and
+    each Arrow batch solves all the keys that end in it.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        refs, gens = sorted(frame["ref_id"].unique()), sorted(frame["gen_id"].unique())
-        score, open_ = np.zeros((len(refs), len(gens))), np.zeros((len(refs), len(gens)), bool)
-        i, j = np.searchsorted(refs, frame["ref_id"]), np.searchsorted(gens, frame["gen_id"])
-        np.maximum.at(score, (i, j), frame["score"])
-        np.logical_or.at(open_, (i, j), frame["gated"])
-        found = padded(score, open_) if mode == "event" else dummies(score, gate) if mode == "dummy" else greedy(np.where(open_, score, -np.inf), gate)
-        rows = [(frame["key"].iloc[0], refs[a], gens[b], float(score[a, b])) for a, b in found]
-        return pd.DataFrame(rows, columns=["key", "ref_id", "gen_id", "score"])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            columns = [np.asarray(batch.column(k)) for k in range(5)]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            edge = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]) if len(held[0]) else np.zeros(0, int)
+            if len(edge) > 1:  # the last key may go on in the next batch
+                yield solved(held, edge)
+                held = [x[edge[-1] :] for x in held]
+        if held is not None and len(held[0]):
+            yield solved(held, np.array([0, len(held[0])]))
+
+    def solved(columns: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
+        rows = [(int(columns[0][a]), *r) for a, b in zip(edge[:-1], edge[1:], strict=True) for r in _chosen(*(c[a:b] for c in columns[1:]), mode, gate)]
+        names = ("key", "ref_id", "gen_id", "score")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     clean = pairs.selectExpr(f"cast({key} as long) as key", "cast(ref_id as long) as ref_id", "cast(gen_id as long) as gen_id", "cast(score as double) as score", "coalesce(gated, false) as gated").dropna()
-    return clean.groupBy("key").applyInPandas(run, "key long, ref_id long, gen_id long, score double")
+    return clean.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, ref_id long, gen_id long, score double")

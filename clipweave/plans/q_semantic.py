@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import evidence as ev
 from ..functions import text as tx
 from ..functions import vectors as v
-from ..operators import assign
-from .registry import intervals, lane_pairs, query, r4, table
+from ..operators import assign, axes
+from .registry import intervals, lanes, query, r4, table
 
 _E = """
 with em as (select vec_id, label, embedding::double[] as x from embeddings), ref as (select * from em where vec_id % 2 = 0), gen as (select * from em where vec_id % 2 = 1
@@ -36,10 +37,20 @@ def cosine_gate_calibrated(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.round(cal, 6) >= 0.6).alias("n_gated"), r4(F.avg(v.similarity01(F.col("c"))), "mean01"), r4(F.avg(cal), "mean_calibrated"))
 
 
-@query(_E + "select label, round(max(0.4 * c + 0.6 * c * c), 4) as weighted, round(max(greatest(c, c * c)), 4) as larger from sim group by label")
+@query("""
+with em as (select vec_id, label, embedding::double[] as x from embeddings), ref as (select * from em where vec_id % 2 = 0), gen as (select * from em where vec_id % 2 = 1
+), ch as (
+  select r.label, greatest(0, least(1, list_cosine_similarity(r.x[1:32], g.x[1:32]))) as a, greatest(0, least(1, list_cosine_similarity(r.x[33:64], g.x[33:64]))) as b
+  from ref r join gen g on r.label = g.label and r.vec_id // 16 = g.vec_id // 16
+) select label, count(*) as n, round(max(0.4 * a + 0.6 * b), 4) as weighted, round(avg(greatest(a, b)), 4) as larger from ch group by label""")
 def channel_fusion(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("c"), F.col("c") * F.col("c")
-    return _pairs(spark, d).groupBy("label").agg(r4(F.max(v.fused(a, b)), "weighted"), r4(F.max(v.fused(a, b, max_of=True)), "larger"))
+    """Name and attribute channels, the halves of a vector, fused by weight and by the larger."""
+    em = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat_ws("_", (F.col("label")).cast("string"), F.expr("vec_id div 16").cast("string")).alias("sample"), "label", v.as_double(F.col("embedding")).alias("x"))
+    em = em.select("id", "sample", "label", F.slice("x", 1, 32).alias("name_vec"), F.slice("x", 33, 32).alias("set_vec"))
+    sims = axes.entity_similarity(em.where("id % 2 = 0"), em.where("id % 2 = 1"), tau=0.0)
+    a, b = F.col("name_sim"), F.col("set_sim")
+    label = F.substring_index("sample", "_", 1).cast("int")
+    return sims.groupBy(label.alias("label")).agg(F.count("*").alias("n"), r4(F.max(v.fused(a, b)), "weighted"), r4(F.avg(v.fused(a, b, max_of=True)), "larger"))
 
 
 @query("""
@@ -85,13 +96,15 @@ def parsimony(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of event matching within a sample, by vectors and intervals."""
+    """Candidates of event matching within a sample, by vectors and intervals; each vector's length is taken once, not for every pair."""
     from .q_events import _rtiou
 
     em = table(spark, d, "embeddings").select("vec_id", v.as_double(F.col("embedding")).alias("x"))
-    side = lambda c: em.select(F.col("vec_id").alias(f"{c}_vec_id"), F.col("x").alias(f"{c}_x"))
-    p = lane_pairs(spark, d).join(side("r"), "r_vec_id", "left").join(side("g"), "g_vec_id", "left")
-    sim = v.similarity01(v.cosine(F.col("r_x"), F.col("g_x")))
+    em = em.select("vec_id", v.unit(F.col("x")).alias("x"))
+    ref, gen = lanes(spark, d)
+    side = lambda t, c: t.join(em.select(F.col("vec_id").alias(f"{c}_vec_id"), F.col("x").alias(f"{c}_x")), f"{c}_vec_id", "left")
+    p = side(ref, "r").join(side(gen, "g"), "key")
+    sim = v.similarity01(v.dot(F.col("r_x"), F.col("g_x")))
     score = 0.8 * sim + 0.2 * _rtiou()
     return p.select("key", F.col("r_id").alias("ref_id"), F.col("g_id").alias("gen_id"), score.alias("score"), (sim >= 0.5).alias("gated"))
 
@@ -164,12 +177,16 @@ def aic_coverage(spark: SparkSession, d: str) -> DataFrame:
     return key.groupBy("entity").agg(r4(F.sum(F.col("w") * F.col("s")), "covered"), r4(F.sum("w"), "weight"), r4(100 * F.sum(F.col("w") * F.col("s")) / F.sum("w"), "aic"))
 
 
-@query(r"""select p_partkey, regexp_replace(regexp_replace(lower(p_name || '_ ' || p_type || '!'), '[.,;:!?\s]+$', ''), '\s*_\s*', '-', 'g') as norm from part""")
+@query(r"""
+select p_partkey, regexp_replace(regexp_replace(lower(nfc_normalize(p_name || ' cafe' || chr(769) || '_ ' || p_type || '!')), '[.,;:!?\s]+$', ''), '\s*_\s*', '-', 'g') as norm from part""")
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", tx.normalise(F.concat("p_name", F.lit("_ "), "p_type", F.lit("!"))).alias("norm"))
+    raw = F.concat("p_name", F.lit(" cafe\u0301_ "), "p_type", F.lit("!"))
+    return table(spark, d, "part").select("p_partkey", tx.normalise(ev.nfc(raw)).alias("norm"))
 
 
-@query(r"select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[|。:;.]'), lambda p: trim(p, ' ')), lambda p: p <> '')[1:8] as c from documents".replace("select doc_id,", "with c as (select doc_id,") + ") select doc_id, len(c) as n, coalesce(c[1], '') as head, coalesce(array_to_string(list_transform(c, lambda p: length(p)), ','), '') as lens from c")
+@query(r"""
+with c as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[|。:;.]'), lambda p: trim(p, ' ')), lambda p: p <> '')[1:8] as c from documents)
+select doc_id, len(c) as n, coalesce(c[1], '') as head, coalesce(array_to_string(list_transform(c, lambda p: length(p)), ','), '') as lens from c""")
 def clause_split(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", tx.clauses(F.col("text")).alias("c"))
     return c.select("doc_id", F.size("c").cast("long").alias("n"), F.coalesce(F.get("c", F.lit(0)), F.lit("")).alias("head"), F.array_join(F.transform("c", lambda p: F.length(p).cast("string")), ",").alias("lens"))

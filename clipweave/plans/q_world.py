@@ -43,10 +43,15 @@ def tolerant_float_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", r4(tx.tolerant_float(cell), "x"))
 
 
-@query("select role, count(*) as n, count(*) filter (where length(text) >= 200) as long_answers, round(avg(length(text)), 4) as mean_length from conversations group by role")
+@query("""with i as (select event_type as type, case when event_id % 9 = 0 then null else (props->>'$.k')::double end as score from events)
+select type, count(*) as n, count(*) filter (where score >= 80) as kept, round(avg(score) filter (where score >= 80), 4) as mean from i group by type""")
 def bank_quality_filter(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("text")
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(n >= 200).alias("long_answers"), r4(F.avg(n), "mean_length"))
+    """Bank items with a total score of 80 or more; one without a score is not kept."""
+    e = table(spark, d, "events")
+    item = F.to_json(F.struct(F.col("event_type").alias("type"), F.when(F.col("event_id") % 9 != 0, F.get_json_object("props", "$.k").cast("double")).alias("total_score_100")))
+    x = e.select(F.from_json(item, "struct<type:string,total_score_100:double>").alias("i")).select("i.*")
+    good = F.col("total_score_100") >= 80
+    return x.groupBy("type").agg(F.count("*").alias("n"), F.count_if(good).alias("kept"), r4(F.avg(F.when(good, F.col("total_score_100"))), "mean"))
 
 
 @query(", m as (select *, case when s <= max(e) over (partition by key order by s, e, id rows between unbounded preceding and 1 preceding) + 43200 then 0 else 1 end as fresh from iv where e - s >= 2e-3), i as (select *, sum(fresh) over (partition by key order by s, e, id rows unbounded preceding) as k from m) select key, round(min(s), 4) as s, round(max(e), 4) as e, count(*) as n from i group by key, k")
