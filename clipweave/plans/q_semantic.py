@@ -119,9 +119,21 @@ def optimal_match_semantic(spark: SparkSession, d: str) -> DataFrame:
     return assign.match(_candidates(spark, d), mode="dummy", gate=0.4)
 
 
-@query()
+@query(""", em as (select vec_id, embedding::double[] as x from embeddings
+), p as (
+  select r.key, r.id as ref_id, g.id as gen_id, coalesce((list_cosine_similarity(a.x, b.x) + 1) / 2, 0) as sim,
+         (greatest(0.0, least(r.e, g.e) - greatest(r.s, g.s)) + 1e-6) / (greatest(r.e, g.e) - least(r.s, g.s) + 1e-6) as iou
+  from iv r join iv g on r.key = g.key and r.lane = 0 and g.lane = 1 left join em a on a.vec_id = r.vec_id left join em b on b.vec_id = g.vec_id
+), cand as (select key, ref_id, gen_id, 0.8 * sim + 0.2 * iou as score from p where sim >= 0.5 and 0.8 * sim + 0.2 * iou > 0.4
+), rec as (
+  select key, []::bigint[] as ur, []::bigint[] as ug, null::bigint as ref_id, null::bigint as gen_id, null::double as score from (select distinct key from cand)
+  union all
+  select r.key, r.ur || [c.ref_id], r.ug || [c.gen_id], c.ref_id, c.gen_id, c.score from rec r, lateral (
+    select * from cand where cand.key = r.key and not list_contains(r.ur, cand.ref_id) and not list_contains(r.ug, cand.gen_id) order by cand.score desc, cand.ref_id, cand.gen_id limit 1) c
+) select key, ref_id, gen_id, round(score, 4) as score from rec where ref_id is not null""")
 def greedy_match_gated(spark: SparkSession, d: str) -> DataFrame:
-    return assign.match(_candidates(spark, d), mode="greedy", gate=0.4)
+    out = assign.match(_candidates(spark, d), mode="greedy", gate=0.4)
+    return out.select("key", "ref_id", "gen_id", r4(F.col("score"), "score"))
 
 
 @query()
