@@ -254,6 +254,16 @@ def test_ngram_heavy_signatures():
     assert len({n for _, n in linked_to}) >= len(set(nodes)) + 3 - 1
 
 
+def test_cut_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from clipweave.llm.shared import _own_folder, clear_tables, cut
+
+    got = cut(spark.range(3).toDF("x"), "some-table")
+    assert got.count() == 3 and list(Path(_own_folder(spark)).glob("some-table-*"))
+    assert clear_tables(spark) and not Path(_own_folder(spark)).exists()
+
+
 def test_by_key():
     from clipweave.llm.shared import by_key
 
