@@ -93,22 +93,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbours' hashes; what comes of several such steps still needs ``mix``."""
+    out = a * _LEFT
+    out += b * _RIGHT
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def window_hash(units: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` units of an array, by doubling; the last ``width - 1`` entries mean nothing."""
-    n, cur = len(units), mix(units)
-    out, done, step = np.zeros(n, np.uint64), 0, 1
+    n, cur = len(units), _BYTE[units] if units.dtype == np.uint8 else mix(units)
+    out, done, step = None, 0, 1
     while step <= width:
         if width & step:
-            part = np.zeros(n, np.uint64)
-            part[: max(0, n - done)] = cur[done:]
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
+            if out is None:
+                out = cur.copy()
+            else:
+                out[: max(0, n - done)] = _join(out[: max(0, n - done)], cur[done:])
             done += step
         if step * 2 <= width:
-            nxt = np.zeros(n, np.uint64)
-            nxt[: max(0, n - step)] = cur[step:]
-            cur = mix(cur * np.uint64(0x9E3779B97F4A7C15) + nxt)
+            nxt = cur.copy()
+            nxt[: max(0, n - step)] = _join(cur[: max(0, n - step)], cur[step:])
+            cur = nxt
         step *= 2
-    return out
+    return mix(out)
 
 
 _SPACE = np.zeros(256, bool)
