@@ -323,6 +323,14 @@ def stats_by_hand(t):
     return (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>") if t else 0, len(lines) - len(set(lines)), sum(over))
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(["same line", *(f"own {k}" for k in range(60_000)), "y" * 1_000_000, "same line"])
+    rows = [(0, long, "s0"), *((k, f"same line\nmine {k}", f"s{k}") for k in range(1, 9)), (1, "same line\nmine 1", "s1")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and by[0]["n_lines"] == 60_003 and by[0]["n_removed"] == 2 and by[0]["text"] == "\n".join(long.split("\n")[1:-1]) and by[1]["text"] == "mine 1"
+
+
 def test_quality_stats(docs, texts):
     for d, t in texts.items():
         if d not in (47, 48):
@@ -444,6 +452,15 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.where("false"), **opt).count() == 0
 
 
+def test_mixing_repeated_rows_and_long_texts(spark):
+    rows = [(1, "w " * 300_000, "en", "s1"), (2, "a b c", "en", "s1"), (2, "a b c", "en", "s1"), (3, "x", "de", "s2"), (None, "n n", "en", "s1"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_tokens", F.lit("clash"))
+    opt = {"fraction": 1.0, "max_epochs": 1}
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["copies"]) for r in mixing.mix_plan(docs, **opt).collect())
+    assert got == [(0, 2, 1), (1, 300_000, 1), (2, 3, 1), (2, 3, 1), (3, 1, 1)]
+    assert mixing.mix_sources(docs, **opt).count() == 5
+
+
 def brute_pieces(model, text):
     t, out = (" " + text).replace(" ", pieces.SPACE), []
 
