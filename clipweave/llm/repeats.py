@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, long_doc, mix, partitions, raw, slices, window_hash
+from .shared import cut, long_doc, partitions, raw, slices, window_hash
 
 _PLACE = np.uint64((1 << 26) - 1)
 #: Anchors, and units of segments, that one group holds on average.
