@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
+from ..functions import intervals as iv
 from ..functions import scores as sc
 from ..functions import text as tx
-from .registry import intervals, lane_pairs, query, r4, table
+from ..functions import vectors as v
+from ..operators import entities
+from .registry import intervals, lane_pairs, lanes, query, r4, table
 
 
 def _nth(names: list[str], n):
@@ -56,10 +59,10 @@ def attribute_map_normal(spark: SparkSession, d: str) -> DataFrame:
 @query("""select event_id, case event_id % 4 when 0 then 1 when 1 then 2 when 3 then 1 else 0 end::bigint as n,
  round(case event_id % 4 when 0 then 1.5 when 1 then 2.5 when 3 then 4.0 else 0.0 end, 4) as total from events""")
 def span_coerce(spark: SparkSession, d: str) -> DataFrame:
-    v = lambda x: F.format_string("%.6f", F.col("value") + x)
+    at = lambda x: F.format_string("%.6f", F.col("value") + x)
     case = F.col("event_id") % 4
-    raw = F.when(case == 0, F.concat(F.lit("["), v(0.0), F.lit(", "), v(1.5), F.lit("]"))).when(case == 1, F.concat(F.lit("[["), v(0.0), F.lit(","), v(1.0), F.lit("],["), v(2.0), F.lit(","), v(3.5), F.lit(",9]]")))
-    raw = raw.when(case == 3, F.concat(F.lit("[[1],["), v(0.0), F.lit(","), v(4.0), F.lit("]]"))).otherwise(F.lit('"00:01"'))
+    raw = F.when(case == 0, F.concat(F.lit("["), at(0.0), F.lit(", "), at(1.5), F.lit("]"))).when(case == 1, F.concat(F.lit("[["), at(0.0), F.lit(","), at(1.0), F.lit("],["), at(2.0), F.lit(","), at(3.5), F.lit(",9]]")))
+    raw = raw.when(case == 3, F.concat(F.lit("[[1],["), at(0.0), F.lit(","), at(4.0), F.lit("]]"))).otherwise(F.lit('"00:01"'))
     s = ev.coerced_spans(raw)
     return table(spark, d, "events").select("event_id", F.size(s).cast("long").alias("n"), r4(ev.span_total(s), "total"))
 
@@ -174,11 +177,11 @@ def enabled_events_having(spark: SparkSession, d: str) -> DataFrame:
  case when event_id % 2 = 0 then round(value, 4) else 7.0 end as picked from events where event_id % 3 <> 2""")
 def dig_event_scores(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    v, n = F.col("value"), F.col("event_id").cast("double")
-    nested = F.to_json(F.struct(F.lit("run 1").alias("note"), F.struct(F.struct(F.lit("a").alias("x"), v.alias("score")).alias("EGA"), F.struct((F.col("event_id") % 2 == 0).alias("valid"), F.struct((v / 2).alias("mean")).alias("summary")).alias("ERel"), n.alias("ecr")).alias("scores"), (v / 4).alias("final s_event")))
-    flat = F.to_json(F.struct(v.alias("ega"), (v / 2).alias("EREL"), n.alias("ECR value"), (v / 4).alias("S_event")))
+    x, n = F.col("value"), F.col("event_id").cast("double")
+    nested = F.to_json(F.struct(F.lit("run 1").alias("note"), F.struct(F.struct(F.lit("a").alias("x"), x.alias("score")).alias("EGA"), F.struct((F.col("event_id") % 2 == 0).alias("valid"), F.struct((x / 2).alias("mean")).alias("summary")).alias("ERel"), n.alias("ecr")).alias("scores"), (x / 4).alias("final s_event")))
+    flat = F.to_json(F.struct(x.alias("ega"), (x / 2).alias("EREL"), n.alias("ECR value"), (x / 4).alias("S_event")))
     raw = F.when(F.col("event_id") % 3 == 0, flat).when(F.col("event_id") % 3 == 1, nested).otherwise("{broken")
-    other = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("n/a").alias("S_event"), F.array(F.struct(v.alias("my_score"))).alias("rows")))).otherwise('{"a": {"band": "7"}, "b": 3}')
+    other = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("n/a").alias("S_event"), F.array(F.struct(x.alias("my_score"))).alias("rows")))).otherwise('{"a": {"band": "7"}, "b": 3}')
     out = e.select("event_id", sc.event_scores(raw).alias("x"), sc.picked_number(other, ("S_event",)).alias("picked"))
     return out.select("event_id", *(r4(F.col(f"x.{c}"), c) for c in ("ega", "erel", "ecr", "s_event")), "x.erel_valid", r4(F.col("picked"), "picked")).where("s_event is not null")
 
@@ -214,3 +217,56 @@ def count_parsing(spark: SparkSession, d: str) -> DataFrame:
     case = F.col("event_id") % 4
     raw = F.when(case == 0, F.concat(F.lit(">"), (F.col("event_id") % 30).cast("string"))).when(case == 1, "~3.9 ").when(case == 2, "many").otherwise("12+")
     return table(spark, d, "events").select("event_id", ev.counted(raw).alias("n"))
+
+
+_ENT = """, ent as (select key, id, event_type as class, row_number() over (partition by key, event_type order by s, id) as n, s, e, count(*) over (partition by key, event_type) as many from iv where lane = 0
+), tok as (select key, id as rel, case when id % 7 = 1 then (id - 1)::varchar when id % 7 = 3 then event_type || '#2' else event_type end as token, event_type as class, s, e from iv where lane = 1)
+"""
+
+
+def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    x = intervals(spark, d)
+    n = F.row_number().over(Window.partitionBy("key", "event_type").orderBy("s", "id")).cast("long")
+    ent = x.where("lane = 0").select("key", F.col("id").cast("string").alias("id"), F.col("event_type").alias("class"), n.alias("n"), "s", "e")
+    token = F.when(F.col("id") % 7 == 1, (F.col("id") - 1).cast("string")).when(F.col("id") % 7 == 3, F.concat("event_type", F.lit("#2"))).otherwise(F.col("event_type"))
+    return x.where("lane = 1").select("key", F.col("id").alias("rel"), token.alias("token"), "s", "e"), ent
+
+
+@query(_ENT + """, c as (
+  select t.key, rel, token, e.id::varchar as entity, 1 as prio, 'id' as how, 0::double as o, 0::double as len, n from tok t join ent e on e.key = t.key and e.id::varchar = token
+  union all
+  select t.key, rel, token, e.id::varchar, case when regexp_extract(token, '#([0-9]+)$', 1) = n::varchar then 2 when many = 1 then 3 when least(t.e, e.e) - greatest(t.s, e.s) > 0 then 4 else 5 end as prio, '', round(greatest(0, least(t.e, e.e) - greatest(t.s, e.s)), 4), round(e.e - e.s, 4), n
+  from tok t join ent e on e.key = t.key and e.class = regexp_extract(token, '^([^#]*)', 1)
+), r as (select *, row_number() over (partition by key, rel, token order by prio, o desc, len desc, n, entity) as k from c)
+select key, rel, token, entity, ['id', 'number', 'only', 'overlap', 'longest'][prio] as how from r where k = 1""")
+def endpoint_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of relations by id, by number in a class, by class."""
+    return entities.resolve_endpoints(*_entities(spark, d))
+
+
+@query(_ENT + """, map as (select key, floor(s / 86400)::bigint as win, id::varchar as local_id, class || '#' || n as entity from ent
+), rel as (select key, floor(s / 86400)::bigint as win, id, (id - 1)::varchar as subject, (id - 3)::varchar as object from iv where lane = 1)
+select rel.key, rel.win, id, coalesce(a.entity, subject) as subject, coalesce(b.entity, object) as object from rel
+left join map a on a.key = rel.key and a.win = rel.win and a.local_id = subject left join map b on b.key = rel.key and b.win = rel.win and b.local_id = object""")
+def relations_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of a window with the global names of their ends."""
+    win = F.floor(F.col("s") / 86400).alias("win")
+    _, ent = _entities(spark, d)
+    mapping = ent.select("key", win, F.col("id").alias("local_id"), F.concat("class", F.lit("#"), F.col("n").cast("string")).alias("entity"))
+    rel = intervals(spark, d).where("lane = 1").select("key", win, "id", (F.col("id") - 1).cast("string").alias("subject"), (F.col("id") - 3).cast("string").alias("object"))
+    return entities.global_relations(rel, mapping)
+
+
+@query(""", em as (select vec_id, embedding::double[] as x from embeddings
+), p as (
+  select r.key, coalesce((list_cosine_similarity(a.x, b.x) + 1) / 2, 0) as sim, (greatest(0.0, least(r.e, g.e) - greatest(r.s, g.s)) + 1e-6) / (greatest(r.e, g.e) - least(r.s, g.s) + 1e-6) as iou
+  from iv r join iv g on r.key = g.key and r.lane = 0 and g.lane = 1 left join em a on a.vec_id = r.vec_id left join em b on b.vec_id = g.vec_id
+) select key, count(*) as n, count(*) filter (where sim >= 0.5 and iou >= 0.05) as n_gated from p group by key""")
+def candidate_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a sample that both their vectors and their times let through."""
+    em = table(spark, d, "embeddings").select("vec_id", v.unit(v.as_double(F.col("embedding"))).alias("x"))
+    ref, gen = lanes(spark, d)
+    side = lambda t, c: t.join(em.select(F.col("vec_id").alias(f"{c}_vec_id"), F.col("x").alias(f"{c}_x")), f"{c}_vec_id", "left")
+    p = side(ref, "r").join(side(gen, "g"), "key")
+    gated = (v.similarity01(v.dot(F.col("r_x"), F.col("g_x"))) >= 0.5) & (iv.hull_iou(F.col("r_s"), F.col("r_e"), F.col("g_s"), F.col("g_e")) >= 0.05)
+    return p.groupBy("key").agg(F.count("*").alias("n"), F.count_if(gated).alias("n_gated"))

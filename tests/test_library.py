@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, events, merger, motion, sequence
+from clipweave.operators import assign, axes, boards, events, merger, motion, sequence
 from clipweave.plans import q_axes
 
 from .conftest import SF
@@ -136,3 +136,40 @@ def test_merge_by_hand(spark):
     assert {r["name"] for r in merger.centroids(df, placed).collect()} == {"m0001", "m0002", "m0003", "m0005"}
     s = merger.statistics(placed).first()
     assert (s["items"], s["kept"], s["clusters"], s["merged"], s["short"], s["no_vector"]) == (8, 6, 5, 1, 1, 2)
+
+
+def test_boards(spark):
+    rows_ = [("a", "v1", 80.0, 60.0, 40.0, 3), ("a", "v2", 60.0, None, 40.0, 5), ("b", "v1", 70.0, 60.0, 40.0, 4), ("c", "v1", None, 1.0, 1.0, 1)]
+    m = boards.model_scores(spark.createDataFrame(rows_, "modelname string, sample_id string, semantic_score double, motion_score double, event_score double, world_score long"))
+    top = [(r["rank"], r["modelname"], r["total_score"]) for r in boards.leaderboard(m).collect()]
+    assert top == [(1, "a", pytest.approx((70 + 60 + 40 + 80) / 4)), (2, "b", pytest.approx((70 + 60 + 40 + 80) / 4))]
+    assert [r["modelname"] for r in boards.leaderboard(m, "world_score").collect()] == ["a", "b", "c"]
+    refs = spark.createDataFrame([("v1", "food", "single", 1), ("v2", "food", "multi", 2), ("v3", None, "multi", 3)], "video_id string, theme string, shot_type string, created_at long")
+    assert [(r["video_id"], r["theme_display"]) for r in boards.samples_of(refs, "food").collect()] == [("v2", "食物"), ("v1", "食物")]
+    assert {r["theme"]: r["n"] for r in boards.theme_statistics(refs).collect()} == {"food": 2, None: 3}
+    tasks = spark.createDataFrame([("pending",), ("failed",), ("failed",)], "status string")
+    assert tuple(boards.task_statistics(tasks).first()) == (3, 1, 0, 0, 2)
+
+
+def test_assignment_by_trying_all(spark):
+    """Cost of the assignments of small keys against the best of all permutations."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        r, g = (int(x) for x in rng.integers(1, 6, 2))
+        score, gate = rng.random((r, g)).round(2), rng.random((r, g)) < 0.6
+        n = max(r, g)
+        every = [[(i, p[i]) for i in range(r) if p[i] < g] for p in itertools.permutations(range(n))]
+        gated = [[(i, j) for i, j in pairs if gate[i, j]] for pairs in every]
+        most = max(map(len, gated))
+        best = max(sum(score[i, j] for i, j in x) for x in gated if len(x) == most)
+        got = assign.padded(score, gate)
+        assert len(got) == most and sum(score[i, j] for i, j in got) == pytest.approx(best)
+        alone = max(sum(score[i, j] - (2 * 0.6 - 1) for i, j in s) for pairs in every for k in range(len(pairs) + 1) for s in itertools.combinations(pairs, k))
+        chosen = assign.dummies(score, 0.6)
+        assert all(score[i, j] > 0.6 for i, j in chosen) and sum(score[i, j] - 0.2 for i, j in chosen) <= alone + 1e-9
+    frame = [(k, int(i), int(j), float(s), bool(b)) for k in range(300) for (i, j), s, b in zip([(i, j) for i in range(3) for j in range(4)], rng.random(12), rng.random(12) < 0.7, strict=True)]
+    got = assign.match(spark.createDataFrame(frame, "key long, ref_id long, gen_id long, score double, gated boolean")).toPandas()
+    by = {k: assign.padded(np.array([f[3] for f in frame if f[0] == k]).reshape(3, 4), np.array([f[4] for f in frame if f[0] == k]).reshape(3, 4)) for k in range(300)}
+    assert {(r.key, r.ref_id, r.gen_id) for r in got.itertuples()} == {(k, i, j) for k, x in by.items() for i, j in x}
