@@ -130,7 +130,7 @@ def optimal_match_semantic(spark: SparkSession, d: str) -> DataFrame:
   union all
   select r.key, r.ur || [c.ref_id], r.ug || [c.gen_id], c.ref_id, c.gen_id, c.score from rec r, lateral (
     select * from cand where cand.key = r.key and not list_contains(r.ur, cand.ref_id) and not list_contains(r.ug, cand.gen_id) order by cand.score desc, cand.ref_id, cand.gen_id limit 1) c
-) select key, ref_id, gen_id, round(score, 4) as score from rec where ref_id is not null""")
+) select key, ref_id, gen_id, round(score, 4) as score from rec where ref_id is not null""", recursive=True)
 def greedy_match_gated(spark: SparkSession, d: str) -> DataFrame:
     out = assign.match(_candidates(spark, d), mode="greedy", gate=0.4)
     return out.select("key", "ref_id", "gen_id", r4(F.col("score"), "score"))

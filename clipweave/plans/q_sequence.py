@@ -46,15 +46,15 @@ def clip_windows(spark: SparkSession, d: str) -> DataFrame:
     return sq.clip_windows(clips).select("clip", "k", "s", r4(F.col("e"), "e"))
 
 
-@query(""", f as (select user_id as clip, row_number() over (partition by user_id order by s, id) - 1 as t, value from iv
+@query(""", f as (select user_id as clip, row_number() over (partition by user_id order by s, id) - 1 as t, sqrt(value) as value from iv
 ), w as (select *, unnest(range(greatest(0, floor((t - 20) / 10)::bigint + 1), t // 10 + 1)) as win from f
-), y as (select *, value - avg(value) over (partition by clip, win) as y from w) select clip, t, round(avg(y), 6) as score from y group by clip, t""")
+), y as (select *, value - avg(value) over (partition by clip, win) as y from w) select clip, t, round(avg(y), 4) as score from y group by clip, t""")
 def overlap_average(spark: SparkSession, d: str) -> DataFrame:
-    """Values less the mean of their window, averaged over the windows that overlap there."""
+    """Roots of values less the mean of their window, averaged over the windows that overlap there."""
     t = F.row_number().over(Window.partitionBy("user_id").orderBy("s", "id")) - 1
-    f = intervals(spark, d).select(F.col("user_id").alias("clip"), t.alias("t"), "value")
+    f = intervals(spark, d).select(F.col("user_id").alias("clip"), t.alias("t"), F.sqrt("value").alias("value"))
     score = F.col("value") - F.avg("value").over(Window.partitionBy("clip", "win"))
-    return sq.overlap_average(f, score, size=20, stride=10).select("clip", F.col("t").cast("long").alias("t"), F.round("score", 6).alias("score"))
+    return sq.overlap_average(f, score, size=20, stride=10).select("clip", F.col("t").cast("long").alias("t"), r4(F.col("score"), "score"))
 
 
 @query(""", a as (select key, id, s as ord from iv where lane = 0), b as (select key, case when key % 2 = 0 then id - 1 else id end as id, s as ord from iv where lane = 1
@@ -95,12 +95,12 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return intervals(spark, d).join(em, "vec_id", "left").select("key", "id", "s", "e", "x")
 
 
-@query(_ITEMS + "select key, id, cluster::bigint as cluster, reason from rec")
+@query(_ITEMS + "select key, id, cluster::bigint as cluster, reason from rec", recursive=True)
 def merge_map(spark: SparkSession, d: str) -> DataFrame:
     return merger.merge_items(_items(spark, d), **_RECURSIVE)
 
 
-@query(_ITEMS + "select key, 'm' || lpad(cluster::varchar, 4, '0') as name, round(min(s), 4) as s, round(max(e), 4) as e, count(*) as n, string_agg(id::varchar, ',' order by s, e, id) as members from rec where cluster is not null group by key, cluster")
+@query(_ITEMS + "select key, 'm' || lpad(cluster::varchar, 4, '0') as name, round(min(s), 4) as s, round(max(e), 4) as e, count(*) as n, string_agg(id::varchar, ',' order by s, e, id) as members from rec where cluster is not null group by key, cluster", recursive=True)
 def semantic_adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
     out = merger.clusters(items, merger.merge_items(items, **_RECURSIVE))
@@ -110,7 +110,7 @@ def semantic_adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(_ITEMS + """, w0 as (select r.key, cluster, x, r.e - r.s as dur, unnest(range(1, len(x) + 1)) as i from rec r join it using (key, id) where cluster is not null and x is not null
 ), w as (select key, cluster, i, x[i] * dur as y from w0
 ), t as (select key, cluster, i, sum(y) as y from w group by all), l as (select key, cluster, sqrt(sum(y * y)) as len from t group by all)
-select t.key, 'm' || lpad(t.cluster::varchar, 4, '0') as name, round(y / len, 4) as x from t join l using (key, cluster) where i = 1 and len > 0""")
+select t.key, 'm' || lpad(t.cluster::varchar, 4, '0') as name, round(y / len, 4) as x from t join l using (key, cluster) where i = 1 and len > 0""", recursive=True)
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     """First component of each cluster's centroid."""
     items = _items(spark, d)
@@ -118,7 +118,7 @@ def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ITEMS + """select key, count(*) as items, count(cluster) as kept, coalesce(max(cluster), 0)::bigint as clusters, count(*) filter (where reason = 'short') as short, count(*) filter (where reason = 'no_vector') as no_vector,
- count(*) filter (where reason = 'low_similarity') as low_similarity, count(*) filter (where reason = 'large_gap') as large_gap, count(*) filter (where reason = 'merged') as merged from rec group by key""")
+ count(*) filter (where reason = 'low_similarity') as low_similarity, count(*) filter (where reason = 'large_gap') as large_gap, count(*) filter (where reason = 'merged') as merged from rec group by key""", recursive=True)
 def merge_statistics(spark: SparkSession, d: str) -> DataFrame:
     return merger.statistics(merger.merge_items(_items(spark, d), **_RECURSIVE))
 

@@ -13,13 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register the decorated (spark, sf_dir) -> DataFrame under its name; ``sql`` may use the shared stand-ins ``iv`` and ``pairs``."""
+def query(sql: str | None = None, *, recursive: bool = False):
+    """Register the decorated (spark, sf_dir) -> DataFrame under its name; ``sql`` may use the shared stand-in ``iv``, and itself if ``recursive``."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = STAND_INS + sql.strip() if sql.lstrip().startswith(",") else sql.strip()
+            first = STAND_INS.replace("with iv", "with recursive iv") if recursive else STAND_INS
+            SQL[f.__name__] = first + sql.strip() if sql.lstrip().startswith(",") else sql.strip()
         return f
 
     return add
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Interval stand-in: events as [s, e] in seconds; sample = user and five days; even ids are the reference lane, odd ones the generated.
 STAND_INS = """
-with recursive iv as (
+with iv as (
   select event_id as id, user_id * 100 + floor((epoch_us(ts) / 1e6 - 1704067200.0) / 432000.0)::bigint as key, event_id % 2 as lane,
          epoch_us(ts) / 1e6 - 1704067200.0 as s, epoch_us(ts) / 1e6 - 1704067200.0 + value * 600.0 as e, event_type, value, user_id, event_id % 500 as vec_id
   from events
