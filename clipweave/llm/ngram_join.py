@@ -504,8 +504,10 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot:
             break
         members = members.join(out.where("bucket is not null").select("bucket").distinct(), "bucket", "left_semi")
         fresh = cut(out.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        edges = cut(edges.union(_verified(fresh, docs, nodes, width, percent)), "ngram-links")
+        found = cut(_verified(fresh, docs, nodes, width, percent), "ngram-found")
         tried = tried.union(fresh)
-        labels = components(edges, "a", "b", "ngram-components")
+        if found.head(1):  # else the components stay as they are
+            edges = edges.union(found)
+            labels = components(edges, "a", "b", "ngram-components")
     named = placed.join(labels, "node", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
