@@ -71,7 +71,7 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
 WEAK = 1
 #: Members of a bucket above which those of one slice of texts stand behind one of theirs, and above which a bucket is dealt out again, then into blocks.
 HEAVY, HOT = 64, 4096
-#: Rounds of forests, after which all pairs that are left are compared.
+#: Rounds in which sure pairs stand for others, after which all pairs that are left are compared.
 ROUNDS = 2
 
 
@@ -319,11 +319,12 @@ def _search(percent: int):
 
 
 def _forest(percent: int, every: bool):
-    """(a, b) that join the components of a bucket, or ``every`` pair, among nodes whose sizes and parities allow the similarity; and (bucket) of those that ask.
+    """(a, b, sure) that may join the components of a bucket, among nodes whose sizes and parities allow the similarity.
 
     Rows (bucket, i, j, block, node, component, n, parity, other) come sorted by (bucket, i, j): the members of the blocks i and j of a bucket, and, with
-    ``other``, pairs (node, other) already found unlike, which are not asked for again. A pair is asked for only if no pairs before it would
-    join the two components, so that there are fewer pairs than members; a task asks for a pair once, whatever the number of buckets.
+    ``other``, pairs (node, other) already found unlike, which are not asked for again. Of a node's pairs with a component the likest stands
+    for all, and the two count as joined, if its parities leave room for what they hide: it is sure. Else all of them are asked for, as with
+    ``every``. So there are fewer sure pairs than members, and the others are those about the limit alone. A task asks for a pair once.
     """
 
     def of(t: pa.RecordBatch):
@@ -338,9 +339,9 @@ def _forest(percent: int, every: bool):
         bits = np.asarray(t.column("parity").flatten(), np.int64).reshape(-1, 16)
         label = np.unique(np.asarray(t.column("component"), np.int64), return_inverse=True)[1]
         across = len(t) and t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        a, b = [], []
+        out = []
         for k in range(len(node) - 1):
-            if not every and (label == label[k]).all():
+            if (label == label[k]).all():
                 break
             rest = slice(k + 1, None)
             near = (label[rest] != label[k]) & (100 * np.minimum(n[k], n[rest]) >= percent * np.maximum(n[k], n[rest]))
@@ -354,32 +355,32 @@ def _forest(percent: int, every: bool):
             at, apart = at[ok], apart[ok]
             if not len(at):
                 continue
-            if not every:  # the likest of each component
-                at = at[np.argsort(apart, kind="stable")]
-                found, first = np.unique(label[at], return_index=True)
-                at = at[first]
-                label[np.isin(label, found)] = label[k]
-            a.append(np.full(len(at), node[k]))
-            b.append(node[at])
-        return (int(t.column("bucket")[0].as_py()), np.concatenate(a), np.concatenate(b)) if a else None
-
-    def told(buckets: list[int], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        pair = np.unique(np.concatenate([np.stack(x) for x in pairs], axis=1), axis=1)
-        lone, none = np.unique(buckets), [None] * pair.shape[1]
-        empty = [None] * len(lone)
-        return pa.RecordBatch.from_arrays([pa.array([*none, *lone.tolist()], pa.int64()), pa.array([*pair[0].tolist(), *empty], pa.int64()), pa.array([*pair[1].tolist(), *empty], pa.int64())], names=["bucket", "a", "b"])
+            likest = np.argsort(apart, kind="stable")
+            at, apart = at[likest], apart[likest]
+            found, first = np.unique(label[at], return_index=True)
+            hidden = 2 + apart[first] ** 2 // 512
+            safe = ((apart[first] + hidden) * (100 + percent) <= (n[k] + n[at[first]]) * (100 - percent)) & (not every)
+            rest_of = at[~np.isin(label[at], found[safe])]
+            sure_of = at[first][safe]
+            label[np.isin(label, found[safe])] = label[k]
+            out.append(np.stack([np.full(len(rest_of) + len(sure_of), node[k]), np.r_[node[sure_of], node[rest_of]], np.r_[np.ones(len(sure_of), np.int64), np.zeros(len(rest_of), np.int64)]]))
+        return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+
+    def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, sure = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure > 0)], names=["a", "b", "sure"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, pairs, n = [], [], 0
-        for asked in filter(None, map(of, by_key(it, ("bucket", "i", "j")))):
-            buckets.append(asked[0])
-            pairs.append(asked[1:])
-            n += len(asked[1])
+        pairs, n = [], 0
+        for asked in map(of, by_key(it, ("bucket", "i", "j"))):
+            if asked.shape[1]:
+                pairs.append(asked)
+                n += asked.shape[1]
             if n > 1 << 20:
-                yield told(buckets, pairs)
-                buckets, pairs, n = [], [], 0
+                yield told(pairs)
+                pairs, n = [], 0
         if pairs:
-            yield told(buckets, pairs)
+            yield told(pairs)
 
     return run
 
@@ -434,9 +435,8 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of similarity ``percent``).
 
     Documents with equal sets (by 127 bits and the size) are one node, the smallest of them. Each node is compared with the smallest of
-    its buckets; then each bucket whose members are in several components is asked for pairs that would join them, until no bucket has
-    an untried pair whose sizes and parities allow the similarity. So every pair that shares a signature is compared, ruled
-    out, or in one component already. Buckets of more than ``hot`` members are first dealt out by signatures of the second
+    its buckets; then each bucket whose members are in several components is asked for pairs that would join them, and again where a pair
+    that stood for others was none. So every pair that shares a signature is compared, ruled out, or in one component already. Buckets of more than ``hot`` members are first dealt out by signatures of the second
     partition, of which similar sets share one as well; those still larger are compared block by block.
     Null, empty and wordless texts have no shingles and stay alone. Rows without an id are left out; rows that repeat
     an id are one document, which is linked by the set of each, and give a row each. Other columns are not looked at. Texts are read whole.
@@ -498,16 +498,20 @@ def ngram_components(docs: DataFrame, *, width: int = 5, percent: int = 80, hot:
         none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("block", "component", "n", "parity")}
         rows = rows.unionByName(unlike.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("a").alias("node"), F.col("b").alias("other")).withColumns(none))
         key = ("bucket", "i", "j")
-        out = rows.repartition(groups, *key).sortWithinPartitions(*key).mapInArrow(_forest(percent, turn > ROUNDS), "bucket long, a long, b long")
-        out = cut(out, "ngram-asked")
-        if not out.head(1):
+        out = cut(rows.repartition(groups, *key).sortWithinPartitions(*key).mapInArrow(_forest(percent, turn > ROUNDS), "a long, b long, sure boolean"), "ngram-asked")
+        fresh = cut(out.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        if not fresh.head(1):
             break
-        members = members.join(out.where("bucket is not null").select("bucket").distinct(), "bucket", "left_semi")
-        fresh = cut(out.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         found = cut(_verified(fresh, docs, nodes, width, percent), "ngram-found")
-        tried = tried.union(fresh)
+        tried = tried.union(fresh.select("a", "b"))
         if found.head(1):  # else the components stay as they are
             edges = edges.union(found)
             labels = components(edges, "a", "b", "ngram-components")
+        wrong = cut(fresh.where("sure").select("a", "b").join(found, ["a", "b"], "left_anti"), "ngram-wrong")
+        if not wrong.head(1):
+            break
+        # Buckets in which a pair that seemed sure stood for others.
+        again = members.withColumnRenamed("node", "a").join(wrong, "a").join(other, ["bucket", "b"]).select("bucket").distinct()
+        members = cut(members.join(again, "bucket", "left_semi"), "ngram-members")
     named = placed.join(labels, "node", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
