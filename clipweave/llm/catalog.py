@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bwt_merge, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk
+from . import bwt_merge, codes, leaks, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"), **MIX)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compress(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = leaks.covered(F.col("spans"))
+    names, n_items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.size("items").cast("long").alias("n_items")
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), n_items, names, (hit > 0).alias("contaminated"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 _BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -250,5 +266,103 @@ select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, (epochs + cas
 from walked where epochs + case when upto <= rest then 1 else 0 end > 0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quotation_linking, op2_suffix_tree_dedup, op6_bwt_merge_dedup, op3_sentencepiece_nbest, op4_exact_topk, op5_line_dedup, op7_rans_tokens, op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources)}
-SQL: dict[str, str] = {"op1_quotation_linking": _OP1, "op2_suffix_tree_dedup": _OP2, "op4_exact_topk": _OP4, "op6_bwt_merge_dedup": _OP6, "op5_line_dedup": _OP5, "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10}
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written one after the other: distances of all entries, the nearest, and the next means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""dist{r} as (
+  select row, b.part, entry, sum((b.x - e.x) * (b.x - e.x)) as d from bits b join book{r} e on e.part = b.part and e.pos = b.pos group by row, b.part, entry
+), near{r} as materialized (select row, part, min(d) as d, arg_min(entry, (d, entry)) as entry from dist{r} group by row, part)""")
+        if r < rounds:
+            steps.append(f"""mean{r} as (
+  select b.part, entry, b.pos, sum(x) as s, count(*) as n from bits b join near{r} c on c.row = b.row and c.part = b.part group by b.part, entry, b.pos
+), book{r + 1} as materialized (
+  select e.part, e.entry, e.pos, coalesce((s - ((s % n) + n) % n) // n, e.x)::bigint as x
+  from book{r} e left join mean{r} m on m.part = e.part and m.entry = e.entry and m.pos = e.pos
+)""")
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) - 1 as row, vec_id, label, embedding as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), wide as (select (max(len(v)) + {parts - 1}) // {parts} as w from kept
+), bits as materialized (
+  select row, k // w as part, k % w as pos, floor(4096 * coalesce(v[k + 1], 0)::double)::bigint as x
+  from (select *, unnest(range(0, {parts} * w)) as k from kept, wide)
+), book0 as materialized (select part, row as entry, pos, x from bits where row < {entries}
+), {", ".join(steps)}, named as (
+  select k.vec_id, k.label, string_agg(printf('%02x', c.entry), '' order by c.part) as code, sum(c.d)::bigint as error
+  from kept k join near{rounds} c on c.row = k.row group by k.row, k.vec_id, k.label
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) from book{rounds}) as codebooks_sha256 from named
+"""
+
+
+_LEAK_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP12 = rf"""
+with d as (select row_number() over () as row, doc_id, {_LEAK_WORDS} as w from documents
+), i as (select item_id, {_LEAK_WORDS} as w from benchmark where text is not null
+), strings as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') as s
+  from (select *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as k from i where len(w) > 0)
+), sizes as (select distinct size from strings
+), places as (
+  select row, k, size, array_to_string(w[k:k + size - 1], ' ') as s
+  from (select row, w, size, unnest(range(1, len(w) - size + 2)) as k from d, sizes where len(w) >= size)
+), met as materialized (select row, k, p.size, item_id from places p join strings using (size, s)
+), hit as (select row, count(distinct p) as n_hit from (select row, unnest(range(k, k + size)) as p from met) group by row
+), named as (
+  select row, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct row, item_id::varchar as item from met where item_id is not null) group by row
+)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (row) left join named using (row)
+"""
+
+_OP13 = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t
+), runs as (
+  select coalesce(doc_id::varchar, '') || ':' as d,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w
+  from documents where text is not null
+), times as (select d, w, count(*) as n from runs group by d, w
+), bytes as (
+  select w, n, flatten(list_transform(string_split(d || w, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint]
+    else [192 + unicode(c)::bigint // 64, 128 + unicode(c)::bigint % 64] end)) as b from times
+), hashed as (
+  select w, n, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) as h from bytes, crc
+), slipped as (
+  select case when h % 31 = 0 then substring(w, 1, (h % length(w))::int) || substring(w, (h % length(w))::int + 2) else w end as word, n from hashed
+), words as materialized (select word, sum(n)::bigint as n from slipped where length(word) >= 7 group by word having sum(n) >= 2
+), less as materialized (
+  select word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from words)
+), near as materialized (
+  select distinct word, other, n from (
+    select a.word, b.word as other, b.n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union all select l.word, w.word, w.n from less l join words w on w.word = l.rest
+    union all select l.rest, l.word, l.n from less l join words w on w.word = l.rest
+  )
+), best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as n from near group by word
+), form as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when b.n >= 10 * w.n then other end as form, case when b.n >= 10 * w.n then b.n end as form_n
+  from words w left join best b on b.word = w.word
+), up as (
+  select word, form as root, 1 as steps from form where form is not null
+  union all select up.word, f.form, steps + 1 from up join form f on f.word = up.root where f.form is not null
+), top as (select word, arg_max(root, steps) as root from up group by word)
+select f.word, f.form, coalesce(t.root, f.word) as root, f.n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from form f left join top t on t.word = f.word
+"""
+
+_ALL = (
+    op1_quotation_linking, op2_suffix_tree_dedup, op6_bwt_merge_dedup, op3_sentencepiece_nbest, op4_exact_topk, op5_line_dedup, op7_rans_tokens,
+    op8_ngram_jaccard_join, op9_quality_rules, op10_mix_sources, op11_vector_codes, op12_wu_manber_decontamination, op13_spelling_variants,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op1_quotation_linking": _OP1, "op2_suffix_tree_dedup": _OP2, "op4_exact_topk": _OP4, "op6_bwt_merge_dedup": _OP6, "op5_line_dedup": _OP5,
+    "op8_ngram_jaccard_join": _OP8, "op10_mix_sources": _OP10, "op11_vector_codes": _op11_sql(), "op12_wu_manber_decontamination": _OP12,
+    "op13_spelling_variants": _OP13,
+}
