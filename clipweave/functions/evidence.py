@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_walk import kind_of, nodes, once
 from .text import FREE_KEYS, keeps_value, normalise, token, without_thoughts
 
 # Names that mean the same class, irregular plurals, and the keys whose values make a signature.
@@ -248,20 +249,49 @@ def bound_to(doc: Column, video_name: Column, file_name: Column) -> Column:
     return F.coalesce(named, F.lit(False)) | F.coalesce(by_path, F.lit(False)) | F.coalesce(by_file, F.lit(False))
 
 
-EVENT = "struct<id:string,s:double,e:double,enabled:boolean,valid:boolean>"
+def event_list(raw: Column) -> Column:
+    """The events of a document of any layout, as variants: none if it has no list of events.
+
+    In an object with a list under ``events`` that list alone counts. Else every list that has an object among its first five elements may be the
+    one, however deep it lies in objects; the first in the order of the text stands, empty ones apart.
+    """
 
+    def pick(all_nodes: Column) -> Column:
+        lists = F.filter(all_nodes, lambda n: n["kind"] == "array")
+        told = lambda n: F.coalesce(F.get(n["keys"], F.size(n["keys"]) - 1) == "events", F.lit(False))
+        named = F.filter(lists, told)
+        holder = lambda e: F.slice(e["at"], 1, F.size(e["at"]) - 1)
+        under = lambda n, e: (F.size(n["at"]) >= F.size(e["at"])) & (F.slice(n["at"], 1, F.size(e["at"]) - 1) == holder(e))
+        hidden = lambda n: F.exists(named, lambda e: (e["at"] != n["at"]) & under(n, e))
+        items = lambda n: F.from_json(n["text"], "array<variant>")
+        is_list = lambda n: told(n) | F.exists(F.slice(items(n), 1, 5), lambda v: kind_of(v) == "object")
+        good = F.filter(lists, lambda n: ~hidden(n) & is_list(n) & ~n["text"].rlike(r"^\s*\[\s*\]\s*$"))
+        first = F.array_min(F.transform(good, lambda n: F.struct(n["at"].alias("at"), n["text"].alias("text"))))
+        return F.from_json(first["text"], "array<variant>")
 
-def event_list(raw: Column) -> Column:
-    """The events of a document: its ``events``, else the first list of objects under a usual name, else the document itself as a list."""
-    under = lambda k: F.from_json(F.get_json_object(raw, f"$.{k}"), f"array<{EVENT}>")
-    as_list = F.when(raw.rlike(r"^\s*\[\s*\{"), F.from_json(raw, f"array<{EVENT}>"))
-    first = F.when(F.get_json_object(raw, "$.events").rlike(r"^\s*\["), under("events"))
-    return F.coalesce(first, *(F.when(F.get_json_object(raw, f"$.{k}").rlike(r"^\s*\[\s*\{"), under(k)) for k in ("spans", "segments", "items", "data")), as_list, F.array().cast(f"array<{EVENT}>"))
+    return F.coalesce(once(nodes(raw, through=("object",)), pick), F.array().cast("array<variant>"))
 
 
 def enabled_count(events: Column) -> Column:
-    """Events that are not switched off by ``enabled``, or where that is absent by ``valid``."""
-    return F.size(F.filter(events, lambda e: F.coalesce(e["enabled"], e["valid"], F.lit(True)))).cast("long")
+    """Events that are not switched off by ``enabled``, or where that is absent by ``valid``: by null, false, 0 or anything empty."""
+
+    def on(e: Column) -> Column:
+        told = F.coalesce(*(F.try_variant_get(e, f"$.{k}", "variant") for k in ("enabled", "valid")))
+        text = F.try_variant_get(told, "$", "string")
+        kind = kind_of(told)
+        yes = F.when(kind == "null", False).when(kind == "string", text != "").when(kind == "boolean", text == "true")
+        yes = yes.when(kind == "number", text.try_cast("double") != 0).otherwise(~F.to_json(told).isin("[]", "{}"))
+        return F.when(told.isNull() | (kind_of(e) != "object"), True).otherwise(yes)
+
+    return F.size(F.filter(events, on)).cast("long")
+
+
+def merged_count(raw: Column) -> Column:
+    """How many events a file of merged events holds, as text: the length of its ``events``, or of the list that it is; empty of all else."""
+    whole = F.try_parse_json(raw)
+    inner = F.try_variant_get(whole, "$.events", "variant")
+    size = lambda v: F.size(F.try_variant_get(v, "$", "array<variant>")).cast("string")
+    return F.when(kind_of(inner) == "array", size(inner)).when(kind_of(whole) == "array", size(whole)).otherwise("")
 
 
 def free_key(key: Column) -> Column:

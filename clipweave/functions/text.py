@@ -41,6 +41,12 @@ def tolerant_float(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[,%]", "")).try_cast("double")
 
 
+def plain_number(text: Column) -> Column:
+    """The number that a text is, blanks at its ends apart; null of all else."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+
 def stem(path: Column) -> Column:
     """Last part of a path or URL without query, fragment and extension."""
     last = F.regexp_replace(F.regexp_replace(path, r"[?#].*$", ""), r"/+$", "")

@@ -160,30 +160,110 @@ def binding_verification(spark: SparkSession, d: str) -> DataFrame:
     return parsed.agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("bad"), F.count_if(ev.is_scorable(F.col("x.fine.entities"))).alias("scorable"))
 
 
-@query(""", k as (select key, count(*) as total, count(*) filter (where not (id % 5 = 0 or (id % 5 = 1 and id % 2 = 0))) as enabled from iv group by key)
+@query(""", k as (select key, count(*) as total, count(*) filter (where id % 5 not in (0, 4) and not (id % 5 = 1 and id % 2 = 0)) as enabled from iv group by key)
 select key, total, enabled from k where enabled > 2""")
 def enabled_events_having(spark: SparkSession, d: str) -> DataFrame:
-    """Samples with more than two events that are switched on, by ``enabled``, else by ``valid``, else always."""
+    """Samples with more than two events that are switched on, by ``enabled``, else by ``valid``, else always; lists lie at any depth."""
     x = intervals(spark, d)
-    case, none = F.col("id") % 5, F.lit(None).cast("boolean")
-    event = F.struct(F.col("id").cast("string").alias("id"), F.when(case == 0, False).when(case == 2, True).otherwise(none).alias("enabled"), F.when(case == 1, F.col("id") % 2 != 0).when(case == 2, False).otherwise(none).alias("valid"))
-    docs = x.groupBy("key").agg(F.collect_list(event).alias("list"))  # the events of one clip
-    under = F.when(F.col("key") % 3 == 0, F.to_json(F.struct(F.col("list").alias("events")))).when(F.col("key") % 3 == 1, F.to_json(F.struct(F.lit(1).alias("version"), F.col("list").alias("segments")))).otherwise(F.to_json("list"))
-    events = ev.event_list(under)
-    return docs.select("key", F.size(events).cast("long").alias("total"), ev.enabled_count(events).alias("enabled")).where("enabled > 2")
-
-
-@query("""select event_id, round(value, 4) as ega, round(value / 2, 4) as erel, event_id::double as ecr, round(value / 4, 4) as s_event, case event_id % 3 when 1 then event_id % 2 = 0 end as erel_valid,
- case when event_id % 2 = 0 then round(value, 4) else 7.0 end as picked from events where event_id % 3 <> 2""")
+    case = F.col("id") % 5
+    on = F.when(case == 0, '"enabled":false,').when(case == 2, '"enabled":true,"valid":false,').when(case == 4, '"enabled":null,').otherwise("")
+    valid = F.when(case == 1, F.when(F.col("id") % 2 != 0, '"valid":1,').otherwise('"valid":0,')).otherwise("")
+    event = F.concat(F.lit("{"), on, valid, F.lit('"id":"'), F.col("id").cast("string"), F.lit('"}'))
+    docs = x.groupBy("key").agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ","), F.lit("]")).alias("list"))  # the events of one clip
+    around = lambda a, b: F.concat(F.lit(a), F.col("list"), F.lit(b))
+    shapes = [
+        around('{"events":', "}"), around("", ""), around('{"version":1,"segments":', "}"), around('{"a":{"list":', '},"rest":[{"id":"x"}]}'),
+        around('{"ids":[1,2,3],"none":{"events":[],"spans":[{"id":"x"}]},"b":{"c":{"d":', "}}}"), around('{"z":[{"id":"x"}],"events":', "}"),
+    ]
+    raw = F.get(F.array(*shapes), (F.col("key") % len(shapes)).cast("int"))
+    listed = docs.select("key", ev.event_list(raw).alias("events"))
+    return listed.select("key", F.size("events").cast("long").alias("total"), ev.enabled_count(F.col("events")).alias("enabled")).where("enabled > 2")
+
+
+#: Reports of several layouts by event id: {0} to {3} are the four scores, {4} true or false.
+_REPORTS = (
+    '{"ega": {0}, "EREL": {1}, "ECR value": {2}, "S_event": {3}}',
+    '{"note": "run 1", "scores": {"EGA": {"x": "a", "n": 1, "score": {0}}, "ERel": {"valid": {4}, "summary": {"mean": {1}}}, "ecr": {2}}, "final s_event": {3}}',
+    '{"rows": [{"EGA": 1}], "metrics": {"ega": {"deep": {"list": [9], "avg": {0}}}, "erel": {"z": {"q": 7}, "event": {"k": {1}}}, "ECR": {"b": {2}, "a": 8}}, "s_s_event": "n/a", "S_event": {3}}',
+    '{"EGA": {0}, "ERel": {1}, "event_scores": {"ECR": {2}}}',
+    '{"EGA": {0}, "ERel": ',
+    '{"ERel": {"valid": "yes", "why": null}, "scores": {"ERel": {"valid": 0, "S": {1}}, "my_ega_total": {"value": {0}}}, "event": {"S_event": {3}, "ecr": true}}',
+)
+_PICKS = (
+    '{"S_event": "n/a", "rows": [{"my_score": {0}}, {"band": 3}]}',
+    '{"a": {"band": " 7.5 "}, "b": 3, "x": {"s_event": {0}}}',
+    '[1, [{"q": [{"final_score": {1}, "Score": 2}]}], {"score": 4}]',
+    '{"a": [1, 2, "3"], "b": {"c": true, "score": false}}',
+    '{"my_score": {0}, "other": {"s_event": 1}, "final_score": "-1e2"}',
+)
+# The numbers of a report: id, id % 977, and sums of them, so that both engines write them alike.
+_FILL = ("event_id", "event_id % 977", "event_id + 1000", "event_id % 13", "case when event_id % 2 = 0 then 'true' else 'false' end")
+
+
+def _filled(shapes: tuple[str, ...]) -> str:
+    """SQL of the text that a row's id chooses and fills."""
+    out = []
+    for k, shape in enumerate(shapes):
+        text = "'" + shape.replace("'", "''") + "'"
+        for n, x in enumerate(_FILL):
+            text = f"replace({text}, '{{{n}}}', cast({x} as varchar(30)))"
+        out.append(f"when {k} then {text}")
+    return f"case event_id % {len(shapes)} {' '.join(out)} end"
+
+
+def _sql_list(names: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_WALK = """n as (
+  select event_id, j.id, j.parent, j.key, j.type, j.atom, row_number() over (partition by event_id, j.parent order by j.id) - 1 as at from raw, json_tree(raw.doc) j where json_valid(raw.doc)
+), w as (
+  select event_id, id, type, atom, '' as inside, []::varchar[] as keys, []::bigint[] as ats from n where parent is null
+  union all
+  select n.event_id, n.id, n.type, n.atom, w.type, list_append(w.keys, n.key), list_append(w.ats, n.at) from w join n on n.event_id = w.event_id and n.parent = w.id where w.type in ({through})
+)"""
+
+
+@query(f"""with recursive raw as (select event_id, {_filled(_REPORTS)} as doc from events where event_id % 3 = 0
+), {_WALK.replace("{through}", "'OBJECT'")}, num as (
+  select *, case when type = 'BOOLEAN' then (atom::varchar = 'true')::int::double when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then atom::varchar::double end as value from w
+), tries as (
+  select n.*, goal, top, case top when 1 then 0 else list_position({_sql_list(sc.HOLDERS)}, keys[1]) end as layer,
+         list_position([goal, upper(goal), lower(goal), 'S_' || goal, 's_' || goal], keys[top]) as spelled, lower(regexp_replace(keys[top], '[^A-Za-z]', '', 'g')) as plain, lower(replace(goal, '_', '')) as own
+  from num n, (select unnest({_sql_list(sc.TARGETS)}) as goal), (select unnest([1, 2]) as top) where value is not null and len(keys) >= top and (top = 1 or list_contains({_sql_list(sc.HOLDERS)}, keys[1]))
+), ranked as (
+  select *, case when spelled > 0 then [0, layer, spelled] when contains(plain, own) or contains(own, plain) then [1, layer, ats[top]] end as ord,
+         list_transform(range(top + 1, len(keys) + 1), lambda i: case when i = len(keys) and list_contains({_sql_list(sc.USUAL)}, keys[i]) then list_position({_sql_list(sc.USUAL)}, keys[i])
+           when list_contains({_sql_list(sc.WRAPPERS)}, keys[i]) then 20 + list_position({_sql_list(sc.WRAPPERS)}, keys[i]) else 100 + ats[i] end) as deep
+  from tries
+), best as (select event_id, goal, arg_min(value, (ord, deep)) as value, min(ord) as ord from ranked where ord is not null group by event_id, goal
+), told as (
+  select r.event_id, arg_min(r.value <> 0, r.ord) as valid from ranked r join best f on f.event_id = r.event_id and f.goal = 'ERel'
+  where r.goal = 'ERel' and r.ord <= f.ord and len(r.keys) = top + 1 and r.keys[-1] = 'valid' group by r.event_id
+), wide as (
+  select event_id, max(value) filter (where goal = 'EGA') as ega, max(value) filter (where goal = 'ERel') as erel, max(value) filter (where goal = 'ECR') as ecr, max(value) filter (where goal = 'S_event') as s_event
+  from best group by event_id having count(*) = 4
+)
+select w.*, valid as erel_valid from wide w left join told using (event_id)""")
 def dig_event_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    x, n = F.col("value"), F.col("event_id").cast("double")
-    nested = F.to_json(F.struct(F.lit("run 1").alias("note"), F.struct(F.struct(F.lit("a").alias("x"), x.alias("score")).alias("EGA"), F.struct((F.col("event_id") % 2 == 0).alias("valid"), F.struct((x / 2).alias("mean")).alias("summary")).alias("ERel"), n.alias("ecr")).alias("scores"), (x / 4).alias("final s_event")))
-    flat = F.to_json(F.struct(x.alias("ega"), (x / 2).alias("EREL"), n.alias("ECR value"), (x / 4).alias("S_event")))
-    raw = F.when(F.col("event_id") % 3 == 0, flat).when(F.col("event_id") % 3 == 1, nested).otherwise("{broken")
-    other = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("n/a").alias("S_event"), F.array(F.struct(x.alias("my_score"))).alias("rows")))).otherwise('{"a": {"band": "7"}, "b": 3}')
-    out = e.select("event_id", sc.event_scores(raw).alias("x"), sc.picked_number(other, ("S_event",)).alias("picked"))
-    return out.select("event_id", *(r4(F.col(f"x.{c}"), c) for c in ("ega", "erel", "ecr", "s_event")), "x.erel_valid", r4(F.col("picked"), "picked")).where("s_event is not null")
+    """The scores of reports of six layouts, one of them cut off."""
+    docs = table(spark, d, "events").where("event_id % 3 = 0").select("event_id", F.expr(_filled(_REPORTS)).alias("doc"))
+    return docs.select("event_id", sc.event_scores(F.col("doc")).alias("x")).where("x is not null").select("event_id", "x.*")
+
+
+@query(f"""with recursive raw as (select event_id, {_filled(_PICKS)} as doc from events where event_id % 3 = 1
+), {_WALK.replace("{through}", "'OBJECT', 'ARRAY'")}, cand as (
+  select *, list_position({_sql_list(sc.FALLBACK)}, keys[-1]) as liked, try_cast(trim(trim(atom::varchar, '"')) as double) as value from w
+  where inside = 'OBJECT' and type in ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR')
+), ranked as (
+  select event_id, value, list_append(list_transform(ats[:-2], lambda k: 1000000 + k), case when liked > 0 then liked when contains(lower(keys[-1]), 'score') or lower(keys[-1]) in ('band', 'final_band') then 100 + ats[-1] end) as path
+  from cand where value is not null
+)
+select event_id, arg_min(value, path) as picked from ranked where path[-1] is not null group by event_id""")
+def picked_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score out of documents of five layouts, lists and texts of numbers among them."""
+    docs = table(spark, d, "events").where("event_id % 3 = 1").select("event_id", F.expr(_filled(_PICKS)).alias("doc"))
+    return docs.select("event_id", sc.picked_number(F.col("doc")).alias("picked")).where("picked is not null")
 
 
 @query(r"""with c as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[|。:;.]'), lambda p: trim(p, ' ')), lambda p: p <> '')[1:8] as c from conversations
@@ -206,17 +286,26 @@ def entity_presence(spark: SparkSession, d: str) -> DataFrame:
     return t.where("longest or frequent").select("key", "event_type", F.round("total", 2).alias("total"), "n", "longest", "frequent")
 
 
-@query("select user_id % 20 as model, count(distinct user_id) filter (where value > 10) as usable, case when count(*) filter (where event_type = 'error') = 0 then '' else count(*) filter (where event_type = 'error')::varchar end as merged from events group by 1")
+@query(""", k as (select key, count(*) as n, count(*) filter (where lane = 0) > 0 and count(*) filter (where lane = 1) > 0 as usable from iv group by key)
+select key // 100 % 20 as model, count(*) filter (where usable) as usable, sum(case key % 4 when 3 then 0 when 2 then 0 else n end)::bigint as merged, count(*) filter (where key % 4 < 2) as told from k group by 1""")
 def usable_pairs_per_model(spark: SparkSession, d: str) -> DataFrame:
-    wrong = F.count_if(F.col("event_type") == "error")
-    return table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("model")).agg(F.count_distinct(F.when(F.col("value") > 10, F.col("user_id"))).alias("usable"), F.when(wrong == 0, "").otherwise(wrong.cast("string")).alias("merged"))
+    """Pairs of a model with events on both sides, and what their files of merged events count: of objects and lists, not of other files."""
+    x = intervals(spark, d)
+    both = (F.count_if(F.col("lane") == 0) > 0) & (F.count_if(F.col("lane") == 1) > 0)
+    files = x.groupBy("key").agg(both.alias("usable"), F.to_json(F.collect_list(F.struct("id", "s", "e"))).alias("list"))
+    around = lambda a, b: F.concat(F.lit(a), F.col("list"), F.lit(b))
+    raw = F.get(F.array(around('{"lane":"ref","events":', "}"), F.col("list"), around('{"events":{"inner":', "}}"), around("[", "")), (F.col("key") % 4).cast("int"))
+    n = ev.merged_count(raw)
+    told = files.select(F.floor(F.col("key") / 100).cast("long").alias("u"), "usable", n.alias("n"))
+    return told.groupBy((F.col("u") % 20).alias("model")).agg(F.count_if("usable").alias("usable"), F.coalesce(F.sum(F.when(F.col("n") != "", F.col("n")).cast("long")), F.lit(0)).alias("merged"), F.count_if(F.col("n") != "").alias("told"))
 
 
-@query("select event_id, case event_id % 4 when 0 then (event_id % 30) when 1 then 3 when 2 then 0 else 12 end::bigint as n from events")
+_COUNTS = "case event_id % 6 when 0 then '>' || (event_id % 30) when 1 then '~' || (event_id % 9) || '.9 ' when 2 then event_type when 3 then (event_id % 40) || '+' when 4 then ' < ' || (event_id % 7) || 'e1' else '-' || (event_id % 5) end"
+
+
+@query(f"with c as (select event_id, {_COUNTS} as raw from events) select event_id, coalesce(trunc(try_cast(trim(regexp_replace(raw, '[<>~+]', '', 'g')) as double)), 0)::bigint as n from c")
 def count_parsing(spark: SparkSession, d: str) -> DataFrame:
-    case = F.col("event_id") % 4
-    raw = F.when(case == 0, F.concat(F.lit(">"), (F.col("event_id") % 30).cast("string"))).when(case == 1, "~3.9 ").when(case == 2, "many").otherwise("12+")
-    return table(spark, d, "events").select("event_id", ev.counted(raw).alias("n"))
+    return table(spark, d, "events").select("event_id", ev.counted(F.expr(_COUNTS)).alias("n"))
 
 
 _ENT = """, ent as (select key, id, event_type as class, row_number() over (partition by key, event_type order by s, id) as n, s, e, count(*) over (partition by key, event_type) as many from iv where lane = 0

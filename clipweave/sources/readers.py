@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.evidence import bank_stem
+from ..functions.evidence import bank_stem, enabled_count, event_list, merged_count
+from ..functions.json_walk import kind_of
+from ..functions.scores import event_scores, picked_number
 from ..functions.text import stem, tolerant_float
 
 _EVENT = "id:string,eid:string,event_id:string,parent_id:string,s:double,e:double,dur:double,members:array<string>,s_abs:double,e_abs:double,dur_abs:double,text:string,emb:array<float>,embedding:array<float>,vec:array<float>,norm:boolean"
@@ -83,10 +85,54 @@ def span_map(events: DataFrame) -> DataFrame:
     return x.groupBy("sample_id", "id").agg(F.min(F.struct("s", "e")).alias("x")).select("sample_id", "id", "x.s", "x.e")
 
 
+def _scene_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, scenes, error): scenes as texts, of ``{"scenes": [[s, e], ...]}`` or of the list alone."""
+    d = read_documents(spark, path, "variant")
+    listed = F.when(kind_of(F.col("doc")) == "object", F.try_variant_get("doc", "$.scenes", "variant")).otherwise(F.col("doc"))
+    scenes = F.when(kind_of(listed) == "array", F.try_variant_get(listed, "$", "array<array<double>>"))
+    bad = F.exists(scenes, lambda x: x.isNull() | (F.size(x) != 2) | F.exists(x, lambda v: v.isNull()))
+    wrong = F.when(scenes.isNull(), "no list of scenes").when(bad, "scenes that are no pairs of numbers")
+    return d.select("path", scenes.alias("scenes"), F.coalesce("error", wrong).alias("error"))
+
+
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, k, s, e) of scene files, each a list of pairs of seconds."""
-    d = read_documents(spark, path, "array<array<double>>").select(sample_of(F.col("path")).alias("sample_id"), F.posexplode("doc").alias("k", "x"))
-    return d.where(F.size("x") >= 2).select("sample_id", "k", F.get("x", F.lit(0)).alias("s"), F.get("x", F.lit(1)).alias("e"))
+    """(sample_id, k, s, e) of scene files, each ``{"scenes": [[s, e], ...]}`` or a list of pairs of seconds; ``broken_scenes`` names all others."""
+    d = _scene_files(spark, path).where("error is null").select(sample_of(F.col("path")).alias("sample_id"), F.posexplode("scenes").alias("k", "x"))
+    return d.select("sample_id", "k", F.get("x", F.lit(0)).alias("s"), F.get("x", F.lit(1)).alias("e"))
+
+
+def broken_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of scene files that give no scenes: no JSON, no list, or members that are no pairs of numbers."""
+    return _scene_files(spark, path).where("error is not null").select("path", "error")
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def read_event_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, total, enabled): events of each file, under whatever key they lie, and those that are switched on."""
+    listed = _texts(spark, path).select(sample_of(F.col("path")).alias("sample_id"), event_list(F.col("value")).alias("x"))
+    return listed.select("sample_id", F.size("x").cast("long").alias("total"), enabled_count(F.col("x")).alias("enabled"))
+
+
+def read_merged_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, ref_merged_events): the number of merged events of each file as text, empty where a file tells none."""
+    return _texts(spark, path).select(sample_of(F.col("path")).alias("sample_id"), merged_count(F.col("value")).alias("ref_merged_events"))
+
+
+def read_event_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ega, erel, ecr, s_event, erel_valid) of score reports of any layout; those without all four scores are left out."""
+    return _texts(spark, path).select("path", event_scores(F.col("value")).alias("x")).where("x is not null").select("path", "x.*")
+
+
+def fallback_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(modelname, sample_id, event_score) of ``scores/<model>/<sample>__<model>/scores.json`` files; those without a number are left out."""
+    model = F.trim(F.regexp_extract("path", r"/scores/([^/]+)/(?:.*/)?[^/]+/scores\.json$", 1))
+    folder = F.trim(F.split_part(F.regexp_extract("path", r"([^/]+)/scores\.json$", 1), F.lit("__"), F.lit(1)))
+    sample = F.regexp_replace(folder, r"(?i)\.(mp4|avi|mov|mkv|webm)$", "")
+    out = _texts(spark, path).select(F.url_decode(model).alias("modelname"), F.url_decode(sample).alias("sample_id"), picked_number(F.col("value")).alias("event_score"))
+    return out.where("modelname <> '' and sample_id <> '' and event_score is not null")
 
 
 def read_samples(spark: SparkSession, path: str, themes: list[str] | None = None) -> DataFrame:
@@ -149,10 +195,13 @@ def read_scores(table: DataFrame, want: tuple[str, ...]) -> DataFrame:
     return table.select(F.trim(pick("modelname")).alias("modelname"), sample.alias("sample_id"), *(tolerant_float(pick(n)).alias(n) for n in want))
 
 
-def merge_scores(tables: list[DataFrame]) -> DataFrame:
-    """One row per (modelname, sample_id): for each score the first non-null value in the order of ``tables``."""
+def merge_scores(tables: list[DataFrame], fallback: DataFrame | None = None) -> DataFrame:
+    """One row per (modelname, sample_id): for each score the first non-null value in the order of ``tables``.
+
+    ``fallback``, such as ``fallback_scores``, fills what none of the tables has, and adds the samples that only it knows.
+    """
     long = None
-    for prio, t in enumerate(tables):
+    for prio, t in enumerate([*tables, *([fallback] if fallback is not None else [])]):
         t = t.withColumn("_prio", F.lit(prio))
         long = t if long is None else long.unionByName(t, allowMissingColumns=True)
     scores = [c for c in long.columns if c not in ("modelname", "sample_id", "_prio")]
