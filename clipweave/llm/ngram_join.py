@@ -50,11 +50,30 @@ def set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """1,024 bits, each the parity of the elements that hash to it: two sets differ in as many elements at least as these in bits."""
-    odd = np.bincount((mix(s + _BASE) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    """Bits, each the parity of the elements that hash to it: two sets differ in as many elements at least as these in bits.
+
+    There are 1,024 bits, or as many as twice the elements at least, so that few differences of a long set fall on one bit. A half of
+    the bits XOR the other is the parity of half the width.
+    """
+    wide = 1 << max(10, (2 * len(s) - 1).bit_length()) if len(s) else 1024
+    odd = np.bincount((mix(s + _BASE) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(column: pa.Array) -> np.ndarray:
+    """Parities of different widths as rows of the least of them."""
+    flat, sizes = np.asarray(column.flatten(), np.int64), np.asarray(column.value_lengths(), np.int64)
+    starts, least = np.cumsum(sizes) - sizes, int(sizes.min(initial=1 << 40)) if len(sizes) else 16
+    out = np.zeros((len(sizes), least), np.int64)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        bits = flat[starts[rows][:, None] + np.arange(size)]
+        while bits.shape[1] > least:
+            bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+        out[rows] = bits
+    return out
+
+
 def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """First sizes of the bands, and k of each: how many elements two sets may differ in whose larger lies there."""
     first, k = [], []
@@ -336,7 +355,7 @@ def _forest(percent: int, every: bool):
             unlike.setdefault(x, set()).add(y)
         t = t.filter(pa.array(member)).take(pa.array(np.argsort(node[member], kind="stable")))
         node, n, block = (np.asarray(t.column(c), np.int64) for c in ("node", "n", "block"))
-        bits = np.asarray(t.column("parity").flatten(), np.int64).reshape(-1, 16)
+        bits = folded(t.column("parity"))
         label = np.unique(np.asarray(t.column("component"), np.int64), return_inverse=True)[1]
         across = len(t) and t.column("i")[0].as_py() != t.column("j")[0].as_py()
         out = []
@@ -358,7 +377,7 @@ def _forest(percent: int, every: bool):
             likest = np.argsort(apart, kind="stable")
             at, apart = at[likest], apart[likest]
             found, first = np.unique(label[at], return_index=True)
-            hidden = 2 + apart[first] ** 2 // 512
+            hidden = 2 + apart[first] ** 2 // (32 * bits.shape[1])  # differences that meet on a bit, about
             safe = ((apart[first] + hidden) * (100 + percent) <= (n[k] + n[at[first]]) * (100 - percent)) & (not every)
             rest_of = at[~np.isin(label[at], found[safe])]
             sure_of = at[first][safe]
@@ -416,7 +435,10 @@ def _compare(percent: int):
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` whose sizes and parities allow the similarity; a pair that is similar enough is never dropped."""
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("parity").alias(f"p{n}"))
-    bits = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), F.shiftright(F.size(p), 1)), F.slice(p, F.shiftright(F.size(p), 1) + 1, F.size(p)), lambda x, y: x.bitwiseXOR(y))
+    # Sizes that are near enough have widths that are the same, or one twice the other.
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), half(F.col(p))).otherwise(F.col(p))
+    bits = F.aggregate(F.zip_with(fold("pa", "pb"), fold("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b").distinct()
 

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clipweave.llm import codes, leaks, variants
+from clipweave.llm import codes, leaks, ngram_join, variants
 
 LEAK = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -265,3 +266,48 @@ def test_vocabulary(spark):
     assert dict(map(tuple, variants.vocabulary(docs).collect())) == {w: n for w, n in want.items() if n >= 2}
     assert variants.group_variants(variants.vocabulary(docs.where("false"))).count() == 0
     assert variants.vocabulary(docs, slip=None).where(F.col("word") == "variant").first()["n"] == 6
+
+
+# --- n-gram join of long documents
+
+
+def test_parities_of_different_widths():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 1100).astype(np.uint64))
+    sets = [base[:1000], base[40:1040], base[:1060], base[:500], base[:0]]
+    assert [len(ngram_join.parity(s)) for s in sets] == [32, 32, 64, 16, 16]
+    rows = ngram_join.folded(pa.array([ngram_join.parity(s) for s in sets], pa.list_(pa.int64())))
+    bits = lambda a, b: int(np.bitwise_count((rows[a] ^ rows[b]).view(np.uint64)).sum())
+    for a, b in itertools.combinations(range(5), 2):
+        apart = len(np.setxor1d(sets[a], sets[b]))
+        assert bits(a, b) <= apart and (apart - bits(a, b)) % 2 == 0 and bits(a, b) > 0
+
+
+def test_long_unlike_documents_are_seldom_compared(spark, monkeypatch):
+    """Documents of 3,000 words of which 53 are their own are about 0.7 alike: their sets are fetched for few pairs, and none is linked; copies of 0.9 are."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(3000)]
+
+    def changed(n):
+        words = list(base)
+        for at in rng.choice(3000, n, replace=False):
+            words[at] = f"own{rng.integers(1 << 40)}"
+        return words
+
+    docs = {k: changed(106) for k in range(60)}
+    for k in range(60, 64):
+        words = list(docs[k - 60])
+        for at in rng.choice(3000, 20, replace=False):
+            words[at] = f"new{rng.integers(1 << 40)}"
+        docs[k] = words
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    asked, plain = [], ngram_join._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame).collect()}
+    assert got == {k: k - 60 if k >= 60 else k for k in docs}
+    assert sum(asked) < 0.05 * 64 * 63 / 2
