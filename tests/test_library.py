@@ -173,3 +173,53 @@ def test_assignment_by_trying_all(spark):
     got = assign.match(spark.createDataFrame(frame, "key long, ref_id long, gen_id long, score double, gated boolean")).toPandas()
     by = {k: assign.padded(np.array([f[3] for f in frame if f[0] == k]).reshape(3, 4), np.array([f[4] for f in frame if f[0] == k]).reshape(3, 4)) for k in range(300)}
     assert {(r.key, r.ref_id, r.gen_id) for r in got.itertuples()} == {(k, i, j) for k, x in by.items() for i, j in x}
+
+
+def fold_of(rows, similarity, gap, least):
+    """The merge taken one by one, as its definition says it."""
+    out, number, upto, centre = [], 0, 0.0, None
+    for i, s, e, x in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        vec = None if x is None else np.array(x, float)
+        if e - s < least:
+            out.append((i, None, "short"))
+        elif vec is None and not number:
+            out.append((i, None, "no_vector"))
+        else:
+            near = centre is not None and vec is not None and (centre @ vec / max(np.linalg.norm(centre) * np.linalg.norm(vec), 1e-12) + 1) / 2 >= similarity
+            joins = near and max(0.0, s - upto) <= gap
+            reason = "no_vector" if vec is None else "first" if not number else "merged" if joins else "large_gap" if near else "low_similarity"
+            if joins:
+                upto, centre = max(upto, e), centre + (e - s) * vec
+            else:
+                number, upto, centre = number + 1, e, None if vec is None else (e - s) * vec
+            out.append((i, number, reason))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [5.0, 1e9])
+def test_merge_of_long_keys_is_the_sequential_fold(spark, bucket):
+    """Keys of many pieces, some without any place to cut, with vectors missing at the start and in between."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in range(6):
+        at = 0.0
+        for i in range(300 if key else 3):
+            at += float(rng.choice([0.01, 0.3, 2.0], p=[0.6, 0.3, 0.1] if key != 3 else [1.0, 0, 0]))
+            x = None if rng.random() < 0.1 or (key == 2 and i < 40) else [float(v) for v in rng.normal(0, 1, 3) + [2, 0, 0]]
+            rows.append((key, i, at, at + float(rng.choice([0.0001, 0.2, 1.0])), None if key == 5 else x))
+    frame = spark.createDataFrame(rows, "key long, id long, s double, e double, x array<double>").repartition(5)
+    got = sorted(map(tuple, merger.merge_items(frame, similarity=0.9, gap=0.1, least=0.002, bucket=bucket).collect()), key=str)
+    want = [(k, *r) for k in range(6) for r in fold_of([r[1:] for r in rows if r[0] == k], 0.9, 0.1, 0.002)]
+    assert got == sorted(want, key=str)
+    reasons = {r[3] for r in want}
+    assert reasons == {"short", "no_vector", "first", "merged", "large_gap", "low_similarity"}
+
+
+def test_one_long_key_is_folded_in_many_tasks(spark):
+    n = 60_000
+    x = F.array(F.when(F.col("id") % 7 < 5, 1.0).otherwise(-1.0), F.lit(0.5))
+    items = spark.range(n).selectExpr("cast(1 as long) as key", "id", "id * 0.5 + (id div 20) * 3.0 as s", "id * 0.5 + (id div 20) * 3.0 + 0.45 as e").withColumn("x", x)
+    out = merger.merge_items(items, similarity=0.9, gap=0.1, bucket=500.0)
+    stats = merger.statistics(out).first()
+    assert stats["items"] == stats["kept"] == n and stats["clusters"] > n // 10
+    assert out.agg(F.max("cluster"), F.count_distinct("cluster")).first() == (stats["clusters"], stats["clusters"])
