@@ -59,6 +59,10 @@ def align(times: DataFrame, texts: DataFrame) -> DataFrame:
 MOVES = (("pending", "processing"), ("processing", "completed"), ("processing", "failed"), ("pending", "failed"))
 
 
+#: States that a task may stay in too long.
+OPEN = ("pending", "processing")
+
+
 def transitions(log: DataFrame) -> DataFrame:
     """``log`` (task, at, seq, status, ..) with ``before`` and ``legal``: whether the task may turn so; a task begins as pending."""
     w = Window.partitionBy("task").orderBy("at", "seq")
@@ -67,6 +71,24 @@ def transitions(log: DataFrame) -> DataFrame:
     return log.withColumn("before", before).withColumn("legal", F.when(F.col("before").isNull(), F.col("status") == "pending").otherwise(allowed))
 
 
+def transitions_with_time_outs(log: DataFrame, *, limit: float) -> DataFrame:
+    """(task, at, seq, status, before, legal, timed_out) of a log (task, at, seq, status), and a row where a task has stayed open for over ``limit`` seconds.
+
+    A time-out fails the task ``limit`` after its last change, with -1 as ``seq``; what comes later finds it failed.
+    """
+    w = Window.partitionBy("task").orderBy("at", "seq")
+    due = F.col("at") + F.make_interval(secs=F.lit(limit))
+    seen = log.select("task", "at", "seq", "status").withColumns({"_before": F.lag("status").over(w), "_due": due, "_next": F.lead("at").over(w)})
+    seen = seen.withColumn("_out", F.col("status").isin(*OPEN) & (F.col("_next").isNull() | (F.col("_next") > F.col("_due"))))
+    seen = seen.withColumn("before", F.when(F.lag("_out").over(w), "failed").otherwise(F.col("_before")))
+    fits = lambda a, b: F.concat_ws(">", a, b).isin(*(f"{x}>{y}" for x, y in MOVES))
+    legal = F.when(F.col("before").isNull(), F.col("status") == "pending").otherwise(fits("before", "status"))
+    told = seen.select("task", "at", "seq", "status", "before", legal.alias("legal"), F.lit(False).alias("timed_out"))
+    failed = F.lit("failed")
+    over = seen.where("_out").select("task", F.col("_due").alias("at"), F.lit(-1).cast("long").alias("seq"), failed.alias("status"), F.col("status").alias("before"), fits("status", failed).alias("legal"), F.lit(True).alias("timed_out"))
+    return told.unionByName(over)
+
+
 def encode_once(texts: DataFrame, encode: Column) -> DataFrame:
     """``texts`` (purpose, text, ..) with ``vec``; ``encode``, a column over purpose and text, runs once for every different pair."""
     known = texts.select("purpose", "text").distinct().withColumn("vec", encode)

@@ -9,6 +9,7 @@ from ..functions import intervals as iv
 from ..functions import vectors as v
 from ..operators import merger
 from ..operators import sequence as sq
+from ..streaming import stateful as st
 from .registry import intervals, lane_pairs, query, r4, table
 
 
@@ -132,6 +133,60 @@ def task_transitions(spark: SparkSession, d: str) -> DataFrame:
     return sq.transitions(log).select("task", F.col("seq").alias("event_id"), "before", "legal")
 
 
+_LOG = """with l as (select user_id % 200 as task, epoch_us(ts) as us, event_id, case event_type when 'error' then 'failed' when 'purchase' then 'completed' when 'click' then 'processing' else 'pending' end as status from events
+)"""
+#: A task that stays open for half a day has failed.
+_LIMIT = 43200.0
+
+
+def _task_log(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "click", "processing").otherwise("pending")
+    return table(spark, d, "events").select((F.col("user_id") % 200).alias("task"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), status.alias("status"))
+
+
+_TIMED = _LOG + f""", m as (
+  select *, coalesce(after > us + {int(_LIMIT * 1e6)}, true) and status in ('pending', 'processing') as gone
+  from (select *, lag(status) over (partition by task order by us, event_id) as was, lead(us) over (partition by task order by us, event_id) as after from l)
+), b as (select *, case when lag(gone) over (partition by task order by us, event_id) then 'failed' else was end as before from m
+), r as (
+  select task, us, event_id as seq, status, before, false as timed_out from b
+  union all select task, us + {int(_LIMIT * 1e6)}, -1, 'failed', status, true from b where gone
+)
+select task, us as at, seq, status, before, case when before is null then status = 'pending' else before || '>' || status in ('pending>processing', 'processing>completed', 'processing>failed', 'pending>failed') end as legal, timed_out from r"""
+
+
+@query(_TIMED)
+def task_time_outs(spark: SparkSession, d: str) -> DataFrame:
+    """The log of tasks with those that ran out of time, in one batch."""
+    return sq.transitions_with_time_outs(_task_log(spark, d), limit=_LIMIT).withColumn("at", F.unix_micros("at"))
+
+
+@query(_TIMED)
+def stream_task_machine(spark: SparkSession, d: str) -> DataFrame:
+    """The same from shuffled micro-batches, by state and timers."""
+    log = _task_log(spark, d).select(F.col("task").alias("key"), F.col("at").alias("ts"), "seq", "status")
+    out = st.replay(spark, log, st.TaskMachine(_LIMIT), late="60 days", result=st.TaskMachine.RESULT, name="tasks")
+    return out.select(F.col("key").cast("long").alias("task"), "at", "seq", "status", "before", "legal", "timed_out")
+
+
+@query("""with recursive l as (
+  select user_id % 200 as name, epoch_us(ts) as us, event_id, case event_type when 'error' then 'failed' when 'purchase' then 'completed' else 'submit' end as kind, row_number() over (partition by user_id % 200 order by ts, event_id) as k from events
+), g as (
+  select name, us, event_id, kind, k, kind = 'submit' as accepted, case when kind = 'submit' then 'open' end as state from l where k = 1
+  union all
+  select l.name, l.us, l.event_id, l.kind, l.k, l.kind = 'submit' and coalesce(g.state, 'failed') = 'failed',
+         case when l.kind = 'submit' and coalesce(g.state, 'failed') = 'failed' then 'open' when g.state = 'open' and l.kind <> 'submit' then l.kind else g.state end
+  from g join l on l.name = g.name and l.k = g.k + 1
+)
+select name, us as at, event_id, kind, accepted from g""")
+def stream_duplicate_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions that a guard takes: none while one of its name is open or after one has been completed."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("submit")
+    log = table(spark, d, "events").select((F.col("user_id") % 200).alias("key"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"))
+    out = st.replay(spark, log, st.Guard(), late="60 days", result=st.Guard.RESULT, name="guard")
+    return out.select(F.col("key").cast("long").alias("name"), "at", F.col("seq").alias("event_id"), "kind", "accepted")
+
+
 @query("select p_partkey, ('0x' || substring(md5(case when p_partkey % 2 = 0 then 'query: ' else 'passage: ' end || p_name), 1, 8))::bigint as code from part")
 def encode_distinct_once(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in encoder runs once for every different (purpose, text)."""

@@ -14,7 +14,8 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, *, files: int = 16)
     """A table's files as a stream, ``files`` in a micro-batch; the schema is the table's own."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+    # A table may be one file or a folder: its own name as a pattern fits the one, and what lies in it the other, but no neighbour of it.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{{{name}.parquet,{name}.parquet/*.parquet}}")
 
 
 def status_counts(stream: DataFrame, status: str, value: str) -> DataFrame:
@@ -29,13 +30,14 @@ def daily_counts(stream: DataFrame, *, late: str | None = None) -> DataFrame:
     return timed.groupBy(F.window("t", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
-def _place(spark: SparkSession, name: str) -> str:
+def place_of(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for the state and results of a run."""
     return f"{shared_dir(spark)}/clipweave/stream-{name}-{uuid.uuid4().hex}"
 
 
 def run_available(df: DataFrame, name: str, *, mode: str) -> DataFrame:
     """Run to the end of what is there and return the result; state and results lie in the shared folder."""
-    place = _place(df.sparkSession, name)
+    place = place_of(df.sparkSession, name)
     run_upserts_or_replace(df, place, mode)
     return df.sparkSession.read.parquet(_latest(df.sparkSession, place))
 
@@ -66,7 +68,7 @@ def run_upserts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     A batch costs what it changes, not the table; a batch that runs again writes the same folder. Reading takes one pass
     over all versions, which ``compact`` may put into one.
     """
-    spark, place = df.sparkSession, _place(df.sparkSession, name)
+    spark, place = df.sparkSession, place_of(df.sparkSession, name)
 
     def put(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={k}")

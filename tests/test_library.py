@@ -1,13 +1,16 @@
 """Library functions against hand-worked cases and plain Python."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, boards, events, merger, motion, sequence
+from clipweave.operators import assign, axes, boards, entities, events, merger, motion, sequence
 from clipweave.plans import q_axes
+from clipweave.streaming import stateful
 
 from .conftest import SF
 
@@ -223,3 +226,36 @@ def test_one_long_key_is_folded_in_many_tasks(spark):
     stats = merger.statistics(out).first()
     assert stats["items"] == stats["kept"] == n and stats["clusters"] > n // 10
     assert out.agg(F.max("cluster"), F.count_distinct("cluster")).first() == (stats["clusters"], stats["clusters"])
+
+
+def test_entities_resolve_as_windows_arrive(spark):
+    """Windows in shuffled micro-batches give the names that one pass over all of them gives."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in range(3):
+        for win in range(8):
+            for local in range(int(rng.integers(1, 5))):
+                at = win * 10.0 + float(rng.random())
+                rows.append((key, win, local, str(rng.choice(["cow", "car"])), str(rng.choice(["", "red"])), [str(x) for x in rng.integers(0, 3, 2)], at, at + float(rng.random() * 12)))
+    frame = spark.createDataFrame(rows, "key long, win long, local_id long, name string, signature string, attrs array<string>, s double, e double")
+    want = entities.resolve(frame)
+    log = frame.withColumns({"ts": F.timestamp_seconds(F.col("win") * 10 + 1_000_000), "seq": F.col("local_id")})
+    got = stateful.replay(spark, log, stateful.Resolver(), late="1 day", result=stateful.Resolver.RESULT, name="entities", files=3)
+    assert sorted((int(r["key"]), r["win"], r["local_id"], r["entity"]) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_folds_of_one_key():
+    """The folds alone: a time-out between two changes, one at the end, and a submission that is refused."""
+    row = lambda at, **x: (at, at, json.dumps(x))
+    machine = stateful.TaskMachine(10.0)
+    out, state, wake = machine("k", None, [row(0, status="pending"), row(5_000_000, status="processing"), row(30_000_000, status="completed")], 31_000_000)
+    assert [(at, x["status"], x["before"], x["legal"], x["timed_out"]) for at, _, x in out] == [
+        (0, "pending", None, True, False), (5_000_000, "processing", "pending", True, False), (15_000_000, "failed", "processing", True, True), (30_000_000, "completed", "failed", False, False)
+    ]
+    assert wake is None
+    out, state, wake = machine("k", None, [row(0, status="pending")], 1)
+    assert len(out) == 1 and wake == 10_000_000 and machine("k", state, [], 10_000_001)[0][0][2]["timed_out"]
+    guard = stateful.Guard()
+    kinds = ["submit", "submit", "failed", "submit", "completed", "submit"]
+    out, state, _ = guard("k", None, [row(k, kind=x) for k, x in enumerate(kinds)], 9)
+    assert [x["accepted"] for _, _, x in out] == [True, False, False, True, False, False] and state == "completed"
