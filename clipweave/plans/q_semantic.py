@@ -119,6 +119,26 @@ def optimal_match_semantic(spark: SparkSession, d: str) -> DataFrame:
     return assign.match(_candidates(spark, d), mode="dummy", gate=0.4)
 
 
+#: Candidates of a key, as the SQL twins see them.
+_CAND = """, em as (select vec_id, embedding::double[] as x from embeddings
+), p as (
+  select r.key, r.id as ref_id, g.id as gen_id, coalesce((list_cosine_similarity(a.x, b.x) + 1) / 2, 0) as sim
+  from iv r join iv g on r.key = g.key and r.lane = 0 and g.lane = 1 left join em a on a.vec_id = r.vec_id left join em b on b.vec_id = g.vec_id
+)"""
+
+
+@query(_CAND + " select distinct key, true as one_to_one, true as feasible, 0.0::double as gap from p")
+def optimal_event_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """That the matching of events is one to one and that no choice of gated pairs is better: its prices cover all of them and cost no more."""
+    return assign.certificate(_candidates(spark, d), mode="event").select("key", "one_to_one", "feasible", F.abs(F.round("gap", 4)).alias("gap"))
+
+
+@query(_CAND + " select distinct key, true as one_to_one, true as feasible, 0.0::double as gap from p")
+def optimal_semantic_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the matching whose items may stay alone."""
+    return assign.certificate(_candidates(spark, d), mode="dummy", gate=0.4).select("key", "one_to_one", "feasible", F.abs(F.round("gap", 4)).alias("gap"))
+
+
 @query(""", em as (select vec_id, embedding::double[] as x from embeddings
 ), p as (
   select r.key, r.id as ref_id, g.id as gen_id, coalesce((list_cosine_similarity(a.x, b.x) + 1) / 2, 0) as sim,

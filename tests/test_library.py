@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, boards, entities, events, merger, motion, sequence
+from clipweave.operators import assign, axes, boards, entities, events, merger, motion, sequence, sparse
 from clipweave.plans import q_axes
 from clipweave.streaming import stateful
 
@@ -259,3 +259,47 @@ def test_folds_of_one_key():
     kinds = ["submit", "submit", "failed", "submit", "completed", "submit"]
     out, state, _ = guard("k", None, [row(k, kind=x) for k, x in enumerate(kinds)], 9)
     assert [x["accepted"] for _, _, x in out] == [True, False, False, True, False, False] and state == "completed"
+
+
+def test_sparse_matching_against_dense():
+    """Small matrices with many ties: the total of the dense solver, and prices that prove it."""
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        r, g = (int(x) for x in rng.integers(1, 8, 2))
+        score, gated = np.round(rng.random((r, g)), int(rng.integers(1, 4))), rng.random((r, g)) < 0.5
+        i, j = np.nonzero(np.ones((r, g)))
+        dense, got = assign.padded(score, gated), assign._chosen(i, j, score.ravel(), gated.ravel(), "event", 0.0)
+        assert len(dense) == len(got) and abs(sum(score[x] for x in dense) - sum(x[2] for x in got)) < 1e-9
+        assert got == sorted(got, key=lambda x: (-x[2], x[0], x[1]))
+        gate = float(rng.choice([0.2, 0.4, 0.6, 0.8]))
+        cost = np.full((r + g, r + g), 1 - gate)
+        cost[:r, :g], cost[r:, g:] = 1 - score, 0
+        taken, u, v = sparse.heaviest(i, j, w := assign._weights(score.ravel(), "dummy", gate, min(r, g)))
+        rest = (min(r, g) - taken.sum()) * min(1, 2 * (1 - gate)) + abs(r - g) * (1 - gate)
+        assert abs(sum(cost[x, y] for x, y in enumerate(assign.solve(cost))) - (1 - score.ravel()[taken]).sum() - rest) < 1e-9
+        assert abs(u.sum() + v.sum() - w[taken].sum()) < 1e-9 and (u[i] + v[j] > w - 1e-9).all() and min(u.min(), v.min()) >= 0
+
+
+def test_sparse_matching_of_a_long_key():
+    """A key of 3,000 by 3,000 items and 60,000 candidates, some of them in parts of their own."""
+    rng = np.random.default_rng(1)
+    k = np.unique(rng.integers(0, 3000 * 3000, 60_000))
+    i, j = k // 3000, k % 3000
+    near = (i < 2000) == (j < 2000)
+    i, j = i[near], j[near]
+    w = rng.random(len(i)) + (rng.random(len(i)) < 0.3)
+    taken, u, v = sparse.heaviest(i, j, w)
+    assert len(set(i[taken])) == len(set(j[taken])) == taken.sum() > 2900
+    assert abs(u.sum() + v.sum() - w[taken].sum()) < 1e-6 and (u[i] + v[j] > w - 1e-9).all()
+
+
+def test_keys_longer_than_a_batch(spark):
+    n = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = [(k, r, g, ((r * 7 + g * 5 + k) % 11) / 11, True) for k in range(5) for r in range(6) for g in range(4)]
+        pairs = spark.createDataFrame(frame, "key long, ref_id long, gen_id long, score double, gated boolean")
+        proof = assign.certificate(pairs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    assert len(proof) == 5 and all(r["n"] == 4 and r["one_to_one"] and r["feasible"] and abs(r["gap"]) < 1e-9 for r in proof)
