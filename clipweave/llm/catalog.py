@@ -115,7 +115,10 @@ with recursive m as (
     select id, c, t, level, run, min(pos) as pos, list_filter(list({_normal_sql("regexp_replace(line, '" + quotation.MARKS + "', '')")} order by pos), lambda x: x <> '') as said
     from runs where level > 0 group by id, c, t, level, run
   ) where len(said) > 0
-), size as (select distinct c, least(len(said), {_RUN}) as k from passage
+), size as (select distinct c, len(said) as k from passage where len(said) <= {_RUN}
+), long as (
+  select p.id, p.level, p.run, min(s.t) as long from passage p join saying s on s.c = p.c and contains(chr(10) || array_to_string(s.said, chr(10)) || chr(10), chr(10) || array_to_string(p.said, chr(10)) || chr(10))
+  where len(p.said) > {_RUN} group by p.id, p.level, p.run
 ), unit as (
   select c, t, {_normal_sql("u")} as u from (select c, t, own as u from own union all select c, t, unnest(regexp_split_to_array(own, '\n[\x20\x09-\x0D]*\n')) from own)
   union all select c, t, unnest(said) from saying
@@ -123,8 +126,8 @@ with recursive m as (
 ), has as (select distinct c, t, u from unit where u <> ''
 ), origin as (select c, u, min(t) as origin from has group by c, u
 ), whole as (
-  select p.*, case when o.origin < p.t and (len(said) <= {_RUN} or exists (select 1 from has h where h.c = p.c and h.t = o.origin and h.u = array_to_string(said[-{_RUN}:], ' '))) then o.origin end as origin
-  from passage p left join origin o on o.c = p.c and o.u = array_to_string(case when len(said) <= {_RUN} then said else said[1:{_RUN}] end, ' ')
+  select p.*, case when least(o.origin, long) < p.t then least(o.origin, long) end as origin
+  from passage p left join origin o on o.c = p.c and o.u = array_to_string(said, ' ') left join long on long.id = p.id and long.level = p.level and long.run = p.run
 ), vote as (
   select id, w.c, w.t, level, run, len(said) as n, o.origin as origin, count(*) as votes from (select *, unnest(said) as l from (select * exclude origin from whole where origin is null)) w
   join origin o on o.c = w.c and o.u = w.l where o.origin < w.t group by id, w.c, w.t, level, run, len(said), o.origin having 2 * count(*) >= len(said)

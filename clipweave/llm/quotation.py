@@ -2,7 +2,8 @@
 
 A line's quote level is the number of ``>`` in front of it. A passage is a run of lines of one level above 0. Its normalised
 text is hashed and joined to the units of earlier messages of the conversation: whole own texts, paragraphs, lines, and runs of as many
-lines as passages there have. The earliest message that holds the unit is the original. A passage that is no unit, as one with a line of
+lines as passages there have. Long passages are found by two runs of 2, 4, 8, ... lines that cover all of them, hashed by doubling, at
+the right distance in one message. The earliest message that holds the unit is the original. A passage that is no unit, as one with a line of
 its own among the quoted ones, belongs to the message that most of its lines are from, if that is half of them at least.
 
 A message replies to the original of its shallowest, first linked passage. Roots, depths and places come from pointer doubling over the
@@ -22,7 +23,7 @@ MARKS = r"^[\x20\x09]*(?:>[\x20\x09]*)+"
 LEAD = r"(wrote|schrieb|écrit|escribió)[\x20\x09]*:[\x20\x09\x0D]*$"
 QUOTED = r"(^|\n)[\x20\x09]*>"
 KEY = ("_conv", "_turn", "_text")
-#: Lines up to which a passage is hashed whole; of longer ones the first and the last so many are.
+#: Lines up to which runs are hashed at each length that passages have; longer ones are hashed by doubling.
 RUN = 16
 
 
@@ -91,18 +92,51 @@ def quote_links(conversations: DataFrame) -> DataFrame:
     return found.select(F.col("_conv").alias("conv_id"), F.col("_turn").alias("turn"), F.col("_level").alias("level"), F.col("_pos").alias("pos"), F.col("_origin").alias("origin"))
 
 
+def _by_doubling(lines: Column, top: Column) -> Column:
+    """For k from 0 to ``top`` (1 at least) the hashes of all runs of 2**k lines, each made of two runs of half the length."""
+
+    start = F.struct(F.lit(1).alias("size"), F.transform(lines, F.md5).alias("last"), F.array(F.transform(lines, F.md5)).alias("all"))
+
+    def twice(acc: Column, _: Column) -> Column:
+        more = F.size(acc["last"]) - acc["size"]
+        pair = F.transform(F.sequence(F.lit(0), more - 1), lambda i: F.md5(F.concat(F.get(acc["last"], i), F.get(acc["last"], i + acc["size"]))))
+        runs = F.when(more > 0, pair).otherwise(F.array().cast("array<string>"))
+        return F.struct((acc["size"] * 2).alias("size"), runs.alias("last"), F.array_append(acc["all"], runs).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(1), top), start, twice, lambda acc: acc["all"])
+
+
+def _long_origins(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """(message key, level, pos, turn of the first message that has all its lines in a row) of passages of over RUN lines."""
+    n = F.size("_said")
+    long = found.where(n > RUN).withColumn("_k", F.length(F.bin(n)) - 1)  # 2**k lines at each end cover the passage
+    long = long.withColumns({"_runs": F.get(_by_doubling(F.col("_said"), F.col("_k")), F.col("_k")), "_far": n - F.expr("cast(power(2, _k) as int)")})
+    long = cut(long.select(*KEY, "_level", "_pos", "_k", F.get("_runs", F.lit(0)).alias("_head"), F.get("_runs", F.col("_far")).alias("_end"), "_far"), "quote-long")
+    name = ["_conv", "_k", "_head", "_end", "_far"]
+    wanted = long.select(*name).distinct()
+    deep = wanted.groupBy("_conv").agg(F.max("_k").alias("_top"))
+    own = messages.join(deep, "_conv").select("_conv", "_turn", "_top", _said(F.split(own_text(F.col("_body")), "\n", -1)).alias("_lines")).where(F.size("_lines") > RUN)
+    runs = own.select("_conv", F.col("_turn").alias("_origin"), F.posexplode(_by_doubling(F.col("_lines"), F.col("_top"))).alias("_k", "_each")).where(F.col("_k") >= RUN.bit_length() - 1)
+    runs = cut(runs.select("_conv", "_origin", "_k", F.posexplode("_each").alias("_at", "_hash")), "quote-runs")
+    heads = wanted.join(runs.withColumnRenamed("_hash", "_head"), ["_conv", "_k", "_head"]).withColumn("_at", F.col("_at") + F.col("_far"))
+    both = heads.join(runs.withColumnRenamed("_hash", "_end"), ["_conv", "_origin", "_k", "_at", "_end"])
+    first = both.groupBy(*name).agg(F.min("_origin").alias("_long"))
+    return long.join(first, name).select(*KEY, "_level", "_pos", "_long")
+
+
 def _links(messages: DataFrame) -> DataFrame:
     found = cut(passages(messages.where("_conv is not null and _turn is not null")), "quote-passages")
-    n, text = F.size("_said"), lambda lines: F.md5(F.array_join(lines, " "))
-    found = found.withColumns({"_hash": text(F.slice("_said", 1, RUN)), "_tail": F.when(n > RUN, text(F.slice("_said", -RUN, RUN)))})
-    found = found.withColumn("_hash", F.when(n > RUN, F.col("_hash")).otherwise(text(F.col("_said"))))
-    sizes = found.groupBy("_conv").agg(F.collect_set(F.least(n, F.lit(RUN))).alias("_sizes"))  # RUN numbers at most
-    where = cut(units(messages.where("_turn is not null").join(sizes.select("_conv"), "_conv", "left_semi"), sizes), "quote-units")
+    n = F.size("_said")
+    found = found.withColumn("_hash", F.md5(F.array_join("_said", " ")))
+    sizes = found.groupBy("_conv").agg(F.collect_set(F.when(n <= RUN, n)).alias("_sizes"))  # RUN numbers at most
+    told = messages.where("_turn is not null")
+    where = cut(units(told.join(sizes.select("_conv"), "_conv", "left_semi"), sizes), "quote-units")
     first = where.groupBy("_conv", "_hash").agg(F.min("_turn").alias("_origin"))
     before = F.col("_origin") < F.col("_turn")
-    whole = found.join(first, ["_conv", "_hash"], "left").withColumn("_origin", F.when(before, F.col("_origin")))
-    ends = where.select("_conv", F.col("_turn").alias("_origin"), F.col("_hash").alias("_tail")).withColumn("_ends", F.lit(True))
-    whole = whole.join(ends, ["_conv", "_origin", "_tail"], "left").withColumn("_origin", F.when(F.col("_tail").isNull() | F.col("_ends"), F.col("_origin")))
+    whole = found.join(first, ["_conv", "_hash"], "left")
+    if found.where(n > RUN).head(1):
+        whole = whole.join(_long_origins(found, told), [*KEY, "_level", "_pos"], "left").withColumn("_origin", F.least("_origin", "_long"))
+    whole = whole.withColumn("_origin", F.when(before, F.col("_origin")))
     place = [*KEY, "_level", "_pos"]
     whole = cut(whole.select(*place, "_said", "_origin"), "quote-whole")
     # Passages that are no unit: each line to the first message that has it, the passage to the message that most of them name.

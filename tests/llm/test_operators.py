@@ -726,3 +726,35 @@ def test_quotation_excerpts(spark):
     parts = quotation.threads(quotation.render(out)).where("conv_id = 2").orderBy("part").collect()
     assert [r["n_messages"] for r in parts] == [64, 64, 22] and ",".join(r["turns"] for r in parts) == ",".join(map(str, range(150)))
     assert quotation.threads(quotation.render(quotation.reply_order(df.where("false")))).count() == 0
+
+
+def test_quotation_of_long_passages(spark, duck):
+    """Passages of 17 to 200 lines belong to the first message that has all of their lines in a row; a head or an end that others have too decides nothing."""
+    line = lambda a, b: [f"line {k}" for k in range(a, b)]
+    quote = lambda lines: "\n".join(f"> {x}" for x in lines) + "\nyes"
+    changed = line(1, 61)
+    changed[30] = "never said"
+    rows = [(1, 1, line(1, 17)), (1, 2, line(1, 21)), (1, 4, [*line(1, 17), "odd", *line(5, 21)]), (2, 1, changed), (2, 2, line(1, 61)), (3, 1, changed)]
+    rows = [(c, t, "\n".join(x)) for c, t, x in rows] + [(1, 3, quote(line(1, 21))), (2, 3, quote(line(1, 61))), (3, 2, quote([*line(1, 25), "else", *line(40, 50)]))]
+    rng, truth = np.random.default_rng(17), {(1, 3): 2, (2, 3): 2, (3, 2): None}
+    for conv in range(10, 40):
+        said = {}
+        for turn in range(6):
+            said[turn] = [f"c{conv} t{turn if rng.random() < 0.3 else 0} l{k}" for k in range(int(rng.integers(150, 260)))]
+            if turn % 2:
+                at, n, of = int(rng.integers(0, 40)), int(rng.integers(17, 110)), 2 * int(rng.integers(0, (turn + 1) // 2))
+                part = said[of][at : at + n]
+                rows.append((conv, turn, quote(part)))
+                said[turn] = ["yes"]
+                truth[conv, turn] = next(t for t in range(turn) if any(said[t][k : k + n] == part for k in range(len(said[t]))))
+            else:
+                rows.append((conv, turn, "\n".join(said[turn])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("a"))
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotation.reply_order(df).collect()}
+    # The changed passage has most of its lines from the message, so that it belongs to it by its lines, not as a whole.
+    assert got.pop((3, 2)) == 1 and {k: got[k] for k in truth if k != (3, 2)} == {k: v for k, v in truth.items() if k != (3, 2)}
+    own = duck.cursor()
+    own.register("planted", df.toPandas())
+    want = own.execute(catalog.SQL["op1_quotation_linking"].replace("from conversations", "from planted")).df()
+    out = quotation.threads(quotation.render(quotation.reply_order(df)))
+    assert plain(out.withColumn("chat", F.sha2("chat", 256)).withColumnRenamed("chat", "chat_sha256").toPandas()) == plain(want)
