@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pooling import pooled
 from .prefix import with_before
 
 REASONS = ("short", "no_vector", "first", "low_similarity", "large_gap", "merged")
@@ -111,11 +112,10 @@ def clusters(items: DataFrame, placed: DataFrame) -> DataFrame:
 
 def centroids(items: DataFrame, placed: DataFrame) -> DataFrame:
     """(key, name, i, x): the duration-weighted mean direction of each cluster that has vectors, of length 1, a row per place."""
-    both = items.join(placed.where("cluster is not null"), ["key", "id"]).select("key", "cluster", (F.col("e") - F.col("s")).alias("w"), F.posexplode("x").alias("i", "x"))
-    total = both.groupBy("key", "cluster", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    length = total.groupBy("key", "cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    unit = total.join(length, ["key", "cluster"]).where("len > 0")
-    return unit.select("key", F.format_string("m%04d", "cluster").alias("name"), "i", (F.col("x") / F.col("len")).alias("x"))
+    both = items.join(placed.where("cluster is not null"), ["key", "id"])
+    own = both.select(F.struct("key", "cluster").alias("key"), (F.col("e") - F.col("s")).alias("w"), "x")
+    unit = pooled(own).where("x is not null").select("key.key", "key.cluster", F.posexplode("x").alias("i", "x"))
+    return unit.select("key", F.format_string("m%04d", "cluster").alias("name"), "i", "x")
 
 
 def statistics(placed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import text as tx
 from ..functions import vectors as v
-from ..operators import assign, axes
+from ..operators import assign, axes, pooling, similar
 from .registry import intervals, lanes, query, r4, table
 
 _E = """
@@ -17,24 +17,27 @@ with em as (select vec_id, label, embedding::double[] as x from embeddings), ref
 """
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Even vectors as references, odd ones as generated, paired within a label, with their cosine."""
-    em = table(spark, d, "embeddings").select("vec_id", "label", v.as_double(F.col("embedding")).alias("x"))
-    ref, gen = em.where("vec_id % 2 = 0"), em.where("vec_id % 2 = 1")
-    j = ref.select("label", F.col("vec_id").alias("r"), F.col("x").alias("rx")).join(gen.select("label", F.col("vec_id").alias("g"), F.col("x").alias("gx")), "label")
-    return j.select("label", "r", "g", v.cosine(F.col("rx"), F.col("gx")).alias("c"))
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Even vectors as references, odd ones as generated, with their label as key."""
+    em = table(spark, d, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return em.where("id % 2 = 0"), em.where("id % 2 = 1")
 
 
 @query(_E + ", k as (select *, row_number() over (partition by r order by round(c, 6) desc, g) as k from sim) select r, g, round(c, 4) as cosine, k::int as rank from k where k <= 3")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("r").orderBy(F.desc(F.round("c", 6)), "g"))
-    return _pairs(spark, d).withColumn("rank", k).where("rank <= 3").select("r", "g", r4(F.col("c"), "cosine"), "rank")
+    best = similar.best_within(*_sides(spark, d), 3)
+    return best.select(F.col("left_id").alias("r"), F.col("right_id").alias("g"), r4(F.col("cosine"), "cosine"), "rank")
 
 
 @query(_E + "select label, count(*) as n, count(*) filter (where round(greatest(0, least(1, (c - 0.5) / 0.5)), 6) >= 0.6) as n_gated, round(avg((c + 1) / 2), 4) as mean01, round(avg(greatest(0, least(1, (c - 0.5) / 0.5))), 4) as mean_calibrated from sim group by label")
 def cosine_gate_calibrated(spark: SparkSession, d: str) -> DataFrame:
-    cal = v.calibrated(F.col("c"), 0.5)
-    return _pairs(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.round(cal, 6) >= 0.6).alias("n_gated"), r4(F.avg(v.similarity01(F.col("c"))), "mean01"), r4(F.avg(cal), "mean_calibrated"))
+    """Pairs under the threshold add nothing to the calibrated mean, and the plain mean needs no pairs."""
+    sides = _sides(spark, d)
+    cal = v.calibrated(F.col("cosine"), 0.5)
+    high = similar.pairs_above(*sides, 0.5).groupBy("key").agg(F.count_if(F.round(cal, 6) >= 0.6).alias("n_gated"), F.sum(cal).alias("total"))
+    out = similar.mean_cosine(*sides).join(high, "key", "left")
+    mean = F.coalesce("total", F.lit(0.0)) / F.col("n")
+    return out.select(F.col("key").alias("label"), "n", F.coalesce("n_gated", F.lit(0)).alias("n_gated"), r4((F.col("mean") + 1) / 2, "mean01"), r4(mean, "mean_calibrated"))
 
 
 @query("""
@@ -57,41 +60,42 @@ def channel_fusion(spark: SparkSession, d: str) -> DataFrame:
 with x as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x, 1 + vec_id % 3 as w from embeddings), m as (select label, i, sum(w * x) / sum(w) as m from x group by label, i
 ), n as (select label, sqrt(sum(m * m)) as len from m group by label) select label, i - 1 as i, round(m / len, 4) as x from m join n using (label)""")
 def set_pooling_centroid(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings").select("label", (1 + F.col("vec_id") % 3).alias("w"), F.posexplode("embedding").alias("i", "x"))
-    m = x.groupBy("label", "i").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("m"))
-    n = m.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("len"))
-    return m.join(n, "label").select("label", F.col("i").cast("long").alias("i"), r4(F.col("m") / F.col("len"), "x"))
+    x = table(spark, d, "embeddings").select(F.col("label").alias("key"), (1 + F.col("vec_id") % 3).alias("w"), F.col("embedding").alias("x"))
+    m = pooling.pooled(x).where("x is not null")
+    return m.select(F.col("key").alias("label"), F.posexplode("x").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), r4(F.col("x"), "x"))
 
 
 _BEST = _E + ", a as (select *, row_number() over (partition by r order by round(c, 6) desc, g) as kr, row_number() over (partition by g order by round(c, 6) desc, r) as kg from sim), best as (select * from a where kr = 1 and kg = 1)"
 
 
 def _mutual(spark: SparkSession, d: str) -> DataFrame:
-    by = lambda one, other: F.row_number().over(Window.partitionBy(one).orderBy(F.desc(F.round("c", 6)), other))
-    return _pairs(spark, d).withColumns({"kr": by("r", "g"), "kg": by("g", "r")})
+    """(label, r, g, c) of the vectors that are each other's nearest."""
+    ref, gen = _sides(spark, d)
+    one = similar.best_within(ref, gen).select(F.col("key").alias("label"), F.col("left_id").alias("r"), F.col("right_id").alias("g"), F.col("cosine").alias("c"))
+    two = similar.best_within(gen, ref).select(F.col("key").alias("label"), F.col("left_id").alias("g"), F.col("right_id").alias("r"))
+    return one.join(two, ["label", "r", "g"])
 
 
 @query(_BEST + " select label, r, g, round(c, 4) as cosine from best")
 def mutual_best_match(spark: SparkSession, d: str) -> DataFrame:
-    return _mutual(spark, d).where("kr = 1 and kg = 1").select("label", "r", "g", r4(F.col("c"), "cosine"))
+    return _mutual(spark, d).select("label", "r", "g", r4(F.col("c"), "cosine"))
 
 
 @query(_BEST + " select r.label, count(*) as n, round(100 * avg(coalesce(greatest(b.c, 0), 0)), 4) as catcov from ref r left join best b on r.vec_id = b.r group by r.label")
 def catcov(spark: SparkSession, d: str) -> DataFrame:
     """Mean similarity of the matched over all reference entities."""
-    best = _mutual(spark, d).where("kr = 1 and kg = 1").select("r", "c")
-    ref = table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("r"), "label")
-    return ref.join(best, "r", "left").groupBy("label").agg(F.count("*").alias("n"), r4(100 * F.avg(F.coalesce(F.greatest("c", F.lit(0.0)), F.lit(0.0))), "catcov"))
+    ref = _sides(spark, d)[0].select(F.col("id").alias("r"), F.col("key").alias("label"))
+    return ref.join(_mutual(spark, d).select("r", "c"), "r", "left").groupBy("label").agg(F.count("*").alias("n"), r4(100 * F.avg(F.coalesce(F.greatest("c", F.lit(0.0)), F.lit(0.0))), "catcov"))
 
 
 @query(_BEST + """, u as (select vec_id as g, label from gen where vec_id not in (select g from best)), p as (select u.label, u.g, 1 - greatest(max(s.c), 0) as pen from u join sim s on s.g = u.g group by u.label, u.g
 ), n as (select label, count(*) as n from gen group by label) select n.label, round(100 * (1 - least(1, greatest(0, coalesce(sum(p.pen), 0) / n.n))), 4) as par from n left join p on n.label = p.label group by n.label, n.n""")
 def parsimony(spark: SparkSession, d: str) -> DataFrame:
     """Penalty of generated entities without a match: 1 less their best similarity to any reference."""
-    m = _mutual(spark, d)
-    taken = m.where("kr = 1 and kg = 1").select("g")
-    pen = m.groupBy("label", "g").agg((1 - F.greatest(F.max("c"), F.lit(0.0))).alias("pen")).join(taken, "g", "left_anti").groupBy("label").agg(F.sum("pen").alias("pen"))
-    n = table(spark, d, "embeddings").where("vec_id % 2 = 1").groupBy("label").agg(F.count("*").alias("n"))
+    ref, gen = _sides(spark, d)
+    near = similar.best_within(gen, ref, places=15).select(F.col("key").alias("label"), F.col("left_id").alias("g"), (1 - F.greatest("cosine", F.lit(0.0))).alias("pen"))
+    pen = near.join(_mutual(spark, d).select("g"), "g", "left_anti").groupBy("label").agg(F.sum("pen").alias("pen"))
+    n = gen.groupBy(F.col("key").alias("label")).agg(F.count("*").alias("n"))
     return n.join(pen, "label", "left").select("label", r4(100 * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("pen", F.lit(0.0)) / F.col("n")))), "par"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, boards, entities, events, merger, motion, sequence, sparse
+from clipweave.operators import assign, axes, boards, entities, events, merger, motion, pooling, sequence, similar, sparse
 from clipweave.plans import q_axes
 from clipweave.streaming import stateful
 
@@ -303,3 +303,36 @@ def test_keys_longer_than_a_batch(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
     assert len(proof) == 5 and all(r["n"] == 4 and r["one_to_one"] and r["feasible"] and abs(r["gap"]) < 1e-9 for r in proof)
+
+
+def test_similar_blocks(spark, monkeypatch):
+    """Best partners and pairs above a threshold, with blocks so small that a key has many; ties, vectors without length, of other sizes and null."""
+    rng = np.random.default_rng(3)
+    make = lambda n: [(int(k % 2), k, [float(x) for x in np.round(rng.normal(0, 1, 20) + 2 * (k % 3), 1)]) for k in range(n)]
+    left, right = make(60), make(50)
+    right += [(0, 100, right[4][2]), (0, 101, [0.0] * 20), (0, 102, None), (1, 103, [1.0] * 3), (7, 104, right[1][2]), (0, None, right[4][2]), (0, 105, [None] + [1.0] * 19)]
+    frames = [spark.createDataFrame(t, "key long, id long, x array<double>") for t in (left, right)]
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    usable = [(k, i, x) for k, i, x in right if i is not None and x is not None and None not in x and any(x)]
+    cos = {(k, i, j): float(unit(x) @ unit(y)) for k, i, x in left for q, j, y in usable if k == q and len(x) == len(y)}
+    got = {(r["key"], r["left_id"], r["right_id"]): r["cosine"] for r in similar.pairs_above(*frames, 0.8).collect()}
+    assert set(got) == {p for p, c in cos.items() if c >= 0.8} and all(abs(got[p] - cos[p]) < 1e-12 for p in got)
+    want = set()
+    for k, i, _ in left:
+        order = sorted((-round(c, 6), j) for (q, a, j), c in cos.items() if (q, a) == (k, i))
+        want |= {(k, i, j, n) for n, (_, j) in enumerate(order[:3], 1)}
+    assert {(r["key"], r["left_id"], r["right_id"], r["rank"]) for r in similar.best_within(*frames, 3).collect()} == want
+    seen = []
+    a, b = (rng.normal(0, 1, (300, 64)) * np.where(np.arange(64) < 16, 4, 0.3) for _ in range(2))
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
+    assert len(similar.above(a, b, 0.8, seen)[0]) == int((a @ b.T >= 0.8).sum()) and seen[0] < 300 * 300 / 2
+
+
+def test_pooled_vectors(spark):
+    rows = [("a", 2.0, [3.0, 0.0]), ("a", 1.0, [0.0, 8.0]), ("a", -1.0, [5.0, 5.0]), ("a", None, [1.0, 1.0]), ("b", 1.0, [1.0]), ("b", 1.0, [0.0, 1.0]), ("c", 1.0, [0.0, 0.0]), ("c", 1.0, None), ("d", 1.0, [None, 1.0]), (None, 1.0, [0.0, 2.0])]
+    frame = spark.createDataFrame(rows * 3, "key string, w double, x array<double>").repartition(4)
+    got = {r["key"]: r["x"] for r in pooling.pooled(frame).collect()}
+    half = 0.5**0.5
+    assert got.keys() == {"a", "b", "c", None} and got["c"] is None and got[None] == [0.0, 1.0]
+    assert np.allclose(got["a"], [0.6, 0.8]) and np.allclose(got["b"], [half, half])
