@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as se
 from ..operators import motion as mo
+from ..operators import quantiles
 from .registry import intervals, query, r4, table
 
 BINS = 8
@@ -236,4 +237,7 @@ def tracks_on_timeline(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, round(quantile_cont(nullif(value, 0.01), 0.95), 4) as p95, count(*) filter (where value > 100) as high from events group by event_type")
 def p95_nan_safe(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.isnan("value"), None).otherwise(F.nullif("value", F.lit(0.01)))
-    return table(spark, d, "events").groupBy("event_type").agg(r4(F.percentile(value, F.lit(0.95)), "p95"), F.count_if(F.col("value") > 100).alias("high"))
+    ev = table(spark, d, "events").select("event_type", "value", value.alias("v"))
+    p95 = quantiles.exact_quantiles(ev, "event_type", "v", [0.95], limit=1_000).select(F.col("key").alias("event_type"), r4(F.col("quantile"), "p95"))
+    high = ev.groupBy("event_type").agg(F.count_if(F.col("value") > 100).alias("high"))
+    return high.join(p95, "event_type", "left").select("event_type", "p95", "high")

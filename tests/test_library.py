@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, boards, entities, events, merger, motion, pooling, sequence, similar, sparse
+from clipweave.operators import assign, axes, boards, entities, events, merger, motion, peaks, pooling, quantiles, sequence, similar, sparse
 from clipweave.plans import q_axes
 from clipweave.streaming import stateful
 
@@ -336,3 +336,48 @@ def test_pooled_vectors(spark):
     half = 0.5**0.5
     assert got.keys() == {"a", "b", "c", None} and got["c"] is None and got[None] == [0.0, 1.0]
     assert np.allclose(got["a"], [0.6, 0.8]) and np.allclose(got["b"], [half, half])
+
+
+def peaks_of(x, height, distance, prominence):
+    top = [k for k in range(1, len(x) - 1) if x[k - 1] < x[k] >= x[k + 1] and x[k] >= height]
+    keep = dict.fromkeys(top, True)
+    for k in sorted(top, key=lambda k: (-x[k], -k)):
+        if keep[k]:
+            keep |= {j: False for j in top if j != k and abs(j - k) < distance}
+    out = []
+    for k in (k for k in top if keep[k]):
+        sides = []
+        for step in (-1, 1):
+            j, low = k + step, x[k]
+            while 0 <= j < len(x) and x[j] <= x[k]:
+                low, j = min(low, x[j]), j + step
+            sides.append(low)
+        if x[k] - max(sides) >= prominence:
+            out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 50, 65_536])
+def test_peaks_in_chunks(spark, chunk):
+    """Chunks so small that valleys reach over many of them, ties, slopes, a flat series and one of two places."""
+    rng = np.random.default_rng(5)
+    series = {1: np.round(rng.normal(0, 3, 300).cumsum()), 2: np.round(rng.random(200) * 6), 3: np.arange(90.0), 4: np.ones(30), 5: np.array([1.0, 2.0]), 6: np.abs(np.arange(150.0) - 75) * -1}
+    rows = [(k, 3 * t, float(v)) for k, x in series.items() for t, v in enumerate(x)] + [(1, None, 9.0), (None, 4, 9.0), (2, 601, None)]
+    frame = spark.createDataFrame(rows, "key long, t long, x double").repartition(4)
+    for height, distance, prominence in ((-20.0, 3, 2.0), (2.0, 1, 0.0), (-1e9, 20, 5.0)):
+        got = sorted(map(tuple, peaks.spaced_peaks(frame, height=height, distance=distance, prominence=prominence, bucket=64, chunk=chunk).select("key", "t").collect()))
+        assert got == sorted((k, 3 * t) for k, x in series.items() for t in peaks_of(x, height, distance, prominence))
+
+
+def test_exact_quantiles(spark):
+    """Large groups by histograms, small ones by Spark's percentile: heavy ties, one value, far values, nulls and values that are no numbers."""
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(0, 1, 3000), "b": np.r_[np.zeros(2000), rng.random(50), -1e300, 1e300], "c": np.full(700, 5.0), "d": np.array([1.0, 4.0]), None: np.exp(rng.normal(0, 30, 500)), "e": np.array([7.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("b", float("inf")), ("f", None)]
+    frame = spark.createDataFrame(rows, "name string, v double").repartition(5)
+    ps = [0.0, 0.25, 0.5, 0.95, 1.0]
+    for limit in (100, 10_000):
+        got = {(r["key"], r["p"]): r["quantile"] for r in quantiles.exact_quantiles(frame, "name", "v", ps, limit=limit).collect()}
+        assert got.keys() == {(k, p) for k in groups for p in ps}
+        for (k, p), q in got.items():
+            assert np.isclose(q, np.quantile(groups[k], p), rtol=1e-12, atol=1e-12), (k, p)
