@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import text as tx
 from ..functions import vectors as v
-from ..operators import assign, axes, pooling, similar
+from ..operators import assign, axes, pooling, set_join, similar
 from .registry import intervals, lanes, query, r4, table
 
 _E = """
@@ -177,15 +177,28 @@ def _attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ATTR + """, s as (select entity, list(distinct k || '=' || v) as s from attrs group by entity)
-select a.entity as a, b.entity as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 4) as jaccard from s a join s b on a.entity < b.entity""")
+select a.entity as a, b.entity as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 4) as jaccard from s a join s b on a.entity < b.entity where len(list_intersect(a.s, b.s)) > 0""")
 def attr_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Jaccard of attribute sets of all entity pairs, by counting shared values: no set is compared with another in full."""
+    """Jaccard of the attribute sets of entities that share a value, by counting those: no set is compared with another in full."""
     at = _attributes(spark, d).select("entity", F.concat_ws("=", "k", "v").alias("x")).distinct()
     n = at.groupBy("entity").agg(F.count("*").alias("n"))
     other = at.select(F.col("entity").alias("b"), "x")
     both = at.withColumnRenamed("entity", "a").join(other, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
-    names = n.select(F.col("entity").alias("a"), F.col("n").alias("na")).join(n.select(F.col("entity").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
-    return names.join(both, ["a", "b"], "left").fillna(0, ["i"]).select("a", "b", r4(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), "jaccard"))
+    both = both.join(n.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("a", "b", r4(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), "jaccard"))
+
+
+@query("""with m as (
+  select p_partkey as id, unnest(list_distinct(string_split(lower(p_name), ' ') || ['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size::varchar])) as member from part
+), n as (select id, count(*) as n from m group by id
+), i as (select a.id as a, b.id as b, count(*) as i from m a join m b on a.member = b.member and a.id < b.id group by a.id, b.id)
+select a, b, round(i / (x.n + y.n - i), 4) as jaccard from i join n x on x.id = a join n y on y.id = b where i >= 0.5 * (x.n + y.n - i)""")
+def similar_attribute_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose words and attributes are half alike or more, by prefixes of their rarest members."""
+    p = table(spark, d, "part")
+    named = lambda k, c: F.concat(F.lit(f"{k}="), F.col(c).cast("string"))
+    members = F.explode(F.concat(F.split(F.lower("p_name"), " "), F.array(named("brand", "p_brand"), named("type", "p_type"), named("size", "p_size"))))
+    return set_join.similar_sets(p.select(F.col("p_partkey").alias("id"), members.alias("member")), 0.5).select("a", "b", r4(F.col("jaccard"), "jaccard"))
 
 
 @query(_ATTR + " select k, count(distinct v) as n_values, count(distinct entity) as n_entities, count(distinct (entity, v)) as n_pairs, string_agg(distinct v, ',' order by v) as vals from attrs where k = 'type' group by k")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..functions import vectors as v
-from ..operators import merger
+from ..functions import table_functions as tf
+from ..operators import cache, merger
 from ..operators import sequence as sq
 from ..streaming import stateful as st
+from ..streaming.jobs import place_of
 from .registry import intervals, lane_pairs, query, r4, table
 
 
@@ -195,6 +197,40 @@ def encode_distinct_once(spark: SparkSession, d: str) -> DataFrame:
     return sq.encode_once(texts, code).select("p_partkey", F.col("vec").alias("code"))
 
 
+def _hashed_words(missing: DataFrame) -> DataFrame:
+    """An encoder of our own: how many words of a text fall into each of eight classes by their length."""
+    words = F.split("text", " ")
+    return missing.select("key", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.size(F.filter(words, lambda w: F.length(w) % 8 == k)).cast("double")).alias("result"))
+
+
+@query("""with t as (select p_partkey, case when p_partkey % 2 = 0 then 'query' else 'passage' end as purpose, p_name as text, string_split(p_name, ' ') as w from part)
+select p_partkey, len(list_filter(w, lambda x: length(x) % 8 = 5)) as fives, not exists (select 1 from t o where o.p_partkey % 3 = 0 and o.text = t.text and o.purpose = t.purpose) as fresh from t""")
+def cached_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """A second run over all texts, after one over a third of them: only what is new to the store is encoded."""
+    texts = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "query").otherwise("passage").alias("purpose"), F.col("p_name").alias("text"))
+    store = place_of(spark, "encodings")
+    cache.with_cached(texts.where("p_partkey % 3 = 0"), _hashed_words, store, config="v1")
+    out = cache.with_cached(texts, _hashed_words, store, config="v1")
+    return out.select("p_partkey", F.get("result", F.lit(5)).cast("long").alias("fives"), "fresh")
+
+
+@query("""with c as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[|。:;.]'), lambda p: trim(p, ' ')), lambda p: p <> '')[1:8] as c from conversations
+), m as (select conv_id, turn, c, unnest(range(1, len(c) + 1)) as k from c), d as (select user_id, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3600000000 as h from events group by user_id
+), w as (select user_id, h, unnest(range(0, case when h > 0 then greatest(0, ceil((h - 48) / 24.0))::int + 1 else 1 end)) as k from d)
+select conv_id || '_' || turn || '#' || k as id, length(c[k])::double as s, k::double as e from m union all select 'u' || user_id || '#' || k, k * 24.0, least(h, k * 24.0 + 48) from w""")
+def sql_table_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Micro events of captions and windows of users' histories, in SQL text alone."""
+    tf.register(spark)
+    names = {n: f"parquet.`{d}/{n}.parquet`" for n in ("conversations", "events")}
+    return spark.sql(f"""
+        select m.event_id as id, cast(length(m.clause) as double) as s, cast(m.k as double) as e
+        from {names["conversations"]} c, lateral micro_events(concat(c.conv_id, '_', c.turn), c.text) m
+        union all
+        select concat('u', u.user_id, '#', w.k), w.s, w.e
+        from (select user_id, cast((max(unix_micros(cast(ts as timestamp))) - min(unix_micros(cast(ts as timestamp)))) div 3600000000 as double) as h from {names["events"]} group by user_id) u,
+             lateral clip_windows(u.h, 48.0D, 24.0D) w""")
+
+
 @query(""", p as (select r.key, r.s as rs, r.e as re, g.s as gs, g.e as ge from iv r join iv g on r.key = g.key and r.lane = 0 and g.lane = 1
 ), m as (select *, greatest(0.0, least(re, ge) - greatest(rs, gs)) as inter, greatest(re, ge) - least(rs, gs) as hull, greatest(0.05, 1800 / nullif(re - rs, 0), 1800 / nullif(ge - gs, 0)) as d from p)
 select key, round(max((inter + d) / (hull + d)), 4) as best, round(min(d), 4) as least_delta from m group by key""")

@@ -9,6 +9,7 @@ from ..functions.evidence import bank_stem, enabled_count, event_list, merged_co
 from ..functions.json_walk import kind_of
 from ..functions.scores import event_scores, picked_number
 from ..functions.text import stem, tolerant_float
+from .files import read_csv_any  # noqa: F401
 
 _EVENT = "id:string,eid:string,event_id:string,parent_id:string,s:double,e:double,dur:double,members:array<string>,s_abs:double,e_abs:double,dur_abs:double,text:string,emb:array<float>,embedding:array<float>,vec:array<float>,norm:boolean"
 EVENTS = f"array<struct<{_EVENT}>>"
@@ -90,19 +91,23 @@ def _scene_files(spark: SparkSession, path: str) -> DataFrame:
     d = read_documents(spark, path, "variant")
     listed = F.when(kind_of(F.col("doc")) == "object", F.try_variant_get("doc", "$.scenes", "variant")).otherwise(F.col("doc"))
     scenes = F.when(kind_of(listed) == "array", F.try_variant_get(listed, "$", "array<array<double>>"))
-    bad = F.exists(scenes, lambda x: x.isNull() | (F.size(x) != 2) | F.exists(x, lambda v: v.isNull()))
-    wrong = F.when(scenes.isNull(), "no list of scenes").when(bad, "scenes that are no pairs of numbers")
+    wrong = F.when(scenes.isNull(), "no list of scenes").when(F.exists(scenes, lambda x: ~_is_pair(x)), "scenes that are no pairs of numbers")
     return d.select("path", scenes.alias("scenes"), F.coalesce("error", wrong).alias("error"))
 
 
+def _is_pair(x: Column) -> Column:
+    return F.coalesce((F.size(x) >= 2) & F.get(x, F.lit(0)).isNotNull() & F.get(x, F.lit(1)).isNotNull(), F.lit(False))
+
+
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, k, s, e) of scene files, each ``{"scenes": [[s, e], ...]}`` or a list of pairs of seconds; ``broken_scenes`` names all others."""
-    d = _scene_files(spark, path).where("error is null").select(sample_of(F.col("path")).alias("sample_id"), F.posexplode("scenes").alias("k", "x"))
-    return d.select("sample_id", "k", F.get("x", F.lit(0)).alias("s"), F.get("x", F.lit(1)).alias("e"))
+    """(sample_id, k, s, e) of scene files, each ``{"scenes": [[s, e], ...]}`` or a list of pairs of seconds. Members that are no pairs give no row;
+    ``broken_scenes`` names the files that have such, or no list at all."""
+    d = _scene_files(spark, path).where("scenes is not null").select(sample_of(F.col("path")).alias("sample_id"), F.posexplode("scenes").alias("k", "x"))
+    return d.where(_is_pair(F.col("x"))).select("sample_id", "k", F.get("x", F.lit(0)).alias("s"), F.get("x", F.lit(1)).alias("e"))
 
 
 def broken_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, error) of scene files that give no scenes: no JSON, no list, or members that are no pairs of numbers."""
+    """(path, error) of scene files that are no JSON, have no list, or members that are no pairs of numbers."""
     return _scene_files(spark, path).where("error is not null").select("path", "error")
 
 
@@ -164,25 +169,6 @@ def bank_index(banks: DataFrame) -> DataFrame:
     return both.groupBy("stem").agg(F.min(F.struct("_prio", "path")).alias("x")).select("stem", "x.path")
 
 
-def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with a header, of UTF-8 with or without a mark, or of GBK where a file is no UTF-8; columns that some lack are null there.
-
-    Which files are which is told by their bytes; what goes to the driver is their names, as Spark's own listing does.
-    """
-    kinds = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("plain")).collect()
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's own list has no GBK
-    parts = []
-    for encoding, plain in (("UTF-8", True), ("GBK", False)):
-        if files := [r["path"] for r in kinds if r["plain"] == plain]:
-            for f in files:  # headers differ from file to file
-                t = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(f)
-                parts.append(t.toDF(*(c.lstrip("\ufeff") for c in t.columns)))
-    out = parts[0]
-    for t in parts[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
-    return out
-
-
 def _plain(name: str) -> str:
     return name.strip().lower().replace(" ", "_").replace("-", "_")
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import intervals as iv
 from clipweave.functions.event_total import event_total
-from clipweave.operators import assign, axes, boards, entities, events, merger, motion, peaks, pooling, quantiles, sequence, similar, sparse
+from clipweave.functions import table_functions
+from clipweave.operators import assign, axes, boards, cache, entities, events, merger, motion, peaks, pooling, quantiles, sequence, set_join, similar, sparse
 from clipweave.plans import q_axes
 from clipweave.streaming import stateful
 
@@ -381,3 +382,47 @@ def test_exact_quantiles(spark):
         assert got.keys() == {(k, p) for k in groups for p in ps}
         for (k, p), q in got.items():
             assert np.isclose(q, np.quantile(groups[k], p), rtol=1e-12, atol=1e-12), (k, p)
+
+
+def test_similar_sets(spark):
+    rng = np.random.default_rng(4)
+    sets = {k: set(rng.choice([f"m{x}" for x in range(30)], int(rng.integers(1, 12))).tolist()) for k in range(120)} | {200: {"all"}, 201: {"all"}, 202: set()}
+    members = [(k, m) for k, s in sets.items() for m in s] + [(0, m) for m in sets[0]] + [(None, "m1"), (5, None)]
+    frame = spark.createDataFrame(members, "id long, member string")
+    for least in (0.3, 0.5, 0.8, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        got = set_join.similar_sets(frame, least).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+        assert all(abs(r["jaccard"] - len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]])) < 1e-12 for r in got)
+
+
+def test_cache_by_content(spark, tmp_path):
+    """The second run works on new texts alone, another configuration on all, and a purpose and a text never run together."""
+    asked = []
+
+    def work(missing):
+        asked.append(sorted(r["text"] for r in missing.collect()))
+        return missing.select("key", F.array(F.length("text").cast("double")).alias("result"))
+
+    run = lambda texts, config: {tuple(r)[:2]: (r["result"], r["fresh"]) for r in cache.with_cached(spark.createDataFrame(texts, "purpose string, text string"), work, f"{tmp_path}/store", config=config).collect()}
+    first = run([("q", "one"), ("q", "one"), ("p", "one"), ("q", None)], "v1")
+    assert first == {("q", "one"): ([3.0], True), ("p", "one"): ([3.0], True), ("q", None): (None, False)}
+    second = run([("q", "one"), ("q", "three"), ("qo", "ne"), (None, "one")], "v1")
+    assert second == {("q", "one"): ([3.0], False), ("q", "three"): ([5.0], True), ("qo", "ne"): ([2.0], True), (None, "one"): ([3.0], True)}
+    run([("q", "one")], "v2")
+    run([("q", "one"), ("q", "three")], "v1")
+    assert asked == [["one", "one"], ["ne", "one", "three"], ["one"], []]
+    cache.compacted(spark, f"{tmp_path}/store", f"{tmp_path}/small", files=1)
+    assert spark.read.parquet(f"{tmp_path}/small/results").count() == 6
+
+
+def test_table_functions(spark):
+    table_functions.register(spark)
+    got = spark.sql("select m.* from values ('a', 'one. two | '), ('b', null), ('c', '') t(id, x), lateral micro_events(id, x) m").collect()
+    assert sorted(tuple(r) for r in got) == [("a#1", "a", 1, "one"), ("a#2", "a", 2, "two")]
+    got = spark.sql("select n, w.* from values (0.0D), (7.0D), (12.0D), (null) t(n), lateral clip_windows(n, 6.0D, 3.0D) w").collect()
+    assert sorted(tuple(r) for r in got) == [(0.0, 0, 0.0, 0.0), (7.0, 0, 0.0, 6.0), (7.0, 1, 3.0, 7.0), (12.0, 0, 0.0, 6.0), (12.0, 1, 3.0, 9.0), (12.0, 2, 6.0, 12.0)]
+    with pytest.raises(Exception, match="hop must be over 0"):
+        spark.sql("select * from clip_windows(7.0D, 6.0D, 0.0D)").collect()
+    with pytest.raises(Exception, match="must be a string"):
+        spark.sql("select * from micro_events('a', 3)").collect()

@@ -2,13 +2,14 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from clipweave.functions import evidence as ev
 from clipweave.functions import scores as sc
-from clipweave.sources import readers, writers
+from clipweave.sources import files, readers, writers
 from clipweave.streaming import jobs
 
 
@@ -125,17 +126,80 @@ def test_evidence_functions(spark):
     assert (j["answer"], j["consistency"]) == ("two dogs", 88)
     assert tuple(one(spark, lambda c: ev.judged(c, True), F.lit("I say 101 or 42."))) == ("", 42) and tuple(one(spark, lambda c: ev.judged(c, True), F.lit(None).cast("string"))) == ("", 0)
     e = one(spark, ev.event_list, F.lit('{"x": 1, "spans": [{"id": "a", "enabled": false}, {"id": "b", "valid": false}, {"id": "c"}]}'))
-    assert [r["id"] for r in e] == ["a", "b", "c"] and one(spark, lambda c: ev.enabled_count(ev.event_list(c)), F.lit('[{"id": "a"}]')) == 1
+    assert [r.toPython()["id"] for r in e] == ["a", "b", "c"] and one(spark, lambda c: ev.enabled_count(ev.event_list(c)), F.lit('[{"id": "a"}]')) == 1
     m = one(spark, ev.normal_attributes, F.expr("array(struct('Color' as key, array(' Red!', 'red', '#', '7') as values), struct('color' as key, array('blue') as values), struct('number-or-id' as key, array('37', '137') as values))"))
     assert m == {"color": ["blue"], "number-or-id": ["137"]}
 
 
-def test_scores_from_json():
-    assert sc.dig({"a": {"b": "x", "c": {"mean": 3}}}) == 3.0 and sc.dig({"value": "x"}) is None and sc.dig([1]) is None
+def test_scores_from_json(spark):
+    scores = lambda x: one(spark, sc.event_scores, F.lit(x).cast("string"))
+    ega = lambda x: scores(json.dumps({"EGA": x, "ERel": 1, "ECR": 1, "S_event": 1}))
+    assert ega({"a": {"b": "x", "c": {"mean": 3}}})["ega"] == 3.0 and ega({"value": "x"}) is None and ega([1]) is None
+    assert ega({"z": 9, "summary": {"q": 4}})["ega"] == 4.0 and ega({"z": 9, "avg": 5})["ega"] == 5.0 and ega(True)["ega"] == 1.0 and ega({"avg": "5", "z": 9, "a": 2})["ega"] == 9.0
     doc = {"summary": {"EGA": {"score": 80}, "erel": {"valid": False, "S": 0}}, "ECR (f1)": 50, "s_event": {"final": 56}}
-    assert sc.event_scores_of(json.dumps(doc)) == {"ega": 80.0, "erel": 0.0, "ecr": 50.0, "s_event": 56.0, "erel_valid": False}
-    assert sc.event_scores_of('{"EGA": 1}') is None and sc.event_scores_of("[1]") is None and sc.event_scores_of(None) is None
-    assert sc.first_number({"S": "n/a", "rows": [{"band": "4"}]}, ("S",)) == 4.0 and sc.first_number({"a": [{}]}, ()) is None
+    assert scores(json.dumps(doc)).asDict() == {"ega": 80.0, "erel": 0.0, "ecr": 50.0, "s_event": 56.0, "erel_valid": False}
+    assert scores('{"EGA": 1}') is None and scores("[1]") is None and scores(None) is None and scores("{'EGA': 1}") is None
+    number = lambda x, *prefer: one(spark, lambda c: sc.picked_number(c, prefer), F.lit(json.dumps(x)))
+    assert number({"S": "n/a", "rows": [{"band": "4"}]}, "S") == 4.0 and number({"a": [{}]}, "S") is None and number({"x": {"score": 1}, "b": {"S": 2}, "my_score": 3}, "S") == 3.0
+
+
+def test_event_lists_at_any_depth(spark, tmp_path):
+    """The layouts of event files: under ``events``, under other keys however deep, or the list itself."""
+    docs = {
+        "plain": {"events": [{"id": 1}, {"id": 2, "enabled": False}]}, "deep": {"a": {"list": [{"id": 1}, {"id": 2, "valid": 0}, {"id": 3, "enabled": "false"}]}}, "top": [{"id": 1}, 7, {"enabled": None}],
+        "numbers": {"ids": [1, 2], "x": {"y": [3, {"id": 1}]}}, "late": {"n": [1, 2, 3, 4, 5, {"id": 1}]}, "hidden": {"a": [{"id": 1}], "events": []}, "passed": {"a": {"events": [], "b": [{"id": 1}]}, "c": [{"id": 2}, {"id": 3}]},
+        "none": {"events": {"a": 1}}, "lists": {"a": [[{"id": 1}]]},
+    }
+    for name, doc in docs.items():
+        put(tmp_path / f"{name}.newevents.json", json.dumps(doc))
+    put(tmp_path / "broken.json", "{")
+    got = {r["sample_id"]: (r["total"], r["enabled"]) for r in readers.read_event_lists(spark, str(tmp_path)).collect()}
+    assert got == {"plain": (2, 1), "deep": (3, 2), "top": (3, 2), "numbers": (2, 2), "late": (0, 0), "hidden": (0, 0), "passed": (2, 2), "none": (0, 0), "lists": (0, 0), "broken": (0, 0)}
+    merged = dict(map(tuple, readers.read_merged_counts(spark, str(tmp_path)).collect()))
+    assert merged == {"plain": "2", "top": "3", "hidden": "0"} | dict.fromkeys(("deep", "numbers", "late", "passed", "none", "lists", "broken"), "")
+
+
+def test_scene_layouts(spark, tmp_path):
+    put(tmp_path / "v1.json", '{"scenes": [[0, 1.5], [1.5, 4]], "fps": 25}')
+    put(tmp_path / "v2.json", "[[0, 2], [3], [2, 5, 9]]")
+    put(tmp_path / "v3.json", '{"shots": [[0, 2]]}')
+    put(tmp_path / "v4.json", '[[0, "x"]]')
+    put(tmp_path / "v5.json", "[[0, 1")
+    assert rows(readers.read_scenes(spark, str(tmp_path))) == [("v1", 0, 0.0, 1.5), ("v1", 1, 1.5, 4.0), ("v2", 0, 0.0, 2.0), ("v2", 2, 2.0, 5.0)]
+    bad = {r["path"][-7:-5]: r["error"] for r in readers.broken_scenes(spark, str(tmp_path)).collect()}
+    assert bad.keys() == {"v2", "v3", "v4", "v5"} and bad["v3"] == "no list of scenes" and bad["v5"].startswith("not JSON")
+
+
+def test_reports_and_fallback_scores(spark, tmp_path):
+    base = tmp_path / "event" / "scores"
+    put(base / "m1" / "a__m1" / "scores.json", json.dumps({"EGA": 1, "ERel": {"valid": True, "S": 2}, "ECR": 3, "S_event": 4, "score": 9}))
+    put(base / "m1" / "b.mp4__m1" / "scores.json", json.dumps({"rows": [{"final_score": "61"}]}))
+    put(base / "m1" / "c__m1" / "scores.json", json.dumps({"note": "none"}))
+    found = readers.fallback_scores(spark, str(base / "*" / "*" / "scores.json"))
+    assert rows(found) == [("m1", "a", 9.0), ("m1", "b", 61.0)]
+    assert rows(readers.read_event_reports(spark, str(base / "*" / "*" / "scores.json")).select("ega", "erel", "ecr", "s_event", "erel_valid")) == [(1.0, 2.0, 3.0, 4.0, True)]
+    table = spark.createDataFrame([("m1", "a", 77.0), ("m1", "b", None)], "modelname string, sample_id string, event_score double")
+    assert rows(readers.merge_scores([table], found)) == [("m1", "a", 77.0), ("m1", "b", 61.0)]
+
+
+def test_feature_files(spark, tmp_path):
+    np.savez(tmp_path / "a 1.npz", hof=np.arange(6.0).reshape(2, 3), phi=np.array([1, 2]))
+    np.savez(tmp_path / "b.npz", hof=np.zeros(0), phi=np.array(["x"]))
+    np.savez(tmp_path / "c.npz", hof=np.zeros(1))
+    (tmp_path / "d.npz").write_bytes(b"PK nothing")
+    got = {(r["sample_id"], r["name"]): (r["shape"], r["values"], r["error"]) for r in files.read_features(spark, str(tmp_path), required=("hof", "phi")).collect()}
+    assert got["a 1", "hof"] == ([2, 3], [0.0, 1.0, 2.0, 3.0, 4.0, 5.0], None) and got["a 1", "phi"] == ([2], [1.0, 2.0], None) and got["b", "hof"] == ([0], [], None)
+    assert got["b", "phi"][2].startswith("no numbers") and got["c", None][2] == "missing: phi" and got["d", None][2].startswith("no arrays")
+    assert {r["sample_id"] for r in files.read_features(spark, str(tmp_path), sample="b").collect()} == {"b"}
+
+
+def test_csv_of_many_files(spark, tmp_path):
+    put(tmp_path / "a.csv", 'x,y\n1,"two\nlines"\n\n3\n')
+    put(tmp_path / "b.csv", "\ufeffy,名称\nq,\n")
+    put(tmp_path / "c.csv", "名称\n值\n", "gbk")
+    (tmp_path / "d.csv").write_bytes(b"")
+    got = readers.read_csv_any(spark, str(tmp_path))
+    assert got.columns == ["x", "y", "名称"] and rows(got) == sorted([("1", "two\nlines", None), ("3", None, None), (None, "q", None), (None, None, "值")], key=str)
 
 
 def test_frames_without_rows(spark):
