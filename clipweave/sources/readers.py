@@ -27,7 +27,7 @@ HEADERS = {
 
 def sample_of(path: Column) -> Column:
     """Sample id of a file: its name without extensions."""
-    return F.regexp_replace(stem(path), r"\.newevents$", "")
+    return F.regexp_replace(stem(path), r"\.(new)?events$", "")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipweave.functions import evidence as ev
 from clipweave.functions import scores as sc
-from clipweave.sources import files, readers, writers
+from clipweave.sources import event_board, files, readers, writers
 from clipweave.streaming import jobs
 
 
@@ -202,6 +202,27 @@ def test_csv_of_many_files(spark, tmp_path):
     assert got.columns == ["x", "y", "名称"] and rows(got) == sorted([("1", "two\nlines", None), ("3", None, None), (None, "q", None), (None, None, "值")], key=str)
 
 
+def test_from_event_folders_to_the_board(spark, tmp_path):
+    """A perfect copy, one with an event too many, one that is unlike, and a sample without a reference."""
+    event = lambda k, s, e, x, y: {"id": f"e{k}", "s": s / 10, "e": e / 10, "s_abs": s, "e_abs": e, "emb": [x, y]}
+    two = [event(1, 0, 4, 1, 0), event(2, 4, 10, 0, 1)]
+    put(tmp_path / "ref" / "a.newevents.json", json.dumps({"events": two}))
+    put(tmp_path / "ref" / "b.events.json", json.dumps(two[:1]))
+    put(tmp_path / "gen" / "a__m1.events.json", json.dumps(two))
+    put(tmp_path / "gen" / "b__m1.events.json", json.dumps([*two[:1], event(7, 5, 6, 0, 1)]))
+    put(tmp_path / "gen" / "a__m2.events.json", json.dumps([event(1, 0, 10, -1, 0)]))
+    put(tmp_path / "gen" / "c__m2.events.json", json.dumps(two))
+    got = {(r["modelname"], r["sample_id"]): r for r in event_board.run_event_board(spark, str(tmp_path / "ref"), str(tmp_path / "gen"), str(tmp_path / "out")).collect()}
+    assert got.keys() == {("m1", "a"), ("m1", "b"), ("m2", "a")}
+    best, more, none = got["m1", "a"], got["m1", "b"], got["m2", "a"]
+    assert [best[c] for c in event_board.SCORES] == pytest.approx([100, 100, 100, 100])
+    assert more["erel"] is None and more["ega"] == pytest.approx(100) and more["ecr"] == pytest.approx(200 * 0.5 / 1.5)
+    assert none["ega"] is None and none["ecr"] == 0 and none["s_event"] == 0
+    models = spark.read.option("header", True).csv(str(tmp_path / "out" / "models"))
+    assert {r["modelname"]: r["count_sample_id"] for r in models.collect()} == {"m1": "2", "m2": "1"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "scores")).count() == 3
+
+
 def test_frames_without_rows(spark):
     empty = pd.DataFrame({"user": pd.Series(dtype="int64")})
     assert spark.createDataFrame(empty, "user long").count() == 0
