@@ -14,8 +14,8 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, *, files: int = 16)
     """A table's files as a stream, ``files`` in a micro-batch; the schema is the table's own."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    # A table may be one file or a folder: its own name as a pattern fits the one, and what lies in it the other, but no neighbour of it.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{{{name}.parquet,{name}.parquet/*.parquet}}")
+    # A pattern that fits the table's own name alone, be it a file or a folder, and no neighbour of it.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def status_counts(stream: DataFrame, status: str, value: str) -> DataFrame:
