@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import written
 from .pooling import pooled
 from .prefix import with_before
 
@@ -88,6 +89,7 @@ def merge_items(items: DataFrame, *, similarity: float = 0.93, gap: float = 0.1,
     rows = live.join(placed, ["key", "id"]).select("key", "piece", *order, "x")
     schema = "key long, piece long, id long, cluster long, reason string, own array<double>, tail array<double>"
     folded = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", *order).mapInArrow(_fold(similarity, gap), schema)
+    folded = written(folded, "merge-folded")
 
     pieces = folded.groupBy("key", "piece").agg(F.max("cluster").alias("n"), F.max("tail").alias("tail"))
     offset = with_before(pieces, "key", F.floor(F.col("piece") / 1000), ["piece"], sums={"before": F.col("n")}).select("key", "piece", "before")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import written
 from .prefix import with_before, with_number
 
 CHUNK = 65_536
@@ -119,7 +120,7 @@ def spaced_peaks(rows: DataFrame, *, height: float, distance: int, prominence: f
     # A chunk of nothing but its neighbour's row, beyond the end, is none.
     full = around.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "pos")
     schema = "key long, chunk long, pos long, t long, x double, low double, high double, no_left boolean, no_right boolean"
-    found = full.mapInArrow(_own_chunks(_in_chunks(height, chunk), chunk), schema)
+    found = written(full.mapInArrow(_own_chunks(_in_chunks(height, chunk), chunk), schema), "peaks-found")
     peaks, chunks = found.where("t is not null"), found.where("t is null")
 
     by = F.floor(F.col("pos") / bucket)
@@ -128,6 +129,7 @@ def spaced_peaks(rows: DataFrame, *, height: float, distance: int, prominence: f
     named = with_before(starts, "key", by, ["pos"], sums={"_islands": F.col("_new")}).withColumn("island", F.col("_islands") + F.col("_new"))
     named = named.select("key", "island", *(c for c in peaks.columns if c != "key"))
     kept = named.repartition("key", "island").sortWithinPartitions("key", "island", "pos").mapInArrow(_islands(distance), named.schema)
+    kept = written(kept, "peaks-kept")
 
     table = chunks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "low", "high"))).alias("c"))  # one entry for each ``chunk`` places
     open_ = kept.where("no_left or no_right").join(table, "key")

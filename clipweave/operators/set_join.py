@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import written
+
 
 def similar_sets(members: DataFrame, least: float) -> DataFrame:
     """(a, b, jaccard) of all sets a < b of rows (id, member) whose Jaccard is at least ``least``, which is over 0.
@@ -18,6 +20,7 @@ def similar_sets(members: DataFrame, least: float) -> DataFrame:
     often = own.groupBy("member").agg(F.count("*").alias("often"))
     listed = F.array_sort(F.collect_list(F.struct("often", "member")))
     sets = own.join(often, "member").groupBy("id").agg(F.transform(listed, lambda x: x["member"]).alias("members")).withColumn("n", F.size("members"))
+    sets = written(sets, "set-members")
     head = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
     prefix = sets.select("id", "n", F.posexplode(F.slice("members", F.lit(1), head.cast("int"))).alias("at", "member"))
     side = lambda c: prefix.select("member", *(F.col(x).alias(f"{c}_{x}") for x in ("id", "n", "at")))

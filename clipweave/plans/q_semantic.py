@@ -192,13 +192,13 @@ def attr_jaccard(spark: SparkSession, d: str) -> DataFrame:
   select p_partkey as id, unnest(list_distinct(string_split(lower(p_name), ' ') || ['brand=' || p_brand, 'type=' || p_type, 'size=' || p_size::varchar])) as member from part
 ), n as (select id, count(*) as n from m group by id
 ), i as (select a.id as a, b.id as b, count(*) as i from m a join m b on a.member = b.member and a.id < b.id group by a.id, b.id)
-select a, b, round(i / (x.n + y.n - i), 4) as jaccard from i join n x on x.id = a join n y on y.id = b where i >= 0.5 * (x.n + y.n - i)""")
+select a, b, round(i / (x.n + y.n - i), 4) as jaccard from i join n x on x.id = a join n y on y.id = b where i >= 0.7 * (x.n + y.n - i)""")
 def similar_attribute_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Parts whose words and attributes are half alike or more, by prefixes of their rarest members."""
+    """Parts whose words and attributes are 0.7 alike or more, by prefixes of their rarest members."""
     p = table(spark, d, "part")
     named = lambda k, c: F.concat(F.lit(f"{k}="), F.col(c).cast("string"))
     members = F.explode(F.concat(F.split(F.lower("p_name"), " "), F.array(named("brand", "p_brand"), named("type", "p_type"), named("size", "p_size"))))
-    return set_join.similar_sets(p.select(F.col("p_partkey").alias("id"), members.alias("member")), 0.5).select("a", "b", r4(F.col("jaccard"), "jaccard"))
+    return set_join.similar_sets(p.select(F.col("p_partkey").alias("id"), members.alias("member")), 0.7).select("a", "b", r4(F.col("jaccard"), "jaccard"))
 
 
 @query(_ATTR + " select k, count(distinct v) as n_values, count(distinct entity) as n_entities, count(distinct (entity, v)) as n_pairs, string_agg(distinct v, ',' order by v) as vals from attrs where k = 'type' group by k")

@@ -35,6 +35,13 @@ def place_of(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/clipweave/stream-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, where several steps use it: it is worked out once, and a lost executor replays nothing above it."""
+    path = place_of(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_available(df: DataFrame, name: str, *, mode: str) -> DataFrame:
     """Run to the end of what is there and return the result; state and results lie in the shared folder."""
     place = place_of(df.sparkSession, name)
