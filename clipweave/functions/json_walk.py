@@ -35,13 +35,15 @@ def _members(node: Column) -> Column:
         keys, at = F.array_append(node["keys"], F.coalesce(z["key"], k.cast("string"))), F.array_append(node["at"], k)
         return F.struct(keys.alias("keys"), at.alias("at"), node["kind"].alias("inside"), kind_of(z["v"]).alias("kind"), z["text"].alias("text"))
 
-    as_map, as_list = parsed(is_object, "map<string,string>"), parsed(~is_object, "array<string>")
-    named = once(as_map, lambda m: F.struct(F.map_keys(m).alias("key"), F.map_values(m).alias("text")))
-    keys = F.when(is_object, named["key"])
-    texts = F.when(is_object, named["text"]).otherwise(as_list)
+    of_map = once(parsed(is_object, "map<string,string>"), lambda m: F.struct(F.map_keys(m).alias("key"), F.map_values(m).alias("text")))
+    of_list = F.struct(F.lit(None).cast("array<string>").alias("key"), parsed(~is_object, "array<string>").alias("text"))
     values = F.when(is_object, F.map_values(parsed(is_object, "map<string,variant>"))).otherwise(parsed(~is_object, "array<variant>"))
-    every = lambda t: F.arrays_zip(F.coalesce(keys, F.transform(t["text"], lambda _: F.lit(None).cast("string"))).alias("key"), t["text"].alias("text"), values.alias("v"))
-    return once(F.struct(texts.alias("text")), lambda t: F.transform(every(t), one))
+
+    def every(t: Column) -> Column:
+        keys = F.coalesce(t["key"], F.transform(t["text"], lambda _: F.lit(None).cast("string")))
+        return F.transform(F.arrays_zip(keys.alias("key"), t["text"].alias("text"), values.alias("v")), one)
+
+    return once(F.when(is_object, of_map).otherwise(of_list), every)
 
 
 def nodes(raw: Column, *, through: tuple[str, ...] = ("object", "array")) -> Column:
