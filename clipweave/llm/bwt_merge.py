@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import BIG, Units, remove_repeats
+from .repeats import BIG, LIMIT, Units, remove_repeats
 
 #: Bytes of one shard's segments, with their ends; places must fit in 21 bits.
 SHARD = 1 << 19
@@ -131,11 +131,11 @@ def least_documents(segments: list[np.ndarray], smallest: np.ndarray, width: int
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, *, width: int = 50, kept: bool = True, big: int = BIG) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, width: int = 50, kept: bool = True, big: int = BIG, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_units (bytes of UTF-8), n_removed, n_spans (maximal removed runs), kept_sha256 and, unless ``kept`` is false, kept: the bytes that remain.
 
     A byte goes if it is covered by a string of ``width`` bytes that also starts in a document with a smaller doc_id. Strings are judged on the
     input and never cross documents; what is kept may not be UTF-8. Null and empty texts have no bytes. Rows without an id are left out;
-    rows that repeat an id are one document to the rule and give a row each. Other columns are not looked at. ``big`` is explained in ``repeats``.
+    rows that repeat an id are one document to the rule and give a row each. Other columns are not looked at. ``big`` and ``limit`` are explained in ``repeats``.
     """
-    return remove_repeats(docs, byte_units(width), least_documents, "bwt-merge", kept=kept, big=big)
+    return remove_repeats(docs, byte_units(width), least_documents, "bwt-merge", kept=kept, big=big, limit=limit)

@@ -10,9 +10,12 @@ A window is ``width`` consecutive units (words or bytes) of one document. Its an
    the distinct segments - the part that the two operators do their own way - tells for each window the smallest document that has it. Windows
    of different anchors are different, so that an anchor with one distinct segment needs no structure. Of equal segments in a slice only
    those of the smallest document travel: the windows of the others start in it. So what stands inside a common passage
-   comes once from a slice; at its edges each document has a segment of its own, and the runs of anchors that very many texts have
-   are therefore sent as single windows, each to the group of its whole content.
-3. Each document's windows that start in a smaller one meet its text, and the units that they cover go.
+   comes once from a slice; at its edges each document has a segment of its own.
+3. The distinct segments of one anchor may be more than a task should hold. They are then cut into pieces, of windows whose anchor is
+   about as far from their start, and dealt again by a longer stretch that all windows of a piece share: half a window, nearly all of
+   it, and in the end the window itself (``levels``). Equal windows lie in pieces of one key, so that nothing is lost, and the structure
+   works on each key's pieces as before. What very many texts have is dealt so from the start.
+4. Each document's windows that start in a smaller one meet its text, and the units that they cover go.
 
 The text is shuffled once: both joins with it use one exchange.
 """
@@ -22,20 +25,23 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, long_doc, partitions, raw, slices, window_hash
+from .shared import cut, long_doc, mix, partitions, raw, slices, window_hash
 
 _PLACE = np.uint64((1 << 26) - 1)
 #: Anchors, and units of segments, that one group holds on average.
 GROUP_ANCHORS, GROUP_UNITS = 4_000_000, 3_000_000
-#: Texts of a slice from which an anchor is answered there, and texts in all from which its runs are sent as single windows. Of the
-#: latter there are no more than the input's anchors by this number: 50 MB of names for 100 TB, which every task gets.
+#: Texts of a slice from which an anchor is answered there, and texts in all from which its runs are dealt in pieces at once. Of the
+#: latter there are no more than the input's anchors by this number: 50 MB of names for 100 TB, broadcast once.
 HEAVY, BIG = 16, 1_000_000
+#: Units of the distinct segments of one key that a structure takes. A task looks for larger keys when it holds ``HOLD`` times as many units.
+LIMIT, HOLD = 1 << 20, 16
 
 
 @dataclass(frozen=True)
@@ -49,10 +55,10 @@ class Units:
     gram: int
 
 
-def runs(units: np.ndarray, before: np.ndarray, kind: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, windows, anchor hash) of every run; places count along ``units``."""
+def runs(units: np.ndarray, before: np.ndarray, kind: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, windows, anchor hash, anchor's place) of every run; places count along ``units``."""
     n, reach = len(units), kind.width - kind.gram + 1
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    none = (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if n < kind.width:
         return none
     grams = window_hash(units, kind.gram)
@@ -72,7 +78,29 @@ def runs(units: np.ndarray, before: np.ndarray, kind: Units) -> tuple[np.ndarray
         return none
     anchor = anchor[at]
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-    return row[first], at[first], np.diff(np.r_[first, len(at)]), grams[anchor[first]]
+    return row[first], at[first], np.diff(np.r_[first, len(at)]), grams[anchor[first]], anchor[first]
+
+
+def levels(width: int) -> list[tuple[int, int]]:
+    """(windows of a piece, units of its key) for each time that a key's segments are dealt again."""
+    c = max(1, width // 6)
+    return [(c, max(1, width // 2)), (c, width - c + 1), (1, width)]
+
+
+def pieces(units: np.ndarray, at: np.ndarray, many: np.ndarray, place: np.ndarray, level: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first window, windows, key) of the pieces of runs, whose anchors are at ``place``.
+
+    Piece k of a run has the windows that start at least k * c and less than (k + 1) * c units before the anchor. Each of them contains the
+    units from k * c before the anchor on, as far as its key reaches, so that equal windows have one key.
+    """
+    c, reach = level
+    run = np.repeat(np.arange(len(at)), many)
+    window = np.repeat(at - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    k = (place[run] - window) // c
+    first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (k[1:] != k[:-1])][: len(run)])
+    run, k = run[first], k[first]
+    key = mix(window_hash(units, reach)[place[run] - k * c] ^ k.astype(np.uint64)) if len(run) else np.zeros(0, np.uint64)
+    return run, window[first], np.diff(np.r_[first, len(window)]), key
 
 
 def _group_of(anchor: np.ndarray, groups: int) -> np.ndarray:
@@ -98,7 +126,7 @@ def _anchors(kind: Units, groups: int):
         for batch in it:
             for part in slices(batch, 1):
                 units, before = kind.read(*raw(part.column(1)))
-                row, _, _, anchor = runs(units, before, kind)
+                row, _, _, anchor, _ = runs(units, before, kind)
                 texts, of = np.unique(np.asarray(part.column(0), np.int64), return_inverse=True)
                 group = _group_of(anchor, groups)
                 whole = (group.astype(np.uint64) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
@@ -194,25 +222,47 @@ def _equal_segments(units: np.ndarray, ends: np.ndarray, docs: np.ndarray, unit:
 
 
 _SEGMENTS = "kind int, g int, docs binary, hashes binary, starts binary, windows binary, anchors binary, units binary"
+_NAMES = [c.split()[0] for c in _SEGMENTS.split(", ")]
 
 
-def _segments(kind: Units, groups: int, anchor_groups: int, big: np.ndarray):
-    """Rows (kind, group, documents, text hashes, places, windows, anchors, units) of the runs whose anchors are shared.
+def _dealt(kind: Units, groups: int, units: np.ndarray, at: np.ndarray, many: np.ndarray, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Rows (kind, group, documents, text hashes, places, windows, keys, units) of segments of ``units`` by the groups of their keys.
 
-    Rows of kind 0 are runs of which an equal one starts in a smaller document of the slice: their windows go, and they have no units.
+    Rows of kind 0 are segments of which an equal one here is of a smaller document: their windows go, and they have no units.
     """
-    unit = np.dtype(kind.dtype).itemsize
+    group = ((key >> np.uint64(16)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    at, many, key, group, docs, hashes, starts = (x[order] for x in (at, many, key, group, docs, hashes, starts))
+    out = {c: [] for c in _NAMES}
 
-    def packed(out, n, g, docs, hashes, starts, windows, anchors, units):
-        values = docs, hashes, starts.astype(np.int64), windows.astype(np.uint16), anchors.astype(np.uint32), units.astype(kind.dtype)
+    def packed(n, g, docs, hashes, starts, windows, keys, units):
+        values = docs, hashes, starts.astype(np.int64), windows.astype(np.uint16), keys.astype(np.uint32), units.astype(kind.dtype)
         for c, x in zip(out.values(), (n, g, *(v.tobytes() for v in values)), strict=True):
             c.append(x)
 
+    size = many + kind.width - 1
+    flat = np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    content = units[flat].astype(kind.dtype)
+    gone = _equal_segments(content, np.cumsum(size), docs, np.dtype(kind.dtype).itemsize) if len(size) else np.zeros(0, bool)
+    if gone.any():
+        none = np.zeros(0)
+        packed(0, int(group[gone][0]), docs[gone], hashes[gone], starts[gone], many[gone], none, none)
+        content = content[np.repeat(~gone, size)]
+        docs, hashes, starts, many, key, group, size = (x[~gone] for x in (docs, hashes, starts, many, key, group, size))
+    ends = np.r_[0, np.cumsum(size)]
+    for g, s in _split(group):
+        packed(1, g, docs[s], hashes[s], starts[s], many[s], key[s], content[ends[s.start] : ends[s.stop]])
+    return pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int32()) for c in _NAMES[:2]), *(pa.array(out[c], pa.binary()) for c in _NAMES[2:])], names=_NAMES)
+
+
+def _segments(kind: Units, groups: int, anchor_groups: int, big):
+    """``_dealt`` of the runs whose anchors are shared; those of ``big``, a broadcast array of anchors, in pieces."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, 1):
                 units, before = kind.read(*raw(part.column(1)))
-                row, at, many, anchor = runs(units, before, kind)
+                row, at, many, anchor, place = runs(units, before, kind)
                 docs, hashes = np.asarray(part.column(0), np.int64), np.asarray(part.column(3), np.int64)
                 key = (_group_of(anchor, anchor_groups).astype(np.uint64) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
                 keep = np.zeros(len(key), bool)
@@ -220,30 +270,12 @@ def _segments(kind: Units, groups: int, anchor_groups: int, big: np.ndarray):
                 for k, lists in enumerate(part.column(2).to_pylist()):
                     if edge[k + 1] > edge[k]:
                         keep[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], np.frombuffer(b"".join(lists), np.uint64))
-                row, at, many, anchor, key = row[keep], at[keep], many[keep], anchor[keep], key[keep]
-                if len(big) and (common := np.isin(key, big)).any():  # window by window
-                    n = many[common]
-                    one = np.repeat(at[common] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    row, at = np.r_[row[~common], np.repeat(row[common], n)], np.r_[at[~common], one]
-                    many, anchor = np.r_[many[~common], np.ones(len(one), many.dtype)], np.r_[anchor[~common], window_hash(units, kind.width)[one]]
-                group = ((anchor >> np.uint64(16)) % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                row, at, many, group, anchor = row[order], at[order], many[order], group[order], anchor[order]
-                out = {"kind": [], "g": [], "docs": [], "hashes": [], "starts": [], "windows": [], "anchors": [], "units": []}
-                names, of, starts = docs[row], hashes[row], at - before[row]
-                size = many + kind.width - 1
-                flat = np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                content = units[flat].astype(kind.dtype)
-                gone = _equal_segments(content, np.cumsum(size), names, unit) if len(size) else np.zeros(0, bool)
-                if gone.any():
-                    none = np.zeros(0)
-                    packed(out, 0, int(group[gone][0]), names[gone], of[gone], starts[gone], many[gone], none, none)
-                    content = content[np.repeat(~gone, size)]
-                    names, of, starts, many, anchor, group, size = (x[~gone] for x in (names, of, starts, many, anchor, group, size))
-                ends = np.r_[0, np.cumsum(size)]
-                for g, s in _split(group):
-                    packed(out, 1, g, names[s], of[s], starts[s], many[s], anchor[s], content[ends[s.start] : ends[s.stop]])
-                yield pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int32()) for c in ("kind", "g")), *(pa.array(out[c], pa.binary()) for c in list(out)[2:])], names=list(out))
+                row, at, many, anchor, key, place = (x[keep] for x in (row, at, many, anchor, key, place))
+                if len(big.value) and (common := np.isin(key, big.value)).any():
+                    of, at2, many2, anchor2 = pieces(units, at[common], many[common], place[common], levels(kind.width)[0])
+                    row, at = np.r_[row[~common], row[common][of]], np.r_[at[~common], at2]
+                    many, anchor = np.r_[many[~common], many2], np.r_[anchor[~common], anchor2]
+                yield _dealt(kind, groups, units, at, many, anchor, docs[row], hashes[row], at - before[row])
 
     return run
 
@@ -257,38 +289,111 @@ def _runs_of(docs: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(docs[start]), pa.array(hashes[start]), pa.array(parts, pa.binary())], names=["doc_id", "hash", "runs"])
 
 
-def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray]):
-    """(doc_id, text hash, runs of windows to remove) from the segments of a group.
+_FOUND = f"doc_id long, hash long, runs binary, {_SEGMENTS}"
 
-    ``least(segments, documents, width)`` gives, for the windows of distinct segments one after another, the smallest document that has each.
+
+def _as_found(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of runs or of segments with the columns of both, null where it has none."""
+    types = {"doc_id": pa.int64(), "hash": pa.int64(), "runs": pa.binary(), "kind": pa.int32(), "g": pa.int32()} | dict.fromkeys(_NAMES[2:], pa.binary())
+    own = dict(zip(batch.schema.names, batch.columns, strict=True))
+    return pa.RecordBatch.from_arrays([own.get(c, pa.nulls(len(batch), t)) for c, t in types.items()], names=list(types))
+
+
+class _Group:
+    """The segments of one group: each distinct one once, and the places that have it.
+
+    Segments of a key whose distinct ones have over ``limit`` units are passed on in pieces of ``finer``, all of them, those that have come and those to
+    come; with ``finer`` None nothing is passed on, since there a key has one window.
     """
-    unit = np.dtype(kind.dtype).itemsize
 
-    def done(g, held):
-        docs, hashes, starts = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("docs", "hashes", "starts"))
-        windows = np.concatenate([np.frombuffer(r["windows"], np.uint16) for r in held]).astype(np.int64)
-        ids: dict[bytes, int] = {}
-        seg, at = np.zeros(len(docs), np.int64), 0
-        for r in held:
-            n = (np.frombuffer(r["windows"], np.uint16).astype(np.int64) + kind.width - 1) * unit
-            ends, data = np.cumsum(n).tolist(), r["units"]
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                seg[at] = ids.setdefault(data[a:b], len(ids))
-                at += 1
-        smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    def __init__(self, kind: Units, least, groups: int, finer: tuple[int, int] | None, limit: int, g: int):
+        self.kind, self.least, self.groups, self.finer, self.limit, self.g = kind, least, groups, finer, limit, g
+        self.ids: dict[bytes, int] = {}
+        self.key, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # of each distinct segment, units for the size
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.places: list[np.ndarray] = []  # (segment, document, text hash, first window, windows)
+        self.large, self.units, self.look = np.zeros(0, np.uint32), 0, HOLD * limit
+
+    def add(self, r: dict) -> Iterator[pa.RecordBatch]:
+        windows, keys = np.frombuffer(r["windows"], np.uint16).astype(np.int64), np.frombuffer(r["anchors"], np.uint32)
+        docs, hashes, starts = (np.frombuffer(r[c], np.int64) for c in ("docs", "hashes", "starts"))
+        size = windows + self.kind.width - 1
+        ends, data = (np.cumsum(size) * np.dtype(self.kind.dtype).itemsize).tolist(), r["units"]
+        parts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        if len(self.large) and (out := np.isin(keys, self.large)).any():
+            yield from self._finer([parts[k] for k in np.flatnonzero(out).tolist()], docs[out], hashes[out], starts[out], windows[out])
+            parts = [parts[k] for k in np.flatnonzero(~out).tolist()]
+            docs, hashes, starts, windows, keys, size = (x[~out] for x in (docs, hashes, starts, windows, keys, size))
+        known, ids = len(self.ids), self.ids
+        seg = np.fromiter((ids.setdefault(x, len(ids)) for x in parts), np.int64, len(parts))
+        self.places.append(np.stack([seg, docs, hashes, starts, windows]))
+        number, at = np.unique(seg, return_index=True)
+        at = at[number >= known]
+        self.new.append((keys[at], size[at]))
+        self.units += int(size[at].sum())
+        if self.finer and self.units > self.look:
+            yield from self._pass_on()
+            self.look = max(HOLD * self.limit, 2 * self.units)
+
+    def _settle(self) -> None:
+        self.key = np.concatenate([self.key, *(k for k, _ in self.new)])
+        self.size = np.concatenate([self.size, *(n for _, n in self.new)])
+        self.new, self.places = [], [np.concatenate(self.places, axis=1)] if self.places else []
+
+    def _pass_on(self) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        names, of = np.unique(self.key, return_inverse=True)
+        large = names[np.bincount(of, self.size, len(names)) > self.limit]
+        if not len(large):
+            return
+        self.large = np.union1d(self.large, large)
+        content, out = list(self.ids), np.isin(self.key, large)
+        seg, *rest = self.places[0]
+        gone = np.flatnonzero(out[seg])
+        step = np.cumsum(self.size[seg[gone]]) // self.limit
+        for _, s in _split(step):
+            yield from self._finer([content[k] for k in seg[gone[s]].tolist()], *(x[gone[s]] for x in rest))
+        number = np.cumsum(~out) - 1
+        self.ids = {content[k]: int(number[k]) for k in np.flatnonzero(~out).tolist()}
+        stay = self.places[0][:, ~out[seg]]
+        stay[0] = number[stay[0]]
+        self.places, self.key, self.size = [stay], self.key[~out], self.size[~out]
+        self.units = int(self.size.sum())
+
+    def _finer(self, parts: list[bytes], docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        units = np.frombuffer(b"".join(parts), self.kind.dtype)
+        before = np.r_[0, np.cumsum(windows + self.kind.width - 1)]
+        row, at, many, _, place = runs(units, before, self.kind)  # one run each
+        run, at, many, key = pieces(units, at, many, place, self.finer)
+        row = row[run]
+        yield _as_found(_dealt(self.kind, self.groups, units, at, many, key, docs[row], hashes[row], starts[row] + at - before[row]))
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        if self.finer:
+            yield from self._pass_on()
+        else:
+            self._settle()
+        if not self.ids:
+            return
+        width, (seg, docs, hashes, starts, windows) = self.kind.width, self.places[0]
+        smallest = np.full(len(self.ids), np.iinfo(np.int64).max)
         np.minimum.at(smallest, seg, docs)
-        distinct = [np.frombuffer(x, kind.dtype) for x in ids]
-        per = np.array([len(x) - kind.width + 1 for x in distinct], np.int64)
+        distinct = [np.frombuffer(x, self.kind.dtype) for x in self.ids]
+        per = self.size - width + 1
         base = np.cumsum(per) - per
         where = np.repeat(smallest, per)
-        of = np.zeros(len(ids), np.uint32)
-        of[seg] = np.concatenate([np.frombuffer(r["anchors"], np.uint32) for r in held])
-        _, inverse, times = np.unique(of, return_inverse=True, return_counts=True)
+        _, inverse, times = np.unique(self.key, return_inverse=True, return_counts=True)
         several = np.flatnonzero(times[inverse] > 1)
-        if len(several):
-            n = per[several]
-            at = np.repeat(base[several] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            where[at] = least([distinct[k] for k in several.tolist()], smallest[several], kind.width)
+        several = several[np.argsort(inverse[several], kind="stable")]
+        # Whole keys, as many at a time as have ``limit`` units.
+        step = (np.cumsum(self.size[several]) - self.size[several]) // self.limit
+        head = np.flatnonzero(np.r_[True, inverse[several][1:] != inverse[several][:-1]][: len(several)])
+        step = np.repeat(step[head], np.diff(np.r_[head, len(several)]))
+        for _, s in _split(step):
+            some = several[s]
+            n = per[some]
+            at = np.repeat(base[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            where[at] = self.least([distinct[k] for k in some.tolist()], smallest[some], width)
         flat = np.repeat(base[seg] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
         place = np.repeat(starts - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
         occurrence = np.repeat(np.arange(len(docs)), windows)
@@ -298,13 +403,32 @@ def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.
             return
         head = np.flatnonzero(np.r_[True, (occurrence[1:] != occurrence[:-1]) | (place[1:] != place[:-1] + 1)])
         who = occurrence[head]
-        yield _runs_of(docs[who], hashes[who], np.stack([place[head], np.diff(np.r_[head, len(place)])], axis=1))
+        yield _as_found(_runs_of(docs[who], hashes[who], np.stack([place[head], np.diff(np.r_[head, len(place)])], axis=1)))
 
-    def at_once(r):
-        docs, hashes, starts = (np.frombuffer(r[c], np.int64) for c in ("docs", "hashes", "starts"))
-        yield _runs_of(docs, hashes, np.stack([starts, np.frombuffer(r["windows"], np.uint16).astype(np.int64)], axis=1))
 
-    return lambda it: _by_group(it, done, at_once)
+def _found(kind: Units, least: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray], groups: int, finer: tuple[int, int] | None, limit: int):
+    """(doc_id, text hash, runs of windows to remove) from the segments of each group, and pieces of the segments of keys too large.
+
+    ``least(segments, documents, width)`` gives, for the windows of distinct segments one after another, the smallest document that has each.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    docs, hashes, starts = (np.frombuffer(r[c], np.int64) for c in ("docs", "hashes", "starts"))
+                    yield _as_found(_runs_of(docs, hashes, np.stack([starts, np.frombuffer(r["windows"], np.uint16).astype(np.int64)], axis=1)))
+                    continue
+                if held is None or held.g != r["g"]:
+                    if held is not None:
+                        yield from held.done()
+                    held = _Group(kind, least, groups, finer, limit, r["g"])
+                yield from held.add(r)
+        if held is not None:
+            yield from held.done()
+
+    return run
 
 
 def _cleaned(kind: Units, text_column: bool):
@@ -340,7 +464,7 @@ def _cleaned(kind: Units, text_column: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool, big: int = BIG) -> DataFrame:
+def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool, big: int = BIG, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, kept_sha256 and, if asked for, kept (UTF-8) of every document."""
     spark, docs = docs.sparkSession, long_doc(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.xxhash64("text"))
     volume = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1 if kind.dtype == "u1" else 6)
@@ -355,14 +479,21 @@ def remove_repeats(docs: DataFrame, kind: Units, least, name: str, *, kept: bool
     packed = docs.select("hash", "text").mapInArrow(_anchors(kind, anchor_groups), _ANCHORS)
     shared = cut(packed.repartitionById(anchor_groups, "g").sortWithinPartitions("kind", "g").mapInArrow(_shared_anchors(big), "hash long, keys binary"), f"{name}-anchors")
     common = [np.frombuffer(r["keys"], np.uint64) for r in shared.where("hash is null").collect()]  # bounded, see BIG
-    common = np.concatenate(common) if common else np.zeros(0, np.uint64)
+    common = spark.sparkContext.broadcast(np.concatenate(common) if common else np.zeros(0, np.uint64))
     wanted = shared.where("hash is not null").groupBy("hash").agg(F.collect_list("keys").alias("keys"))  # no more of them than the text has windows
     wanted = wanted.join(reps, "hash").select(F.col("rep").alias("doc_id"), "hash", "keys")
     n = partitions(spark, volume, 64 << 20)
     dealt = docs.repartition(n, "doc_id")
-    both = dealt.join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups, common), _SEGMENTS)
-    gone = both.repartitionById(groups, "g").sortWithinPartitions("kind", "g").mapInArrow(_found(kind, least), "doc_id long, hash long, runs binary")
-    gone = gone.groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("runs"))
+    left = dealt.join(wanted, ["doc_id", "hash"]).select("doc_id", "text", "keys", "hash").mapInArrow(_segments(kind, groups, anchor_groups, common), _SEGMENTS)
+    found = []
+    for finer in (*levels(kind.width), None):
+        step = left.repartitionById(groups, "g").sortWithinPartitions("kind", "g").mapInArrow(_found(kind, least, groups, finer, limit), _FOUND)
+        step = cut(step, f"{name}-found")
+        found.append(step.where("runs is not null").select("doc_id", "hash", "runs"))
+        left = step.where("kind is not null").select(*_NAMES)
+        if left.isEmpty():
+            break
+    gone = reduce(DataFrame.unionAll, found).groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("runs"))
     last = ", kept binary" if kept else ""
     final = dealt.join(gone, ["doc_id", "hash"], "left").join(copies, ["doc_id", "hash"], "left").select("doc_id", "text", "runs", "copy")
     return final.mapInArrow(_cleaned(kind, kept), f"doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string{last}")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import BIG, Units, remove_repeats
+from .repeats import BIG, LIMIT, Units, remove_repeats
 from .shared import word_hashes
 
 #: Suffixes of one subtree.
@@ -110,11 +110,11 @@ def least_documents(segments: list[np.ndarray], smallest: np.ndarray, width: int
     return out
 
 
-def remove_repeated_words(docs: DataFrame, *, width: int = 50, kept: bool = True, big: int = BIG) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, *, width: int = 50, kept: bool = True, big: int = BIG, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_units (words), n_removed, n_spans, kept_sha256 and, unless ``kept`` is false, kept: the text without its repeats, words joined by one space.
 
     A word goes if it is covered by a window of ``width`` words whose sequence also starts in a document with a smaller doc_id; words are runs
     without space and \\x09-\\x0D. Windows are judged on the input. Null and empty texts have no words. Rows without an id are left out;
-    rows that repeat an id are one document to the rule and give a row each. Other columns are not looked at. ``big`` is explained in ``repeats``. Words are compared by 64-bit hashes.
+    rows that repeat an id are one document to the rule and give a row each. Other columns are not looked at. ``big`` and ``limit`` are explained in ``repeats``. Words are compared by 64-bit hashes.
     """
-    return remove_repeats(docs, word_units(width), least_documents, "suffix-tree", kept=kept, big=big)
+    return remove_repeats(docs, word_units(width), least_documents, "suffix-tree", kept=kept, big=big, limit=limit)

@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from clipweave.llm import bwt_merge, catalog, components, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, suffix_tree, topk
+from clipweave.llm import bwt_merge, catalog, components, line_dedup, mixing, ngram_join, pieces, quality_rules, quotation, rans, repeats, suffix_tree, topk
 
 from ..conftest import SF, plain
 
@@ -87,9 +89,9 @@ def test_repeats_edges(spark, docs, empty):
     assert got == [(1, 0), (1, 0), (2, 90)]
 
 
-@pytest.mark.parametrize("big", [3, 10**6])
-def test_repeats_of_a_common_passage(spark, big):
-    """One passage in all documents, copies and cuts of it among them: many equal segments in a slice, others at its edges."""
+@pytest.mark.parametrize(("big", "limit"), [(3, 1 << 20), (10**6, 1 << 20), (10**6, 150), (3, 60), (10**6, 1)])
+def test_repeats_of_a_common_passage(spark, big, limit):
+    """One passage in all documents, copies and cuts of it among them: many equal segments in a slice, others at its edges; keys too large for a task."""
     rng = np.random.default_rng(12)
     passage = [f"p{k}" for k in range(70)]
     texts = {}
@@ -101,14 +103,75 @@ def test_repeats_of_a_common_passage(spark, big):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     words = {d: tuple(WORD.findall(t or "")) for d, t in texts.items()}
     gone = removed(words, 20)
-    got = {r["doc_id"]: r["n_removed"] for r in suffix_tree.remove_repeated_words(docs, width=20, kept=False, big=big).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_tree.remove_repeated_words(docs, width=20, kept=False, big=big, limit=limit).collect()}
     assert got == {d: sum(g) for d, g in gone.items()}
     raw = {d: (t or "").encode() for d, t in texts.items()}
     gone = removed(raw, 50)
-    got = {r["doc_id"]: r["n_removed"] for r in bwt_merge.remove_repeated_bytes(docs, kept=False, big=big).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in bwt_merge.remove_repeated_bytes(docs, kept=False, big=big, limit=limit).collect()}
     assert got == {d: sum(g) for d, g in gone.items()}
 
 
+@pytest.mark.parametrize("kind", [suffix_tree.word_units(12), bwt_merge.byte_units(50)])
+def test_pieces_keep_equal_windows_together(kind):
+    """Windows are dealt to pieces once each, equal ones by one key, and deals of longer keys end with single windows."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 9, 400)
+    texts = [np.r_[rng.integers(0, 9, int(rng.integers(0, 60))), common[a : a + 150], rng.integers(0, 9, int(rng.integers(0, 60)))] for a in rng.integers(0, 250, 30)]
+    units, before = np.concatenate(texts).astype(kind.dtype), np.r_[0, np.cumsum([len(t) for t in texts])]
+    row, at, many, _, place = repeats.runs(units, before, kind)
+    windows = np.sort(np.concatenate([np.arange(a, a + n) for a, n in zip(at, many)]))
+    sizes = []
+    for level in repeats.levels(kind.width):
+        run, first, n, key = repeats.pieces(units, at, many, place, level)
+        assert n.max() <= level[0] and (row[run] == np.searchsorted(before, first, side="right") - 1).all()
+        spread = np.concatenate([np.arange(a, a + m) for a, m in zip(first, n)])
+        assert (np.sort(spread) == windows).all()
+        keys, segments = {}, {}
+        for a, m, k in zip(first.tolist(), n.tolist(), key.tolist()):
+            segments.setdefault(k, set()).add(units[a : a + m + kind.width - 1].tobytes())
+            for w in range(a, a + m):
+                assert keys.setdefault(units[w : w + kind.width].tobytes(), k) == k
+        sizes.append(max(map(len, segments.values())))
+    assert sizes[-1] == 1 and sizes == sorted(sizes, reverse=True)
+
+
+def test_segments_of_one_anchor_in_bounded_memory():
+    """Many distinct segments of one key: the structure never sees more units than twice the limit, and what is passed on goes through it later."""
+    kind, limit, rng = suffix_tree.word_units(50), 20_000, np.random.default_rng(4)
+    middle = np.arange(1000, 1045, dtype=np.uint64)
+    texts = [np.r_[rng.integers(0, 3, 30).astype(np.uint64), middle, rng.integers(0, 3, 30).astype(np.uint64)] for _ in range(3000)]
+    units, before = np.concatenate(texts), np.arange(3001) * 105
+    row, at, many, anchor, _ = repeats.runs(units, before, kind)
+    docs = row + 1
+    seen, rounds = [], 0
+
+    def least(segments, smallest, width):
+        seen.append(sum(map(len, segments)))
+        return suffix_tree.least_documents(segments, smallest, width)
+
+    def in_groups(table):
+        return table.filter(pc.is_valid(table["kind"])).sort_by([("kind", "ascending"), ("g", "ascending")])
+
+    todo = in_groups(pa.Table.from_batches([repeats._dealt(kind, 7, units, at, many, anchor, docs, docs, at - before[row])]))
+    got = np.zeros(len(units), bool)
+    for finer in (*repeats.levels(50), None):
+        rounds += 1
+        found = pa.Table.from_batches(repeats._found(kind, least, 7, finer, limit)(iter(todo.to_batches())))
+        for r in found.to_pylist():
+            if r["runs"] is not None:
+                for start, n in np.frombuffer(r["runs"], np.int64).reshape(-1, 2):
+                    got[before[r["doc_id"] - 1] + start :][:n] = True
+        todo = in_groups(found)
+        if not len(todo):
+            break
+    first, want = {}, np.zeros(len(units), bool)
+    for d in range(3000):
+        for k in range(56):
+            w = units[before[d] + k : before[d] + k + 50].tobytes()
+            want[before[d] + k] = first.setdefault(w, d) < d
+    assert (got == want).all() and rounds > 1 and max(seen) <= 2 * limit
+
+
 def structures(module, make, rng):
     for _ in range(40):
         width, base = int(rng.integers(2, 12)), rng.integers(97, 97 + int(rng.integers(1, 5)), 300)
