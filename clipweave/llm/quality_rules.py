@@ -185,7 +185,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     n = rows.count()
     if n > sample:
         share = (sample + 4 * math.sqrt(sample)) / n
-        rows = rows.where(F.col("_key") < int(min(1.0, share) * (1 << 63)))
+        rows = rows.where(F.col("_key") <= int(min(1.0, share) * (1 << 63)) - 1)  # a share of 1 must still be a long
     return rows.orderBy("_key", "doc_id").limit(sample).select("doc_id", "_quality")
 
 

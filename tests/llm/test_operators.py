@@ -463,6 +463,14 @@ def test_quality_sample_is_bounded(spark):
         assert len(rows) == 1500 if sample == 5000 else len(rows) > 0.8 * sample
 
 
+def test_quality_sample_of_few_more_labels(spark):
+    """A few more labels than the sample: the threshold is then the largest long, and all of them are looked at."""
+    docs = spark.createDataFrame([(i, "x") for i in range(1500)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    rows = quality_rules._sampled(docs, labels, 1450).collect()
+    assert len({r["doc_id"] for r in rows}) == 1450
+
+
 def share_by_hand(budget, cap, weight):
     """Water-filling in small steps over exact fractions."""
     from fractions import Fraction
