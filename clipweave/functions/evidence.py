@@ -119,18 +119,19 @@ def merged_spans(spans: Column, tolerance: float = 0.2) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast("array<array<double>>"), step)
 
 
-def relation_spans(subject: Column, obj: Column, start: Column, end: Column, least: float) -> Column:
+def relation_spans(subject: Column, obj: Column, start: Column, end: Column, least: float, places: int | None = 1) -> Column:
     """Where both ends of a relation are seen: intersections of ``least`` or longer; else a window of that length about the first
-    intersection, or about the middle of the nearest gap. Clipped to [start, end], to one place."""
+    intersection, or about the middle of the nearest gap. Clipped to [start, end], to ``places`` places; None: as they are."""
+    to = lambda x: x if places is None else F.round(x, places)
     pairs = F.flatten(F.transform(subject, lambda a: F.transform(obj, lambda b: F.struct(F.greatest(F.get(a, 0), F.get(b, 0)).alias("s"), F.least(F.get(a, 1), F.get(b, 1)).alias("e")))))
     met = merged_spans(F.transform(F.filter(pairs, lambda p: p["e"] > p["s"]), lambda p: F.array(p["s"], p["e"])))
-    cut = lambda a, b: F.array(F.round(F.greatest(start, a), 1), F.round(F.least(end, b), 1))
+    cut = lambda a, b: F.array(to(F.greatest(start, a)), to(F.least(end, b)))
     long = F.transform(F.filter(met, lambda m: F.get(m, 1) - F.get(m, 0) >= least), lambda m: cut(F.get(m, 0), F.get(m, 1)))
     gaps = F.transform(pairs, lambda p: F.struct((p["s"] - p["e"]).alias("gap"), ((p["s"] + p["e"]) / 2).alias("mid")))
     middle = F.when(F.size(met) > 0, (F.get(F.get(met, 0), 0) + F.get(F.get(met, 0), 1)) / 2).otherwise(F.array_min(gaps)["mid"])
     low, high = F.greatest(start, middle - least / 2), F.least(end, middle + least / 2)
     none = F.array().cast("array<array<double>>")
-    return F.when(F.size(long) > 0, long).when(high > low, F.array(F.array(F.round(low, 1), F.round(high, 1)))).otherwise(none)
+    return F.when(F.size(long) > 0, long).when(high > low, F.array(F.array(to(low), to(high)))).otherwise(none)
 
 
 def counted(text: Column) -> Column:
