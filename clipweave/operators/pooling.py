@@ -31,7 +31,7 @@ def _added(t: pa.Table) -> pa.RecordBatch:
     code, w = np.asarray(t.column("code"), np.int64), np.asarray(t.column("w"), np.float64)
     sizes = np.asarray(column.value_lengths(), np.int64)
     flat, ends = np.asarray(column.flatten(), np.float64), np.cumsum(sizes)
-    keys, first, weights, sums = t.column("key").combine_chunks(), [], [], []
+    keys, first, weights, sums, lengths = t.column("key").combine_chunks(), [], [], [], []
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
         x = flat[(ends[rows] - size)[:, None] + np.arange(size)] * w[rows, None]
@@ -39,8 +39,11 @@ def _added(t: pa.Table) -> pa.RecordBatch:
         head = np.flatnonzero(np.r_[True, np.diff(code[rows][order]) != 0])
         first += rows[order[head]].tolist()
         weights += np.add.reduceat(w[rows][order], head).tolist()
-        sums += np.add.reduceat(x[order], head, axis=0).tolist() if size else [[] for _ in head]
-    out = [keys.take(pa.array(first, pa.int64())), pa.array(weights, pa.float64()), pa.array(sums, pa.list_(pa.float64()))]
+        sums.append(np.add.reduceat(x[order], head, axis=0).ravel() if size else np.zeros(0))
+        lengths.append(np.full(len(head), size))
+    offsets = np.r_[0, np.cumsum(np.concatenate(lengths))] if lengths else np.zeros(1)
+    values = pa.array(np.concatenate(sums) if sums else np.zeros(0), pa.float64())
+    out = [keys.take(pa.array(first, pa.int64())), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)]
     return pa.RecordBatch.from_arrays(out, names=["key", "w", "x"])
 
 
@@ -58,7 +61,9 @@ def pooled(vectors: DataFrame) -> DataFrame:
     parts = parts.repartition("key", "salt").drop("salt").mapInArrow(_sums, schema)
     add = lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)))
     total = parts.groupBy("key").agg(F.collect_list("x").alias("xs"))  # about one row for each salt
-    summed = F.aggregate("xs", F.array().cast("array<double>"), add)
+    summed = F.when(F.size("xs") == 1, F.get("xs", F.lit(0))).otherwise(F.aggregate("xs", F.array().cast("array<double>"), add))
     size = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
-    bound = F.transform(F.array(summed), lambda x: F.when(size(x) > 0, F.transform(x, lambda v: v / size(x))))
+    # Sum and length are worked out once for a key, not for each place.
+    sized = F.transform(F.array(summed), lambda x: F.struct(x.alias("x"), size(x).alias("size")))
+    bound = F.transform(sized, lambda p: F.when(p["size"] > 0, F.transform(p["x"], lambda v: v / p["size"])))
     return total.select("key", F.get(bound, F.lit(0)).alias("x"))
