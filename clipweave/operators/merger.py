@@ -14,6 +14,8 @@ from ..streaming.jobs import written
 from .pooling import pooled
 from .prefix import with_before
 
+#: Places to cut a key at that lie within a piece, so that few pieces need the end of the one before.
+CUTS = 64
 REASONS = ("short", "no_vector", "first", "low_similarity", "large_gap", "merged")
 
 
@@ -51,7 +53,7 @@ def _fold(similarity: float, gap: float):
                     upto, centre = max(upto, e[k]), centre + (e[k] - s[k]) * vec
                 else:
                     number, upto, centre = number + 1, e[k], None if vec is None else (e[k] - s[k]) * vec
-                held = (key[k], piece[k], ids[k], number, reason, vec if head else None)
+                held = (key[k], piece[k], ids[k], number, reason, vec if head and piece[k] else None)  # nothing comes before piece 0
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
         if held is not None:
@@ -73,20 +75,19 @@ def merge_items(items: DataFrame, *, similarity: float = 0.93, gap: float = 0.1,
     out; later ones without a vector stand alone.
 
     Who joins whom depends on all members before, but never across an item that begins over ``gap`` after everything before it has ended:
-    keys are cut there into pieces, which are folded apart. Ids are unique within a key. ``bucket`` is the time by which long keys are spread for the cutting. A key
+    keys are cut there into pieces of ``CUTS`` such places, which are folded apart. Vectors move once to their places and once to their pieces. Ids are unique within a key. ``bucket`` is the time by which long keys are spread for the cutting. A key
     without such a place is one piece, which a task goes through row by row.
     """
-    own = items.select("key", "id", "s", "e", "x")
+    own = items.select("key", "id", "s", "e", F.col("x").isNotNull().alias("_has"))
     short = own.where(F.col("e") - F.col("s") < least)
     kept = own.where(F.col("e") - F.col("s") >= least)
-    first = kept.where("x is not null").groupBy("key").agg(F.min(F.struct("s", "e", "id")).alias("_first"))
+    first = kept.where("_has").groupBy("key").agg(F.min(F.struct("s", "e", "id")).alias("_first"))
     timed = kept.join(first, "key", "left").withColumn("_live", F.coalesce(F.struct("s", "e", "id") >= F.col("_first"), F.lit(False)))
     order, by = ["s", "e", "id"], F.floor(F.col("s") / bucket)
-    live = timed.where("_live").drop("_live")
-    slim = with_before(live.select("key", *order), "key", by, order, maxima={"_upto": F.col("e")})
+    slim = with_before(timed.where("_live").select("key", *order), "key", by, order, maxima={"_upto": F.col("e")})
     cuts = slim.withColumn("_cut", F.coalesce(F.col("s") - F.col("_upto") > gap, F.lit(False)).cast("long"))
-    placed = with_before(cuts, "key", by, order, sums={"_cuts": F.col("_cut")}).select("key", "id", (F.col("_cuts") + F.col("_cut")).alias("piece"))
-    rows = live.join(placed, ["key", "id"]).select("key", "piece", *order, "x")
+    placed = with_before(cuts, "key", by, order, sums={"_cuts": F.col("_cut")}).select("key", *order, F.floor((F.col("_cuts") + F.col("_cut")) / CUTS).alias("piece"))
+    rows = placed.join(items.select("key", "id", "x"), ["key", "id"]).select("key", "piece", *order, "x")
     schema = "key long, piece long, id long, cluster long, reason string, own array<double>, tail array<double>"
     folded = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", *order).mapInArrow(_fold(similarity, gap), schema)
     folded = written(folded, "merge-folded")
