@@ -87,11 +87,16 @@ def normal_attributes(entries: Column) -> Column:
 
     Of keys that become equal the last stands.
     """
-    key = lambda e: normalise(e["key"])
-    values = lambda e: F.array_distinct(F.filter(F.transform(F.coalesce(e["values"], F.array().cast("array<string>")), normalise), lambda v: v.isNotNull() & keeps_value(key(e), v)))
-    shaped = F.filter(F.transform(entries, lambda e: F.struct(key(e).alias("key"), values(e).alias("values"))), lambda e: (e["key"] != "") & (F.size(e["values"]) > 0))
-    last = F.filter(F.transform(shaped, lambda e, i: F.struct(e["key"].alias("key"), e["values"].alias("values"), i.alias("i"))), lambda e: ~F.exists(F.slice(shaped, e["i"] + 2, F.greatest(F.size(shaped), F.lit(1))), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["values"])))
+    of = lambda key, values: F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), normalise), lambda v: v.isNotNull() & keeps_value(key, v)))
+    named = F.transform(entries, lambda e: F.struct(normalise(e["key"]).alias("key"), e["values"].alias("values")))
+    shaped = F.transform(named, lambda e: F.struct(e["key"].alias("key"), of(e["key"], e["values"]).alias("values")))
+    shaped = F.filter(shaped, lambda e: (e["key"] != "") & (F.size(e["values"]) > 0))
+
+    def last(all_: Column) -> Column:
+        follows = lambda e, i: F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda o: o["key"] == e["key"])
+        return F.map_from_entries(F.filter(all_, lambda e, i: ~follows(e, i)))
+
+    return once(shaped, last)
 
 
 def coerced_spans(raw: Column) -> Column:
