@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import written
 from .sparse import heaviest
 
 FORBIDDEN, DUMMY = 1e6, 0.999  # Fixed values of the padded cost matrix.
@@ -193,7 +194,8 @@ def prices(pairs: DataFrame, *, key: str = "key", mode: str = "event", gate: flo
 def certificate(pairs: DataFrame, *, key: str = "key", mode: str = "event", gate: float = 0.0) -> DataFrame:
     """(key, n, one_to_one, feasible, gap) by joins of ``match`` and ``prices`` with the candidates: pairs chosen, whether none shares an end, whether
     prices cover every candidate that may be chosen, and the total of the prices less that of the choice, 0 of an optimal one."""
-    found, price = match(pairs, key=key, mode=mode, gate=gate), prices(pairs, key=key, mode=mode, gate=gate)
+    pairs = written(pairs.select(key, "ref_id", "gen_id", "score", "gated"), "assign-candidates")
+    found, price = match(pairs, key=key, mode=mode, gate=gate), written(prices(pairs, key=key, mode=mode, gate=gate), "assign-prices")
     side = lambda n, c: price.where(F.col("side") == n).select("key", F.col("id").alias(f"{c}_id"), F.col("price").alias(f"{c}_price"))
     able = _clean(pairs, key).groupBy("key", "ref_id", "gen_id").agg(F.max("score").alias("score"), F.bool_or("gated").alias("gated"))
     if mode == "event":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..functions.event_total import event_total
+from ..streaming.jobs import written
 
 
 def matched_quality(matches: DataFrame, refs: DataFrame, *, rho: float = 0.5) -> DataFrame:
@@ -45,5 +46,6 @@ def coverage(matches: DataFrame, refs: DataFrame, gens: DataFrame) -> DataFrame:
 
 def event_scores(matches: DataFrame, refs: DataFrame, gens: DataFrame, *, rho: float = 0.5) -> DataFrame:
     """(key, ega, erel, ecr, s_event); ``erel`` is null where there are fewer than two matches, and its weight then goes to the others."""
+    matches = written(matches, "event-matches")  # used four times
     out = coverage(matches, refs, gens).join(matched_quality(matches, refs, rho=rho).drop("n"), "key", "left").join(relations(matches, refs, gens).drop("n_relations"), "key", "left")
     return out.withColumn("s_event", event_total(F.col("ega"), F.col("erel"), F.col("ecr")))
