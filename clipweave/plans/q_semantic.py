@@ -245,8 +245,9 @@ def clause_split(spark: SparkSession, d: str) -> DataFrame:
 with t as (select doc_id, unnest(list_distinct(string_split(translate(text, chr(10), ' '), ' '))) as raw from documents), n as (select doc_id, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') as v from t
 ), k as (select distinct doc_id, v from n where v <> '' and length(regexp_replace(v, '[^a-z]', '', 'g')) > 0 and not (length(regexp_replace(v, '[^a-z]', '', 'g')) <= 1 and length(v) <= 2)) select doc_id, count(*) as n from k group by doc_id""")
 def value_filter_gates(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.translate("text", "\n", " "), " "))).alias("raw"))
-    n = t.select("doc_id", F.regexp_replace(F.lower("raw"), "[^a-z0-9]", "").alias("v")).where(tx.keeps_value(F.lit("open"), F.col("v")))
+    # A text is normalised once as a whole, which leaves its blanks, and only the different words of it are judged.
+    flat = F.regexp_replace(F.lower(F.translate("text", "\n", " ")), "[^a-z0-9 ]+", "")
+    n = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(flat, " "))).alias("v")).where(tx.keeps_value(F.lit("open"), F.col("v")))
     return n.distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
