@@ -28,8 +28,10 @@ from .shared import long_doc, slices
 SPACE = "▁"
 #: Loss, below the least piece score, of a character without a piece; it is then spelled in bytes.
 UNKNOWN_LOSS = 10.0
-#: Units whose results a worker keeps.
+#: Units whose results a task keeps.
 CACHE_UNITS = 250_000
+#: New units whose lattices are laid out at a time, and text that is cut into units at a time.
+LEARN_UNITS, TEXT_BYTES = 8_000, 512 << 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
@@ -139,8 +141,8 @@ class Lattice:
         for u in set(units).difference(plain):
             ids, score, loss = self.two(u)
             self._add(np.array(ids), np.array([len(ids)]), np.array([score]), np.array([loss]), [u])
-        for at in range(0, len(plain), 20_000):
-            self._learn(plain[at : at + 20_000])
+        for at in range(0, len(plain), LEARN_UNITS):
+            self._learn(plain[at : at + LEARN_UNITS])
 
     def _learn(self, units: list[str]) -> None:
         n = np.array([len(u) for u in units])
@@ -309,7 +311,7 @@ _LOADED: dict[str, Lattice] = {}
 
 
 def lattice(path: str) -> Lattice:
-    """The worker's own copy; it stays for the tasks that follow."""
+    """The worker's own copy; it stays for the tasks that follow, without what was learned of units."""
     if path not in _LOADED:
         _LOADED[path] = Lattice(path)
     return _LOADED[path]
@@ -318,18 +320,21 @@ def lattice(path: str) -> Lattice:
 def _encode(path: str, n: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
-        for batch in it:
-            for part in slices(batch, 1):
-                ids, scores, sums, same = [], [], [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for text, (best, worth) in zip(texts, model.nbest_of(texts, n), strict=True):
-                    ids.append(best[0])
-                    scores.append(worth)
-                    sums.append([zlib.crc32(x.astype("<u4").tobytes()) for x in best])
-                    same.append(model.decode_bytes(best[0]) == text.replace(SPACE, " ").encode())
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(sums, pa.list_(pa.int64())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "scores", "ids_crc32", "round_trip"])
+        try:
+            for batch in it:
+                for part in slices(batch, 1, TEXT_BYTES):
+                    ids, scores, sums, same = [], [], [], []
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for text, (best, worth) in zip(texts, model.nbest_of(texts, n), strict=True):
+                        ids.append(best[0])
+                        scores.append(worth)
+                        sums.append([zlib.crc32(x.astype("<u4").tobytes()) for x in best])
+                        same.append(model.decode_bytes(best[0]) == text.replace(SPACE, " ").encode())
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(sums, pa.list_(pa.int64())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "scores", "ids_crc32", "round_trip"])
+        finally:
+            model._forget()  # a worker that waits, or does another step, does not hold this one's units
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import long_doc, utf8
+from .shared import long_doc, slices, utf8
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What conditions may test, as SQL over the statistics. Sizes are left to the base rules, which are exact.
@@ -68,10 +68,11 @@ def text_stats(b: bytes) -> tuple[int, ...]:
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the statistics of the last column's texts to the others."""
+    """Adds the statistics of the last column's texts to the others, a slice of text at a time."""
     for batch in it:
-        rows = np.array([text_stats(x or b"") for x in utf8(batch.column(batch.num_columns - 1))], np.int64).reshape(-1, 10)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(10))], names=[*batch.schema.names[:-1], *_NAMES])
+        for part in slices(batch, batch.num_columns - 1):
+            rows = np.array([text_stats(x or b"") for x in utf8(part.column(part.num_columns - 1))], np.int64).reshape(-1, 10)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(rows[:, k]) for k in range(10))], names=[*part.schema.names[:-1], *_NAMES])
 
 
 def _based(stats: DataFrame) -> DataFrame:
